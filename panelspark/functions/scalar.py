@@ -55,8 +55,8 @@ def micros(t: Column) -> Column:
     seconds = (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
     return (
         F.unix_date(t.cast("date")).cast("bigint") * MICROS_PER_DAY
-        + F.hour(t) * F.lit(3_600_000_000)
-        + F.minute(t) * F.lit(60_000_000)
+        + F.hour(t).cast("bigint") * 3_600_000_000
+        + F.minute(t).cast("bigint") * 60_000_000
         + seconds
     )
 

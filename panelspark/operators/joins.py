@@ -82,7 +82,8 @@ def lookup_join(
     """Attach ``table`` (one row per key) to ``rows``.
 
     Broadcasts ``table`` when its measured size is within ``max_bytes``; otherwise shuffles, with the
-    hot keys of ``rows`` salted.
+    hot keys of ``rows`` salted. Both checks are jobs over ``rows`` and ``table``, so pass inputs that are
+    cheap to compute; deep plans join plainly and leave splitting to adaptive execution.
     """
     on = [on] if isinstance(on, str) else list(on)
     local = fetch_bounded(table, max_bytes) if max_bytes > 0 else None
@@ -94,6 +95,11 @@ def lookup_join(
     return salted_join(rows, table, on, hot, how)
 
 
+def attach_small(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a table whose row count is bounded by construction, such as one row per (column, group)."""
+    return rows.join(F.broadcast(table), on, how)
+
+
 def attach_one_row(rows: DataFrame, params: DataFrame) -> DataFrame:
     """Add the columns of a one-row parameter table to every row."""
     return rows.crossJoin(F.broadcast(params))

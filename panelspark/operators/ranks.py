@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BUCKETS = 4096
+QUANTILE_BUCKETS = 1024
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -113,26 +114,63 @@ def column_ranks(
     )
 
 
+def row_ranks(df: DataFrame, cols: list[str], group: list[str], n: int | None = None) -> DataFrame:
+    """(group..., ``{c}__rank`` per column): average ranks at row level, null for a missing value.
+
+    One counted rank table and one join per column. A value that many rows share is a skewed join key;
+    adaptive execution splits that partition.
+    """
+    work = df.select(*group, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols])
+    out = add_buckets(work, cols, n)
+    for c in cols:
+        b = c + "__b"
+        counts = out.where(F.col(c).isNotNull()).groupBy(*group, b, c).agg(F.count(F.lit(1)).alias("cnt"))
+        ranked = prefix_sums(counts, F.col(c), {"cnt": F.col("cnt")}, list(group), b)
+        ranked = ranked.select(*group, b, c, (F.col("before_cnt") + (F.col("cnt") + 1) / 2).alias(f"{c}__rank"))
+        out = out.join(ranked, [*group, b, c], "left")
+    return out.select(*group, *[f"{c}__rank" for c in cols])
+
+
 def exact_quantiles(
-    df: DataFrame, cols: list[str], probs: dict[str, float], group: list[str] = (), n: int | None = None
+    df: DataFrame, cols: list[str], probs: dict[str, float], group: list[str] = (), n: int = QUANTILE_BUCKETS
 ) -> DataFrame:
-    """(group..., column, one column per name in ``probs``): linear-interpolated exact quantiles."""
+    """(group..., column, one column per name in ``probs``): linear-interpolated exact quantiles.
+
+    A histogram over the buckets tells which few buckets hold the wanted positions; only their values are
+    shuffled and ordered. ``group`` must have few values, such as a class label.
+    """
     group = list(group)
-    r = column_ranks(df, cols, group, n=n)
-    aggs = []
+    cells = long_values(df, cols, group, n)
+    by = [*group, "column"]
+    hist = cells.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("_c"))
+    # at most n rows per (group, column)
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumns({"_o": F.coalesce(F.sum("_c").over(upto), F.lit(0)), "_n": F.sum("_c").over(whole)})
+    ends = {}
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("total") - 1)
-        for part, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (F.col("before") <= at) & (at < F.col("before") + F.col("cnt"))
-            aggs.append(F.max(F.when(hit, F.col("value"))).alias(f"_{name}_{part}"))
-    aggs.append(F.max("total").alias("_n"))
-    q = r.groupBy(*group, "column").agg(*aggs)
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        ends |= {f"_{name}_lo": F.floor(pos), f"_{name}_hi": F.ceil(pos)}
+    hit = F.lit(False)
+    for at in ends.values():
+        hit = hit | ((F.col("_o") <= at) & (at < F.col("_o") + F.col("_c")))
+    # at most two buckets per wanted quantile
+    wanted = hist.where(hit).select(*by, "bucket", "_o", "_n")
+    inside = cells.join(F.broadcast(wanted), [*by, "bucket"])
+    counts = inside.groupBy(*by, "bucket", "value", "_o", "_n").agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*by, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_o", F.col("_o") + F.coalesce(F.sum("_c").over(order), F.lit(0)))
+    aggs = [
+        F.max(F.when((F.col("_o") <= at) & (at < F.col("_o") + F.col("_c")), F.col("value"))).alias(name)
+        for name, at in ends.items()
+    ]
+    q = counts.groupBy(*by).agg(*aggs, F.max("_n").alias("_n"))
     outs = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_n") - 1)
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         outs.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return q.select(*group, "column", *outs)
+    return q.select(*by, *outs)
 
 
 def dense_row_rank(df: DataFrame, order_hash: Column, row_id: str, group: list[str]) -> DataFrame:

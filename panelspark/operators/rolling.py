@@ -1,13 +1,15 @@
 """Rolling time windows (t - w, t] per key, one output per input row.
 
-Ordinary keys use one Spark window per key: all columns and periods of a key share one shuffle
-and one sort. A hot key would put its whole history in one task and re-read its frame for every
-row, so its rows go another way: time is cut into blocks of w/m, and a frame is
+A sliding window frame is re-read for every row, which is quadratic in the rows of a frame. Here time is cut
+into blocks as long as the window, so a frame is
 
-    rows of the own block up to t  +  the m-1 whole blocks before  +  the tail of the oldest block.
+    the rows of the own block up to t  +  the rows of the previous block that have not expired at t.
 
-The tail is found by sending each row a second time, shifted by w, into the block where it expires.
-Both ends are running aggregates inside a (key, block) partition; whole blocks are pre-aggregated.
+Both ends are running aggregates with frames that only grow: each row is repeated once per period, shifted to
+the moment it expires, and the repeats are made after the one shuffle by key. Sums are never subtracted.
+
+A hot key would put its whole history in one task. Its rows are spread over (key, short block) instead: the
+same two ends, plus the whole blocks in between, which are aggregated before they are shuffled.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import MICROS_PER_DAY, micros
 from panelspark.operators.joins import hot_keys
+from panelspark.operators.ranks import prefix_sums
 
-HOT_HISTORY_ROWS = 500_000
+HOT_HISTORY_ROWS = 1_000_000
 BLOCKS_PER_WINDOW = 256
 
 
@@ -39,99 +42,176 @@ class Spec:
         return f"{self.key}_n_{self.col}_{self.func}_{self.days}"
 
 
-def _plain(df: DataFrame, specs: list[Spec]) -> DataFrame:
+def _pieces(specs: list[Spec]) -> dict[str, tuple[str, str]]:
+    """Mergeable pieces the specs need: name -> (kind, column); a mean is a sum and a count."""
     out = {}
     for s in specs:
-        w = Window.partitionBy(s.key).orderBy("_us").rangeBetween(-(s.days * MICROS_PER_DAY - 1), 0)
-        x = F.col(s.col)
-        v = {
-            "sum": lambda: F.sum(x),
-            "mean": lambda: F.avg(x),
-            "min": lambda: F.min(x),
-            "max": lambda: F.max(x),
-            "cnt": lambda: F.collect_set(x),
-        }[s.func]().over(w)
-        out[s.name] = F.size(v) if s.func == "cnt" else v
-    return df.withColumns(out)
-
-
-def _parts(func: str, x: Column) -> dict[str, tuple[str, Column]]:
-    """Mergeable pieces of an aggregate: piece name -> (kind, input)."""
-    if func == "mean":
-        return {"s": ("sum", x.cast("double")), "n": ("sum", x.isNotNull().cast("long"))}
-    if func == "cnt":
-        return {"v": ("set", x)}
-    return {"v": (func, x)}
+        kinds = {"mean": ("sum", "n"), "cnt": ()}.get(s.func, (s.func,))
+        out |= {f"{k}_{s.col}": (k, s.col) for k in kinds}
+    return out
 
 
 def _agg(kind: str, x: Column) -> Column:
-    return {"sum": F.sum, "min": F.min, "max": F.max, "set": F.collect_set}[kind](x)
+    return {"sum": F.sum, "min": F.min, "max": F.max, "n": F.count}[kind](x)
 
 
 def _merge(kind: str, cols: list[Column]) -> Column:
+    if kind == "n":
+        return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in cols])
     if kind == "sum":
         some = reduce(lambda a, b: a | b, [c.isNotNull() for c in cols])
         return F.when(some, reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in cols]))
-    if kind == "set":
-        return F.array_distinct(F.concat(*[F.coalesce(c, F.array()) for c in cols]))
     return (F.least if kind == "min" else F.greatest)(*cols)
 
 
-def _blocked_window(df: DataFrame, row_id: str, key: str, days: int, specs: list[Spec], blocks: int) -> DataFrame:
-    """(row_id, one column per spec) for hot keys; every spec has this key and period."""
+def _result(s: Spec, merged: dict[str, Column]) -> Column:
+    if s.func == "mean":
+        n = merged[f"n_{s.col}"]
+        return F.when(n > 0, merged[f"sum_{s.col}"] / n)
+    return merged[f"{s.func}_{s.col}"]
+
+
+def _by_key(df: DataFrame, key: str, specs: list[Spec], row_id: str) -> DataFrame:
+    """Ordinary keys: one shuffle by key; every later window only re-sorts inside its partition."""
+    days = sorted({s.days for s in specs})
+    inputs = {s.col for s in specs}
+    kept = [c for c in df.columns if c not in (key, "_us", row_id) and c not in inputs]
+    rows = df.repartition(key).withColumn("_kind", F.explode(F.array(*[F.lit(d) for d in [0, *days]])))
+    rows = rows.withColumn("_us", F.col("_us") + F.col("_kind").cast("long") * MICROS_PER_DAY)
+    rows = rows.withColumns({c: F.when(F.col("_kind") == 0, F.col(c)) for c in kept})
+    own = F.col("_kind") == 0
+    for d in days:
+        mine = [s for s in specs if s.days == d]
+        expiring = F.col("_kind") == d
+        blk = f"_blk{d}"
+        rows = rows.withColumn(blk, F.floor(F.col("_us") / (d * MICROS_PER_DAY)).cast("long"))
+        block = Window.partitionBy(key, blk)
+        upto = block.orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+        # in falling order, the frame holds the rows that expire strictly after t
+        after = block.orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, -1)
+        counted = [s.col for s in mine if s.func == "cnt"]
+        for i, c in enumerate(counted):
+            # a value counts from its first row in the block on, and until its last expiry
+            same = Window.partitionBy(key, blk, c)
+            nth = same.orderBy("_kind", "_us", row_id)
+            rows = rows.withColumns(
+                {
+                    "_f": F.min(F.when(own, F.col("_us"))).over(same),
+                    "_l": F.max(F.when(expiring, F.col("_us"))).over(same),
+                    "_rf": F.row_number().over(nth),
+                    "_rl": F.row_number().over(
+                        same.orderBy(F.when(expiring, 0).otherwise(1), F.desc("_us"), row_id)
+                    ),
+                }
+            )
+            known = F.col(c).isNotNull()
+            starts = known & own & (F.col("_rf") == 1)
+            ends = known & expiring & (F.col("_rl") == 1)
+            apart = F.col("_l").isNull() | F.col("_f").isNull() | (F.col("_l") <= F.col("_f"))
+            rows = rows.withColumns(
+                {f"_d{i}": F.when(starts & apart, 1).when(ends & apart, -1).otherwise(0), f"_o{i}": ends.cast("int")}
+            ).drop("_f", "_l", "_rf", "_rl")
+        pieces = _pieces(mine)
+        rows = rows.withColumns(
+            {f"_h_{p}": _agg(k, F.when(own, F.col(c))).over(upto) for p, (k, c) in pieces.items()}
+            | {f"_c_{i}": F.sum(f"_d{i}").over(upto) for i in range(len(counted))}
+        )
+        rows = rows.withColumns(
+            {f"_t_{p}": _agg(k, F.when(expiring, F.col(c))).over(after) for p, (k, c) in pieces.items()}
+        )
+        if counted:
+            rows = rows.withColumns({f"_b_{i}": F.sum(f"_o{i}").over(block) for i in range(len(counted))})
+        merged = {p: _merge(k, [F.col(f"_h_{p}"), F.col(f"_t_{p}")]) for p, (k, _) in pieces.items()}
+        out = {}
+        for s in mine:
+            if s.func == "cnt":
+                i = counted.index(s.col)
+                out[s.name] = F.col(f"_b_{i}") + F.col(f"_c_{i}")
+            else:
+                out[s.name] = _result(s, merged)
+        rows = rows.withColumns(out).drop(
+            blk,
+            *[x + p for p in pieces for x in ("_h_", "_t_")],
+            *[x + str(i) for i in range(len(counted)) for x in ("_d", "_o", "_c_", "_b_")],
+        )
+    return rows.where(own).drop("_kind")
+
+
+def _short_blocks(days: int, blocks: int) -> tuple[int, int]:
+    """(blocks, block length): the window is a whole number of blocks."""
     width = days * MICROS_PER_DAY
     while width % blocks:
         blocks -= 1
-    g = width // blocks
-    pieces = {}  # name -> (kind, input)
-    for i, s in enumerate(specs):
-        pieces |= {f"p{i}{k}": v for k, v in _parts(s.func, F.col(s.col)).items()}
-    base = df.select(
-        row_id, key, "_us", F.floor(F.col("_us") / g).cast("long").alias("_blk"), *[x.alias(p) for p, (_, x) in pieces.items()]
-    )
-    own = base.withColumn("_exp", F.lit(False))
-    expiring = base.withColumns(
-        {"_us": F.col("_us") + F.lit(width), "_blk": F.col("_blk") + F.lit(blocks), "_exp": F.lit(True)}
+    return blocks, width // blocks
+
+
+def _hot_values(df: DataFrame, row_id: str, key: str, days: int, specs: list[Spec], blocks: int) -> DataFrame:
+    """(row_id, one column per spec) for sum, mean, min and max of hot keys."""
+    blocks, length = _short_blocks(days, blocks)
+    pieces = _pieces(specs)
+    inputs = sorted({c for _, c in pieces.values()})
+    base = df.select(row_id, key, "_us", F.floor(F.col("_us") / length).cast("long").alias("_blk"), *inputs)
+    both = base.withColumn("_exp", F.explode(F.array(F.lit(False), F.lit(True)))).withColumns(
+        {
+            "_us": F.when(F.col("_exp"), F.col("_us") + days * MICROS_PER_DAY).otherwise(F.col("_us")),
+            "_blk": F.when(F.col("_exp"), F.col("_blk") + blocks).otherwise(F.col("_blk")),
+        }
     )
-    both = own.unionByName(expiring)
-    head = Window.partitionBy(key, "_blk").orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
-    # descending order: the frame holds rows that expire strictly after t
-    tail = Window.partitionBy(key, "_blk").orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, -1)
+    block = Window.partitionBy(key, "_blk")
+    upto = block.orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+    after = block.orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, -1)
     both = both.withColumns(
-        {f"{p}_h": _agg(k, F.when(~F.col("_exp"), F.col(p))).over(head) for p, (k, _) in pieces.items()}
-    ).withColumns({f"{p}_t": _agg(k, F.when(F.col("_exp"), F.col(p))).over(tail) for p, (k, _) in pieces.items()})
-
-    table = base.groupBy(key, "_blk").agg(*[_agg(k, F.col(p)).alias(p) for p, (k, _) in pieces.items()])
-    before = Window.partitionBy(key).orderBy("_blk").rangeBetween(-(blocks - 1), -1)
-    mids = {}
-    for p, (k, _) in pieces.items():
-        if k == "set":
-            mids[f"{p}_m"] = F.array_distinct(F.flatten(F.collect_list(p).over(before)))
-        else:
-            mids[f"{p}_m"] = _agg(k, F.col(p)).over(before)
-    mid = table.withColumns(mids).select(key, "_blk", *mids)
+        {f"_h_{p}": _agg(k, F.when(~F.col("_exp"), F.col(c))).over(upto) for p, (k, c) in pieces.items()}
+    ).withColumns({f"_t_{p}": _agg(k, F.when(F.col("_exp"), F.col(c))).over(after) for p, (k, c) in pieces.items()})
+    # one row per (key, block) with data
+    table = base.groupBy(key, "_blk").agg(*[_agg(k, F.col(c)).alias(p) for p, (k, c) in pieces.items()])
+    between = Window.partitionBy(key).orderBy("_blk").rangeBetween(-(blocks - 1), -1)
+    whole = lambda k, p: F.sum(p) if k == "n" else _agg(k, F.col(p))
+    mid = table.select(key, "_blk", *[whole(k, p).over(between).alias(f"_m_{p}") for p, (k, _) in pieces.items()])
     done = both.where(~F.col("_exp")).join(mid, [key, "_blk"], "left")
-    out = {}
-    for i, s in enumerate(specs):
-        m = {
-            p: _merge(k, [F.col(f"{p}_h"), F.col(f"{p}_m"), F.col(f"{p}_t")])
-            for p, (k, _) in pieces.items()
-            if p.startswith(f"p{i}") and not p[len(f"p{i}")].isdigit()
-        }
-        if s.func == "mean":
-            out[s.name] = m[f"p{i}s"] / m[f"p{i}n"]
-        elif s.func == "cnt":
-            out[s.name] = F.size(m[f"p{i}v"])
-        else:
-            out[s.name] = m[f"p{i}v"]
-    return done.withColumns(out).select(row_id, *out)
+    merged = {p: _merge(k, [F.col(f"_{x}_{p}") for x in "hmt"]) for p, (k, _) in pieces.items()}
+    return done.select(row_id, *[_result(s, merged).alias(s.name) for s in specs])
+
+
+def _hot_distinct(df: DataFrame, row_id: str, key: str, s: Spec, blocks: int) -> DataFrame:
+    """(row_id, count of distinct values) for hot keys.
+
+    A value is present from each occurrence until w later. Occurrences closer than w merge into one stay, so
+    only the ends of stays change the count, and the count at t is a running sum of +1 and -1.
+    """
+    _, length = _short_blocks(s.days, blocks)
+    width = s.days * MICROS_PER_DAY
+    blk = F.floor(F.col("_us") / length).cast("long")
+    seen = df.where(F.col(s.col).isNotNull()).select(key, F.col(s.col).alias("_v"), "_us").distinct().withColumn("_blk", blk)
+    inside = Window.partitionBy(key, "_v", "_blk").orderBy("_us")
+    near = seen.withColumns({"_prev": F.lag("_us").over(inside), "_next": F.lead("_us").over(inside)})
+    # neighbours across blocks come from one row per (key, value, block)
+    ends = seen.groupBy(key, "_v", "_blk").agg(F.min("_us").alias("_a"), F.max("_us").alias("_z"))
+    along = Window.partitionBy(key, "_v").orderBy("_blk")
+    ends = ends.select(key, "_v", "_blk", F.lag("_z").over(along).alias("_pz"), F.lead("_a").over(along).alias("_na"))
+    near = near.join(ends, [key, "_v", "_blk"]).withColumns(
+        {"_prev": F.coalesce("_prev", "_pz"), "_next": F.coalesce("_next", "_na")}
+    )
+    starts = near.where(F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= width)).select(key, "_us", F.lit(1).alias("_d"))
+    stops = near.where(F.col("_next").isNull() | (F.col("_next") - F.col("_us") >= width)).select(
+        key, (F.col("_us") + width).alias("_us"), F.lit(-1).alias("_d")
+    )
+    times = df.select(key, "_us", F.lit(0).alias("_d"))
+    steps = starts.unionByName(stops).unionByName(times).groupBy(key, "_us").agg(F.sum("_d").alias("_d"))
+    run = prefix_sums(steps.withColumn("_blk", blk), F.col("_us"), {"d": F.col("_d")}, [key], "_blk")
+    at = run.select(key, "_us", (F.col("before_d") + F.col("_d")).alias(s.name))
+    return df.select(row_id, key, "_us").join(at, [key, "_us"]).select(row_id, s.name)
 
 
 def _hot_part(rows: DataFrame, row_id: str, key: str, specs: list[Spec], blocks: int) -> DataFrame:
     out = rows
     for days in sorted({s.days for s in specs}):
-        mine = [s for s in specs if s.days == days]
-        out = out.join(_blocked_window(rows, row_id, key, days, mine, blocks), row_id)
+        values = [s for s in specs if s.days == days and s.func != "cnt"]
+        if values:
+            out = out.join(_hot_values(rows, row_id, key, days, values, blocks), row_id)
+    for s in specs:
+        if s.func == "cnt":
+            out = out.join(_hot_distinct(rows, row_id, key, s, blocks), row_id)
     return out
 
 
@@ -152,19 +232,19 @@ def rolling_features(
         mine = [s for s in specs if s.key == key]
         hot = hot_keys(df, [key], hot_rows)
         if hot is None:
-            out = _plain(out, mine)
+            out = _by_key(out, key, mine, row_id)
             continue
-        marks = F.broadcast(hot.select(F.col(key).alias("_hk"), F.lit(True).alias("_hot")))
-        marked = out.join(marks, out[key] == F.col("_hk"), "left").drop("_hk")
+        marks = F.broadcast(hot.where(F.col(key).isNotNull()).select(F.col(key).alias("_hk"), F.lit(True).alias("_hot")))
+        marked = out.join(marks, F.col(key) == F.col("_hk"), "left").drop("_hk")
         idle = F.col(key).isNull() | F.col("_us").isNull()
         void = marked.where(idle).drop("_hot").withColumns({s.name: F.lit(None).cast("double") for s in mine})
-        cold = _plain(marked.where(~idle & F.col("_hot").isNull()).drop("_hot"), mine)
+        cold = _by_key(marked.where(~idle & F.col("_hot").isNull()).drop("_hot"), key, mine, row_id)
         warm = _hot_part(marked.where(~idle & F.col("_hot").isNotNull()).drop("_hot"), row_id, key, mine, blocks)
         out = cold.unionByName(warm).unionByName(void)
     idle = {s.name: F.col(s.key).isNull() | F.col("_us").isNull() for s in specs}
     return out.withColumns(
         {s.name: F.when(idle[s.name], 0).otherwise(F.coalesce(F.col(s.name), F.lit(0))) for s in specs}
-    ).drop("_us")
+    ).drop("_us").select(*df.columns, *[s.name for s in specs])
 
 
 def feature_grid(

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import special
-from panelspark.operators.joins import lookup_join
+from panelspark.operators.joins import attach_small
 from panelspark.operators.ranks import add_buckets, column_ranks, exact_quantiles, prefix_sums
-from panelspark.operators.synth import weighted_corr
+from panelspark.operators.synth import spearman_wide
 
 ALPHA = 0.05
 SHAPIRO_BELOW = 2000
@@ -52,7 +52,7 @@ def test_shapiro(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     long = cells(df, cols, [group])
     sizes = long.groupBy("column", group).agg(F.count(F.lit(1)).alias("n"))
     small = sizes.where(F.col("n") < SHAPIRO_BELOW).select("column", group)
-    kept = lookup_join(long, small, ["column", group], "inner")
+    kept = attach_small(long, small, ["column", group])
     kind = dict(df.dtypes)[group]
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,7 +107,7 @@ def test_anderson(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     r = column_ranks(df, cols, [group])
     # every row is weighted by its count, so the moments come from the same counted table
     fit = cells(df, cols, [group]).groupBy("column", group).agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
-    z = lookup_join(r, fit, ["column", group], "inner").withColumn("_z", (F.col("value") - F.col("_m")) / F.col("_s"))
+    z = attach_small(r, fit, ["column", group]).withColumn("_z", (F.col("value") - F.col("_m")) / F.col("_s"))
     z = z.withColumns({"_lo": special.normal_cdf_col(F.col("_z")), "_hi": special.normal_cdf_col(-F.col("_z"))})
     n, b, c = (F.col(x).cast(D) for x in ("total", "before", "cnt"))
     term = c * (2 * b + c) * F.log("_lo") + c * (2 * n - 2 * b - c) * F.log("_hi")
@@ -150,7 +150,7 @@ def test_pearson(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     return out.withColumn("p_value", _t_p(F.col("statistic"), F.col("n")))
 
 
-def test_chi2(df: DataFrame, cols: list[str], group: str, hot_rows: int = 5_000_000) -> DataFrame:
+def test_chi2(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     """Independence of every pair per group; 2 x 2 tables get the continuity correction.
 
     Works on the counted cells; the sum over empty cells follows from the margins.
@@ -171,9 +171,9 @@ def test_chi2(df: DataFrame, cols: list[str], group: str, hot_rows: int = 5_000_
     whole = rows.groupBy(group, "pair").agg(F.sum("r").alias("n"), F.count(F.lit(1)).alias("nr"), F.sum(1 / F.col("r")).alias("ir"))
     wide = columns.groupBy(group, "pair").agg(F.count(F.lit(1)).alias("nc"), F.sum(1 / F.col("c")).alias("ic"))
     whole = whole.join(wide, [group, "pair"])
-    x = lookup_join(counts, rows, [group, "pair", "a"], "inner", max_bytes=0, hot_rows=hot_rows)
-    x = lookup_join(x, columns, [group, "pair", "b"], "inner", max_bytes=0, hot_rows=hot_rows)
-    x = lookup_join(x, whole, [group, "pair"], "inner")
+    # counted cells against their margins: no larger than the distinct cells, skew is split by adaptive execution
+    x = counts.join(rows, [group, "pair", "a"]).join(columns, [group, "pair", "b"])
+    x = attach_small(x, whole, [group, "pair"])
     share = F.col("o") * F.col("o") / (F.col("r") * F.col("c"))
     gap = F.abs(F.col("o") - F.col("r") * F.col("c") / F.col("n"))
     s = x.groupBy(group, "pair").agg(
@@ -197,20 +197,16 @@ def _joint_counts(df: DataFrame, a: str, b: str, group: str) -> DataFrame:
     )
 
 
-def test_spearman(df: DataFrame, cols: list[str], group: str, hot_rows: int = 5_000_000) -> DataFrame:
+def test_spearman(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     """Correlation of average ranks per pair and group."""
-    outs = []
-    for a, b in _pairs(cols):
-        both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-        r = column_ranks(both, [a, b], [group])
-        j = _joint_counts(df, a, b, group)
-        for col, v, name in ((a, "x", "rx"), (b, "y", "ry")):
-            ranks = r.where(F.col("column") == col).select(group, F.col("value").alias(v), F.col("avg_rank").alias(name))
-            j = lookup_join(j, ranks, [group, v], "inner", max_bytes=0, hot_rows=hot_rows)
-        n = j.groupBy(group).agg(F.sum("cnt").alias("n"))
-        one = weighted_corr(j, [group], "rx", "ry", "cnt", "statistic").join(n, group)
-        outs.append(one.select(F.lit(a).alias("column"), F.lit(b).alias("column2"), group, "statistic", "n"))
-    return reduce(DataFrame.unionByName, outs).withColumn("p_value", _t_p(F.col("statistic"), F.col("n")))
+    pairs = _pairs(cols)
+    wide = spearman_wide(df, group, pairs)
+    parts = [
+        F.struct(F.lit(a).alias("column"), F.lit(b).alias("column2"), F.col(f"rho_{i}").alias("statistic"), F.col(f"n_{i}").alias("n"))
+        for i, (a, b) in enumerate(pairs)
+    ]
+    out = wide.select(group, F.explode(F.array(*parts)).alias("_c")).select("_c.column", "_c.column2", group, "_c.statistic", "_c.n")
+    return out.withColumn("p_value", _t_p(F.col("statistic"), F.col("n")))
 
 
 def _tie_sums(df: DataFrame, by: list[str], group: list[str], tag: str) -> DataFrame:
@@ -236,7 +232,7 @@ def dominance_counts(joint: DataFrame, group: str) -> DataFrame:
     ranked = ranked.select(group, "y", F.col("before_one").alias("yr"), F.col("total_one").alias("ny"))
     top = ranked.agg(F.max("ny")).first()[0] or 1
     bits = max(1, (top - 1).bit_length())
-    rows = lookup_join(add_buckets(joint, ["x"]), ranked.drop("ny"), [group, "y"], "inner", max_bytes=0)
+    rows = add_buckets(joint, ["x"]).join(ranked.drop("ny"), [group, "y"])
     levels = F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))
     exploded = rows.withColumn("lvl", levels).select(
         group,
@@ -369,7 +365,7 @@ def test_levene(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     """One-way F on the distances from the group medians."""
     med = exact_quantiles(df, cols, {"med": 0.5}, [label])
     long = cells(df, cols, [label])
-    dev = lookup_join(long, med, ["column", label], "inner").select(
+    dev = attach_small(long, med, ["column", label]).select(
         "column", label, F.abs(F.col("value") - F.col("med")).alias("value")
     )
     aggs = []

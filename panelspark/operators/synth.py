@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from panelspark.functions.scalar import date_parts
 from panelspark.operators.joins import lookup_join
-from panelspark.operators.ranks import column_ranks
+from panelspark.operators.ranks import column_ranks, row_ranks
 from panelspark.roles import Roles
 
 MAX_FEATURES = 1000
@@ -101,38 +101,36 @@ def code_aggregates(df: DataFrame, key: str, cols: list[str], funcs: list[str] =
     return counts.groupBy(key).agg(*exprs)
 
 
-def spearman_by_key(df: DataFrame, key: str, pairs: list[tuple[str, str]], hot_rows: int = 5_000_000) -> DataFrame:
-    """``spearman__{a}__{b}``: Pearson correlation of average ranks inside each key."""
+def spearman_wide(df: DataFrame, key: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(key, ``rho_{i}``, ``n_{i}`` per pair): Pearson correlation of average ranks inside each key.
+
+    Columns without nulls share one ranking; a pair with nulls is ranked over its complete rows.
+    """
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    holes = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    shared = [i for i, (a, b) in enumerate(pairs) if not holes[a] and not holes[b]]
+    jobs = [(shared, df)] if shared else []
+    for i, (a, b) in enumerate(pairs):
+        if i not in shared:
+            jobs.append(([i], df.where(F.col(a).isNotNull() & F.col(b).isNotNull())))
     out = None
-    for a, b in pairs:
-        both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(key).isNotNull())
-        joint = both.groupBy(key, F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y")).agg(
-            F.count(F.lit(1)).alias("_n")
-        )
-        r = column_ranks(both, [a, b], [key])
-        for col, v, name in ((a, "_x", "_rx"), (b, "_y", "_ry")):
-            ranks = r.where(F.col("column") == col).select(key, F.col("value").alias(v), F.col("avg_rank").alias(name))
-            joint = lookup_join(joint, ranks, [key, v], "inner", max_bytes=0, hot_rows=hot_rows)
-        one = weighted_corr(joint, [key], "_rx", "_ry", "_n", f"spearman__{a}__{b}")
+    for idx, rows in jobs:
+        used = list(dict.fromkeys(c for i in idx for c in pairs[i]))
+        ranked = row_ranks(rows.where(F.col(key).isNotNull()), used, [key])
+        aggs = []
+        for i in idx:
+            a, b = (f"{c}__rank" for c in pairs[i])
+            rho = F.corr(a, b)
+            aggs += [F.when(~F.isnan(rho), rho).alias(f"rho_{i}"), F.count(a).alias(f"n_{i}")]
+        one = ranked.groupBy(key).agg(*aggs)
         out = one if out is None else out.join(one, key, "full")
     return out
 
 
-def weighted_corr(df: DataFrame, group: list[str], x: str, y: str, n: str, out: str) -> DataFrame:
-    """Pearson correlation of x and y where each row stands for ``n`` rows."""
-    x, y, n = F.col(x), F.col(y), F.col(n)
-    s = df.groupBy(*group).agg(
-        F.sum(n).alias("n"),
-        F.sum(n * x).alias("sx"),
-        F.sum(n * y).alias("sy"),
-        F.sum(n * x * x).alias("sxx"),
-        F.sum(n * y * y).alias("syy"),
-        F.sum(n * x * y).alias("sxy"),
-    )
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    return s.select(*group, F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias(out))
+def spearman_by_key(df: DataFrame, key: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``spearman__{a}__{b}`` per pair."""
+    wide = spearman_wide(df, key, pairs)
+    return wide.select(key, *[F.col(f"rho_{i}").alias(f"spearman__{a}__{b}") for i, (a, b) in enumerate(pairs)])
 
 
 def percentile_rank(df: DataFrame, col: str, out: str, **kw) -> DataFrame:

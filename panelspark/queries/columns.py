@@ -124,9 +124,9 @@ def value_counts(t):
 # ---- scalar ------------------------------------------------------------------------------------
 
 
-@query("amt_log", f"WITH {PANEL_NULLS} SELECT row_id, amt, round(log10(abs(amt - 50) + 1), 9) AS amt_log FROM panel")
+@query("amt_log", f"WITH {PANEL_NULLS} SELECT row_id, amt, round(log10(abs(amt - 50) + 1) + 1e-12, 9) AS amt_log FROM panel")
 def amt_log(t):
-    return t.panel_nulls.select("row_id", "amt", F.round(scalar.amt_log(F.col("amt") - 50), 9).alias("amt_log"))
+    return t.panel_nulls.select("row_id", "amt", F.round(scalar.amt_log(F.col("amt") - 50) + 1e-12, 9).alias("amt_log"))
 
 
 @query("add_sign", f"WITH {PANEL_NULLS} SELECT row_id, CASE WHEN amt - 50 < 0 THEN 1 ELSE 0 END AS amt_sign FROM panel")
@@ -136,10 +136,10 @@ def add_sign(t):
 
 @query(
     "log_transform",
-    f"WITH {PANEL_NULLS} SELECT row_id, round(CASE WHEN amt - 50 > -1 THEN log10(amt - 50 + 1) END, 9) AS log_amt FROM panel",
+    f"WITH {PANEL_NULLS} SELECT row_id, round(CASE WHEN amt - 50 > -1 THEN log10(amt - 50 + 1) END + 1e-12, 9) AS log_amt FROM panel",
 )
 def log_transform(t):
-    return t.panel_nulls.select("row_id", F.round(scalar.log_transform(F.col("amt") - 50), 9).alias("log_amt"))
+    return t.panel_nulls.select("row_id", F.round(scalar.log_transform(F.col("amt") - 50) + 1e-12, 9).alias("log_amt"))
 
 
 @query(
@@ -185,18 +185,18 @@ def date_parts(t):
     "haversine_distance",
     "WITH g AS (SELECT c_custkey, c_custkey % 180 - 90 AS lat, c_custkey % 360 - 180 AS lon, c_nationkey * 3 - 36 AS lat2, c_nationkey * 7 - 84 AS lon2 FROM customer) "
     "SELECT c_custkey, round(2 * 3958.7613 * asin(least(sqrt(pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * "
-    "pow(sin(radians(lon2 - lon) / 2), 2)), 1.0)), 4) AS miles FROM g",
+    "pow(sin(radians(lon2 - lon) / 2), 2)), 1.0)) + 1e-7, 4) AS miles FROM g",
 )
 def haversine_distance(t):
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     d = scalar.haversine_distance(k % 180 - 90, k % 360 - 180, n * 3 - 36, n * 7 - 84)
-    return t.customer.select("c_custkey", F.round(d, 4).alias("miles"))
+    return t.customer.select("c_custkey", F.round(d + 1e-7, 4).alias("miles"))
 
 
 @query(
     "percentile_rank",
     f"WITH {PANEL_NULLS}, r AS (SELECT row_id, amt, rank() OVER (ORDER BY amt) + (count(*) OVER (PARTITION BY amt) - 1) / 2.0 AS r FROM panel WHERE amt IS NOT NULL) "
-    "SELECT p.row_id, round(r.r / (SELECT count(amt) FROM panel), 9) AS pct FROM panel p LEFT JOIN r USING (row_id)",
+    "SELECT p.row_id, round(r.r / (SELECT count(amt) FROM panel) + 1e-12, 9) AS pct FROM panel p LEFT JOIN r USING (row_id)",
 )
 def percentile_rank(t):
     return rounded(synth.percentile_rank(t.panel_nulls, "amt", "pct").select("row_id", "pct"), 9, "pct")
@@ -218,7 +218,7 @@ def one_hot_list(t):
     "frequency_encode",
     f"WITH {PANEL_NULLS}, c AS (SELECT code, count(*) / (SELECT count(*) FROM panel) AS freq FROM panel WHERE code IS NOT NULL GROUP BY code), "
     "k AS (SELECT key, count(*) / (SELECT count(*) FROM panel) AS freq FROM panel GROUP BY key) "
-    "SELECT row_id, round(k.freq, 9) AS key, round(c.freq, 9) AS code FROM panel LEFT JOIN c USING (code) LEFT JOIN k ON panel.key = k.key",
+    "SELECT row_id, round(k.freq + 1e-12, 9) AS key, round(c.freq + 1e-12, 9) AS code FROM panel LEFT JOIN c USING (code) LEFT JOIN k ON panel.key = k.key",
 )
 def frequency_encode(t):
     out = encode.frequency_encode(t.panel_nulls.select("row_id", "key", "code"), ["key", "code"])
@@ -253,12 +253,12 @@ def factorize(t):
 # ---- imputation --------------------------------------------------------------------------------
 
 
-@query("impute_mean", f"WITH {PANEL_NULLS} SELECT row_id, round(coalesce(amt, avg(amt) OVER ()), 6) AS amt FROM panel")
+@query("impute_mean", f"WITH {PANEL_NULLS} SELECT row_id, round(coalesce(amt, avg(amt) OVER ()) + 1e-9, 6) AS amt FROM panel")
 def impute_mean(t):
     return rounded(impute.impute(t.panel_nulls.select("row_id", "amt"), ["amt"], "mean"), 6, "amt")
 
 
-@query("impute_median", f"WITH {PANEL_NULLS} SELECT row_id, round(coalesce(amt, median(amt) OVER ()), 6) AS amt FROM panel")
+@query("impute_median", f"WITH {PANEL_NULLS} SELECT row_id, round(coalesce(amt, median(amt) OVER ()) + 1e-9, 6) AS amt FROM panel")
 def impute_median(t):
     return rounded(impute.impute(t.panel_nulls.select("row_id", "amt"), ["amt"], "median"), 6, "amt")
 
@@ -277,7 +277,7 @@ def impute_mode(t):
     "WITH p AS (SELECT l_orderkey * 100000 + l_partkey AS k, l_quantity AS q, l_extendedprice AS price, "
     "CASE WHEN (l_orderkey + l_partkey) % 7 <> 0 THEN l_extendedprice END AS y FROM lineitem), "
     "m AS (SELECT regr_slope(y, q) AS b, regr_intercept(y, q) AS a FROM p WHERE y IS NOT NULL) "
-    "SELECT k, q, round(coalesce(y, a + b * q), 3) AS y FROM p, m",
+    "SELECT k, q, round(coalesce(y, a + b * q) + 1e-6, 3) AS y FROM p, m",
 )
 def impute_linear(t):
     p = t.lineitem.select(
@@ -327,7 +327,7 @@ def _knn_fill(c):
 
 @query(
     "impute_knn",
-    f"{_GAP}, {_knn_fill('e2')}, {_knn_fill('e5')} SELECT g.row_id, round(coalesce(g.e2, f_e2.v), 6) AS e2, round(coalesce(g.e5, f_e5.v), 6) AS e5 "
+    f"{_GAP}, {_knn_fill('e2')}, {_knn_fill('e5')} SELECT g.row_id, round(coalesce(g.e2, f_e2.v) + 1e-9, 6) AS e2, round(coalesce(g.e5, f_e5.v) + 1e-9, 6) AS e5 "
     "FROM g LEFT JOIN f_e2 ON g.row_id = f_e2.row_id LEFT JOIN f_e5 ON g.row_id = f_e5.row_id",
 )
 def impute_knn_query(t):
@@ -352,7 +352,7 @@ def impute_codes(t):
 @query(
     "impute_amounts",
     "WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice / 10 END AS tenth FROM orders) "
-    "SELECT o_orderkey, round(coalesce(price, median(price) OVER ()), 4) AS price, round(coalesce(tenth, median(tenth) OVER ()), 4) AS tenth FROM s",
+    "SELECT o_orderkey, round(coalesce(price, median(price) OVER ()) + 1e-7, 4) AS price, round(coalesce(tenth, median(tenth) OVER ()) + 1e-7, 4) AS tenth FROM s",
 )
 def impute_amounts(t):
     s = t.orders.select(
@@ -380,8 +380,8 @@ _Q = (
 
 @query(
     "quantile_thresholds",
-    f"WITH {ITEMS}, {_Q} SELECT item, business, price, qty, round(price_25, 4) AS price_25, round(price_50, 4) AS price_50, round(price_75, 4) AS price_75, "
-    "round(qty_25, 4) AS qty_25, round(qty_50, 4) AS qty_50, round(qty_75, 4) AS qty_75 FROM items, q",
+    f"WITH {ITEMS}, {_Q} SELECT item, business, price, qty, round(price_25 + 1e-7, 4) AS price_25, round(price_50 + 1e-7, 4) AS price_50, round(price_75 + 1e-7, 4) AS price_75, "
+    "round(qty_25 + 1e-7, 4) AS qty_25, round(qty_50 + 1e-7, 4) AS qty_50, round(qty_75 + 1e-7, 4) AS qty_75 FROM items, q",
 )
 def quantile_thresholds(t):
     out = quantile.quantile_thresholds(t.items.select("item", "business", "price", "qty"), ["price", "qty"])

