@@ -14,6 +14,7 @@ from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.operators.encode import ordinal_first_seen
 from panelspark.operators.evaluate import balanced_class_weights
 from panelspark.operators.joins import lookup_join
 from panelspark.operators.stats import cells
@@ -180,6 +181,24 @@ def boosting_importance_rank(
     return _ranked(df, cols, _fit_importances(model, weighted_matrix(df, cols, label, 1.0)))
 
 
+def importance_report(
+    df: DataFrame, continuous: list[str], codes: list[str], label: str, row_id: str, trees: int = TREES
+) -> DataFrame:
+    """(kind, model, position, feature, importance): forest and boosting on continuous, then on code columns.
+
+    Codes are mode-filled and numbered by first appearance.
+    """
+    coded = df
+    for c in codes:
+        coded = ordinal_first_seen(coded, c, row_id).drop(c).withColumnRenamed(f"{c}_code", c)
+    outs = []
+    for kind, cols, rows in (("continuous", continuous, df), ("code", codes, materialize(coded, "codes"))):
+        for name, rank in (("forest", forest_importance_rank), ("boosting", boosting_importance_rank)):
+            out = rank(rows, cols, label, trees)
+            outs.append(out.select(F.lit(kind).alias("kind"), F.lit(name).alias("model"), "*"))
+    return reduce(DataFrame.unionByName, outs)
+
+
 def xgb_importance_rank(df: DataFrame, cols: list[str], label: str, trees: int = 100) -> DataFrame:
     """Rate 1.2 is beyond what the library allows, so 1.0 is used."""
     return boosting_importance_rank(df, cols, label, trees, rate=1.0)

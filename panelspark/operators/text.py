@@ -64,6 +64,16 @@ def lda_load(path: str):
     return CountVectorizerModel.load(f"{path}/vocabulary"), LocalLDAModel.load(f"{path}/topics")
 
 
+def topic_words(bow, model, n: int = 10) -> DataFrame:
+    """(topic, place, word, weight): the n heaviest words of each topic."""
+    top = model.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("place", "z"))
+    used = {i for row in model.describeTopics(n).select("termIndices").collect() for i in row[0]}
+    words = top.sparkSession.createDataFrame([(i, bow.vocabulary[i]) for i in sorted(used)], "_i int, word string")
+    return top.join(F.broadcast(words), F.col("z.termIndices") == F.col("_i")).select(
+        "topic", "place", "word", F.col("z.termWeights").alias("weight")
+    )
+
+
 def spread_missing(topics: Column, floor: float = TOPIC_FLOOR) -> Column:
     """Topics below the floor share the mass the others leave, equally."""
     kept = F.transform(topics, lambda p: F.when(p >= floor, p).otherwise(F.lit(0.0)))

@@ -1 +1,254 @@
-"""Placeholder."""
+"""Feature selection, text vectors and model evaluation."""
+
+from __future__ import annotations
+
+
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from panelspark.operators import evaluate, models, scale, select, text
+from panelspark.queries.base import MATRIX, PANEL_LABEL, SCORED, TEXTS, query, rounded
+
+E8 = [f"e{i}" for i in range(8)]
+
+
+def _labelled(t) -> DataFrame:
+    return t.matrix.withColumn("y", (F.col("label") == 0).cast("int"))
+
+
+_CORR = "s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(coalesce(corr({c}, (label = 0)::INT), 0)) AS score FROM matrix" for c in E8) + ")"
+_ANOVA = (
+    "per AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, label, count(*)::DOUBLE AS n, avg({c}) AS m, var_pop({c}) AS v FROM matrix GROUP BY label" for c in E8) + "), "
+    "tot AS (SELECT feature, sum(n) AS tn, sum(n * m) / sum(n) AS grand, sum(n * v) AS within, count(*) AS k FROM per GROUP BY feature), "
+    "s AS (SELECT feature, (sum(n * pow(m - grand, 2)) / (any_value(k) - 1)) / (any_value(within) / (any_value(tn) - any_value(k))) AS score FROM per JOIN tot USING (feature) GROUP BY feature)"
+)
+
+
+def _top_sql(selector: str, k: int, digits: int) -> str:
+    return (
+        f"SELECT feature, '{selector}' AS selector, row_number() OVER (ORDER BY score DESC, feature) <= {k} AS picked, "
+        f"round(score + 1e-{digits + 3}, {digits}) AS score FROM s"
+    )
+
+
+@query("select_correlation", f"WITH {MATRIX}, {_CORR} {_top_sql('Pearson', 3, 8)}")
+def select_correlation(t):
+    return rounded(select.select_correlation(_labelled(t), E8, "y", 3), 8, "score")
+
+
+@query("select_anova_f", f"WITH {MATRIX}, {_ANOVA} {_top_sql('Chi-2', 3, 6)}")
+def select_anova_f(t):
+    return rounded(select.select_anova_f(t.matrix, E8, "label", 3), 6, "score")
+
+
+@query("select_logistic")
+def select_logistic(t):
+    return rounded(select.select_logistic(_labelled(t), E8, "y"), 4, "score")
+
+
+@query("select_rfe")
+def select_rfe(t):
+    return select.select_rfe(_labelled(t), E8, "y", keep=3, step=2)
+
+
+@query("select_forest")
+def select_forest(t):
+    return rounded(select.select_forest(_labelled(t), E8, "y", trees=20), 6, "score")
+
+
+@query("select_boosting")
+def select_boosting(t):
+    return rounded(select.select_boosting(_labelled(t), E8, "y", trees=5), 6, "score")
+
+
+_VOTES = (("Pearson", 5), ("Logistic", 4), ("Random Forest", 3), ("Recursive", 6), ("LightGBM", 2))
+
+
+@query(
+    "vote_features",
+    f"WITH {MATRIX}, {_CORR}, c AS (SELECT feature, row_number() OVER (ORDER BY score DESC, feature) AS rk FROM s), "
+    + _ANOVA.replace("s AS (SELECT", "f AS (SELECT") + ", a AS (SELECT feature, row_number() OVER (ORDER BY score DESC, feature) AS rk FROM f), "
+    "v AS (SELECT c.feature, " + ", ".join(f"(c.rk <= {k})::INT AS \"{n}\"" for n, k in _VOTES) + ", (a.rk <= 4)::INT AS \"Chi-2\" FROM c JOIN a USING (feature)) "
+    "SELECT *, (\"Pearson\" + \"Chi-2\" + \"Logistic\" + \"Random Forest\" + \"Recursive\" + \"LightGBM\")::BIGINT AS total, "
+    "\"Pearson\" + \"Chi-2\" + \"Logistic\" + \"Random Forest\" + \"Recursive\" + \"LightGBM\" >= 5 AS chosen FROM v",
+)
+def vote_features(t):
+    df = _labelled(t)
+    votes = [select.select_correlation(df, E8, "y", k).withColumn("selector", F.lit(n)) for n, k in _VOTES]
+    votes.append(select.select_anova_f(t.matrix, E8, "label", 4))
+    return select.vote_features(votes)
+
+
+def _numeric_panel(t) -> DataFrame:
+    return t.panel_label.select(F.col("amt"), F.hour("t").alias("hour"), F.weekday("t").alias("weekday"), F.col("key").cast("int").alias("key"), "f")
+
+
+_COLS = ["amt", "hour", "weekday", "key"]
+
+
+@query("feature_importance_rank")
+def feature_importance_rank(t):
+    df = t.orders_panel.select(
+        "row_id", F.col("amt"), F.month("t").alias("month"), F.weekday("t").alias("weekday"), F.col("priority"),
+        F.when(F.col("row_id") % 11 != 0, F.year("t").cast("string")).alias("year"), (F.col("status") == "F").cast("int").alias("f"),
+    )
+    out = select.importance_report(df, ["amt", "month", "weekday"], ["priority", "year"], "f", "row_id", trees=5)
+    return rounded(out, 6, "importance")
+
+
+@query("boosting_importance_rank")
+def boosting_importance_rank(t):
+    return rounded(select.boosting_importance_rank(_numeric_panel(t), _COLS, "f", trees=5), 6, "importance")
+
+
+@query("xgb_importance_rank")
+def xgb_importance_rank(t):
+    return rounded(select.xgb_importance_rank(_numeric_panel(t), _COLS, "f", trees=5), 6, "importance")
+
+
+@query("adaboost_importance_rank")
+def adaboost_importance_rank(t):
+    return rounded(select.adaboost_importance_rank(_labelled(t), E8, "y", rounds=5), 6, "importance")
+
+
+# ---- text --------------------------------------------------------------------------------------
+
+_TOK = (
+    f"{TEXTS}, raw AS (SELECT row_id, regexp_extract_all(lower(coalesce(text, 'Not exist')), '[\\p{{L}}\\p{{N}}]+') AS k FROM texts), "
+    "tok AS (SELECT row_id, CASE WHEN len(k) > 0 THEN k ELSE ['not', 'exist'] END AS k FROM raw)"
+)
+
+
+@query("tokenize_columns", f"WITH {_TOK} SELECT row_id, array_to_string(k, ' ') AS tokens, len(k)::INT AS n FROM tok")
+def tokenize_columns(t):
+    out = text.tokenize_columns(t.texts, ["text"])
+    return out.select("row_id", F.array_join("text_tokens", " ").alias("tokens"), F.size("text_tokens").alias("n"))
+
+
+@query(
+    "hashed_bow",
+    f"WITH {_TOK}, w AS (SELECT row_id, unnest(k) AS w FROM tok), c AS (SELECT row_id, w, count(*) AS c FROM w GROUP BY row_id, w), "
+    "b AS (SELECT w, hex(w) AS h FROM (SELECT DISTINCT w FROM c)), "
+    "d AS (SELECT w, list_transform(range(len(h) // 2), lambda i : ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT) AS v FROM b), "
+    "a AS (SELECT w, (((len(v) + list_sum(list_transform(range(len(v)), lambda i : (len(v) - i) * v[i + 1]))) % 65521) * 65536 + (1 + list_sum(v)) % 65521) % 32000 AS token_id FROM d) "
+    "SELECT row_id, token_id::INT AS token_id, sum(c)::BIGINT AS cnt FROM c JOIN a USING (w) GROUP BY row_id, token_id",
+)
+def hashed_bow(t):
+    return text.hashed_bow(text.tokenize_columns(t.texts, ["text"]), "row_id", "text_tokens")
+
+
+def _lda(t, df):
+    return text.lda_fit(df, "text_tokens", 4, t.scratch("lda"), max_iter=3)
+
+
+@query("lda_fit")
+def lda_fit(t):
+    df = text.tokenize_columns(t.texts, ["text"])
+    path = t.scratch("lda")
+    text.lda_fit(df, "text_tokens", 4, path, max_iter=3)
+    bow, model = text.lda_load(path)
+    return text.topic_words(bow, model, 10).withColumn("weight", F.round("weight", 6))
+
+
+@query("lda_vectors", f"WITH {TEXTS} SELECT row_id, 4 AS n_topics, 1.0::DOUBLE AS mass, true AS positive FROM texts")
+def lda_vectors(t):
+    df = text.tokenize_columns(t.texts, ["text"])
+    out = text.lda_vectors(df, "text_tokens", _lda(t, df), "vec")
+    return out.select(
+        "row_id", F.size("vec").alias("n_topics"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("mass"),
+        F.forall("vec", lambda x: x > 0).alias("positive"),
+    )
+
+
+@query("doc_embedding")
+def doc_embedding(t):
+    df = text.tokenize_columns(t.texts, ["text"])
+    return text.doc_embedding(df, "text_tokens", "vec", 4).select("row_id", *[F.round(F.col("vec")[i], 5).alias(f"v{i}") for i in range(4)])
+
+
+@query("spread_vectors", "SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS emb_{i}" for i in range(64)) + " FROM embeddings")
+def spread_vectors(t):
+    return text.spread_vectors(t.embeddings, "embedding", "emb", 64)
+
+
+@query("text_features", f"WITH {TEXTS} SELECT row_id, 1.0::DOUBLE AS mass FROM texts")
+def text_features(t):
+    out = text.text_features(t.texts, ["text"], "lda", 4, t.scratch("lda"))
+    return out.select("row_id", F.round(sum(F.col(f"text_{i}") for i in range(4)), 6).alias("mass"))
+
+
+# ---- evaluation --------------------------------------------------------------------------------
+
+_CM = (
+    "count(*) FILTER (f = 1 AND score >= 0.5) AS tp, count(*) FILTER (f = 1 AND score < 0.5) AS fn, "
+    "count(*) FILTER (f = 0 AND score >= 0.5) AS fp, count(*) FILTER (f = 0 AND score < 0.5) AS tn"
+)
+_PR = (
+    "round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END + 1e-12, 9) AS recall, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END + 1e-12, 9) AS precision"
+)
+
+
+@query("confusion_counts", f"WITH {SCORED} SELECT {_CM} FROM scored")
+def confusion_counts(t):
+    return evaluate.confusion_counts(t.scored, "f", "score")
+
+
+@query(
+    "binary_metrics",
+    f"WITH {SCORED}, c AS (SELECT {_CM} FROM scored) SELECT *, {_PR}, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END + 1e-12, 9) AS f1 FROM c",
+)
+def binary_metrics(t):
+    return rounded(evaluate.binary_metrics(t.scored, "f", "score"), 9, "recall", "precision", "f1")
+
+
+@query("threshold_eval_log", f"WITH {SCORED}, c AS (SELECT round, {_CM} FROM scored GROUP BY round) SELECT round, {_PR} FROM c")
+def threshold_eval_log(t):
+    return rounded(evaluate.threshold_eval_log(t.scored, "f", "score", "round"), 9, "recall", "precision")
+
+
+@query(
+    "auc",
+    f"WITH {SCORED}, r AS (SELECT f, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM scored), "
+    "s AS (SELECT count(*) FILTER (f = 1)::DOUBLE AS p, count(*) FILTER (f = 0)::DOUBLE AS q, sum(r) FILTER (f = 1) AS rs FROM r) "
+    "SELECT round((rs - p * (p + 1) / 2) / (p * q) + 1e-12, 9) AS auc FROM s",
+)
+def auc(t):
+    return rounded(evaluate.auc(t.scored, "f", "score"), 9, "auc")
+
+
+@query(
+    "focal_loss_metric",
+    f"WITH {SCORED}, l AS (SELECT greatest(CASE WHEN f = 0 THEN 4 * pow(1 - (1 - score + 1e-9), 2) * -ln(1 - score + 1e-9) ELSE 0 END, "
+    "CASE WHEN f = 1 THEN 4 * pow(1 - (score + 1e-9), 2) * -ln(score + 1e-9) ELSE 0 END) AS x FROM scored) SELECT round(avg(x) + 1e-11, 8) AS focal_loss FROM l",
+)
+def focal_loss_metric(t):
+    df = t.scored.select("f", (1 - F.col("score")).alias("p0"), F.col("score").alias("p1"))
+    return rounded(evaluate.focal_loss(df, "f", ["p0", "p1"]), 8, "focal_loss")
+
+
+@query(
+    "balanced_class_weights",
+    f"WITH {PANEL_LABEL} SELECT target, round((SELECT count(*) FROM panel) / ((SELECT count(DISTINCT target) FROM panel) * count(*)) + 1e-12, 9) AS weight FROM panel GROUP BY target",
+)
+def balanced_class_weights(t):
+    return rounded(evaluate.balanced_class_weights(t.panel_label, "target"), 9, "weight")
+
+
+def _net(t):
+    df = scale.scale(_labelled(t), E8, "minmax")
+    return df, models.fit_mlp(df, E8, "y", max_iter=15)
+
+
+@query("fit_mlp")
+def fit_mlp(t):
+    df, net = _net(t)
+    return models.score_table(net, df, E8).select("row_id", F.round("score", 4).alias("score"), "predicted")
+
+
+@query("score_table", "SELECT count(*) AS n_rows, count(*) AS n_valid, count(DISTINCT vec_id) AS n_ids FROM embeddings")
+def score_table(t):
+    df, net = _net(t)
+    out = models.score_table(net, df, E8)
+    ok = F.col("score").between(0, 1) & F.col("predicted").isin(0, 1)
+    return out.agg(F.count("*").alias("n_rows"), F.count_if(ok).alias("n_valid"), F.countDistinct("row_id").alias("n_ids"))

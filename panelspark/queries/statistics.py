@@ -1 +1,253 @@
-"""Placeholder."""
+"""Hypothesis tests."""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from panelspark.operators import stats
+from panelspark.queries.base import STAT, query, rounded
+
+AMOUNTS = ["x1", "x2"]
+PAIRED = ["x1", "x2", "x3"]
+CODED = ["x2", "x3", "x4", "x5"]
+
+
+def _each(cols, body: str) -> str:
+    """UNION ALL of ``body`` with {c} replaced by each column."""
+    return " UNION ALL ".join(body.replace("{c}", c) for c in cols)
+
+
+def _each_pair(cols, body: str) -> str:
+    return " UNION ALL ".join(body.replace("{a}", a).replace("{b}", b) for a, b in combinations(cols, 2))
+
+
+@query("test_shapiro")
+def test_shapiro(t):
+    # per weekday, so that groups stay below the size rule
+    df = t.stat.withColumn("g", F.col("x3") * 24 + F.col("x2"))
+    return rounded(stats.test_shapiro(df, ["x1"], "g"), 6, "statistic", "p_value")
+
+
+@query("test_ks_normal")
+def test_ks_normal(t):
+    return rounded(stats.test_ks_normal(t.stat, AMOUNTS, "f", at_least=1), 6, "statistic", "p_value")
+
+
+_DAG = (
+    "m AS (" + _each(AMOUNTS, "SELECT '{c}' AS \"column\", f, count({c})::DOUBLE AS n, skewness({c}) AS sk, kurtosis_pop({c}) AS g2 FROM stat GROUP BY f") + "), "
+    "a AS (SELECT *, sk * (n - 2) / sqrt(n * (n - 1)) AS g1 FROM m), "
+    "s AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS b2, "
+    "(g2 + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x, "
+    "6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS rb FROM a), "
+    "w AS (SELECT *, sqrt(2 * (b2 - 1)) - 1 AS w2, 6 + 8 / rb * (2 / rb + sqrt(1 + 4 / (rb * rb))) AS aa FROM s), "
+    "z AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS zs, 1 + x * sqrt(2 / (aa - 4)) AS den FROM w), "
+    "k AS (SELECT *, (1 - 2 / (9 * aa) - sign(den) * pow((1 - 2 / aa) / abs(den), 1 / 3.0)) / sqrt(2 / (9 * aa)) AS zk FROM z)"
+)
+
+
+@query(
+    "test_dagostino",
+    f"WITH {STAT}, {_DAG} SELECT \"column\", f, round(zs + 1e-7, 4) AS z_skew, round(zk + 1e-7, 4) AS z_kurt, round(zs * zs + zk * zk + 1e-6, 3) AS statistic, "
+    "round(exp(-(zs * zs + zk * zk) / 2) + 1e-9, 6) AS p_value FROM k",
+)
+def test_dagostino(t):
+    out = stats.test_dagostino(t.stat, AMOUNTS, "f")
+    return rounded(rounded(rounded(out, 4, "z_skew", "z_kurt"), 3, "statistic"), 6, "p_value")
+
+
+@query("test_anderson")
+def test_anderson(t):
+    return rounded(stats.test_anderson(t.stat, AMOUNTS, "f"), 4, "statistic")
+
+
+@query(
+    "test_pearson",
+    f"WITH {STAT} " + _each_pair(PAIRED, "SELECT '{a}' AS \"column\", '{b}' AS column2, f, round(corr({a}, {b}) + 1e-11, 8) AS statistic, count(*) AS n FROM stat GROUP BY f"),
+)
+def test_pearson(t):
+    return rounded(stats.test_pearson(t.stat, PAIRED, "f").drop("p_value"), 8, "statistic")
+
+
+@query(
+    "test_chi2",
+    f"WITH {STAT}, "
+    + "o AS (" + _each_pair(CODED, "SELECT '{a}' AS \"column\", '{b}' AS column2, f, {a}::INT AS a, {b}::INT AS b, count(*) AS o FROM stat GROUP BY f, {a}, {b}") + "), "
+    "r AS (SELECT \"column\", column2, f, a, sum(o) AS r FROM o GROUP BY ALL), c AS (SELECT \"column\", column2, f, b, sum(o) AS c FROM o GROUP BY ALL), "
+    "n AS (SELECT \"column\", column2, f, sum(o) AS n FROM o GROUP BY ALL), "
+    "g AS (SELECT r.*, c.b, c.c, n.n, r.r * c.c / n.n AS e, coalesce(o.o, 0) AS o FROM r JOIN c USING (\"column\", column2, f) JOIN n USING (\"column\", column2, f) "
+    "LEFT JOIN o ON o.\"column\" = r.\"column\" AND o.column2 = r.column2 AND o.f = r.f AND o.a = r.a AND o.b = c.b), "
+    "d AS (SELECT \"column\", column2, f, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof, sum((o - e) * (o - e) / e) AS x, "
+    "sum(pow(greatest(abs(o - e) - least(0.5, abs(o - e)), 0), 2) / e) AS y FROM g GROUP BY ALL) "
+    "SELECT \"column\", column2, f, round(CASE WHEN dof = 1 THEN y ELSE x END + 1e-9, 6) AS statistic, dof FROM d",
+)
+def test_chi2(t):
+    return rounded(stats.test_chi2(t.stat, CODED, "f").drop("p_value"), 6, "statistic")
+
+
+def _avg_rank(part: str, c: str) -> str:
+    p = f"PARTITION BY {part} " if part else ""
+    q = f"{part}, " if part else ""
+    return f"rank() OVER ({p}ORDER BY {c}) + (count(*) OVER (PARTITION BY {q}{c}) - 1) / 2.0"
+
+
+@query(
+    "test_spearman",
+    f"WITH {STAT}, r AS (SELECT f, " + ", ".join(f"{_avg_rank('f', c)} AS {c}" for c in PAIRED) + " FROM stat) "
+    + _each_pair(PAIRED, "SELECT '{a}' AS \"column\", '{b}' AS column2, f, round(corr({a}, {b}) + 1e-11, 8) AS statistic, count(*) AS n FROM r GROUP BY f"),
+)
+def test_spearman(t):
+    return rounded(stats.test_spearman(t.stat, PAIRED, "f").drop("p_value"), 8, "statistic")
+
+
+_SIGNS = [
+    f"sum(CASE WHEN (p.{a} - q.{a}) * (p.{b} - q.{b}) {op} 0 THEN 1 ELSE 0 END) AS {tag}_{a}_{b}"
+    for a, b in combinations(PAIRED, 2)
+    for op, tag in ((">", "con"), ("<", "dis"))
+] + [f"sum(CASE WHEN p.{c} = q.{c} THEN 1 ELSE 0 END) AS tie_{c}" for c in PAIRED]
+
+
+@query(
+    "test_kendall",
+    f"WITH {STAT}, s AS (SELECT p.f, count(*) AS pairs, {', '.join(_SIGNS)} FROM stat p JOIN stat q ON p.f = q.f AND p.row_id < q.row_id GROUP BY p.f) "
+    + _each_pair(
+        PAIRED,
+        "SELECT '{a}' AS \"column\", '{b}' AS column2, f, con_{a}_{b}::DOUBLE AS con, dis_{a}_{b}::DOUBLE AS dis, "
+        "round((con_{a}_{b} - dis_{a}_{b}) / sqrt((pairs - tie_{a})::DOUBLE * (pairs - tie_{b})) + 1e-11, 8) AS statistic FROM s",
+    ),
+)
+def test_kendall(t):
+    return rounded(stats.test_kendall(t.stat, PAIRED, "f").drop("p_value", "z"), 8, "statistic")
+
+
+@query(
+    "label_pearson",
+    f"WITH {STAT} " + _each(PAIRED, "SELECT '{c}' AS \"column\", round(corr({c}, f) + 1e-11, 8) AS statistic, count(*) AS n FROM stat"),
+)
+def label_pearson(t):
+    return rounded(stats.label_pearson(t.stat, PAIRED, "f").drop("p_value"), 8, "statistic")
+
+
+@query(
+    "label_spearman",
+    f"WITH {STAT}, r AS (SELECT " + ", ".join(f"{_avg_rank('', c)} AS {c}" for c in [*PAIRED, "f"]) + " FROM stat) "
+    + _each(PAIRED, "SELECT '{c}' AS \"column\", round(corr({c}, f) + 1e-11, 8) AS statistic, count(*)::DOUBLE AS n FROM r"),
+)
+def label_spearman(t):
+    return rounded(stats.label_spearman(t.stat, PAIRED, "f").drop("p_value"), 8, "statistic")
+
+
+@query(
+    "label_kendall",
+    f"WITH {STAT}, s AS (SELECT "
+    + ", ".join(f"sum(sign(p.{c} - q.{c})) AS s_{c}" for c in PAIRED)
+    + " FROM stat p JOIN stat q ON p.f = 1 AND q.f = 0), "
+    "n AS (SELECT count(*)::DOUBLE AS n, sum(f)::DOUBLE AS n1 FROM stat), "
+    + ", ".join(f"t_{c} AS (SELECT sum(k * (k - 1) / 2) AS t FROM (SELECT count(*)::DOUBLE AS k FROM stat GROUP BY {c}))" for c in PAIRED)
+    + " " + _each(PAIRED, "SELECT '{c}' AS \"column\", round(s_{c} / sqrt((n * (n - 1) / 2 - t) * n1 * (n - n1)) + 1e-11, 8) AS statistic, n FROM s, n, t_{c}"),
+)
+def label_kendall(t):
+    return rounded(stats.label_kendall(t.stat, PAIRED, "f").drop("p_value", "z"), 8, "statistic")
+
+
+_F = (
+    "(n0 * pow(m0 - (n0 * m0 + n1 * m1) / (n0 + n1), 2) + n1 * pow(m1 - (n0 * m0 + n1 * m1) / (n0 + n1), 2)) / ((n0 * v0 + n1 * v1) / (n0 + n1 - 2))"
+)
+_GROUPS = (
+    "SELECT '{c}' AS \"column\", count(*) FILTER (f = 0)::DOUBLE AS n0, count(*) FILTER (f = 1)::DOUBLE AS n1, avg({c}) FILTER (f = 0) AS m0, avg({c}) FILTER (f = 1) AS m1, "
+    "var_pop({c}) FILTER (f = 0) AS v0, var_pop({c}) FILTER (f = 1) AS v1 FROM {src}"
+)
+
+
+def _groups(src: str) -> str:
+    return "g AS (" + _each(AMOUNTS, _GROUPS.replace("{src}", src)) + ")"
+
+
+_DEV = "dev AS (SELECT f, " + ", ".join(f"abs({c} - median({c}) OVER (PARTITION BY f)) AS {c}" for c in AMOUNTS) + " FROM stat)"
+
+
+@query("test_levene", f"WITH {STAT}, {_DEV}, {_groups('dev')} SELECT \"column\", round({_F} + 1e-9, 6) AS statistic FROM g")
+def test_levene(t):
+    return rounded(stats.test_levene(t.stat, AMOUNTS, "f").drop("p_value"), 6, "statistic")
+
+
+@query(
+    "test_ttest",
+    f"WITH {STAT}, {_groups('stat')}, s AS (SELECT *, v0 * n0 / (n0 - 1) AS s0, v1 * n1 / (n1 - 1) AS s1 FROM g) "
+    "SELECT \"column\", round((m1 - m0) / sqrt(((n0 - 1) * s0 + (n1 - 1) * s1) / (n0 + n1 - 2) * (1 / n0 + 1 / n1)) + 1e-9, 6) AS t_equal, n0 + n1 - 2 AS dof_equal, "
+    "round((m1 - m0) / sqrt(s0 / n0 + s1 / n1) + 1e-9, 6) AS t_welch, "
+    "round(pow(s0 / n0 + s1 / n1, 2) / (pow(s0 / n0, 2) / (n0 - 1) + pow(s1 / n1, 2) / (n1 - 1)) + 1e-7, 4) AS dof_welch FROM s",
+)
+def test_ttest(t):
+    out = stats.t_statistics(t.stat, AMOUNTS, "f")
+    return rounded(rounded(out, 6, "t_equal", "t_welch"), 4, "dof_welch")
+
+
+@query("test_anova", f"WITH {STAT}, {_groups('stat')} SELECT \"column\", round({_F} + 1e-9, 6) AS statistic FROM g")
+def test_anova(t):
+    return rounded(stats.test_anova(t.stat, AMOUNTS, "f").drop("p_value"), 6, "statistic")
+
+
+_RANKED = "r AS (SELECT f, " + ", ".join(f"{_avg_rank('', c)} AS r_{c}, {c}" for c in AMOUNTS) + " FROM stat)"
+_TIES = ", ".join(f"t_{c} AS (SELECT sum(k * k * k - k) AS t FROM (SELECT count(*)::DOUBLE AS k FROM stat GROUP BY {c}))" for c in AMOUNTS)
+_SUMS = "s_{c} AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (f = 1)::DOUBLE AS n1, count(*) FILTER (f = 0)::DOUBLE AS n0, sum(r_{c}) FILTER (f = 1) AS r1, sum(r_{c}) FILTER (f = 0) AS r0 FROM r)"
+_RANK_SUMS = ", ".join(_SUMS.replace("{c}", c) for c in AMOUNTS)
+
+
+@query(
+    "test_mannwhitney",
+    f"WITH {STAT}, {_RANKED}, {_TIES}, {_RANK_SUMS} "
+    + _each(
+        AMOUNTS,
+        "SELECT '{c}' AS \"column\", r1 - n1 * (n1 + 1) / 2 AS statistic, round((greatest(r1 - n1 * (n1 + 1) / 2, n0 * n1 - (r1 - n1 * (n1 + 1) / 2)) - n0 * n1 / 2 - 0.5) "
+        "/ sqrt(n0 * n1 / 12 * (n + 1 - t / (n * (n - 1)))) + 1e-9, 6) AS z FROM s_{c}, t_{c}",
+    ),
+)
+def test_mannwhitney(t):
+    return rounded(stats.test_mannwhitney(t.stat, AMOUNTS, "f").drop("p_value"), 6, "z")
+
+
+@query(
+    "test_kruskal",
+    f"WITH {STAT}, {_RANKED}, {_TIES}, {_RANK_SUMS} "
+    + _each(
+        AMOUNTS,
+        "SELECT '{c}' AS \"column\", round((12 / (n * (n + 1)) * (r0 * r0 / n0 + r1 * r1 / n1) - 3 * (n + 1)) / (1 - t / (n * n * n - n)) + 1e-9, 6) AS statistic FROM s_{c}, t_{c}",
+    ),
+)
+def test_kruskal(t):
+    return rounded(stats.test_kruskal(t.stat, AMOUNTS, "f").drop("p_value"), 6, "statistic")
+
+
+def _shape(df):
+    """Rows per test, and how many carry a verdict."""
+    return df.groupBy("test", "grp").agg(F.count("*").alias("n_rows"), F.count("verdict").alias("n_verdicts"))
+
+
+@query(
+    "normality_report",
+    f"WITH {STAT}, n AS (SELECT CASE f WHEN 1 THEN 'fraud' ELSE 'normal' END AS grp, count(*) AS n FROM stat GROUP BY f), "
+    "t AS (SELECT CASE WHEN n < 2000 THEN 'shapiro' ELSE 'ks' END AS test, grp FROM n UNION ALL SELECT 'dagostino', grp FROM n "
+    "UNION ALL SELECT 'anderson_' || l, grp FROM n, (SELECT unnest(['15.0', '10.0', '5.0', '2.5', '1.0']) AS l)) "
+    "SELECT test, grp, 2::BIGINT AS n_rows, 2::BIGINT AS n_verdicts FROM t",
+)
+def normality_report(t):
+    return _shape(stats.normality_report(t.stat, AMOUNTS, "f"))
+
+
+@query(
+    "correlation_report",
+    "SELECT test, grp, 3::BIGINT AS n_rows, 3::BIGINT AS n_verdicts FROM (SELECT unnest(['pearson', 'chi2', 'spearman', 'kendall']) AS test), (SELECT unnest(['fraud', 'normal']) AS grp) "
+    "UNION ALL SELECT unnest(['label_pearson', 'label_spearman', 'label_kendall']), 'all', 3, 3",
+)
+def correlation_report(t):
+    return _shape(stats.correlation_report(t.stat, PAIRED, "f"))
+
+
+@query(
+    "significance_report",
+    "SELECT unnest(['levene', 'ttest', 'anova', 'mannwhitney', 'kruskal']) AS test, 'all' AS grp, 2::BIGINT AS n_rows, 2::BIGINT AS n_verdicts",
+)
+def significance_report(t):
+    return _shape(stats.significance_report(t.stat, AMOUNTS, "f"))
