@@ -63,3 +63,11 @@ def micros(t: Column) -> Column:
 
 def null_if_nan(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation aggregate over rows where both are present; null when either is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)

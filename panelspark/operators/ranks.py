@@ -38,7 +38,8 @@ def add_buckets(df: DataFrame, cols: list[str], n: int | None = None, suffix: st
             out = out.withColumn(c + suffix, F.lit(0.0))
             continue
         tmp = c + "__d"
-        out = out.withColumn(tmp, F.col(c).cast("double"))
+        # adding zero turns -0.0 into 0.0, which the bucket search would tell apart
+        out = out.withColumn(tmp, F.col(c).cast("double") + F.lit(0.0))
         out = Bucketizer(
             splits=[-math.inf, *cuts, math.inf], inputCol=tmp, outputCol=c + suffix, handleInvalid="keep"
         ).transform(out)

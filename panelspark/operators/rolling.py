@@ -73,54 +73,50 @@ def _result(s: Spec, merged: dict[str, Column]) -> Column:
 
 def _by_key(df: DataFrame, key: str, specs: list[Spec], row_id: str) -> DataFrame:
     """Ordinary keys: one shuffle by key; every later window only re-sorts inside its partition."""
-    days = sorted({s.days for s in specs})
     inputs = {s.col for s in specs}
-    kept = [c for c in df.columns if c not in (key, "_us", row_id) and c not in inputs]
-    rows = df.repartition(key).withColumn("_kind", F.explode(F.array(*[F.lit(d) for d in [0, *days]])))
-    rows = rows.withColumn("_us", F.col("_us") + F.col("_kind").cast("long") * MICROS_PER_DAY)
-    rows = rows.withColumns({c: F.when(F.col("_kind") == 0, F.col(c)) for c in kept})
-    own = F.col("_kind") == 0
-    for d in days:
+    payload = [c for c in df.columns if c not in (key, "_us", row_id) and c not in inputs]
+    rows = df.repartition(key)
+    own, expiring = ~F.col("_exp"), F.col("_exp")
+    for d in sorted({s.days for s in specs}):
         mine = [s for s in specs if s.days == d]
-        expiring = F.col("_kind") == d
-        blk = f"_blk{d}"
-        rows = rows.withColumn(blk, F.floor(F.col("_us") / (d * MICROS_PER_DAY)).cast("long"))
-        block = Window.partitionBy(key, blk)
-        upto = block.orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
-        # in falling order, the frame holds the rows that expire strictly after t
-        after = block.orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_exp", F.explode(F.array(F.lit(False), F.lit(True))))
+        rows = rows.withColumns(
+            {"_us": F.when(expiring, F.col("_us") + d * MICROS_PER_DAY).otherwise(F.col("_us"))}
+            | {c: F.when(own, F.col(c)) for c in payload}
+        ).withColumn("_blk", F.floor(F.col("_us") / (d * MICROS_PER_DAY)).cast("long"))
         counted = [s.col for s in mine if s.func == "cnt"]
         for i, c in enumerate(counted):
-            # a value counts from its first row in the block on, and until its last expiry
-            same = Window.partitionBy(key, blk, c)
-            nth = same.orderBy("_kind", "_us", row_id)
+            # a value counts from its first row in the block on, and until its last expiry; own rows sort first
+            same = Window.partitionBy(key, "_blk", c).orderBy("_exp", "_us", row_id)
+            all_ = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             rows = rows.withColumns(
                 {
-                    "_f": F.min(F.when(own, F.col("_us"))).over(same),
-                    "_l": F.max(F.when(expiring, F.col("_us"))).over(same),
-                    "_rf": F.row_number().over(nth),
-                    "_rl": F.row_number().over(
-                        same.orderBy(F.when(expiring, 0).otherwise(1), F.desc("_us"), row_id)
-                    ),
+                    "_f": F.min(F.when(own, F.col("_us"))).over(all_),
+                    "_l": F.max(F.when(expiring, F.col("_us"))).over(all_),
+                    "_top": F.lag(F.lit(1)).over(same).isNull(),
+                    "_end": F.lead(F.lit(1)).over(same).isNull(),
                 }
             )
             known = F.col(c).isNotNull()
-            starts = known & own & (F.col("_rf") == 1)
-            ends = known & expiring & (F.col("_rl") == 1)
+            starts, ends = known & own & F.col("_top"), known & expiring & F.col("_end")
             apart = F.col("_l").isNull() | F.col("_f").isNull() | (F.col("_l") <= F.col("_f"))
             rows = rows.withColumns(
                 {f"_d{i}": F.when(starts & apart, 1).when(ends & apart, -1).otherwise(0), f"_o{i}": ends.cast("int")}
-            ).drop("_f", "_l", "_rf", "_rl")
+            ).drop("_f", "_l", "_top", "_end")
+        rising = Window.partitionBy(key, "_blk").orderBy("_us")
+        upto = rising.rangeBetween(Window.unboundedPreceding, 0)
+        block = rising.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        # in falling order, the frame holds the rows that expire strictly after t
+        after = Window.partitionBy(key, "_blk").orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, -1)
         pieces = _pieces(mine)
-        rows = rows.withColumns(
-            {f"_h_{p}": _agg(k, F.when(own, F.col(c))).over(upto) for p, (k, c) in pieces.items()}
-            | {f"_c_{i}": F.sum(f"_d{i}").over(upto) for i in range(len(counted))}
-        )
-        rows = rows.withColumns(
-            {f"_t_{p}": _agg(k, F.when(expiring, F.col(c))).over(after) for p, (k, c) in pieces.items()}
-        )
-        if counted:
-            rows = rows.withColumns({f"_b_{i}": F.sum(f"_o{i}").over(block) for i in range(len(counted))})
+        heads = {f"_h_{p}": _agg(k, F.when(own, F.col(c))).over(upto) for p, (k, c) in pieces.items()}
+        for i in range(len(counted)):
+            heads |= {f"_c_{i}": F.sum(f"_d{i}").over(upto), f"_b_{i}": F.sum(f"_o{i}").over(block)}
+        rows = rows.withColumns(heads)
+        if pieces:
+            rows = rows.withColumns(
+                {f"_t_{p}": _agg(k, F.when(expiring, F.col(c))).over(after) for p, (k, c) in pieces.items()}
+            )
         merged = {p: _merge(k, [F.col(f"_h_{p}"), F.col(f"_t_{p}")]) for p, (k, _) in pieces.items()}
         out = {}
         for s in mine:
@@ -129,12 +125,13 @@ def _by_key(df: DataFrame, key: str, specs: list[Spec], row_id: str) -> DataFram
                 out[s.name] = F.col(f"_b_{i}") + F.col(f"_c_{i}")
             else:
                 out[s.name] = _result(s, merged)
-        rows = rows.withColumns(out).drop(
-            blk,
+        rows = rows.where(own).withColumns(out).drop(
+            "_blk", "_exp",
             *[x + p for p in pieces for x in ("_h_", "_t_")],
             *[x + str(i) for i in range(len(counted)) for x in ("_d", "_o", "_c_", "_b_")],
         )
-    return rows.where(own).drop("_kind")
+        payload += list(out)
+    return rows
 
 
 def _short_blocks(days: int, blocks: int) -> tuple[int, int]:

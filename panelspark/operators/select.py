@@ -14,6 +14,7 @@ from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.functions.scalar import correlation
 from panelspark.operators.encode import ordinal_first_seen
 from panelspark.operators.evaluate import balanced_class_weights
 from panelspark.operators.joins import lookup_join
@@ -42,8 +43,7 @@ def _top(scores: DataFrame, selector: str, k: int) -> DataFrame:
 
 def correlation_scores(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     """|Pearson(x, y)| per feature; a constant column scores 0."""
-    y = F.col(label).cast("double")
-    one = df.agg(*[F.corr(F.col(c).cast("double"), y).alias(c) for c in cols])
+    one = df.agg(*[correlation(F.col(c), F.col(label)).alias(c) for c in cols])
     s = F.abs(F.col("score"))
     return _unpivot_row(one, cols).select(
         "feature", F.when(s.isNull() | F.isnan(s), F.lit(0.0)).otherwise(s).alias("score")
@@ -67,7 +67,7 @@ def anova_scores(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     between = per.join(tot, "column").groupBy("column").agg(
         F.sum(n * (m - F.col("grand")) * (m - F.col("grand"))).alias("between")
     )
-    f = (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("tn") - F.col("k")))
+    f = F.try_divide(F.col("between") * (F.col("tn") - F.col("k")), F.col("within") * (F.col("k") - 1))
     return whole.join(between, "column").select(F.col("column").alias("feature"), f.alias("score"))
 
 

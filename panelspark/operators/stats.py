@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import special
+from panelspark.functions.scalar import correlation
 from panelspark.operators.joins import attach_small
 from panelspark.operators.ranks import add_buckets, column_ranks, exact_quantiles, prefix_sums
 from panelspark.operators.synth import spearman_wide
@@ -107,7 +108,7 @@ def test_anderson(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     r = column_ranks(df, cols, [group])
     # every row is weighted by its count, so the moments come from the same counted table
     fit = cells(df, cols, [group]).groupBy("column", group).agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
-    z = attach_small(r, fit, ["column", group]).withColumn("_z", (F.col("value") - F.col("_m")) / F.col("_s"))
+    z = attach_small(r, fit, ["column", group]).withColumn("_z", F.try_divide(F.col("value") - F.col("_m"), F.col("_s")))
     z = z.withColumns({"_lo": special.normal_cdf_col(F.col("_z")), "_hi": special.normal_cdf_col(-F.col("_z"))})
     n, b, c = (F.col(x).cast(D) for x in ("total", "before", "cnt"))
     term = c * (2 * b + c) * F.log("_lo") + c * (2 * n - 2 * b - c) * F.log("_hi")
@@ -141,7 +142,7 @@ def test_pearson(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     aggs, parts = [], []
     for i, (a, b) in enumerate(_pairs(cols)):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        aggs += [F.corr(a, b).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
+        aggs += [correlation(F.col(a), F.col(b)).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
         parts.append(
             F.struct(F.lit(a).alias("column"), F.lit(b).alias("column2"), F.col(f"r{i}").alias("statistic"), F.col(f"n{i}").alias("n"))
         )
@@ -255,10 +256,11 @@ def _tau(s: Column, n: Column) -> dict[str, Column]:
     """tau-b, its normal score, and the p-value, from the tie sums in scope."""
     pairs = n * (n - 1) / 2
     xt, yt = F.col("x2"), F.col("y2")
-    tau = s / F.sqrt((pairs - xt) * (pairs - yt))
+    tau = F.try_divide(s, F.sqrt((pairs - xt) * (pairs - yt)))
     m = n * (n - 1)
-    var = (m * (2 * n + 5) - F.col("x1") - F.col("y1")) / 18 + 2 * xt * yt / m + F.col("x0") * F.col("y0") / (9 * m * (n - 2))
-    return {"statistic": tau, "z": s / F.sqrt(var)}
+    var = (m * (2 * n + 5) - F.col("x1") - F.col("y1")) / 18 + F.try_divide(2 * xt * yt, m)
+    var = var + F.coalesce(F.try_divide(F.col("x0") * F.col("y0"), 9 * m * (n - 2)), F.lit(0.0))
+    return {"statistic": tau, "z": F.try_divide(s, F.sqrt(var))}
 
 
 def test_kendall(df: DataFrame, cols: list[str], group: str) -> DataFrame:
@@ -278,9 +280,8 @@ def test_kendall(df: DataFrame, cols: list[str], group: str) -> DataFrame:
 
 
 def label_pearson(df: DataFrame, cols: list[str], label: str) -> DataFrame:
-    y = F.col(label).cast(D)
     one = df.agg(
-        *[F.corr(F.col(c).cast(D), y).alias(f"r__{c}") for c in cols], *[F.count(c).alias(f"n__{c}") for c in cols]
+        *[correlation(F.col(c), F.col(label)).alias(f"r__{c}") for c in cols], *[F.count(c).alias(f"n__{c}") for c in cols]
     )
     parts = [
         F.struct(F.lit(c).alias("column"), F.col(f"r__{c}").alias("statistic"), F.col(f"n__{c}").alias("n")) for c in cols
@@ -315,7 +316,7 @@ def label_spearman(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     cov = F.col("r1") - F.col("sr") * n1 / n
     vx = F.col("srr") - F.col("sr") * F.col("sr") / n
     vy = n1 - n1 * n1 / n
-    out = s.select("column", (cov / F.sqrt(vx * vy)).alias("statistic"), "n")
+    out = s.select("column", F.try_divide(cov, F.sqrt(vx * vy)).alias("statistic"), "n")
     return out.withColumn("p_value", _t_p(F.col("statistic"), F.col("n")))
 
 
@@ -349,10 +350,10 @@ def _two_groups(df: DataFrame, cols: list[str], label: str) -> DataFrame:
 
 def _f_two_groups() -> Column:
     n0, n1, m0, m1 = (F.col(k) for k in ("n0", "n1", "m0", "m1"))
-    grand = (n0 * m0 + n1 * m1) / (n0 + n1)
+    grand = F.try_divide(n0 * m0 + n1 * m1, n0 + n1)
     between = n0 * (m0 - grand) * (m0 - grand) + n1 * (m1 - grand) * (m1 - grand)
     within = n0 * F.col("v0") + n1 * F.col("v1")
-    return between / (within / (n0 + n1 - 2))
+    return F.try_divide(between * (n0 + n1 - 2), within)
 
 
 def test_anova(df: DataFrame, cols: list[str], label: str) -> DataFrame:
@@ -381,15 +382,16 @@ def t_statistics(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     """(column, t_equal, dof_equal, t_welch, dof_welch) of group 1 against group 0."""
     g = _two_groups(df, cols, label)
     n0, n1, m0, m1 = (F.col(k) for k in ("n0", "n1", "m0", "m1"))
-    s0, s1 = F.col("v0") * n0 / (n0 - 1), F.col("v1") * n1 / (n1 - 1)
-    pooled = ((n0 - 1) * s0 + (n1 - 1) * s1) / (n0 + n1 - 2)
-    e0, e1 = s0 / n0, s1 / n1
+    div = F.try_divide
+    s0, s1 = div(F.col("v0") * n0, n0 - 1), div(F.col("v1") * n1, n1 - 1)
+    pooled = div((n0 - 1) * s0 + (n1 - 1) * s1, n0 + n1 - 2)
+    e0, e1 = div(s0, n0), div(s1, n1)
     return g.select(
         "column",
-        ((m1 - m0) / F.sqrt(pooled * (1 / n0 + 1 / n1))).alias("t_equal"),
+        div(m1 - m0, F.sqrt(pooled * div(n0 + n1, n0 * n1))).alias("t_equal"),
         (n0 + n1 - 2).alias("dof_equal"),
-        ((m1 - m0) / F.sqrt(e0 + e1)).alias("t_welch"),
-        ((e0 + e1) * (e0 + e1) / (e0 * e0 / (n0 - 1) + e1 * e1 / (n1 - 1))).alias("dof_welch"),
+        div(m1 - m0, F.sqrt(e0 + e1)).alias("t_welch"),
+        div((e0 + e1) * (e0 + e1), div(e0 * e0, n0 - 1) + div(e1 * e1, n1 - 1)).alias("dof_welch"),
     )
 
 
@@ -407,8 +409,8 @@ def test_mannwhitney(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     """U of group 1; two-sided normal approximation with tie and continuity corrections."""
     s = label_rank_sums(df, cols, label)
     n, n0, n1, u1 = (F.col(k) for k in ("n", "n0", "n1", "u1"))
-    sd = F.sqrt(n0 * n1 / 12 * (n + 1 - F.col("t3") / (n * (n - 1))))
-    z = (F.greatest(u1, n0 * n1 - u1) - n0 * n1 / 2 - 0.5) / sd
+    sd = F.sqrt(n0 * n1 / 12 * (n + 1 - F.try_divide(F.col("t3"), n * (n - 1))))
+    z = F.try_divide(F.greatest(u1, n0 * n1 - u1) - n0 * n1 / 2 - 0.5, sd)
     out = s.withColumn("z", z)
     p = F.least(F.lit(1.0), special.normal_two_sided_col(F.greatest(F.col("z"), F.lit(0.0))))
     return out.select("column", u1.alias("statistic"), "z", p.alias("p_value"))
@@ -417,8 +419,9 @@ def test_mannwhitney(df: DataFrame, cols: list[str], label: str) -> DataFrame:
 def test_kruskal(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     s = label_rank_sums(df, cols, label)
     n, n0, n1 = F.col("n"), F.col("n0"), F.col("n1")
-    h = 12 / (n * (n + 1)) * (F.col("r0") * F.col("r0") / n0 + F.col("r1") * F.col("r1") / n1) - 3 * (n + 1)
-    h = h / (1 - F.col("t3") / (n * n * n - n))
+    div = F.try_divide
+    h = 12 / (n * (n + 1)) * (div(F.col("r0") * F.col("r0"), n0) + div(F.col("r1") * F.col("r1"), n1)) - 3 * (n + 1)
+    h = div(h, 1 - div(F.col("t3"), n * n * n - n))
     out = s.withColumn("statistic", h)
     return out.select("column", "statistic", special.chi2_sf_col(F.col("statistic"), F.lit(1.0)).alias("p_value"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.functions.scalar import date_parts
+from panelspark.functions.scalar import correlation, date_parts
 from panelspark.operators.joins import lookup_join
 from panelspark.operators.ranks import column_ranks, row_ranks
 from panelspark.roles import Roles
@@ -49,7 +49,7 @@ register_aggregate("sum", 1, F.sum)
 register_aggregate("std", 1, F.stddev_samp)
 register_aggregate("skew", 1, sample_skewness)
 register_aggregate("range", 1, lambda x: F.max(x) - F.min(x))
-register_aggregate("pearson", 2, F.corr)
+register_aggregate("pearson", 2, correlation)
 register_aggregate("spearman", 2, None)
 register_aggregate("percent_true", 1, lambda x: F.avg(x.cast("int")), "bool")
 register_aggregate("all", 1, F.bool_and, "bool")
@@ -120,8 +120,7 @@ def spearman_wide(df: DataFrame, key: str, pairs: list[tuple[str, str]]) -> Data
         aggs = []
         for i in idx:
             a, b = (f"{c}__rank" for c in pairs[i])
-            rho = F.corr(a, b)
-            aggs += [F.when(~F.isnan(rho), rho).alias(f"rho_{i}"), F.count(a).alias(f"n_{i}")]
+            aggs += [correlation(F.col(a), F.col(b)).alias(f"rho_{i}"), F.count(a).alias(f"n_{i}")]
         one = ranked.groupBy(key).agg(*aggs)
         out = one if out is None else out.join(one, key, "full")
     return out

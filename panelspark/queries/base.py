@@ -165,6 +165,15 @@ def hash_unit_sql(h: str) -> str:
     return f"(concat('0x', substr({h}, 1, 8))::BIGINT / 4294967296.0)"
 
 
+def upper_tail_sql(x: str) -> str:
+    """P(Z > x) for x >= 0 in SQL: a positive series below 3, a continued fraction above."""
+    pdf = f"(exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()))"
+    log_term = "(2 * k + 1) * ln(greatest({0}, 1e-300)) - ((k + 1) * ln(2) + lgamma(k + 1.5) - 0.5 * ln(pi()))".format(x)
+    series = f"list_sum(list_transform(range(60), lambda k : exp({log_term})))"
+    fraction = f"list_reduce(list_concat([0.0::DOUBLE], list_transform(range(80), lambda i : (80 - i)::DOUBLE)), lambda a, k : k / (({x}) + a))"
+    return f"(CASE WHEN {x} < 3 THEN 0.5 - {pdf} * {series} ELSE {pdf} / (({x}) + {fraction}) END)"
+
+
 def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     """Round result columns for a stable comparison; the shift moves exact decimal ties off the edge."""
     return df.withColumns({c: F.round(F.col(c) + 10.0 ** -(digits + 3), digits) for c in cols})

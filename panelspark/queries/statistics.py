@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from panelspark.operators import stats
-from panelspark.queries.base import STAT, query, rounded
+from panelspark.queries.base import STAT, query, rounded, upper_tail_sql
 
 AMOUNTS = ["x1", "x2"]
 PAIRED = ["x1", "x2", "x3"]
@@ -30,7 +30,21 @@ def test_shapiro(t):
     return rounded(stats.test_shapiro(df, ["x1"], "g"), 6, "statistic", "p_value")
 
 
-@query("test_ks_normal")
+# distinct values with the rows below (b), the rows at (c) and the rows of the group (n)
+_STEPS = (
+    "k AS (" + _each(AMOUNTS, "SELECT '{c}' AS \"column\", f, {c}::DOUBLE AS v, count(*)::DOUBLE AS c FROM stat GROUP BY f, {c}") + "), "
+    "cum AS (SELECT *, sum(c) OVER (PARTITION BY \"column\", f ORDER BY v) - c AS b, sum(c) OVER (PARTITION BY \"column\", f) AS n FROM k)"
+)
+
+
+@query(
+    "test_ks_normal",
+    f"WITH {STAT}, {_STEPS}, u AS (SELECT *, {upper_tail_sql('abs(v)')} AS up FROM cum), p AS (SELECT *, CASE WHEN v >= 0 THEN 1 - up ELSE up END AS phi FROM u), "
+    "d AS (SELECT \"column\", f, max(greatest((b + c) / n - phi, phi - b / n)) AS d, max(n) AS n FROM p GROUP BY ALL), "
+    "l AS (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS lam FROM d) "
+    "SELECT \"column\", f, round(d + 1e-9, 6) AS statistic, "
+    "round(least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda j : (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * j * j * lam * lam))))) + 1e-9, 6) AS p_value FROM l",
+)
 def test_ks_normal(t):
     return rounded(stats.test_ks_normal(t.stat, AMOUNTS, "f", at_least=1), 6, "statistic", "p_value")
 
@@ -57,7 +71,16 @@ def test_dagostino(t):
     return rounded(rounded(rounded(out, 4, "z_skew", "z_kurt"), 3, "statistic"), 6, "p_value")
 
 
-@query("test_anderson")
+@query(
+    "test_anderson",
+    f"WITH {STAT}, {_STEPS}, m AS (SELECT \"column\", f, sum(v * c) / sum(c) AS mean FROM k GROUP BY ALL), "
+    "s AS (SELECT \"column\", f, mean, sqrt(sum(c * (v - mean) * (v - mean)) / (sum(c) - 1)) AS sd FROM k JOIN m USING (\"column\", f) GROUP BY ALL), "
+    f"z AS (SELECT *, (v - mean) / sd AS z FROM cum JOIN s USING (\"column\", f)), u AS (SELECT *, {upper_tail_sql('abs(z)')} AS up FROM z), "
+    "t AS (SELECT *, CASE WHEN z >= 0 THEN 1 - up ELSE up END AS lo, CASE WHEN z >= 0 THEN up ELSE 1 - up END AS hi FROM u), "
+    "a AS (SELECT \"column\", f, max(n) AS n, -max(n) - sum(c * (2 * b + c) * ln(lo) + c * (2 * n - 2 * b - c) * ln(hi)) / max(n) AS stat FROM t GROUP BY ALL), "
+    "lv AS (SELECT unnest([0.576, 0.656, 0.787, 0.918, 1.092])::DOUBLE AS cv, unnest([15.0, 10.0, 5.0, 2.5, 1.0])::DOUBLE AS level) "
+    "SELECT \"column\", f, round(stat + 1e-7, 4) AS statistic, level, round(cv / (1 + 4 / n - 25 / (n * n)), 3) AS critical, stat < round(cv / (1 + 4 / n - 25 / (n * n)), 3) AS normal FROM a, lv",
+)
 def test_anderson(t):
     return rounded(stats.test_anderson(t.stat, AMOUNTS, "f"), 4, "statistic")
 
@@ -197,27 +220,30 @@ _RANK_SUMS = ", ".join(_SUMS.replace("{c}", c) for c in AMOUNTS)
 
 @query(
     "test_mannwhitney",
-    f"WITH {STAT}, {_RANKED}, {_TIES}, {_RANK_SUMS} "
+    f"WITH {STAT}, {_RANKED}, {_TIES}, {_RANK_SUMS}, u AS ("
     + _each(
         AMOUNTS,
-        "SELECT '{c}' AS \"column\", r1 - n1 * (n1 + 1) / 2 AS statistic, round((greatest(r1 - n1 * (n1 + 1) / 2, n0 * n1 - (r1 - n1 * (n1 + 1) / 2)) - n0 * n1 / 2 - 0.5) "
-        "/ sqrt(n0 * n1 / 12 * (n + 1 - t / (n * (n - 1)))) + 1e-9, 6) AS z FROM s_{c}, t_{c}",
-    ),
+        "SELECT '{c}' AS \"column\", r1 - n1 * (n1 + 1) / 2 AS statistic, (greatest(r1 - n1 * (n1 + 1) / 2, n0 * n1 - (r1 - n1 * (n1 + 1) / 2)) - n0 * n1 / 2 - 0.5) "
+        "/ sqrt(n0 * n1 / 12 * (n + 1 - t / (n * (n - 1)))) AS z FROM s_{c}, t_{c}",
+    )
+    + f") SELECT \"column\", statistic, round(z + 1e-9, 6) AS z, round(least(1, 2 * {upper_tail_sql('greatest(z, 0)')}) + 1e-9, 6) AS p_value FROM u",
 )
 def test_mannwhitney(t):
-    return rounded(stats.test_mannwhitney(t.stat, AMOUNTS, "f").drop("p_value"), 6, "z")
+    return rounded(stats.test_mannwhitney(t.stat, AMOUNTS, "f"), 6, "z", "p_value")
 
 
 @query(
     "test_kruskal",
-    f"WITH {STAT}, {_RANKED}, {_TIES}, {_RANK_SUMS} "
+    f"WITH {STAT}, {_RANKED}, {_TIES}, {_RANK_SUMS}, h AS ("
     + _each(
         AMOUNTS,
-        "SELECT '{c}' AS \"column\", round((12 / (n * (n + 1)) * (r0 * r0 / n0 + r1 * r1 / n1) - 3 * (n + 1)) / (1 - t / (n * n * n - n)) + 1e-9, 6) AS statistic FROM s_{c}, t_{c}",
-    ),
+        "SELECT '{c}' AS \"column\", (12 / (n * (n + 1)) * (r0 * r0 / n0 + r1 * r1 / n1) - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h FROM s_{c}, t_{c}",
+    )
+    # one degree of freedom: the square of a normal score
+    + f") SELECT \"column\", round(h + 1e-9, 6) AS statistic, round(2 * {upper_tail_sql('sqrt(h)')} + 1e-9, 6) AS p_value FROM h",
 )
 def test_kruskal(t):
-    return rounded(stats.test_kruskal(t.stat, AMOUNTS, "f").drop("p_value"), 6, "statistic")
+    return rounded(stats.test_kruskal(t.stat, AMOUNTS, "f"), 6, "statistic", "p_value")
 
 
 def _shape(df):
