@@ -13,8 +13,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.hashing import hash_bucket
+from panelspark.operators.joins import hot_keys
+
 MAX_BUCKETS = 4096
 QUANTILE_BUCKETS = 1024
+HOT_GROUP_ROWS = 1_000_000
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -30,7 +34,7 @@ def add_buckets(df: DataFrame, cols: list[str], n: int | None = None, suffix: st
     n = n or bucket_count(df)
     doubles = [F.col(c).cast("double").alias(c) for c in cols]
     probs = [i / n for i in range(1, n)]
-    bounds = df.select(*doubles).approxQuantile(cols, probs, 0.5 / n)
+    bounds = df.select(*doubles).approxQuantile(cols, probs, min(1.0 / n, 0.005))
     out = df
     for c, found in zip(cols, bounds):
         cuts = sorted({b for b in found if math.isfinite(b)})
@@ -115,18 +119,44 @@ def column_ranks(
     )
 
 
-def row_ranks(df: DataFrame, cols: list[str], group: list[str], n: int | None = None) -> DataFrame:
+def row_ranks(
+    df: DataFrame, cols: list[str], group: list[str], n: int | None = None, hot_rows: int = HOT_GROUP_ROWS
+) -> DataFrame:
     """(group..., ``{c}__rank`` per column): average ranks at row level, null for a missing value.
 
-    One counted rank table and one join per column. A value that many rows share is a skewed join key;
-    adaptive execution splits that partition.
+    Groups of ordinary size are shuffled once and ranked by windows; groups above ``hot_rows`` rows go
+    through the bucketed order, so that no task holds a whole one.
     """
+    group = list(group)
     work = df.select(*group, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols])
+    hot = hot_keys(df.select(*group), group, hot_rows)
+    if hot is None:
+        return _window_ranks(work, cols, group)
+    marks = F.broadcast(hot.select(*group))
+    cold = _window_ranks(work.join(marks, group, "left_anti"), cols, group)
+    return cold.unionByName(_bucket_ranks(work.join(marks, group, "left_semi"), cols, group, n))
+
+
+def _window_ranks(work: DataFrame, cols: list[str], group: list[str]) -> DataFrame:
+    """Average rank = (rank + rows up to and including the peers) / 2; both frames only grow."""
+    out = work.repartition(*group)
+    for c in cols:
+        w = Window.partitionBy(*group).orderBy(F.asc_nulls_last(c))
+        upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumn(f"{c}__rank", F.when(F.col(c).isNotNull(), (F.rank().over(w) + F.count(c).over(upto)) / 2))
+    return out.select(*group, *[f"{c}__rank" for c in cols])
+
+
+def _bucket_ranks(work: DataFrame, cols: list[str], group: list[str], n: int | None) -> DataFrame:
+    """One counted rank table and one join per column.
+
+    A value that many rows share is a skewed join key; adaptive execution splits that partition.
+    """
     out = add_buckets(work, cols, n)
     for c in cols:
         b = c + "__b"
         counts = out.where(F.col(c).isNotNull()).groupBy(*group, b, c).agg(F.count(F.lit(1)).alias("cnt"))
-        ranked = prefix_sums(counts, F.col(c), {"cnt": F.col("cnt")}, list(group), b)
+        ranked = prefix_sums(counts, F.col(c), {"cnt": F.col("cnt")}, group, b)
         ranked = ranked.select(*group, b, c, (F.col("before_cnt") + (F.col("cnt") + 1) / 2).alias(f"{c}__rank"))
         out = out.join(ranked, [*group, b, c], "left")
     return out.select(*group, *[f"{c}__rank" for c in cols])
@@ -176,8 +206,6 @@ def exact_quantiles(
 
 def dense_row_rank(df: DataFrame, order_hash: Column, row_id: str, group: list[str]) -> DataFrame:
     """Add ``rank`` (1-based, in hash order) and ``group_n`` for rows of each group."""
-    from panelspark.functions.hashing import hash_bucket
-
     h = df.withColumn("_h", order_hash).withColumn("_hb", hash_bucket(F.col("_h")))
     out = prefix_sums(h, [F.col("_h"), F.col(row_id)], {"one": F.lit(1).cast("long")}, list(group), "_hb")
     return (

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from panelspark.functions.hashing import hash_long, hash_unit, order_hash
 from panelspark.operators.neighbors import knn_join
 from panelspark.operators.sampling import class_counts, draw_rows, mark_sample
+from panelspark.session import materialize
 
 K_NEIGHBORS = 5
 M_NEIGHBORS = 10
 MAX_CLUSTERS = 10_000
+MAX_CODES = 1_000_000
 _REPEAT_STEP = 65_536
 
 
@@ -47,41 +49,53 @@ def _foreign_share(df: DataFrame, c: object, m: int, **kw) -> DataFrame:
     )
 
 
-def _synthesize(df: DataFrame, c: object, seeds: DataFrame, nn: DataFrame, seed: int, nominal_from=None) -> DataFrame:
-    """One new row per row of ``seeds`` (id, draw, step): seed + step * lambda * (neighbour - seed)."""
-    have = nn.groupBy("id").agg(F.max("rank").alias("_k"))
-    h = lambda tag: order_hash(F.col("id"), F.col("draw"), F.lit(tag), seed=seed)
-    pick = seeds.join(have, "id").withColumn("rank", (F.pmod(hash_long(h("nn")), F.col("_k")) + 1).cast("int"))
-    pick = pick.withColumn("lam", hash_unit(h("lambda")) * F.col("step"))
+def _seed_table(df: DataFrame, seeds: DataFrame, nn: DataFrame, nominal_from: int | None = None) -> DataFrame:
+    """(id, step, vec, far, codes): each seed with the vectors of its at most k neighbours in rank order.
+
+    Everything a synthetic row needs sits on its seed, so rows drawn from a seed need no further join.
+    """
     vecs = df.select("id", "vec")
-    far = nn.select("id", "rank", "nn_id").join(
-        vecs.select(F.col("id").alias("nn_id"), F.col("vec").alias("far")), "nn_id"
+    far = (
+        nn.join(vecs.select(F.col("id").alias("nn_id"), F.col("vec").alias("_v")), "nn_id")
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "_v"))).alias("_s"))
+        .select("id", F.transform("_s", lambda s: s["_v"]).alias("far"))
+    )
+    out = seeds.join(far, "id").join(vecs, "id")
+    if nominal_from is None:
+        return out
+    votes = (
+        far.select("id", F.explode("far").alias("_v"))
+        .select("id", F.posexplode(F.slice("_v", nominal_from + 1, MAX_CODES)).alias("at", "v"))
+        .groupBy("id", "at", "v")
+        .agg(F.count(F.lit(1)).alias("cnt"))
+        .groupBy("id", "at")
+        .agg(F.min(F.struct(-F.col("cnt"), F.col("v"))).getField("v").alias("v"))
+        .groupBy("id")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("codes"))
     )
-    pairs = pick.join(far, ["id", "rank"]).join(vecs, "id")
-    lam = F.col("lam")
-    new = F.zip_with("vec", "far", lambda a, b: a + lam * (b - a))
+    return out.join(votes, "id")
+
+
+def _interpolate(draws: DataFrame, c: object, kind, seed: int, nominal_from: int | None = None) -> DataFrame:
+    """One synthetic row per drawn seed: vec + step * lambda * (neighbour - vec)."""
+    h = lambda tag: order_hash(F.col("id"), F.col("draw"), F.lit(tag), seed=seed)
+    pick = F.pmod(hash_long(h("nn")), F.size("far")).cast("int")
+    work = draws.withColumns({"_far": F.get("far", pick), "_lam": hash_unit(h("lambda")) * F.col("step")})
+    new = F.zip_with("vec", "_far", lambda a, b: a + F.col("_lam") * (b - a))
     if nominal_from is not None:
-        votes = (
-            nn.join(vecs.select(F.col("id").alias("nn_id"), F.col("vec").alias("far")), "nn_id")
-            .select("id", F.posexplode(F.slice("far", nominal_from + 1, 1_000_000)).alias("at", "v"))
-            .groupBy("id", "at", "v")
-            .agg(F.count(F.lit(1)).alias("cnt"))
-            .groupBy("id", "at")
-            .agg(F.min(F.struct(-F.col("cnt"), F.col("v"))).getField("v").alias("v"))
-            .groupBy("id")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("codes"))
-        )
-        pairs = pairs.join(votes, "id")
         new = F.concat(F.slice(new, 1, nominal_from), F.col("codes"))
-    return pairs.select(
-        F.lit(None).cast("long").alias("id"), new.alias("vec"), F.lit(c).cast(df.schema["label"].dataType).alias("label"),
-        F.lit(True).alias("synthetic"),
+    return work.select(
+        F.lit(None).cast("long").alias("id"), new.alias("vec"), F.lit(c).cast(kind).alias("label"), F.lit(True).alias("synthetic")
     )
 
 
-def _draw_seeds(seeds: DataFrame, n: int, seed: int) -> DataFrame:
-    """n draws with replacement from (id, step)."""
-    return draw_rows(seeds.withColumn("_all", F.lit("all")), "_all", "id", {"all": n}, seed).drop("_all")
+def _smote(df, c, need: int, seeds: DataFrame, nn: DataFrame, seed: int, nominal_from: int | None = None) -> DataFrame:
+    """``need`` synthetic rows of class c from (id, step) seeds drawn with replacement."""
+    # written once: counting, ranking and drawing below would repeat the neighbour search
+    table = materialize(_seed_table(df, seeds, nn, nominal_from).withColumn("_all", F.lit("all")), "seeds")
+    draws = draw_rows(table, "_all", "id", {"all": need}, seed)
+    return _interpolate(draws, c, df.schema["label"].dataType, seed, nominal_from)
 
 
 def over_random(df: DataFrame, seed: int = 42) -> DataFrame:
@@ -99,8 +113,8 @@ def over_smote_borderline(df: DataFrame, seed: int = 42, k: int = K_NEIGHBORS, m
         danger = _foreign_share(df, c, m, **kw).where(
             (F.col("n_other") >= F.col("n_seen") / 2) & (F.col("n_other") < F.col("n_seen"))
         )
-        seeds = _draw_seeds(danger.select("id", F.lit(1.0).alias("step")), need, seed)
-        out = out.unionByName(_synthesize(df, c, seeds, _class_neighbors(df, c, k, **kw), seed))
+        seeds = danger.select("id", F.lit(1.0).alias("step"))
+        out = out.unionByName(_smote(df, c, need, seeds, _class_neighbors(df, c, k, **kw), seed))
     return out
 
 
@@ -119,8 +133,8 @@ def over_smote_svm(df: DataFrame, seed: int = 42, k: int = K_NEIGHBORS, m: int =
         near = scored.where(F.abs(margin) <= 1).select("id")
         share = _foreign_share(df, c, m, **kw).where(F.col("n_other") < F.col("n_seen")).join(near, "id")
         step = F.when(F.col("n_other") >= F.col("n_seen") / 2, 1.0).otherwise(-0.5)
-        seeds = _draw_seeds(share.select("id", step.alias("step")), need, seed)
-        out = out.unionByName(_synthesize(df, c, seeds, _class_neighbors(df, c, k, **kw), seed))
+        seeds = share.select("id", step.alias("step"))
+        out = out.unionByName(_smote(df, c, need, seeds, _class_neighbors(df, c, k, **kw), seed))
     return out
 
 
@@ -139,8 +153,8 @@ def over_smote_nc(df: DataFrame, nominal_from: int, seed: int = 42, k: int = K_N
         half = len(ordered) // 2
         med = ordered[half] if len(ordered) % 2 else (ordered[half - 1] + ordered[half]) / 2
         nn = _class_neighbors(df, c, k, nominal_from=nominal_from, penalty=med * med / 2, **kw)
-        seeds = _draw_seeds(mine.select("id", F.lit(1.0).alias("step")), need, seed)
-        out = out.unionByName(_synthesize(df, c, seeds, nn, seed, nominal_from))
+        seeds = mine.select("id", F.lit(1.0).alias("step"))
+        out = out.unionByName(_smote(df, c, need, seeds, nn, seed, nominal_from))
     return out
 
 
@@ -156,7 +170,7 @@ def repeat_rows(df: DataFrame, n: str) -> DataFrame:
 
 def adasyn_counts(df: DataFrame, c: object, need: int, k: int = K_NEIGHBORS, **kw) -> DataFrame:
     """(id, n): synthetic rows per seed, proportional to its share of foreign neighbours, half to even."""
-    share = _foreign_share(df, c, k, **kw).withColumn("r", F.col("n_other") / F.lit(k))
+    share = materialize(_foreign_share(df, c, k, **kw).withColumn("r", F.col("n_other") / F.lit(k)), "density")
     total = share.agg(F.sum("r").alias("_sum"))
     return share.crossJoin(F.broadcast(total)).where(F.col("_sum") > 0).select(
         "id", F.bround(F.col("r") / F.col("_sum") * F.lit(need), 0).cast("long").alias("n")
@@ -168,8 +182,9 @@ def over_adasyn(df: DataFrame, seed: int = 42, k: int = K_NEIGHBORS, **kw) -> Da
     for c, need in _shortfall(class_counts(df, "label")).items():
         if not need:
             continue
-        seeds = repeat_rows(adasyn_counts(df, c, need, k, **kw), "n").select("id", "draw", F.lit(1.0).alias("step"))
-        out = out.unionByName(_synthesize(df, c, seeds, _class_neighbors(df, c, k, **kw), seed))
+        seeds = adasyn_counts(df, c, need, k, **kw).withColumn("step", F.lit(1.0))
+        table = _seed_table(df, seeds, _class_neighbors(df, c, k, **kw))
+        out = out.unionByName(_interpolate(repeat_rows(table, "n"), c, df.schema["label"].dataType, seed))
     return out
 
 
@@ -181,7 +196,7 @@ def under_random(df: DataFrame, seed: int = 42) -> DataFrame:
 
 def tomek_links(df: DataFrame, **kw) -> DataFrame:
     """(id, nn_id): mutual nearest neighbours of different classes, both directions."""
-    nn = knn_join(df, df, 1, exclude_self=True, **kw).select("id", "nn_id")
+    nn = materialize(knn_join(df, df, 1, exclude_self=True, **kw).select("id", "nn_id"), "nearest")
     back = nn.select(F.col("nn_id").alias("id"), F.col("id").alias("nn_id"))
     mutual = nn.join(back, ["id", "nn_id"])
     tags = df.select("id", F.col("label").alias("_a"))

@@ -13,6 +13,8 @@ from panelspark.functions.hashing import hash_bucket, hash_long, order_hash
 from panelspark.operators.joins import attach_one_row, lookup_join
 from panelspark.operators.ranks import dense_row_rank, row_positions
 
+DRAWS_PER_TASK = 1_000_000
+
 
 def hash_cuts(df: DataFrame, row_id: str, group: list[str], take: Column, seed: int | str = 42) -> DataFrame:
     """(group..., _n, _take, _cut): the hash of the ``take``-th row of each group in hash order.
@@ -111,30 +113,39 @@ def class_counts(df: DataFrame, label: str) -> dict:
     return {r[label]: r["n"] for r in rows}
 
 
-def draw_rows(df: DataFrame, label: str, row_id: str, draws: dict, seed: int | str = 42) -> DataFrame:
+def draw_rows(
+    df: DataFrame, label: str, row_id: str, draws: dict, seed: int | str = 42, per_task: int = DRAWS_PER_TASK
+) -> DataFrame:
     """Rows drawn with replacement: ``draws[c]`` of class c, with draw number ``draw``.
 
-    Draw j of class c takes the row at position md5(c, j, seed) mod n_c in hash order.
+    Draw j of class c takes the row at position md5(c, j, seed) mod n_c in hash order. A row of a small class
+    may be drawn very often; it is then repeated so that at most about ``per_task`` draws meet one copy.
     """
     spark = df.sparkSession
     kind = df.schema[label].dataType
-    parts = [
-        spark.range(n).select(F.lit(c).cast(kind).alias(label), F.col("id").alias("draw"))
-        for c, n in draws.items()
-        if n > 0
-    ]
+    sizes = class_counts(df, label)
+    parts, copies = [], F.lit(1)
+    for c, n in draws.items():
+        if n <= 0 or not sizes.get(c):
+            continue
+        spread = -(-n // (sizes[c] * per_task))
+        ids = spark.range(n).select(F.lit(c).cast(kind).alias(label), F.col("id").alias("draw"))
+        h = hash_long(order_hash(F.col(label), F.col("draw"), seed=seed))
+        parts.append(
+            ids.withColumns({"rank": F.pmod(h, F.lit(sizes[c])) + 1, "_copy": F.pmod("draw", F.lit(spread).cast("long"))})
+        )
+        if spread > 1:
+            copies = F.when(F.col(label) == F.lit(c), F.lit(spread)).otherwise(copies)
     if not parts:
         return df.withColumn("draw", F.lit(0).cast("long")).where(F.lit(False))
     want = parts[0]
     for p in parts[1:]:
         want = want.unionByName(p)
     ranked = dense_row_rank(df.select(row_id, label), order_hash(F.col(row_id), seed=seed), row_id, [label])
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    want = lookup_join(want, sizes, label, "inner").withColumn(
-        "rank", F.pmod(hash_long(order_hash(F.col(label), F.col("draw"), seed=seed)), F.col("_n")) + 1
+    pool = df.join(ranked.select(row_id, "rank"), row_id).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))
     )
-    picked = want.join(ranked.select(label, "rank", row_id), [label, "rank"]).select(row_id, "draw")
-    return picked.join(df, row_id).select(*df.columns, "draw")
+    return want.join(pool, [label, "rank", "_copy"]).select(*df.columns, "draw")
 
 
 def class_balanced_bootstrap(df: DataFrame, label: str, row_id: str, seed: int = 42) -> DataFrame:

@@ -191,17 +191,10 @@ def test_chi2(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     return out.select(names[0].alias("column"), names[1].alias("column2"), group, "statistic", "dof", p.alias("p_value"))
 
 
-def _joint_counts(df: DataFrame, a: str, b: str, group: str) -> DataFrame:
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return both.groupBy(group, F.col(a).cast(D).alias("x"), F.col(b).cast(D).alias("y")).agg(
-        F.count(F.lit(1)).alias("cnt")
-    )
-
-
-def test_spearman(df: DataFrame, cols: list[str], group: str) -> DataFrame:
+def test_spearman(df: DataFrame, cols: list[str], group: str, **kw) -> DataFrame:
     """Correlation of average ranks per pair and group."""
     pairs = _pairs(cols)
-    wide = spearman_wide(df, group, pairs)
+    wide = spearman_wide(df, group, pairs, **kw)
     parts = [
         F.struct(F.lit(a).alias("column"), F.lit(b).alias("column2"), F.col(f"rho_{i}").alias("statistic"), F.col(f"n_{i}").alias("n"))
         for i, (a, b) in enumerate(pairs)
@@ -221,33 +214,33 @@ def _tie_sums(df: DataFrame, by: list[str], group: list[str], tag: str) -> DataF
 
 
 def dominance_counts(joint: DataFrame, group: str) -> DataFrame:
-    """(group, con, dis): concordant and discordant pairs of counted (x, y) cells.
+    """(group, con, dis): concordant and discordant pairs of counted cells (x, y, cnt) with buckets xb, yb.
 
     Two y ranks first differ at one bit. Per bit level, rows share a block when their higher bits agree;
     inside a block every bit-0 row is below every bit-1 row in y, so pairs are counted by a running sum
     along x. Rows grow by the number of bits, never by pairs; running sums use the bucketed prefix.
     """
-    y = joint.groupBy(group, "y").agg(F.sum("cnt").alias("_w"))
-    b = add_buckets(y, ["y"])
-    ranked = prefix_sums(b, F.col("y"), {"one": F.lit(1).cast("long")}, [group], "y__b")
-    ranked = ranked.select(group, "y", F.col("before_one").alias("yr"), F.col("total_one").alias("ny"))
-    top = ranked.agg(F.max("ny")).first()[0] or 1
-    bits = max(1, (top - 1).bit_length())
-    rows = add_buckets(joint, ["x"]).join(ranked.drop("ny"), [group, "y"])
-    levels = F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))
-    exploded = rows.withColumn("lvl", levels).select(
-        group,
-        "lvl",
-        F.expr("shiftright(yr, lvl + 1)").alias("blk"),
-        "x",
-        "x__b",
-        (F.expr("shiftright(yr, lvl) & 1") * F.col("cnt")).alias("up"),
-        "cnt",
+    y = joint.select(group, "yb", "y").distinct()
+    ranked = prefix_sums(y, F.col("y"), {"one": F.lit(1).cast("long")}, [group], "yb")
+    bits = F.greatest(F.length(F.bin(F.col("total_one") - 1)), F.lit(1))
+    ranked = ranked.select(group, "yb", "y", F.col("before_one").alias("yr"), bits.alias("bits"))
+    exploded = (
+        joint.join(ranked, [group, "yb", "y"])
+        .withColumn("lvl", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)))
+        .select(
+            group,
+            "lvl",
+            F.expr("shiftright(yr, lvl + 1)").alias("blk"),
+            "x",
+            "xb",
+            (F.expr("shiftright(yr, lvl) & 1") * F.col("cnt")).alias("up"),
+            "cnt",
+        )
     )
-    at_x = exploded.groupBy(group, "lvl", "blk", "x__b", "x").agg(
+    at_x = exploded.groupBy(group, "lvl", "blk", "xb", "x").agg(
         F.sum("up").alias("c1"), (F.sum("cnt") - F.sum("up")).alias("c0")
     )
-    p = prefix_sums(at_x, F.col("x"), {"c0": F.col("c0")}, [group, "lvl", "blk"], "x__b")
+    p = prefix_sums(at_x, F.col("x"), {"c0": F.col("c0")}, [group, "lvl", "blk"], "xb")
     c1, c0, before, total = (F.col(k).cast(D) for k in ("c1", "c0", "before_c0", "total_c0"))
     return p.groupBy(group).agg(F.sum(c1 * before).alias("con"), F.sum(c1 * (total - before - c0)).alias("dis"))
 
@@ -266,8 +259,15 @@ def _tau(s: Column, n: Column) -> dict[str, Column]:
 def test_kendall(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     """tau-b per pair and group."""
     outs = []
+    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    work = add_buckets(df.select(group, *[F.col(c).cast(D).alias(c) for c in cols]), cols)
     for a, b in _pairs(cols):
-        j = _joint_counts(df, a, b, group)
+        # the counts are symmetric; fewer distinct values on the ranked side means fewer bit levels
+        x, y = (a, b) if sizes[b] <= sizes[a] else (b, a)
+        parts = {"x": x, "xb": x + "__b", "y": y, "yb": y + "__b"}
+        j = work.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(
+            group, *[F.col(c).alias(n) for n, c in parts.items()]
+        ).agg(F.count(F.lit(1)).alias("cnt"))
         s = dominance_counts(j, group)
         n = j.groupBy(group).agg(F.sum("cnt").cast(D).alias("n"))
         t = s.join(n, group).join(_tie_sums(j, ["x"], [group], "x"), group).join(_tie_sums(j, ["y"], [group], "y"), group)

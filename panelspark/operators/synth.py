@@ -101,7 +101,7 @@ def code_aggregates(df: DataFrame, key: str, cols: list[str], funcs: list[str] =
     return counts.groupBy(key).agg(*exprs)
 
 
-def spearman_wide(df: DataFrame, key: str, pairs: list[tuple[str, str]]) -> DataFrame:
+def spearman_wide(df: DataFrame, key: str, pairs: list[tuple[str, str]], **kw) -> DataFrame:
     """(key, ``rho_{i}``, ``n_{i}`` per pair): Pearson correlation of average ranks inside each key.
 
     Columns without nulls share one ranking; a pair with nulls is ranked over its complete rows.
@@ -116,7 +116,7 @@ def spearman_wide(df: DataFrame, key: str, pairs: list[tuple[str, str]]) -> Data
     out = None
     for idx, rows in jobs:
         used = list(dict.fromkeys(c for i in idx for c in pairs[i]))
-        ranked = row_ranks(rows.where(F.col(key).isNotNull()), used, [key])
+        ranked = row_ranks(rows.where(F.col(key).isNotNull()), used, [key], **kw)
         aggs = []
         for i in idx:
             a, b = (f"{c}__rank" for c in pairs[i])
@@ -126,9 +126,9 @@ def spearman_wide(df: DataFrame, key: str, pairs: list[tuple[str, str]]) -> Data
     return out
 
 
-def spearman_by_key(df: DataFrame, key: str, pairs: list[tuple[str, str]]) -> DataFrame:
+def spearman_by_key(df: DataFrame, key: str, pairs: list[tuple[str, str]], **kw) -> DataFrame:
     """``spearman__{a}__{b}`` per pair."""
-    wide = spearman_wide(df, key, pairs)
+    wide = spearman_wide(df, key, pairs, **kw)
     return wide.select(key, *[F.col(f"rho_{i}").alias(f"spearman__{a}__{b}") for i, (a, b) in enumerate(pairs)])
 
 

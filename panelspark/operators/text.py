@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import LDA, LocalLDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Word2Vec
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +17,6 @@ from panelspark.operators.clean import NO_TEXT
 TOKEN = r"[\p{L}\p{N}]+"
 ID_RANGE = 32_000
 TOPIC_FLOOR = 0.01
-_ADLER = 65_521
 
 
 def tokens_of(text: Column) -> Column:
@@ -31,15 +34,14 @@ def tokenize_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def token_id(token: Column, id_range: int = ID_RANGE) -> Column:
-    """Adler-32 of the UTF-8 bytes modulo the id range."""
-    hexed = F.hex(token)
-    n = F.length(hexed) / 2
-    byte = lambda i: F.conv(F.substr(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint")
-    idx = F.sequence(F.lit(0), (n - 1).cast("int"))
-    zero = F.lit(0).cast("bigint")
-    low = (1 + F.aggregate(idx, zero, lambda a, i: a + byte(i))) % _ADLER
-    high = (n.cast("bigint") + F.aggregate(idx, zero, lambda a, i: a + (n.cast("bigint") - i) * byte(i))) % _ADLER
-    return ((high * 65_536 + low) % id_range).cast("int")
+    """Adler-32 of the UTF-8 bytes modulo the id range; each batch hashes its distinct tokens once."""
+
+    def run(words: pd.Series) -> pd.Series:
+        codes, distinct = pd.factorize(words)
+        ids = np.array([zlib.adler32(w.encode()) % id_range for w in distinct] or [0], dtype="int32")
+        return pd.Series(ids[codes])
+
+    return F.pandas_udf(run, "int")(token)
 
 
 def hashed_bow(df: DataFrame, doc: str, tokens: str, id_range: int = ID_RANGE) -> DataFrame:
@@ -52,7 +54,7 @@ def hashed_bow(df: DataFrame, doc: str, tokens: str, id_range: int = ID_RANGE) -
 
 def lda_fit(df: DataFrame, tokens: str, vec_size: int = 4, path: str | None = None, seed: int = 42, max_iter: int = 10):
     """(vocabulary model, topic model); both are saved under ``path`` when given."""
-    bow = CountVectorizer(inputCol=tokens, outputCol="_bow").fit(df)
+    bow = CountVectorizer(inputCol=tokens, outputCol="_bow", vocabSize=ID_RANGE).fit(df)
     model = LDA(k=vec_size, seed=seed, maxIter=max_iter, featuresCol="_bow").fit(bow.transform(df))
     if path:
         bow.write().overwrite().save(f"{path}/vocabulary")

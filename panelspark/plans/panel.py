@@ -18,9 +18,10 @@ from panelspark.sources import tables as src
 def panel_features(df: DataFrame, roles: Roles, specs: list[rolling.Spec], positive: Column) -> DataFrame:
     """Log amounts, quantile bands, rolling windows and a 0/1 label ``f`` for every row."""
     amounts = list(roles.amounts)
-    out = quantile.quantile_bands(df, amounts)
+    fitted = quantile.fit_thresholds(df, amounts)
+    out = rolling.rolling_features(df, specs, roles.time, roles.row_id)
+    out = quantile.quantile_bands(out, amounts, fitted)
     out = out.withColumns({f"{a}_log": scalar.amt_log(F.col(a)) for a in amounts})
-    out = rolling.rolling_features(out, specs, roles.time, roles.row_id)
     return out.withColumn("f", F.when(positive, 1).otherwise(0))
 
 
@@ -60,10 +61,11 @@ def preprocess(df: DataFrame, roles: Roles, rules: PreprocessRules) -> DataFrame
 
 def rolling_stage(df: DataFrame, roles: Roles, periods=(7, 15, 30)) -> DataFrame:
     """Global quantile bands, the whole rolling grid, remaining nulls filled, strings dropped, types narrowed."""
-    out = quantile.quantile_bands(df, list(roles.amounts))
+    fitted = quantile.fit_thresholds(df, list(roles.amounts))
     specs = rolling.feature_grid(list(roles.keys), list(roles.amounts), list(periods), ["sum", "mean", "min", "max"])
     specs += rolling.feature_grid(list(roles.keys), list(roles.codes), list(periods), ["cnt"])
-    out = materialize(rolling.rolling_features(out, specs, roles.time, roles.row_id), "rolling")
+    out = rolling.rolling_features(df, specs, roles.time, roles.row_id)
+    out = materialize(quantile.quantile_bands(out, list(roles.amounts), fitted), "rolling")
     return clean.narrow_types(clean.drop_string_columns(impute.impute_remaining(out)))
 
 

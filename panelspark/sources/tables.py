@@ -44,11 +44,14 @@ def shard_of(key: Column, shards: int = DEFAULT_SHARDS, seed: int = 42) -> Colum
     return F.pmod(hash_long(h), F.lit(shards)).cast("int")
 
 
-def shard_by_key(df: DataFrame, key: str, path: str, shards: int = DEFAULT_SHARDS, seed: int = 42, pieces: int = 8) -> DataFrame:
+def shard_by_key(df: DataFrame, key: str, path: str, shards: int = DEFAULT_SHARDS, seed: int = 42, pieces: int | None = None) -> DataFrame:
     """One folder per shard, all rows of a key in the same shard, written in one pass.
 
-    Each shard is cut into ``pieces`` tasks and files, so a hot key does not make one task write a whole shard.
+    Each shard is cut into ``pieces`` tasks and files, so a hot key does not make one task write a whole shard;
+    by default the pieces of all shards together match the session's shuffle partitions.
     """
+    if pieces is None:
+        pieces = max(2, -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
     marked = df.withColumn("shard", shard_of(F.col(key), shards, seed))
     piece = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(pieces))
     marked.withColumn("_piece", piece).repartition("shard", "_piece").drop("_piece").write.mode("overwrite").partitionBy(

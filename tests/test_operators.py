@@ -56,8 +56,8 @@ def brute_rolling(rows, specs):
     return out
 
 
-SPECS = [Spec("key", "amt", f, d) for f in ("sum", "mean", "min", "max") for d in (7, 15)]
-SPECS += [Spec("key", "code", "cnt", d) for d in (7, 30)] + [Spec("key", "amt", "cnt", 15)]
+SPECS = [Spec("key", "amt", f, 7) for f in ("sum", "mean", "min", "max")] + [Spec("key", "amt", "sum", 15)]
+SPECS += [Spec("key", "code", "cnt", 7), Spec("key", "amt", "cnt", 15)]
 
 
 @pytest.mark.parametrize("hot_rows,blocks", [(10**6, 256), (50, 256), (1, 7), (50, 1)])
@@ -128,8 +128,11 @@ def test_ranks_match_pandas(spark):
         want = pdf[pdf.g == g][c].rank()
         got = part.set_index("value")["avg_rank"]
         assert np.allclose(pdf[pdf.g == g][c].astype(float).map(got), want)
-    w = ranks.row_ranks(df, ["a", "b"], ["g"], n=5).toPandas()
-    assert sorted(w[w.g == 1]["a__rank"]) == sorted(pdf[pdf.g == 1]["a"].rank())
+    for hot in (10**6, 140, 1):
+        w = ranks.row_ranks(df, ["a", "b"], ["g"], n=5, hot_rows=hot).toPandas()
+        for g in range(3):
+            assert sorted(w[w.g == g]["a__rank"]) == sorted(pdf[pdf.g == g]["a"].rank())
+        assert len(w) == len(pdf)
 
 
 @pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], [3.0] * 10, list(range(101)), [0.0] * 50 + [1.5, -2.0, 9.0]])
@@ -363,6 +366,7 @@ def test_normality_direction(spark):
 
 def test_constant_columns_give_no_statistic(spark):
     df = spark.createDataFrame([(1.0, float(i), i % 2) for i in range(20)], "c double, x double, f int")
+    assert all(r["statistic"] is None for r in stats.test_spearman(df, ["c", "x"], "f", hot_rows=1).collect())
     for t in (stats.test_pearson, stats.test_spearman, stats.test_kendall):
         assert all(r["statistic"] is None for r in t(df, ["c", "x"], "f").collect())
     for t in (stats.label_pearson, stats.label_spearman, stats.label_kendall, stats.test_anova, stats.test_levene, stats.test_ttest, stats.test_kruskal):
@@ -496,6 +500,13 @@ def test_draws_with_replacement(spark):
     assert sampling.random_batch(df, "row_id", 100).count() == 100
 
 
+def test_often_drawn_rows_are_spread(spark):
+    df, _ = labelled(spark, {0: 40, 1: 2})
+    plain = sampling.draw_rows(df, "y", "row_id", {0: 10, 1: 90}).collect()
+    split = sampling.draw_rows(df, "y", "row_id", {0: 10, 1: 90}, per_task=7).collect()
+    assert len(plain) == 100 and sorted(map(tuple, plain)) == sorted(map(tuple, split))
+
+
 # ---- rebalancing -------------------------------------------------------------------------------
 
 
