@@ -234,8 +234,10 @@ def rolling_features(
         marks = F.broadcast(hot.where(F.col(key).isNotNull()).select(F.col(key).alias("_hk"), F.lit(True).alias("_hot")))
         marked = out.join(marks, F.col(key) == F.col("_hk"), "left").drop("_hk")
         idle = F.col(key).isNull() | F.col("_us").isNull()
-        void = marked.where(idle).drop("_hot").withColumns({s.name: F.lit(None).cast("double") for s in mine})
         cold = _by_key(marked.where(~idle & F.col("_hot").isNull()).drop("_hot"), key, mine, row_id)
+        void = marked.where(idle).drop("_hot").withColumns(
+            {s.name: F.lit(None).cast(cold.schema[s.name].dataType) for s in mine}
+        )
         warm = _hot_part(marked.where(~idle & F.col("_hot").isNotNull()).drop("_hot"), row_id, key, mine, blocks)
         out = cold.unionByName(warm).unionByName(void)
     idle = {s.name: F.col(s.key).isNull() | F.col("_us").isNull() for s in specs}

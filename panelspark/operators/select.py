@@ -26,6 +26,7 @@ TREES = 500
 RFE_STEP = 10
 RATIO = 1.25
 VOTES_NEEDED = 5
+# Column names of the vote table.
 SELECTORS = ("Pearson", "Chi-2", "Logistic", "Random Forest", "Recursive", "LightGBM")
 
 

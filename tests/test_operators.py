@@ -64,7 +64,9 @@ SPECS += [Spec("key", "code", "cnt", 7), Spec("key", "amt", "cnt", 15)]
 def test_rolling_matches_brute_force(spark, hot_rows, blocks):
     rows = panel_rows()
     df = spark.createDataFrame(rows, "row_id long, key string, t timestamp_ntz, amt double, code string")
-    got = rolling_features(df, SPECS, "t", "row_id", hot_rows=hot_rows, blocks=blocks).collect()
+    out = rolling_features(df, SPECS, "t", "row_id", hot_rows=hot_rows, blocks=blocks)
+    assert dict(out.dtypes)["key_n_code_cnt_7"] == "bigint"
+    got = out.collect()
     want = brute_rolling(rows, SPECS)
     assert len(got) == len(rows)
     for r in got:
