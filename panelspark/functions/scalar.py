@@ -32,9 +32,10 @@ def business_code_flag(ident: Column, codes=("82", "83")) -> Column:
     return F.when(F.substring(ident.cast("string"), 4, 2).isin(*codes), 1).otherwise(0)
 
 
-def parse_event_time(text: Column, formats=("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyyMMdd")) -> Column:
-    """First format that parses; null when none does."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+def parse_event_time(text: Column) -> Column:
+    """Wall-clock time of ISO text or of a compact yyyyMMdd date; null when it does not parse."""
+    iso = F.regexp_replace(F.trim(text), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    return iso.try_cast("timestamp_ntz")
 
 
 def date_parts(t: Column) -> dict[str, Column]:
