@@ -37,12 +37,12 @@ def fetch_bounded(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFra
 
 
 def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``max(hot_rows, n / MAX_HOT_KEYS)`` rows: at most MAX_HOT_KEYS of them.
+    """The largest keys with more than ``hot_rows`` rows, at most MAX_HOT_KEYS of them.
 
     Returns a local DataFrame (on..., n_rows) or None when no key is hot.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > hot_rows)
-    # every candidate holds more than hot_rows rows, so take the largest MAX_HOT_KEYS of them
+    # a key outside the largest MAX_HOT_KEYS holds at most n / MAX_HOT_KEYS rows, which is no longer a hot one
     local = counts.orderBy(F.desc("n_rows")).limit(MAX_HOT_KEYS).toArrow()
     if local.num_rows == 0:
         return None

@@ -37,13 +37,13 @@ def _params_sql(kind: str, cols, src: str) -> str:
 
 
 def _scaled_sql(cols) -> str:
-    return ", ".join(f"round(({c} - c_{c}) / s_{c} + 1e-12, 9) AS {c}" for c in cols)
+    return ", ".join(f"round(({c} - c_{c}) / s_{c} + 1e-9, 6) AS {c}" for c in cols)
 
 
 def scale_query(kind: str):
     @query(f"scale_{kind}", f"WITH {_WIDE}, {_params_sql(kind, SCALED, 'w')} SELECT l_orderkey, l_partkey, {_scaled_sql(SCALED)} FROM w, par")
     def run(t):
-        return rounded(scale.scale(_wide(t), list(SCALED), kind), 9, *SCALED)
+        return rounded(scale.scale(_wide(t), list(SCALED), kind), 6, *SCALED)
 
 
 for _k in scale.KINDS:
@@ -70,7 +70,7 @@ def fit_apply_scaler(t):
     train, test = scale.fit_apply_scaler(
         split.where("role = 'train'"), split.where("role = 'test'"), list(_E), "standard", t.scratch("scaler")
     )
-    return rounded(train.unionByName(test), 9, *_E)
+    return rounded(train.unionByName(test), 6, *_E)
 
 
 # ---- splits ------------------------------------------------------------------------------------
