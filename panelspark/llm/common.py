@@ -19,19 +19,27 @@ def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """(_part, doc_id, text): parts are contiguous in doc_id, and sorted inside; null ids come last.
+def ordered_parts(docs: DataFrame) -> DataFrame:
+    """(_part, doc_id, text): part numbers rise with doc_id; a missing id is in a part behind all others.
 
-    Part bounds are approximate quantiles, so they steer balance and never a result. Rows of one doc_id
-    are ordered by text.
+    Part bounds are approximate quantiles, so they steer balance and never a result.
     """
     n = shuffle_parts(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = add_buckets(rows, ["doc_id"], PARTS_PER_TASK * n, "__part")
-    # a missing id goes behind every bucket
     part = F.when(F.col("doc_id").isNull(), F.lit(PARTS_PER_TASK * n + 1)).otherwise(F.col("doc_id__part")).cast("int")
-    rows = rows.select(part.alias("_part"), "doc_id", "text")
-    return rows.repartition(n, "_part").sortWithinPartitions("_part", F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
+    return rows.select(part.alias("_part"), "doc_id", "text")
+
+
+def dealt_in_order(rows: DataFrame, *first: str) -> DataFrame:
+    """``rows`` with each part whole in one task, in order of part, ``first``, doc_id and text."""
+    order = ["_part", *first, F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
+    return rows.repartition(shuffle_parts(rows), "_part").sortWithinPartitions(*order)
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """``ordered_parts`` with each part in one task, sorted by doc_id; rows of one doc_id are ordered by text."""
+    return dealt_in_order(ordered_parts(docs))
 
 
 def bounded_broadcast(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontaminate, mixing, quality, simhash, token_counts, token_file
+from panelspark.llm import decontaminate, language, licenses, minhash, mixing, quality, simhash, token_counts, token_file
 from panelspark.llm.common import documents
 from panelspark.session import scratch_dir
 
@@ -26,12 +26,28 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_digests(spark, path)
 
 
+@query
+def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.predict_language(docs, language.train_language(docs))
+
+
+@query
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_fingerprints(documents(spark, sf_dir))
+
+
 @query
 def op4_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contamination(documents(spark, sf_dir), items).drop("text_hash")
 
 
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 @query
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
