@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontaminate, language, licenses, minhash, mixing, quality, simhash, token_counts, token_file
+from panelspark.llm import decontaminate, language, licenses, minhash, mixing, quality, simhash, suffix_dedup, token_counts, token_file
 from panelspark.llm.common import documents
 from panelspark.session import scratch_dir
 
@@ -53,6 +53,11 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(documents(spark, sf_dir))
+
+
 @query
 def op8_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)

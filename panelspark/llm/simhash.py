@@ -190,7 +190,8 @@ def links(distinct_fps: DataFrame, budget: int = BUDGET, pair_rows: int = PAIR_R
     spark = distinct_fps.sparkSession
 
     def at(depth: int):
-        return F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
+        # in two shifts, as one by 64 bits would shift nothing
+        return F.shiftrightunsigned(F.shiftrightunsigned("fp", 63 - depth), 1) if depth < 64 else F.col("fp")
 
     total = distinct_fps.count()
     pairs = spark.createDataFrame([(0, 0, 0, total, total)], "p long, q long, diff int, n_p long, n_q long")
@@ -199,10 +200,9 @@ def links(distinct_fps: DataFrame, budget: int = BUDGET, pair_rows: int = PAIR_R
         size = F.when(F.col("p") == F.col("q"), F.col("n_p")).otherwise(F.col("n_p") + F.col("n_q"))
         ready = (size <= pair_rows) | F.lit(depth >= 64)
         done = pairs.where(ready)
-        keys = done.select(F.struct("p", "q").alias("pair"), "diff", F.explode(
-            F.when(F.col("p") == F.col("q"), F.array(F.struct(F.col("p").alias("node"), F.lit(False).alias("second"))))
-            .otherwise(F.array(F.struct(F.col("p").alias("node"), F.lit(False).alias("second")), F.struct(F.col("q").alias("node"), F.lit(True).alias("second"))))
-        ).alias("x")).select("pair", "diff", "x.node", "x.second")
+        one, two = (F.struct(F.col(c).alias("node"), F.lit(c == "q").alias("second")) for c in ("p", "q"))
+        sides = F.when(F.col("p") == F.col("q"), F.array(one)).otherwise(F.array(one, two))
+        keys = done.select(F.struct("p", "q").alias("pair"), "diff", F.explode(sides).alias("x")).select("pair", "diff", "x.node", "x.second")
         rows = keys.join(distinct_fps.select("fp", at(depth).alias("node")), "node")
         rows = rows.select(F.col("pair.p").alias("p"), F.col("pair.q").alias("q"), "diff", "second", "fp", F.lit(depth).alias("depth"))
         out.append(rows)
@@ -210,13 +210,12 @@ def links(distinct_fps: DataFrame, budget: int = BUDGET, pair_rows: int = PAIR_R
         if depth >= 64 or rest.isEmpty():
             break
         nodes = distinct_fps.groupBy(at(depth + stride).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-        nodes = nodes.withColumn("up", F.shiftrightunsigned("c", stride) if depth else F.lit(0).cast("long"))
+        nodes = nodes.withColumn("up", F.shiftrightunsigned("c", stride))
         left = nodes.select(F.col("up").alias("p"), F.col("c").alias("c_p"), F.col("n").alias("m_p"))
         right = nodes.select(F.col("up").alias("q"), F.col("c").alias("c_q"), F.col("n").alias("m_q"))
         grown = rest.join(left, "p").join(right, "q").where("p <> q or c_p <= c_q")
-        grown = grown.withColumn("diff", (F.col("diff") + F.when(F.col("p") == F.col("q"), F.bit_count(F.col("c_p").bitwiseXOR(F.col("c_q")))).otherwise(
-            F.bit_count(F.col("c_p").bitwiseAND(F.lit((1 << stride) - 1)).bitwiseXOR(F.col("c_q").bitwiseAND(F.lit((1 << stride) - 1))))
-        )).cast("int")).where(F.col("diff") <= budget)
+        new_bits = F.col("c_p").bitwiseXOR(F.col("c_q")).bitwiseAND(F.lit((1 << stride) - 1))
+        grown = grown.withColumn("diff", (F.col("diff") + F.bit_count(new_bits)).cast("int")).where(F.col("diff") <= budget)
         pairs = materialize(grown.select(F.col("c_p").alias("p"), F.col("c_q").alias("q"), "diff", F.col("m_p").alias("n_p"), F.col("m_q").alias("n_q")), "trie")
         depth += stride
     found = [r.groupBy("p", "q").applyInPandas(lambda pdf: _task_links(pdf, budget), "a long, b long") for r in out]
