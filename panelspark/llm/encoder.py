@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import filterfalse
 
 import numpy as np
 
@@ -15,8 +14,9 @@ from panelspark.llm.words import chunks
 BORDER = re.compile(r"(?<=\S) (?=\S)")
 #: closing marks after a letter or digit are a piece of their own
 CLOSED = re.compile(r"(.*[^\W_])([.,;:!?]+)", re.S)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 CACHE_BYTES = 64_000_000
+ROW_WORDS = 256
 ID = array("I", [0]).itemsize
 
 _open: dict[str, Encoder] = {}
@@ -56,10 +56,12 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def many_words(self, words: list[str], lead: str, borders: np.ndarray) -> list[bytes]:
-        """Ids of ``lead`` + word for each word, from one encoding of them all."""
+        """Ids of ``lead`` + word for each word, from encodings of many in a row."""
         if not words:
             return []
-        ids = np.array(self.ids_of(lead + lead.join(words)), dtype="<u4")
+        rows = [lead + lead.join(words[i : i + ROW_WORDS]) for i in range(0, len(words), ROW_WORDS)]
+        found = self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in found])
         at = (np.flatnonzero(borders[ids]) * ID).tolist()
         assert len(at) == len(words)
         raw = ids.tobytes()
@@ -103,12 +105,15 @@ class Encoder:
         for t in texts:
             words = ("\n" + t).replace("\n", " \n").split(" ")
             del words[0]
-            missing.update(filterfalse(known.__contains__, words))
-            split.append(words)
-        self.learn(missing)
-        for t, words in zip(texts, split):
             got = list(map(known.get, words))
-            if None in got:
+            new = [i for i, ids in enumerate(got) if ids is None]
+            missing.update([words[i] for i in new])
+            split.append((words, got, new))
+        self.learn(missing)
+        for t, (words, got, new) in zip(texts, split):
+            for i in new:
+                got[i] = known.get(words[i])
+            if new and None in got:
                 out.append(self.by_pieces(t) if t else b"")
             else:
                 out.append(b"".join(got)[ID:])
