@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.encoder import ID, encoder
-from panelspark.llm.token_file import default_tokenizer
+from panelspark.llm.token_file import SLICE, default_tokenizer
 
 LENGTHS_PER_BUCKET = 4096
 
@@ -26,7 +26,8 @@ def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[int] = Counter()
         for b in batches:
-            seen.update(len(x) // ID for x in encoder(tokenizer).encode(b.column(0).to_pylist()))
+            for lo in range(0, b.num_rows, SLICE):
+                seen.update(len(x) // ID for x in encoder(tokenizer).encode(b.column(0).slice(lo, SLICE).to_pylist()))
         yield pa.record_batch({"n_tokens": pa.array(list(seen), pa.int64()), "n_docs": pa.array(list(seen.values()), pa.int64())})
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "n_tokens long, n_docs long")

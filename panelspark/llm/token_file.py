@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import in_order
-from panelspark.llm.encoder import encoder
+from panelspark.llm.encoder import ID, encoder
 
 #: bounds of the dictionary sample: documents, bytes of ids taken from each, bytes of the dictionary
 SAMPLE_DOCS = 1000
@@ -32,6 +32,8 @@ SAMPLE_BYTES = 16_384
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 BLOCK_IDS = 1 << 19
+#: rows encoded at once
+SLICE = 256
 END_ID = 0
 
 BLOCKS = (
@@ -101,29 +103,32 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(words), write_content_size=True)
-        # a hash partition may hold several parts; each is numbered and summed on its own
-        state: dict[int, list[int]] = {}
+        # a task may hold several parts, one behind the other; each is numbered and summed on its own
+        part, block, before, held, rows = None, 0, 0, 0, []
         for b in batches:
-            parts, ids = b.column("_part").to_numpy(), b.column("doc_id").to_pylist()
-            encoded = encoder(tokenizer).encode(b.column("text").to_pylist())
-            lo = 0
-            while lo < len(ids):
-                hi, held = lo, 0
-                while hi < len(ids) and parts[hi] == parts[lo] and held < BLOCK_IDS:
-                    held += len(encoded[hi]) // 4 + 1
-                    hi += 1
-                frames = [squeeze.compress(serialize(x, end_id)) for x in encoded[lo:hi]]
-                block, before = state.setdefault(int(parts[lo]), [0, 0])
-                state[int(parts[lo])] = [block + 1, before + held]
-                known = [i for i in ids[lo:hi] if i is not None]
-                row = {
-                    "part": int(parts[lo]), "block": block, "dict_id": dict_id, "first_id": min(known, default=None),
-                    "last_id": max(known, default=None), "before": before, "doc_ids": ids[lo:hi],
-                    "counts": [len(x) // 4 + 1 for x in encoded[lo:hi]],
-                    "offsets": np.concatenate([[0], np.cumsum([len(f) for f in frames])]).tolist(), "payload": b"".join(frames),
-                }
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
-                lo = hi
+            for lo in range(0, b.num_rows, SLICE):
+                some = b.slice(lo, SLICE)
+                encoded = encoder(tokenizer).encode(some.column("text").to_pylist())
+                for p, doc_id, ids in zip(some.column("_part").to_pylist(), some.column("doc_id").to_pylist(), encoded):
+                    if rows and (p != part or held >= BLOCK_IDS):
+                        yield as_block(part, block, before, rows)
+                        block, before, held, rows = block + 1, before + held, 0, []
+                    if p != part:
+                        part, block, before = p, 0, 0
+                    rows.append((doc_id, len(ids) // ID + 1, squeeze.compress(serialize(ids, end_id))))
+                    held += rows[-1][1]
+        if rows:
+            yield as_block(part, block, before, rows)
+
+    def as_block(part: int, block: int, before: int, rows: list[tuple]) -> pa.RecordBatch:
+        ids, counts, frames = zip(*rows)
+        known = [i for i in ids if i is not None]
+        row = {
+            "part": part, "block": block, "dict_id": dict_id, "first_id": min(known, default=None), "last_id": max(known, default=None),
+            "before": before, "doc_ids": ids, "counts": counts,
+            "offsets": np.concatenate([[0], np.cumsum([len(f) for f in frames])]).tolist(), "payload": b"".join(frames),
+        }
+        return pa.RecordBatch.from_pylist([row], schema=schema)
 
     schema = pa.schema(
         [("part", pa.int32()), ("block", pa.int32()), ("dict_id", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()),
