@@ -9,6 +9,7 @@ from panelspark.operators.joins import BROADCAST_BYTES
 from panelspark.operators.ranks import add_buckets
 
 PARTS_PER_TASK = 2
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
@@ -19,6 +20,15 @@ def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``BATCH_BYTES``: rows with whole texts are large."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).rstrip("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def ordered_parts(docs: DataFrame) -> DataFrame:
     """(_part, doc_id, text): part numbers rise with doc_id; a missing id is in a part behind all others.
 

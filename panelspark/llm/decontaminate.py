@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import bounded_broadcast
+from panelspark.llm.common import bounded_broadcast, small_batches
 from panelspark.llm.words import ALNUM, Words, chunks, utf8
 from panelspark.session import materialize
 
@@ -53,7 +53,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
 
     types = items.sparkSession.createDataFrame([], ITEM_WINDOWS).toArrow().schema
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return rows.where("item_id is not null").mapInArrow(run, ITEM_WINDOWS)
+    return small_batches(rows.where("item_id is not null")).mapInArrow(run, ITEM_WINDOWS)
 
 
 def hash_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -91,7 +91,7 @@ def shingle_counts(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS)
 
     if not sizes:
         return docs.sparkSession.createDataFrame([], "h long, n long")
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, n long")
+    counted = small_batches(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(run, "h long, n long")
     sums = counted.groupBy("h").agg(F.sum("n").alias("n"))
     return sums.join(wanted.select("h").distinct(), "h")
 
@@ -128,7 +128,7 @@ def _candidates(docs: DataFrame, prefix: DataFrame, window: int, bits: int) -> D
     types = docs.sparkSession.createDataFrame([], CANDIDATES).toArrow().schema
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    return rows.mapInArrow(run, CANDIDATES)
+    return small_batches(rows).mapInArrow(run, CANDIDATES)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, bits: int = FILTER_BITS) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.common import small_batches
+
 #: bounds of the training sample: rows per language, code points of all languages together
 TRAIN_ROWS = 200
 TRAIN_CHARS = 160_000
@@ -227,5 +229,5 @@ def predict_language(docs: DataFrame, model: CrossParser) -> DataFrame:
                 yield pa.record_batch({"doc_id": b.column("doc_id").slice(lo, 512), "lang_pred": lang, "score": pa.array(score, pa.float64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = small_batches(rows).mapInArrow(run, "doc_id long, lang_pred string, score double")
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.common import small_batches
 from panelspark.llm.words import ALNUM, utf8
 
 #: phrase -> label; places where exactly these words stand consecutively
@@ -166,4 +167,4 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, notice
 
     types = docs.sparkSession.createDataFrame([], SCAN).toArrow().schema
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCAN)
+    return small_batches(rows).mapInArrow(run, SCAN)

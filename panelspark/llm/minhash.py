@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import dealt_in_order, ordered_parts
+from panelspark.llm.common import dealt_in_order, ordered_parts, small_batches
 from panelspark.llm.components import components
 from panelspark.llm.words import ALNUM, Words, chunks, utf8
 from panelspark.session import materialize
@@ -150,7 +150,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         )
 
     types = docs.sparkSession.createDataFrame([], EDITED).toArrow().schema
-    return dealt.mapInArrow(run, EDITED)
+    return small_batches(dealt).mapInArrow(run, EDITED)
 
 
 def _guests(rows: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def signature_rows(docs: DataFrame, n: int = PERMUTATIONS, seed: int = SEED, k:
     schema = "doc_id long, set_hash string, shingles array<long>, signature binary"
     types = docs.sparkSession.createDataFrame([], schema).toArrow().schema
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = PERMUTATIONS, bands: int = BANDS, k: int = SHINGLE) -> DataFrame:

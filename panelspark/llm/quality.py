@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.common import small_batches
 from panelspark.llm.words import chunks, utf8
 
 #: bounds of the training sample: labelled documents, and lines taken from each
@@ -192,7 +193,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DO
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = texts.join(F.broadcast(named), "doc_id").dropDuplicates(["doc_id"]).select("text", "label")
-    rows = sorted((r["label"], bytes(r["x"])) for r in sample.mapInArrow(run, "label int, x binary").collect())
+    rows = sorted((r["label"], bytes(r["x"])) for r in small_batches(sample).mapInArrow(run, "label int, x binary").collect())
     xs = [np.frombuffer(r[1], dtype=np.float32).reshape(-1, FEATURES).astype(float) for r in rows]
     if not xs:
         return fit_field(np.zeros((0, FEATURES)), np.zeros(0, int), np.zeros(0, int))
@@ -212,7 +213,7 @@ def score_quality(docs: DataFrame, field: LineField, threshold: float = THRESHOL
             yield pa.record_batch({"doc_id": b.column("doc_id"), "score": pa.array(score, pa.float64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = small_batches(rows).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -223,4 +224,4 @@ def keep_good(docs: DataFrame, field: LineField, threshold: float = THRESHOLD) -
         for b in batches:
             yield b.filter(pa.array(field.scores(b.column("text").to_pylist()) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.llm.common import small_batches
 from panelspark.llm.components import components
 from panelspark.llm.words import LOWER, utf8
 from panelspark.session import materialize
@@ -62,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return small_batches(rows).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _levels(sorted_fps: np.ndarray, depth: int, leaf: int):

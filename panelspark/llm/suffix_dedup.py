@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import bounded_broadcast, shuffle_parts
+from panelspark.llm.common import bounded_broadcast, shuffle_parts, small_batches
 from panelspark.llm.suffix import equal_classes
 from panelspark.llm.words import chunks, mix, prefix_hash, range_hash, utf8
 from panelspark.session import materialize
@@ -29,6 +29,8 @@ SHARD_BYTES = 1 << 21
 SHARD_SPANS = 1 << 13
 #: strings of one merge task
 MERGE_ROWS = 1 << 16
+#: spans that a task compares before they leave it
+HELD_SPANS = 1 << 20
 LAST = (1 << 63) - 1
 
 SPANS = "key long, span long, doc long, tie long, at long"
@@ -113,33 +115,38 @@ def _spans(texts: DataFrame, width: int, gram: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for b in batches:
             doc, tie = b.column("doc").to_numpy(), b.column("tie").to_numpy()
             texts = [utf8(t) for t in b.column("text").to_pylist()]
-            parts = []
             for lo, hi in chunks(texts, len, 1 << 18):
                 owner, *rest = runs(texts[lo:hi], width, gram)
-                parts.append((owner + lo, *rest))
-            if not parts:
-                continue
-            owner, first, last, place, key, span = map(np.concatenate, zip(*parts))
-            order = np.lexsort((first, tie[owner], doc[owner], span, key))
-            owner, first, last, place, key, span = (x[order] for x in (owner, first, last, place, key, span))
-            d, t = doc[owner], tie[owner]
-            new = np.ones(len(d), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (span[1:] != span[:-1])
-            head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(d) else owner
-            again = ~((d == d[head]) & (t == t[head]) & (first == first[head]))
-            keep = ~again
-            yield pa.record_batch(
-                {"key": key[keep].view(np.int64), "span": span[keep].view(np.int64), "doc": d[keep], "tie": t[keep], "at": pack(first[keep], last[keep], place[keep])}
-            )
-            who, start, stop = merged(owner[again], first[again], last[again] + width)
-            if len(who):
-                spread = mix(doc[who].view(np.uint64) + np.uint64(7)).view(np.int64)
-                yield pa.record_batch({"key": spread, "span": stop, "doc": doc[who], "tie": tie[who], "at": -1 - start})
-
-    return texts.select("doc", "tie", "text").mapInArrow(run, SPANS)
+                parts.append((doc[owner + lo], tie[owner + lo], *rest))
+                size += len(owner)
+            if size >= HELD_SPANS:
+                yield from seen(parts)
+                parts, size = [], 0
+        if parts:
+            yield from seen(parts)
+
+    def seen(parts: list) -> Iterator[pa.RecordBatch]:
+        d, t, first, last, place, key, span = map(np.concatenate, zip(*parts))
+        order = np.lexsort((first, t, d, span, key))
+        d, t, first, last, place, key, span = (x[order] for x in (d, t, first, last, place, key, span))
+        new = np.ones(len(d), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (span[1:] != span[:-1])
+        head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(d) else order
+        again = ~((d == d[head]) & (t == t[head]) & (first == first[head]))
+        keep = ~again
+        yield pa.record_batch(
+            {"key": key[keep].view(np.int64), "span": span[keep].view(np.int64), "doc": d[keep], "tie": t[keep], "at": pack(first[keep], last[keep], place[keep])}
+        )
+        if again.any():
+            doc, tie, start, stop = _joined_runs(d[again], t[again], first[again], last[again] + width)
+            spread = mix(doc.view(np.uint64) + np.uint64(7)).view(np.int64)
+            yield pa.record_batch({"key": spread, "span": stop, "doc": doc, "tie": tie, "at": -1 - start})
+
+    return small_batches(texts.select("doc", "tie", "text")).mapInArrow(run, SPANS)
 
 
 def _first_spans(spans: DataFrame, width: int) -> DataFrame:
@@ -187,7 +194,7 @@ def _first_spans(spans: DataFrame, width: int) -> DataFrame:
         return pa.record_batch({"doc": doc, "tie": tie, "key": key, "start": start, "stop": stop, "need": np.full(len(doc), need)})
 
     dealt = spans.repartition(shuffle_parts(spans), "key").sortWithinPartitions("key", "span", "doc", "tie", "at")
-    return dealt.mapInArrow(run, FOUND)
+    return small_batches(dealt).mapInArrow(run, FOUND)
 
 
 SHARED = "key long, doc long, tie long, start long, bytes binary"
@@ -228,7 +235,7 @@ def _shared_text(texts: DataFrame, wanted: DataFrame, width: int, gram: int) ->
         key, doc, tie, start = (np.concatenate([r[c] for r in rows]) for c in range(4))
         return pa.record_batch({"key": key, "doc": doc, "tie": tie, "start": start, "bytes": [x for r in rows for x in r[4]]})
 
-    return texts.join(bounded_broadcast(wanted), ["doc", "tie"]).select("doc", "tie", "text", "ats").mapInArrow(run, SHARED)
+    return small_batches(texts.join(bounded_broadcast(wanted), ["doc", "tie"]).select("doc", "tie", "text", "ats")).mapInArrow(run, SHARED)
 
 
 def shard_classes(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, pieces: list[bytes], width: int):
@@ -257,18 +264,22 @@ def _later(classes, doc, tie, pos):
     return new, ~((doc == doc[head]) & (tie == tie[head]) & (pos == pos[head]))
 
 
-def _intervals(doc, tie, pos, width):
-    """Merged intervals of single strings."""
+def _joined_runs(doc, tie, start, stop):
+    """Intervals of documents, those that touch made one."""
+    order = np.lexsort((start, tie, doc))
+    doc, tie, start, stop = doc[order], tie[order], start[order], stop[order]
     code = np.zeros(len(doc), dtype=np.int64)
-    if len(doc):
-        order = np.lexsort((pos, tie, doc))
-        doc, tie, pos = doc[order], tie[order], pos[order]
-        code[1:] = np.cumsum((doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]))
-    who, start, stop = merged(code, pos, pos + width)
+    code[1:] = np.cumsum((doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]))
+    who, start, stop = merged(code, start, stop)
     at = np.searchsorted(code, who)
     return doc[at], tie[at], start, stop
 
 
+def _intervals(doc, tie, pos, width):
+    """Merged intervals of single strings."""
+    return _joined_runs(doc, tie, pos, pos + width)
+
+
 SHARDED = "doc long, tie long, start long, stop long, key long, shard int, string binary"
 
 
@@ -328,7 +339,7 @@ def _sharded(shared: DataFrame, width: int, shard_bytes: int, shard_spans: int)
             yield from flush(*(np.concatenate([h[c] for h in held]) for c in range(5)), [p for h in held for p in h[5]])
 
     dealt = rows.repartition(shuffle_parts(rows), "key", "salt").sortWithinPartitions("key", "salt", "doc", "tie", "start")
-    return dealt.mapInArrow(run, SHARDED)
+    return small_batches(dealt).mapInArrow(run, SHARDED)
 
 
 def merge_shards(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
@@ -390,7 +401,7 @@ def removed_intervals(
     for p in parts[1:]:
         every = every.unionByName(p.select("doc", "tie", "start", "stop"))
     every = every.repartition(shuffle_parts(texts), "doc", "tie").sortWithinPartitions("doc", "tie", "start")
-    return every.mapInArrow(_joined, "doc long, tie long, starts array<long>, stops array<long>")
+    return small_batches(every).mapInArrow(_joined, "doc long, tie long, starts array<long>, stops array<long>")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,7 +463,7 @@ def kept_bytes(docs: DataFrame, **kw) -> DataFrame:
             kept = [_kept(*x) for x in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "stops")))]
             yield pa.record_batch({"doc_id": b.column("doc_id"), "kept": pa.array(kept, pa.binary()), "starts": b.column("starts"), "stops": b.column("stops")})
 
-    return _with_spans(docs, **kw).mapInArrow(run, KEPT)
+    return small_batches(_with_spans(docs, **kw)).mapInArrow(run, KEPT)
 
 
 def repeat_digests(docs: DataFrame, **kw) -> DataFrame:
@@ -467,4 +478,4 @@ def repeat_digests(docs: DataFrame, **kw) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(types.names, r)) for r in rows], schema=types)
 
     types = docs.sparkSession.createDataFrame([], DIGEST).toArrow().schema
-    return _with_spans(docs, **kw).mapInArrow(run, DIGEST)
+    return small_batches(_with_spans(docs, **kw)).mapInArrow(run, DIGEST)

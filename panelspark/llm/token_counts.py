@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.llm.common import small_batches
 from panelspark.llm.encoder import ID, encoder
 from panelspark.llm.token_file import SLICE, default_tokenizer
 
@@ -30,7 +31,7 @@ def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
                 seen.update(len(x) // ID for x in encoder(tokenizer).encode(b.column(0).slice(lo, SLICE).to_pylist()))
         yield pa.record_batch({"n_tokens": pa.array(list(seen), pa.int64()), "n_docs": pa.array(list(seen.values()), pa.int64())})
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "n_tokens long, n_docs long")
+    counted = small_batches(docs.select(F.col("text").cast("string"))).mapInArrow(run, "n_tokens long, n_docs long")
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import in_order
+from panelspark.llm.common import in_order, small_batches
 from panelspark.llm.encoder import ID, encoder
 
 #: bounds of the dictionary sample: documents, bytes of ids taken from each, bytes of the dictionary
@@ -63,7 +63,7 @@ def train_dictionary(
 
     picked = docs.select(F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
     picked = picked.orderBy(F.xxhash64("text"), "text").limit(sample_docs)
-    samples = [bytes(r[0]) for r in picked.mapInArrow(run, "ids binary").collect()]
+    samples = [bytes(r[0]) for r in small_batches(picked).mapInArrow(run, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -135,7 +135,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
          ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
          ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())]
     )
-    blocks = in_order(docs).mapInArrow(run, BLOCKS)
+    blocks = small_batches(in_order(docs)).mapInArrow(run, BLOCKS)
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     stored = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     held = F.col("before") + F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
@@ -173,7 +173,7 @@ def _decoded(spark: SparkSession, path: str, blocks: DataFrame, schema: str, row
                 yield pa.RecordBatch.from_pylist(out, schema=types)
 
     parts = spark.read.schema("part int, start long").parquet(f"{path}/parts")
-    return blocks.join(F.broadcast(parts), "part").mapInArrow(run, schema)
+    return small_batches(blocks.join(F.broadcast(parts), "part")).mapInArrow(run, schema)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
