@@ -69,9 +69,11 @@ def select_columns_containing(df: DataFrame, fragments: list[str], without: list
 
 
 def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column, n_null) for each column plus a ``__total__`` row, from one scan."""
+    """(column, n_null) for each column plus a ``__total__`` row, from one scan; NaN counts as missing."""
     cols = list(cols or df.columns)
-    one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+    fractional = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    gone = {c: F.col(c).isNull() | F.isnan(c) if c in fractional else F.col(c).isNull() for c in cols}
+    one = df.agg(*[F.count_if(gone[c]).alias(c) for c in cols])
     total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
     cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("n_null")) for c in cols]
     cells.append(F.struct(F.lit("__total__").alias("column"), total.alias("n_null")))

@@ -41,8 +41,8 @@ def threshold_eval_log(df: DataFrame, label: str, score: str, rnd: str, cutoff:
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Exact ROC AUC from average ranks of the distinct scores."""
-    r = column_ranks(df, [score], split={"n1": F.col(label) == 1})
+    """Exact ROC AUC from average ranks of the distinct scores; rows without a label are left out."""
+    r = column_ranks(df.where(F.col(label).isNotNull()), [score], split={"n1": F.col(label) == 1})
     n1 = F.col("n1").cast("double")
     s = r.agg(F.sum("cnt").cast("double").alias("n"), F.sum(n1).alias("p"), F.sum(n1 * F.col("avg_rank")).alias("rs"))
     p, n = F.col("p"), F.col("n")

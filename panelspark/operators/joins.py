@@ -2,48 +2,44 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 16 * 1024 * 1024
 HOT_ROWS = 5_000_000
-MAX_HOT_KEYS = 100_000
-
-_WIDTHS = {T.StringType: 40, T.BinaryType: 100}
-
 
-def row_width(schema: T.StructType) -> int:
-    """Rough bytes per row; only used to turn a byte bound into a row bound."""
-    total = 8
-    for f in schema.fields:
-        d = f.dataType
-        if isinstance(d, (T.ArrayType, T.MapType, T.StructType)) or "Vector" in type(d).__name__:
-            total += 512
-        else:
-            total += _WIDTHS.get(type(d), 8)
+def value_bytes(table: DataFrame) -> Column:
+    """Bytes that the values of a row take, as an expression."""
+    total = F.lit(8 * (len(table.columns) + 1)).cast("long")
+    for f in table.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f.name)))), F.lit(0))
+        elif not isinstance(f.dataType, T.AtomicType):
+            total = total + F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0))
     return total
 
 
 def fetch_bounded(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
-    """``table`` as a local relation when it is within the byte bound, else None."""
-    cap = max(1, max_bytes // row_width(table.schema))
-    local = table.limit(cap + 1).toArrow()
-    if local.num_rows > cap:
+    """``table`` as a local relation when the bytes of its values, counted first, are within the bound, else None."""
+    # no row takes less than its fixed part, so more rows than this are too many without reading their values
+    cap = max(1, max_bytes // (8 * (len(table.columns) + 1)))
+    head = table.limit(cap + 1)
+    rows, size = head.agg(F.count(F.lit(1)), F.coalesce(F.sum(value_bytes(table)), F.lit(0))).first()
+    if rows > cap or size > max_bytes:
         return None
-    return table.sparkSession.createDataFrame(local, schema=table.schema)
+    return table.sparkSession.createDataFrame(table.toArrow(), schema=table.schema)
 
 
 def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The largest keys with more than ``hot_rows`` rows, at most MAX_HOT_KEYS of them.
+    """The keys with more than ``hot_rows`` rows: at most one per ``hot_rows`` rows of ``df``.
 
     Returns a local DataFrame (on..., n_rows) or None when no key is hot.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > hot_rows)
-    # a key outside the largest MAX_HOT_KEYS holds at most n / MAX_HOT_KEYS rows, which is no longer a hot one
-    local = counts.orderBy(F.desc("n_rows")).limit(MAX_HOT_KEYS).toArrow()
+    local = counts.toArrow()
     if local.num_rows == 0:
         return None
     return df.sparkSession.createDataFrame(local, schema=counts.schema)
@@ -54,10 +50,10 @@ def salted_join(rows: DataFrame, table: DataFrame, on: list[str], hot: DataFrame
 
     The matching rows of ``table`` are repeated once per salt, for hot keys only.
     """
-    biggest = hot.agg(F.max("n_rows")).first()[0]
-    salts = max(8, min(4096, math.ceil(biggest / HOT_ROWS)))
-    marks = F.broadcast(hot.select(*on, F.lit(salts).alias("_salts")))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int")
+    # each key gets the salts its own rows need
+    marks = F.broadcast(hot.select(*on, F.greatest(F.lit(8), F.ceil(F.col("n_rows") / HOT_ROWS)).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(4096))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), salts).cast("int")
     missing = F.lit(False)
     for k in on:
         missing = missing | F.col(k).isNull()

@@ -13,15 +13,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.hashing import hash_long, hash_unit, order_hash
+from panelspark.functions.hashing import hash_bucket, hash_long, hash_unit, order_hash
 from panelspark.operators.neighbors import knn_join
-from panelspark.operators.sampling import class_counts, draw_rows, mark_sample
+from panelspark.operators.ranks import prefix_sums
+from panelspark.operators.sampling import class_counts, draw_rows, labelled, mark_sample
 from panelspark.session import materialize
 
 K_NEIGHBORS = 5
 M_NEIGHBORS = 10
 MAX_CLUSTERS = 10_000
-MAX_CODES = 1_000_000
 _REPEAT_STEP = 65_536
 
 
@@ -31,7 +31,7 @@ def _shortfall(counts: dict) -> dict:
 
 
 def _original(df: DataFrame) -> DataFrame:
-    return df.select("id", "vec", "label").withColumn("synthetic", F.lit(False))
+    return labelled(df, "label").select("id", "vec", "label").withColumn("synthetic", F.lit(False))
 
 
 def _class_neighbors(df: DataFrame, c: object, k: int, **kw) -> DataFrame:
@@ -66,7 +66,7 @@ def _seed_table(df: DataFrame, seeds: DataFrame, nn: DataFrame, nominal_from: in
         return out
     votes = (
         far.select("id", F.explode("far").alias("_v"))
-        .select("id", F.posexplode(F.slice("_v", nominal_from + 1, MAX_CODES)).alias("at", "v"))
+        .select("id", F.posexplode(F.slice("_v", F.lit(nominal_from + 1), F.greatest(F.size("_v") - nominal_from, F.lit(0)))).alias("at", "v"))
         .groupBy("id", "at", "v")
         .agg(F.count(F.lit(1)).alias("cnt"))
         .groupBy("id", "at")
@@ -190,6 +190,7 @@ def over_adasyn(df: DataFrame, seed: int = 42, k: int = K_NEIGHBORS, **kw) -> Da
 
 def under_random(df: DataFrame, seed: int = 42) -> DataFrame:
     """Every class cut to the size of the smallest, first rows in hash order."""
+    df = labelled(df, "label")
     low = min(class_counts(df, "label").values())
     return mark_sample(df, "id", ["label"], F.least(F.col("_n"), F.lit(low)), "_t", seed).where("_t").drop("_t")
 
@@ -206,6 +207,7 @@ def tomek_links(df: DataFrame, **kw) -> DataFrame:
 
 def under_tomek(df: DataFrame, **kw) -> DataFrame:
     """Drop the members of Tomek links that do not belong to the smallest class."""
+    df = labelled(df, "label")
     counts = class_counts(df, "label")
     minority = min(counts, key=lambda c: (counts[c], str(c)))
     doomed = tomek_links(df, **kw).select("id")
@@ -240,6 +242,7 @@ def under_centroids(df: DataFrame, seed: int = 42, clusters: int | None = None)
 
 def under_one_sided(df: DataFrame, seed: int = 42, **kw) -> DataFrame:
     """Keep the smallest class, one seed row per other class and the rows 1-NN gets wrong; then Tomek removal."""
+    df = labelled(df, "label")
     counts = class_counts(df, "label")
     minority = min(counts, key=lambda c: (counts[c], str(c)))
     small = df.where(F.col("label") == F.lit(minority))
@@ -273,11 +276,13 @@ def rebalance(df: DataFrame, types: str, over: str | None = None, under: str | N
     out = df
     if types in ("over", "both"):
         grown = OVER[over](out, **kw)
-        # original ids are kept; synthetic rows get ids from their content, beyond the original range
+        # original ids are kept; synthetic rows follow them without gaps, in hash order of their content
         top = df.agg(F.max("id")).first()[0]
-        fresh = hash_long(order_hash(F.to_json("vec"), F.col("label"), F.col("_n"))) + F.lit(top + 1)
         dup = grown.where("synthetic").groupBy("vec", "label").agg(F.count(F.lit(1)).alias("n"))
-        made = repeat_rows(dup, "n").withColumnRenamed("draw", "_n").select(fresh.alias("id"), "vec", "label")
+        dup = dup.withColumn("_h", order_hash(F.to_json("vec"), F.col("label")))
+        dup = prefix_sums(dup.withColumn("_hb", hash_bucket(F.col("_h"))), F.col("_h"), {"n": F.col("n")}, [], "_hb")
+        fresh = F.col("before_n") + F.col("draw") + F.lit(top + 1)
+        made = repeat_rows(materialize(dup, "synthetic"), "n").select(fresh.alias("id"), "vec", "label")
         out = grown.where("not synthetic").select("id", "vec", "label").unionByName(made)
     if types in ("under", "both"):
         out = UNDER[under](out)

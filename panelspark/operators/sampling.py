@@ -51,8 +51,8 @@ def mark_sample(
 
 
 def stratified_split(df: DataFrame, label: str, row_id: str, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``role`` (train or test): round(test * n) rows of each class are test rows."""
-    out = mark_sample(df, row_id, [label], F.round(F.lit(test) * F.col("_n")), "_t", seed)
+    """Add ``role`` (train or test): round(test * n) rows of each class are test rows; rows without a label go."""
+    out = mark_sample(labelled(df, label), row_id, [label], F.round(F.lit(test) * F.col("_n")), "_t", seed)
     return out.withColumn("role", F.when(F.col("_t"), "test").otherwise("train")).drop("_t")
 
 
@@ -77,8 +77,9 @@ def stratified_kfold(df: DataFrame, label: str, row_id: str, k: int = 10) -> Dat
     """Add ``fold``: the fold in which the row is a test row; rows stay in order, nothing is shuffled.
 
     Classes are laid end to end by first appearance; fold i gets as many rows of a class as the
-    class has positions congruent to i modulo k, and takes them as one run in row order.
+    class has positions congruent to i modulo k, and takes them as one run in row order. Rows without a label go.
     """
+    df = labelled(df, label)
     classes = df.groupBy(label).agg(F.min(row_id).alias("_first"), F.count(F.lit(1)).alias("_n"))
     # one row per class
     seq = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,9 +108,14 @@ def nested_holdout_kfold(
     return train.unionByName(held)
 
 
+def labelled(df: DataFrame, label: str) -> DataFrame:
+    """Rows whose label is known; a missing one is no class of its own."""
+    return df.where(F.col(label).isNotNull())
+
+
 def class_counts(df: DataFrame, label: str) -> dict:
-    """Rows per class, largest first."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).collect()
+    """Rows per class, largest first; one row per class comes to the driver."""
+    rows = labelled(df, label).groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).collect()
     return {r[label]: r["n"] for r in rows}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.functions.scalar import null_if_nan
 from panelspark.operators.joins import attach_one_row
 from panelspark.operators.ranks import exact_quantiles
 
@@ -12,7 +13,8 @@ KINDS = ("standard", "minmax", "robust")
 
 
 def fit_scaler(df: DataFrame, cols: list[str], kind: str) -> DataFrame:
-    """One row with ``{c}__center`` and ``{c}__scale``; a zero scale becomes 1."""
+    """One row with ``{c}__center`` and ``{c}__scale``; a zero scale becomes 1 and NaN is left out."""
+    df = df.withColumns({c: null_if_nan(F.col(c)) for c in cols if dict(df.dtypes)[c] in ("float", "double")})
     if kind == "standard":
         pairs = {c: (F.avg(c), F.stddev_pop(c)) for c in cols}
         source = df

@@ -6,7 +6,7 @@ Every test returns one row per column (or pair) and group with ``statistic`` and
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import reduce, wraps
 from itertools import combinations
 
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import special
-from panelspark.functions.scalar import correlation
+from panelspark.functions.scalar import correlation, null_if_nan
 from panelspark.operators.joins import attach_small
 from panelspark.operators.ranks import add_buckets, column_ranks, exact_quantiles, prefix_sums
 from panelspark.operators.synth import spearman_wide
@@ -76,8 +76,11 @@ def test_ks_normal(df: DataFrame, cols: list[str], group: str, at_least: int = S
 
 
 def test_dagostino(df: DataFrame, cols: list[str], group: str) -> DataFrame:
-    """K squared: skewness and kurtosis z-scores, squared and added; chi-square with 2 degrees."""
-    m = moments(df, cols, group).where(F.col("n") >= 8)
+    """K squared: skewness and kurtosis z-scores, squared and added; chi-square with 2 degrees.
+
+    Null below eight values, where the approximation of the kurtosis does not hold.
+    """
+    m = moments(df, cols, group).withColumn("n", F.when(F.col("n") >= 8, F.col("n")))
     n, g1, g2 = F.col("n"), F.col("g1"), F.col("g2")
     y = g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
     beta2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
@@ -109,9 +112,9 @@ def test_anderson(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     # every row is weighted by its count, so the moments come from the same counted table
     fit = cells(df, cols, [group]).groupBy("column", group).agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
     z = attach_small(r, fit, ["column", group]).withColumn("_z", F.try_divide(F.col("value") - F.col("_m"), F.col("_s")))
-    z = z.withColumns({"_lo": special.normal_cdf_col(F.col("_z")), "_hi": special.normal_cdf_col(-F.col("_z"))})
+    z = z.withColumns({"_lo": special.log_normal_cdf_col(F.col("_z")), "_hi": special.log_normal_cdf_col(-F.col("_z"))})
     n, b, c = (F.col(x).cast(D) for x in ("total", "before", "cnt"))
-    term = c * (2 * b + c) * F.log("_lo") + c * (2 * n - 2 * b - c) * F.log("_hi")
+    term = c * (2 * b + c) * F.col("_lo") + c * (2 * n - 2 * b - c) * F.col("_hi")
     s = z.groupBy("column", group).agg(F.sum(term / n).alias("_t"), F.max(n).alias("n"))
     s = s.withColumn("statistic", -F.col("n") - F.col("_t"))
     levels = F.array(
@@ -489,6 +492,21 @@ def significance_report(df: DataFrame, cols: list[str], label: str) -> DataFrame
     return reduce(DataFrame.unionByName, [_verdict(t(df, cols, label), n, None, lo, hi) for t, n, lo, hi in tests])
 
 
+def _over_labelled(f):
+    """Leave out rows without a group or label, and read NaN as missing."""
+
+    @wraps(f)
+    def run(df: DataFrame, cols: list[str], group: str, *args, **kw) -> DataFrame:
+        kinds = dict(df.dtypes)
+        df = df.where(F.col(group).isNotNull())
+        return f(df.withColumns({c: null_if_nan(F.col(c)) for c in cols if kinds[c] in ("float", "double")}), cols, group, *args, **kw)
+
+    return run
+
+
+for _n in [n for n in globals() if n.startswith(("test_", "label_")) or n.endswith("_report") or n == "t_statistics"]:
+    globals()[_n] = _over_labelled(globals()[_n])
+
 for _f in list(globals().values()):
     # names starting with test_ are operators here, not pytest cases
     if callable(_f) and getattr(_f, "__name__", "").startswith("test_"):

@@ -7,9 +7,10 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA, LocalLDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Word2Vec
+from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators.clean import NO_TEXT
@@ -44,36 +45,59 @@ def token_id(token: Column, id_range: int = ID_RANGE) -> Column:
     return F.pandas_udf(run, "int")(token)
 
 
+def bag(tokens: Column, id_range: int = ID_RANGE) -> Column:
+    """The bag of one row: array of (token_id, cnt) in id order. Nothing leaves the row, so nothing is shuffled."""
+
+    def run(rows: pd.Series) -> pd.Series:
+        size = rows.map(lambda r: 0 if r is None else len(r)).to_numpy(dtype=int)
+        words = np.concatenate([r for r in rows if r is not None and len(r)] or [np.array([], dtype=object)])
+        codes, distinct = pd.factorize(words)
+        ids = np.array([zlib.adler32(w.encode()) % id_range for w in distinct] or [0], dtype="int64")[codes]
+        found, counts = np.unique(np.repeat(np.arange(len(rows)), size) * id_range + ids, return_counts=True)
+        cuts = np.searchsorted(found // id_range, np.arange(1, len(rows)))
+        pairs = zip(np.split(found % id_range, cuts), np.split(counts, cuts))
+        return pd.Series([[{"token_id": int(i), "cnt": int(c)} for i, c in zip(a, b)] for a, b in pairs])
+
+    return F.pandas_udf(run, "array<struct<token_id:int,cnt:bigint>>")(tokens)
+
+
 def hashed_bow(df: DataFrame, doc: str, tokens: str, id_range: int = ID_RANGE) -> DataFrame:
-    """(doc, token_id, cnt) in long form; counted per token before hashing, so each token is hashed once per document."""
-    counts = df.select(doc, F.explode(tokens).alias("_t")).groupBy(doc, "_t").agg(F.count(F.lit(1)).alias("_c"))
-    return counts.withColumn("token_id", token_id(F.col("_t"), id_range)).groupBy(doc, "token_id").agg(
-        F.sum("_c").alias("cnt")
-    )
+    """(doc, token_id, cnt) in long form, one row per id of a document."""
+    return df.select(doc, F.explode(bag(F.col(tokens), id_range)).alias("_b")).select(doc, "_b.token_id", "_b.cnt")
+
+
+def bag_vectors(df: DataFrame, tokens: str, out: str = "_bow", id_range: int = ID_RANGE) -> DataFrame:
+    """Add the hashed bag as a sparse vector over the whole id range; every token counts."""
+    sparse = F.udf(lambda b: Vectors.sparse(id_range, [(x.token_id, float(x.cnt)) for x in b]), VectorUDT())
+    return df.withColumn(out, sparse(bag(F.col(tokens), id_range)))
 
 
 def lda_fit(df: DataFrame, tokens: str, vec_size: int = 4, path: str | None = None, seed: int = 42, max_iter: int = 10):
-    """(vocabulary model, topic model); both are saved under ``path`` when given."""
-    bow = CountVectorizer(inputCol=tokens, outputCol="_bow", vocabSize=ID_RANGE).fit(df)
-    model = LDA(k=vec_size, seed=seed, maxIter=max_iter, featuresCol="_bow").fit(bow.transform(df))
+    """The topic model over hashed bags; each of the ``max_iter`` passes sees every document.
+
+    A model that was saved under ``path`` is loaded and used again; a new one is saved there.
+    """
+    if path and (model := lda_load(df.sparkSession, path)) is not None:
+        return model
+    rows = bag_vectors(df.select(tokens), tokens)
+    model = LDA(k=vec_size, seed=seed, maxIter=max_iter, featuresCol="_bow", subsamplingRate=1.0).fit(rows)
     if path:
-        bow.write().overwrite().save(f"{path}/vocabulary")
         model.write().overwrite().save(f"{path}/topics")
-    return bow, model
+    return model
 
 
-def lda_load(path: str):
-    return CountVectorizerModel.load(f"{path}/vocabulary"), LocalLDAModel.load(f"{path}/topics")
+def lda_load(spark: SparkSession, path: str) -> LocalLDAModel | None:
+    """The model saved under ``path``, or None."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/topics/metadata/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return LocalLDAModel.load(f"{path}/topics")
 
 
-def topic_words(bow, model, n: int = 10) -> DataFrame:
-    """(topic, place, word, weight): the n heaviest words of each topic."""
+def topic_ids(model, n: int = 10) -> DataFrame:
+    """(topic, place, token_id, weight): the n heaviest ids of each topic."""
     top = model.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("place", "z"))
-    used = {i for row in model.describeTopics(n).select("termIndices").collect() for i in row[0]}
-    words = top.sparkSession.createDataFrame([(i, bow.vocabulary[i]) for i in sorted(used)], "_i int, word string")
-    return top.join(F.broadcast(words), F.col("z.termIndices") == F.col("_i")).select(
-        "topic", "place", "word", F.col("z.termWeights").alias("weight")
-    )
+    return top.select("topic", "place", F.col("z.termIndices").alias("token_id"), F.col("z.termWeights").alias("weight"))
 
 
 def spread_missing(topics: Column, floor: float = TOPIC_FLOOR) -> Column:
@@ -84,16 +108,16 @@ def spread_missing(topics: Column, floor: float = TOPIC_FLOOR) -> Column:
     return F.transform(kept, lambda p: F.when(p == 0, (1 - held) / gone).otherwise(p))
 
 
-def lda_vectors(df: DataFrame, tokens: str, models, out: str) -> DataFrame:
-    bow, model = models
-    scored = model.transform(bow.transform(df))
+def lda_vectors(df: DataFrame, tokens: str, model: LocalLDAModel, out: str) -> DataFrame:
+    scored = model.transform(bag_vectors(df, tokens))
     return scored.withColumn(out, spread_missing(vector_to_array("topicDistribution"))).select(*df.columns, out)
 
 
-def doc_embedding(df: DataFrame, tokens: str, out: str, vec_size: int = 4, window: int = 3, seed: int = 42, min_count: int = 5) -> DataFrame:
-    """Mean of word vectors per document."""
+def doc_embedding(df: DataFrame, tokens: str, out: str, vec_size: int = 4, window: int = 3, seed: int = 42, min_count: int = 1) -> DataFrame:
+    """Mean of word vectors per document, trained in as many tasks as a shuffle has; words below ``min_count`` are left out."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     model = Word2Vec(
-        vectorSize=vec_size, windowSize=window, seed=seed, minCount=min_count, inputCol=tokens, outputCol="_emb"
+        vectorSize=vec_size, windowSize=window, seed=seed, minCount=min_count, numPartitions=tasks, inputCol=tokens, outputCol="_emb"
     ).fit(df)
     return model.transform(df).withColumn(out, vector_to_array("_emb")).drop("_emb")
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from panelspark.session import scratch_dir
 
+#: coordinates of ``embeddings``
+DIM = 64
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -79,14 +82,14 @@ class Tables:
     @cached_property
     def matrix(self) -> DataFrame:
         return self.embeddings.select(
-            F.col("vec_id").alias("row_id"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)], "label"
+            F.col("vec_id").alias("row_id"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(DIM)], "label"
         )
 
     @cached_property
     def vectors(self) -> DataFrame:
         """(id, vec, label) with class 1 for label 0, about one row in ten."""
         return self.embeddings.select(
-            F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("vec"),
+            F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"),
             (F.col("label") == 0).cast("int").alias("label"),
         )
 
@@ -134,11 +137,11 @@ STAT = (
 )
 MATRIX = (
     "matrix AS (SELECT vec_id AS row_id, "
-    + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8))
+    + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(DIM))
     + ", label FROM embeddings)"
 )
 VECTORS = (
-    "vectors AS (SELECT vec_id AS id, embedding[1:8]::DOUBLE[] AS vec, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label FROM embeddings)"
+    "vectors AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label FROM embeddings)"
 )
 ITEMS = (
     "items AS (SELECT l_partkey AS item, l_suppkey AS business, l_shipdate AS t, l_quantity AS qty, l_extendedprice AS price, "

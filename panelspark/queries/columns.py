@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import scalar
 from panelspark.operators import clean, encode, impute, quantile, synth
 from panelspark.operators.neighbors import impute_knn
-from panelspark.queries.base import ITEMS, MATRIX, ORDERS, PANEL, PANEL_LABEL, PANEL_NULLS, query, rounded
+from panelspark.queries.base import DIM, ITEMS, MATRIX, ORDERS, PANEL, PANEL_LABEL, PANEL_NULLS, query, rounded
 
 SPARSE = (
     "panel AS (SELECT event_id AS row_id, value AS amt, CASE WHEN event_id % 5 = 0 THEN value END AS rare, "
@@ -309,7 +309,7 @@ def impute_forest_code(t):
 
 
 _GAP = (
-    f"WITH {MATRIX}, g AS (SELECT row_id, e0, e1, CASE WHEN row_id % 9 <> 0 THEN e2 END AS e2, e3, e4, CASE WHEN row_id % 6 <> 0 THEN e5 END AS e5, e6, e7 FROM matrix)"
+    f"WITH {MATRIX}, g AS (SELECT * REPLACE (CASE WHEN row_id % 9 <> 0 THEN e2 END AS e2, CASE WHEN row_id % 6 <> 0 THEN e5 END AS e5) FROM matrix)"
 )
 
 
@@ -320,7 +320,7 @@ def _gap_dist(cols):
 
 
 def _knn_fill(c):
-    cols = [f"e{i}" for i in range(8)]
+    cols = [f"e{i}" for i in range(DIM)]
     return (
         f"n_{c} AS (SELECT q.row_id, d.{c} AS v, row_number() OVER (PARTITION BY q.row_id ORDER BY {_gap_dist(cols)}, d.row_id) AS rn "
         f"FROM g q, g d WHERE q.{c} IS NULL AND d.{c} IS NOT NULL), f_{c} AS (SELECT row_id, avg(v) AS v FROM n_{c} WHERE rn <= 3 GROUP BY row_id)"
@@ -333,7 +333,7 @@ def _knn_fill(c):
     "FROM g LEFT JOIN f_e2 ON g.row_id = f_e2.row_id LEFT JOIN f_e5 ON g.row_id = f_e5.row_id",
 )
 def impute_knn_query(t):
-    out = impute_knn(_gappy_matrix(t), [f"e{i}" for i in range(8)])
+    out = impute_knn(_gappy_matrix(t), [f"e{i}" for i in range(DIM)])
     return rounded(out.select("row_id", "e2", "e5"), 6, "e2", "e5")
 
 

@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators import evaluate, models, scale, select, text
-from panelspark.queries.base import MATRIX, PANEL_LABEL, SCORED, TEXTS, query, rounded
+from panelspark.queries.base import DIM, MATRIX, PANEL_LABEL, SCORED, TEXTS, query, rounded
 
-E8 = [f"e{i}" for i in range(8)]
+COORDS = [f"e{i}" for i in range(DIM)]
 
 
 def _labelled(t) -> DataFrame:
     return t.matrix.withColumn("y", (F.col("label") == 0).cast("int"))
 
 
-_CORR = "s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(coalesce(corr({c}, (label = 0)::INT), 0)) AS score FROM matrix" for c in E8) + ")"
+_CORR = "s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(coalesce(corr({c}, (label = 0)::INT), 0)) AS score FROM matrix" for c in COORDS) + ")"
 _ANOVA = (
-    "per AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, label, count(*)::DOUBLE AS n, avg({c}) AS m, var_pop({c}) AS v FROM matrix GROUP BY label" for c in E8) + "), "
+    "per AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, label, count(*)::DOUBLE AS n, avg({c}) AS m, var_pop({c}) AS v FROM matrix GROUP BY label" for c in COORDS) + "), "
     "tot AS (SELECT feature, sum(n) AS tn, sum(n * m) / sum(n) AS grand, sum(n * v) AS within, count(*) AS k FROM per GROUP BY feature), "
     "s AS (SELECT feature, (sum(n * pow(m - grand, 2)) / (any_value(k) - 1)) / (any_value(within) / (any_value(tn) - any_value(k))) AS score FROM per JOIN tot USING (feature) GROUP BY feature)"
 )
@@ -34,32 +34,32 @@ def _top_sql(selector: str, k: int, digits: int) -> str:
 
 @query("select_correlation", f"WITH {MATRIX}, {_CORR} {_top_sql('Pearson', 3, 8)}")
 def select_correlation(t):
-    return rounded(select.select_correlation(_labelled(t), E8, "y", 3), 8, "score")
+    return rounded(select.select_correlation(_labelled(t), COORDS, "y", 3), 8, "score")
 
 
 @query("select_anova_f", f"WITH {MATRIX}, {_ANOVA} {_top_sql('Chi-2', 3, 6)}")
 def select_anova_f(t):
-    return rounded(select.select_anova_f(t.matrix, E8, "label", 3), 6, "score")
+    return rounded(select.select_anova_f(t.matrix, COORDS, "label", 3), 6, "score")
 
 
 @query("select_logistic")
 def select_logistic(t):
-    return rounded(select.select_logistic(_labelled(t), E8, "y"), 4, "score")
+    return rounded(select.select_logistic(_labelled(t), COORDS, "y"), 4, "score")
 
 
 @query("select_rfe")
 def select_rfe(t):
-    return select.select_rfe(_labelled(t), E8, "y", keep=3, step=2)
+    return select.select_rfe(_labelled(t), COORDS, "y", keep=24, step=10)
 
 
 @query("select_forest")
 def select_forest(t):
-    return rounded(select.select_forest(_labelled(t), E8, "y", trees=20), 6, "score")
+    return rounded(select.select_forest(_labelled(t), COORDS, "y"), 6, "score")
 
 
 @query("select_boosting")
 def select_boosting(t):
-    return rounded(select.select_boosting(_labelled(t), E8, "y", trees=5), 6, "score")
+    return rounded(select.select_boosting(_labelled(t), COORDS, "y", trees=5), 6, "score")
 
 
 _VOTES = (("Pearson", 5), ("Logistic", 4), ("Random Forest", 3), ("Recursive", 6), ("LightGBM", 2))
@@ -75,8 +75,8 @@ _VOTES = (("Pearson", 5), ("Logistic", 4), ("Random Forest", 3), ("Recursive", 6
 )
 def vote_features(t):
     df = _labelled(t)
-    votes = [select.select_correlation(df, E8, "y", k).withColumn("selector", F.lit(n)) for n, k in _VOTES]
-    votes.append(select.select_anova_f(t.matrix, E8, "label", 4))
+    votes = [select.select_correlation(df, COORDS, "y", k).withColumn("selector", F.lit(n)) for n, k in _VOTES]
+    votes.append(select.select_anova_f(t.matrix, COORDS, "label", 4))
     return select.vote_features(votes)
 
 
@@ -109,7 +109,7 @@ def xgb_importance_rank(t):
 
 @query("adaboost_importance_rank")
 def adaboost_importance_rank(t):
-    return rounded(select.adaboost_importance_rank(_labelled(t), E8, "y", rounds=5), 6, "importance")
+    return rounded(select.adaboost_importance_rank(_labelled(t), COORDS, "y", rounds=5), 6, "importance")
 
 
 # ---- text --------------------------------------------------------------------------------------
@@ -139,16 +139,15 @@ def hashed_bow(t):
 
 
 def _lda(t, df):
-    return text.lda_fit(df, "text_tokens", 4, t.scratch("lda"), max_iter=3)
+    return text.lda_fit(df, "text_tokens", 4, t.scratch("lda"))
 
 
 @query("lda_fit")
 def lda_fit(t):
     df = text.tokenize_columns(t.texts, ["text"])
     path = t.scratch("lda")
-    text.lda_fit(df, "text_tokens", 4, path, max_iter=3)
-    bow, model = text.lda_load(path)
-    return text.topic_words(bow, model, 10).withColumn("weight", F.round("weight", 6))
+    text.lda_fit(df, "text_tokens", 4, path)
+    return text.topic_ids(text.lda_load(t.spark, path), 10).withColumn("weight", F.round("weight", 6))
 
 
 @query("lda_vectors", f"WITH {TEXTS} SELECT row_id, 4 AS n_topics, 1.0::DOUBLE AS mass, true AS positive FROM texts")
@@ -236,19 +235,19 @@ def balanced_class_weights(t):
 
 
 def _net(t):
-    df = scale.scale(_labelled(t), E8, "minmax")
-    return df, models.fit_mlp(df, E8, "y", max_iter=15)
+    df = scale.scale(_labelled(t), COORDS, "minmax")
+    return df, models.fit_mlp(df, COORDS, "y")
 
 
 @query("fit_mlp")
 def fit_mlp(t):
     df, net = _net(t)
-    return models.score_table(net, df, E8).select("row_id", F.round("score", 4).alias("score"), "predicted")
+    return models.score_table(net, df, COORDS).select("row_id", F.round("score", 4).alias("score"), "predicted")
 
 
 @query("score_table", "SELECT count(*) AS n_rows, count(*) AS n_valid, count(DISTINCT vec_id) AS n_ids FROM embeddings")
 def score_table(t):
     df, net = _net(t)
-    out = models.score_table(net, df, E8)
+    out = models.score_table(net, df, COORDS)
     ok = F.col("score").between(0, 1) & F.col("predicted").isin(0, 1)
     return out.agg(F.count("*").alias("n_rows"), F.count_if(ok).alias("n_valid"), F.countDistinct("row_id").alias("n_ids"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import resample, sampling, scale
 from panelspark.operators.neighbors import knn_join
 from panelspark.queries.base import (
-    MATRIX, ORDERS, PANEL_LABEL, VECTORS, hash_long_sql, hash_sql, hash_unit_sql, query, rounded,
+    DIM, MATRIX, ORACLES, ORDERS, PANEL_LABEL, VECTORS, hash_long_sql, hash_sql, hash_unit_sql, query, rounded,
 )
 from panelspark.queries.tables import KFOLD_SQL
 
@@ -49,7 +49,7 @@ def scale_query(kind: str):
 for _k in scale.KINDS:
     scale_query(_k)
 
-_E = ("e0", "e1", "e2")
+_E = tuple(f"e{i}" for i in range(DIM))
 
 
 def _cut_sql(table: str, ident: str, group: str | None, take: str) -> str:
@@ -181,8 +181,8 @@ def knn(t):
 
 _COUNTS = "counts AS (SELECT label, count(*) AS n FROM vectors GROUP BY label), top AS (SELECT max(n) AS m FROM counts)"
 _OVER_SUMMARY = (
-    f"WITH {VECTORS}, {_COUNTS} SELECT label, false AS synthetic, n AS n_rows, 8 AS dims FROM counts "
-    "UNION ALL SELECT label, true, m - n, 8 FROM counts, top WHERE n < m"
+    f"WITH {VECTORS}, {_COUNTS} SELECT label, false AS synthetic, n AS n_rows, 64 AS dims FROM counts "
+    "UNION ALL SELECT label, true, m - n, 64 FROM counts, top WHERE n < m"
 )
 
 
@@ -255,7 +255,7 @@ def over_smote_nc(t):
     "over_adasyn",
     f"WITH {VECTORS}, {_COUNTS}, {_NEAR}, r AS (SELECT id, count(*) FILTER (label <> 1) / 5.0 AS r FROM near WHERE rk <= 5 GROUP BY id), "
     "g AS (SELECT id, round_even(r / (SELECT sum(r) FROM r) * (SELECT max(n) - min(n) FROM counts), 0)::BIGINT AS made FROM r) "
-    "SELECT label, false AS synthetic, n AS n_rows, 8 AS dims FROM counts UNION ALL SELECT 1, true, (SELECT sum(made)::BIGINT FROM g), 8",
+    "SELECT label, false AS synthetic, n AS n_rows, 64 AS dims FROM counts UNION ALL SELECT 1, true, (SELECT sum(made)::BIGINT FROM g), 64",
 )
 def over_adasyn(t):
     return _over_summary(resample.over_adasyn(t.vectors))
@@ -283,7 +283,7 @@ def under_tomek(t):
 
 @query(
     "under_centroids",
-    f"WITH {VECTORS}, {_COUNTS} SELECT label, n = (SELECT max(n) FROM counts) AS synthetic, (SELECT min(n) FROM counts) AS n_rows, 8 AS dims FROM counts",
+    f"WITH {VECTORS}, {_COUNTS} SELECT label, n = (SELECT max(n) FROM counts) AS synthetic, (SELECT min(n) FROM counts) AS n_rows, 64 AS dims FROM counts",
 )
 def under_centroids(t):
     return _over_summary(resample.under_centroids(t.vectors))
@@ -307,6 +307,11 @@ def under_one_sided(t):
     "FROM counts, (SELECT unnest(['None', 'over', 'under', 'both']) AS types)",
 )
 def resample_both(t):
+    return resample_pipeline(t)
+
+
+@query("resample_pipeline", ORACLES["resample_both"])
+def resample_pipeline(t):
     outs = None
     for kind in ("None", "over", "under", "both"):
         df = resample.rebalance(t.vectors, kind, "ros", "rus")

@@ -28,6 +28,14 @@ def read_typed_csv(t):
     return src.read_typed_csv(t.spark, path, EVENT_SCHEMA)
 
 
+@query("read_csv_lines", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def read_csv_lines(t):
+    """Free text with line breaks and quotes comes back as it was."""
+    path = t.scratch("csv")
+    src.write_csv(t.documents, path)
+    return src.read_typed_csv(t.spark, path, "doc_id long, text string, lang string, source string, n_chars long")
+
+
 @query("read_column_subset", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
 def read_column_subset(t):
     path = t.scratch("csv")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,15 +29,30 @@ def build_session(app: str = "panelspark", master: str | None = None, **conf: st
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder named by ``spark.checkpoint.dir``.
 
-    A local folder is used, and recorded in the session, only when the setting is absent.
+    Without the setting a session on one machine takes a fresh local folder, and one on a cluster the warehouse,
+    which all executors share; the choice is recorded in the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        if spark.sparkContext.master.split("[")[0] == "local":
+            base = tempfile.mkdtemp(prefix="run-")
+        else:
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/panelspark/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, unless their path already has its folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_panelspark_shipped", False):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="package-"), "panelspark")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "panelspark"))
+    sc._panelspark_shipped = True
+
+
 def materialize(df, name: str = "stage"):
     """Write ``df`` to the scratch folder and read it back: cuts lineage and survives executor loss."""
     path = scratch_dir(df.sparkSession, name)

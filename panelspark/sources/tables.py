@@ -7,26 +7,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.functions.hashing import hash_long
+from panelspark.functions.scalar import null_if_nan
 
 DEFAULT_SHARDS = 48
 
 
-def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True) -> DataFrame:
-    """CSV with explicit types; blanks after the separator are skipped and empty fields are null."""
-    return (
+def read_typed_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True, multi_line: bool = True, mode: str = "FAILFAST"
+) -> DataFrame:
+    """CSV with explicit types; blanks after the separator are skipped, empty fields and NaN are null.
+
+    Quoted fields may hold line breaks; a file is then read by one task, so data that is known to have none may be read
+    with ``multi_line`` False, which splits files. A line that does not fit the schema is an error unless ``mode`` says so.
+    """
+    table = (
         spark.read.schema(schema)
         .option("header", header)
+        .option("multiLine", multi_line)
+        .option("mode", mode)
         .option("ignoreLeadingWhiteSpace", True)
         .option("escape", '"')
         .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
         .csv(path)
     )
+    return table.withColumns(
+        {f.name: null_if_nan(F.col(f.name)) for f in table.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    )
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     (
         df.write.mode("overwrite")
         .option("header", header)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("escape", '"')
         .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
         .csv(path)
@@ -73,12 +87,13 @@ def write_folds(df: DataFrame, path: str, k: int, fold: str = "fold") -> None:
     """A train and a test set per fold under ``fold=i/role=...``.
 
     A row is a test row of its own fold and a train row of the others. One row yields k output rows,
-    which is the stated layout; the copies are made by explode and never shuffled.
+    which is the stated layout. Each folder is cut into as many files as keep its tasks even.
     """
     copies = df.withColumnRenamed(fold, "_own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    copies.withColumn("role", F.when(F.col("_own") == F.col("fold"), "test").otherwise("train")).drop("_own").write.mode(
-        "overwrite"
-    ).partitionBy("fold", "role").parquet(path)
+    copies = copies.withColumn("role", F.when(F.col("_own") == F.col("fold"), "test").otherwise("train")).drop("_own")
+    pieces = max(1, -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // (2 * k)))
+    piece = F.pmod(F.xxhash64(*[F.col(c) for c in copies.columns]), F.lit(pieces))
+    copies.repartition("fold", "role", piece).write.mode("overwrite").partitionBy("fold", "role").parquet(path)
 
 
 def read_split_pair(spark: SparkSession, path: str, fold: int, label: str) -> dict[str, tuple[DataFrame, DataFrame]]:

@@ -608,3 +608,88 @@ def test_metrics_without_positives_are_null(spark):
 def test_auc_with_ties(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1)], "f int, s double")
     assert evaluate.auc(df, "f", "s").first()["auc"] == pytest.approx(0.875)
+
+
+# ---- missing labels, NaN, tails ------------------------------------------------------------------
+
+
+def labelled_rows(spark):
+    rows = [(i, float(i % 7), 0) for i in range(50)] + [(50 + i, float(i % 5), 1) for i in range(20)] + [(90, 1.0, None), (91, 2.0, None)]
+    return spark.createDataFrame(rows, "id long, x double, label int")
+
+
+def test_missing_labels_are_no_class(spark):
+    df = labelled_rows(spark)
+    assert sampling.class_counts(df, "label") == {0: 50, 1: 20}
+    vecs = df.select("id", F.array("x", F.col("id").cast("double")).alias("vec"), "label")
+    assert {r.label: r["count"] for r in resample.under_random(vecs).groupBy("label").count().collect()} == {0: 20, 1: 20}
+    assert resample.under_tomek(vecs).where("label is null").count() == 0
+    split = sampling.stratified_split(df, "label", "id")
+    assert split.count() == 70 and split.where("role = 'test'").count() == 14
+    assert sampling.stratified_kfold(df, "label", "id", 5).where("fold is null or label is null").count() == 0
+    drawn = sampling.class_balanced_bootstrap(df, "label", "id")
+    assert {r.label: r["count"] for r in drawn.groupBy("label").count().collect()} == {0: 35, 1: 35}
+
+
+def test_auc_sees_labelled_rows(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (None, 0.95), (None, 0.05)], "y int, s double")
+    assert evaluate.auc(df, "y", "s").first()[0] == 1.0
+
+
+def test_statistics_without_group_or_value(spark):
+    nan = float("nan")
+    rows = [(float(i), float(i * i % 11), i % 2) for i in range(40)] + [(nan, 1.0, 0), (1.0, nan, 1), (3.0, 3.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, f int")
+    got = {r.f: r.statistic for r in stats.test_pearson(df, ["a", "b"], "f").collect()}
+    for f in (0, 1):
+        pairs = np.array([r[:2] for r in rows if r[2] == f and not math.isnan(r[0] + r[1])])
+        assert got[f] == pytest.approx(np.corrcoef(pairs.T)[0, 1])
+    assert set(got) == {0, 1}
+    small = spark.createDataFrame([(float(i), 0) for i in range(5)] + [(float(i % 9), 1) for i in range(20)], "a double, f int")
+    got = {r.f: r.statistic for r in stats.test_dagostino(small, ["a"], "f").collect()}
+    assert got[0] is None and got[1] is not None
+
+
+def test_anderson_keeps_far_outliers(spark):
+    values = [math.sin(i) for i in range(5000)] + [1e6]
+    df = spark.createDataFrame([(v, 1) for v in values], "a double, f int")
+    got = stats.test_anderson(df, ["a"], "f").first().statistic
+    m, s = np.mean(values), np.std(values, ddof=1)
+    z = np.sort((np.array(values) - m) / s)
+    log_phi = lambda x: math.log(0.5 * math.erfc(-x / math.sqrt(2))) if x > -30 else -x * x / 2 - math.log(-x * math.sqrt(2 * math.pi)) - 1 / x**2
+    n = len(z)
+    want = -n - sum((2 * i + 1) * (log_phi(z[i]) + log_phi(-z[n - 1 - i])) for i in range(n)) / n
+    assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_normal_cdf_array():
+    x = np.concatenate([np.linspace(-37, 8, 400), [0.0, -0.0]])
+    assert special.normal_cdf(x) == pytest.approx([0.5 * math.erfc(-v / math.sqrt(2)) for v in x], rel=1e-9)
+    assert math.isnan(special.normal_cdf(np.array([float("nan")]))[0])
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0, 1), (float("nan"), 2), (3.0, None)], "x double, k int")
+    assert {r.column: r.n_null for r in clean.null_profile(df).collect()} == {"x": 1, "k": 1, "__total__": 2}
+    assert [r.x for r in scale.scale(df, ["x"], "minmax").orderBy("k").collect() if r.x is not None and not math.isnan(r.x)] == [1.0, 0.0]
+
+
+def test_a_saved_topic_model_is_used_again(spark):
+    df = spark.createDataFrame([(i, ["a", "b", "c"][: i % 3 + 1]) for i in range(20)], "id int, toks array<string>")
+    path = scratch_dir(spark, "lda")
+    first = text.lda_fit(df, "toks", 2, path, max_iter=2)
+    again = text.lda_fit(df.limit(1), "toks", 5, path)
+    assert again.vocabSize() == first.vocabSize() == text.ID_RANGE and again.topicsMatrix().numCols == 2
+    assert text.lda_load(spark, path + "/none") is None
+
+
+def test_bag_counts_every_token(spark):
+    rows = [(1, ["x", "y", "x"]), (2, []), (3, None), (4, ["z"] * 500)]
+    df = spark.createDataFrame(rows, "id int, toks array<string>")
+    got = {(r.id, r.token_id): r.cnt for r in text.hashed_bow(df, "id", "toks").collect()}
+    want = {}
+    for i, toks in rows:
+        for t in toks or []:
+            k = (i, zlib.adler32(t.encode()) % text.ID_RANGE)
+            want[k] = want.get(k, 0) + 1
+    assert got == want
