@@ -235,7 +235,7 @@ def _shared_text(texts: DataFrame, wanted: DataFrame, width: int, gram: int) ->
         key, doc, tie, start = (np.concatenate([r[c] for r in rows]) for c in range(4))
         return pa.record_batch({"key": key, "doc": doc, "tie": tie, "start": start, "bytes": [x for r in rows for x in r[4]]})
 
-    return small_batches(texts.join(bounded_broadcast(wanted), ["doc", "tie"]).select("doc", "tie", "text", "ats")).mapInArrow(run, SHARED)
+    return small_batches(texts.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "ats")).mapInArrow(run, SHARED)
 
 
 def shard_classes(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, pieces: list[bytes], width: int):
@@ -439,7 +439,8 @@ KEPT = "doc_id long, kept binary, starts array<long>, stops array<long>"
 def _with_spans(docs: DataFrame, **kw) -> DataFrame:
     texts = keyed(docs)
     spans = materialize(removed_intervals(texts, **kw), "removed")
-    return texts.join(bounded_broadcast(spans), ["doc", "tie"], "left").select("doc_id", "text", "starts", "stops")
+    # the list of removed runs grows with the documents, so it is joined and never broadcast by choice
+    return texts.join(spans, ["doc", "tie"], "left").select("doc_id", "text", "starts", "stops")
 
 
 def _kept(text: str | None, starts: list | None, stops: list | None) -> bytes:
