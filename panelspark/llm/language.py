@@ -69,7 +69,9 @@ def parser(codes: list[int], symbols: int) -> np.ndarray:
     """
     step = suffix_automaton(codes, symbols)
     opened = np.maximum(step[0], 0) * 2 + 1
-    return np.where(step >= 0, step * 2, opened[None, :]).astype(np.int32).ravel()
+    table = np.where(step >= 0, step * 2, opened[None, :])
+    table[0] = opened  # whatever leaves the root opens a phrase
+    return table.astype(np.int32).ravel()
 
 
 @dataclass(frozen=True)
@@ -186,7 +188,7 @@ def parse(blocks: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
             got = table[state[:m] * n + grid[t, :m]]
             count[:m] += got & 1
             state[:m] = got >> 1
-        out[k, order] = count + (size[order] > 0)
+        out[k, order] = count
     return out
 
 
