@@ -72,7 +72,7 @@ def test_line_features():
     texts = [b"", b"Plain words here.\nAGAIN AGAIN AGAIN!!", b"a | b | c |\n\n### $$$", b"x" * 5000]
     x, size, lines = quality.line_features(texts)
     assert lines.tolist() == [1, 2, 3, 1] and len(x) == 7 and np.isfinite(x).all() and x.shape[1] == quality.FEATURES
-    assert size.tolist() == [1, 18, 22, 12, 1, 8, 5001]
+    assert size.tolist() == [1, 18, 20, 12, 1, 8, 5001]
     one = np.concatenate([quality.line_features([t])[0] for t in texts])
     assert np.allclose(one, x)
 
