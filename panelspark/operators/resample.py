@@ -41,6 +41,7 @@ def _class_neighbors(df: DataFrame, c: object, k: int, **kw) -> DataFrame:
 
 def _foreign_share(df: DataFrame, c: object, m: int, **kw) -> DataFrame:
     """(id, n_other, n_seen): neighbours of another class among the m nearest rows of the whole frame."""
+    df = labelled(df, "label")
     mine = df.where(F.col("label") == F.lit(c))
     nn = knn_join(mine, df, m, exclude_self=True, **kw)
     tags = df.select(F.col("id").alias("nn_id"), F.col("label").alias("_l"))
@@ -159,9 +160,15 @@ def over_smote_nc(df: DataFrame, nominal_from: int, seed: int = 42, k: int = K_N
 
 
 def repeat_rows(df: DataFrame, n: str) -> DataFrame:
-    """Each row ``n`` times with ``draw`` 0..n-1; two steps keep the generated arrays short."""
+    """Each row ``n`` times with ``draw`` 0..n-1; two steps keep the generated arrays short.
+
+    The pieces of rows that repeat very often are dealt over all tasks before the second step.
+    """
     last = F.floor((F.col(n) - 1) / _REPEAT_STEP)
-    wide = df.where(F.col(n) > 0).withColumn("_hi", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    often = df.where(F.col(n) > _REPEAT_STEP).withColumn("_hi", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = often.repartition(tasks, F.xxhash64(*[F.col(c) for c in df.columns], "_hi"))
+    wide = df.where((F.col(n) > 0) & (F.col(n) <= _REPEAT_STEP)).withColumn("_hi", F.lit(0).cast("long")).unionByName(often)
     upto = F.least(F.lit(_REPEAT_STEP).cast("long"), F.col(n) - F.col("_hi") * _REPEAT_STEP) - 1
     return wide.withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("long"), upto.cast("long")))).withColumn(
         "draw", F.col("_hi") * _REPEAT_STEP + F.col("_lo")
@@ -273,7 +280,7 @@ def rebalance(df: DataFrame, types: str, over: str | None = None, under: str | N
     """``over``, ``under``, ``both`` (over, then under on the result) or ``None``; new rows get fresh ids."""
     if types == "None":
         return df
-    out = df
+    df = out = labelled(df, "label")
     if types in ("over", "both"):
         grown = OVER[over](out, **kw)
         # original ids are kept; synthetic rows follow them without gaps, in hash order of their content

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.functions import scalar
 from panelspark.operators import clean, encode, impute, quantile, rolling, sampling, scale, select, stats, synth, text
@@ -92,12 +93,18 @@ def selection_stage(df: DataFrame, cols: list[str], label: str, k: int = select.
 
 
 def training_tables(df: DataFrame, cols: list[str], label: str, row_id: str, kind: str = "standard", types: str = "None", over: str | None = None, under: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Stratified hold-out, scaler fitted on train, rebalanced train: (train, test) of (id, vec, label)."""
+    """Stratified hold-out, scaler fitted on train, rebalanced train: (train, test) of (id, vec, label).
+
+    ``cate_smote`` takes integer columns as codes: they stay unscaled and stand behind the others in ``vec``.
+    """
+    codes = [c for c in cols if over == "cate_smote" and isinstance(df.schema[c].dataType, T.IntegralType)]
+    numbers = [c for c in cols if c not in codes]
+    cols, extra = numbers + codes, {"nominal_from": len(numbers)} if over == "cate_smote" else {}
     split = sampling.stratified_split(df, label, row_id)
     train, test = (split.where(F.col("role") == r) for r in ("train", "test"))
-    train, test = scale.fit_apply_scaler(train, test, cols, kind, scratch_dir(df.sparkSession, "scaler"))
+    train, test = scale.fit_apply_scaler(train, test, numbers, kind, scratch_dir(df.sparkSession, "scaler"))
     shape = lambda d: d.select(F.col(row_id).alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("vec"), F.col(label).alias("label"))
-    return rebalance(materialize(shape(train), "train"), types, over, under), shape(test)
+    return rebalance(materialize(shape(train), "train"), types, over, under, **extra), shape(test)
 
 
 def statistics_stage(df: DataFrame, cols: list[str], label: str) -> DataFrame:

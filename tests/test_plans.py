@@ -64,3 +64,12 @@ def test_sharding_stage(t, spark):
     out = panel.sharding_stage(t.panel, "key", scratch_dir(spark, "shards"), 6)
     assert out.count() == t.panel.count()
     assert out.groupBy("key").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+
+
+def test_categorical_smote_by_column_type(spark):
+    rows = [(i, float(i % 13), i % 3, float(i % 7), int(i % 6 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "row_id long, a double, code int, b double, y int")
+    train, test = panel.training_tables(df, ["a", "code", "b"], "y", "row_id", types="over", over="cate_smote")
+    counts = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
+    assert counts[0] == counts[1] and {r.vec[2] for r in train.collect()} <= {0.0, 1.0, 2.0}
+    assert test.count() == 24 and len({r.id for r in train.collect()}) == train.count()
