@@ -14,6 +14,7 @@ same two ends, plus the whole blocks in between, which are aggregated before the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -246,6 +247,37 @@ def rolling_features(
     ).drop("_us").select(*df.columns, *[s.name for s in specs])
 
 
+@dataclass(frozen=True)
+class WindowAggregate:
+    """A rolling aggregate of the caller's own.
+
+    ``pieces`` names sums, minima or maxima of expressions of the column; ``finish`` makes the result of them. A
+    piece without any row in the window is 0, so count the rows by a piece where that matters.
+    """
+
+    pieces: dict[str, tuple[str, Callable[[Column], Column]]]
+    finish: Callable[[dict[str, Column]], Column]
+
+
+WINDOW_AGGREGATES: dict[str, WindowAggregate] = {}
+
+
+def register_window_aggregate(name: str, aggregate: WindowAggregate) -> None:
+    WINDOW_AGGREGATES[name] = aggregate
+
+
+def rolling_user(df: DataFrame, name: str, key: str, col: str, days: list[int], time: str, row_id: str, **kw) -> DataFrame:
+    """Add ``{key}_n_{col}_{name}_{days}`` for a registered aggregate; all its pieces share the one pass."""
+    aggregate = WINDOW_AGGREGATES[name]
+    work = df.withColumns({f"_u_{p}": expr(F.col(col)) for p, (_, expr) in aggregate.pieces.items()})
+    specs = {(d, p): Spec(key, f"_u_{p}", kind, d) for d in days for p, (kind, _) in aggregate.pieces.items()}
+    out = rolling_features(work, list(specs.values()), time, row_id, **kw)
+    made = {
+        f"{key}_n_{col}_{name}_{d}": aggregate.finish({p: F.col(specs[d, p].name) for p in aggregate.pieces}) for d in days
+    }
+    return out.withColumns(made).select(*df.columns, *made)
+
+
 def feature_grid(
     keys: list[str], targets: list[str], periods: list[int], funcs: list[str]
 ) -> list[Spec]:

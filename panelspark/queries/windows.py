@@ -72,6 +72,28 @@ def rolling_join_back(t):
     return rounded(rolling.rolling_features(p, _BACK, "t", "row_id").drop("t"), 4, *[s.name for s in _BACK])
 
 
+rolling.register_window_aggregate(
+    "rms",
+    rolling.WindowAggregate(
+        {"squares": ("sum", lambda x: x * x), "rows": ("sum", lambda x: x.isNotNull().cast("int"))},
+        lambda p: F.when(p["rows"] > 0, F.sqrt(p["squares"] / p["rows"])),
+    ),
+)
+
+
+@query(
+    "rolling_user",
+    f"WITH {PANEL_NULLS} SELECT row_id, "
+    + ", ".join(f"round(sqrt(avg(amt * amt) OVER {win('key', d)}) + 1e-9, 6) AS key_n_amt_rms_{d}" for d in PERIODS)
+    + " FROM panel",
+)
+def rolling_user(t):
+    """A registered aggregate, the root mean square, over three windows."""
+    out = rolling.rolling_user(t.panel_nulls, "rms", "key", "amt", list(PERIODS), "t", "row_id")
+    names = [f"key_n_amt_rms_{d}" for d in PERIODS]
+    return rounded(out.select("row_id", *names), 6, *names)
+
+
 _FLAG = [Spec("key", "amt", "sum", 7), Spec("key", "amt", "mean", 7), Spec("key", "code", "cnt", 7)]
 
 
