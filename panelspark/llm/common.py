@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.operators.joins import BROADCAST_BYTES
 from panelspark.operators.ranks import add_buckets
 
-PARTS_PER_TASK = 2
+PARTS_PER_TASK = 8
 BATCH_BYTES = 4 << 20
 
 
