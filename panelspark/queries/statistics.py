@@ -195,16 +195,24 @@ def test_levene(t):
     return rounded(stats.test_levene(t.stat, AMOUNTS, "f").drop("p_value"), 6, "statistic")
 
 
+_Z = 1.959963984540054
+# the two-sided 5 % point of t by its expansion in 1 / dof; its square bounds F with (1, dof) degrees
+_T_CRITICAL = f"({_Z} + {(_Z**3 + _Z) / 4} / dof_equal + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96} / (dof_equal * dof_equal))"
+
+
 @query(
     "test_ttest",
-    f"WITH {STAT}, {_groups('stat')}, s AS (SELECT *, v0 * n0 / (n0 - 1) AS s0, v1 * n1 / (n1 - 1) AS s1 FROM g) "
-    "SELECT \"column\", round((m1 - m0) / sqrt(((n0 - 1) * s0 + (n1 - 1) * s1) / (n0 + n1 - 2) * (1 / n0 + 1 / n1)) + 1e-9, 6) AS t_equal, n0 + n1 - 2 AS dof_equal, "
-    "round((m1 - m0) / sqrt(s0 / n0 + s1 / n1) + 1e-9, 6) AS t_welch, "
-    "round(pow(s0 / n0 + s1 / n1, 2) / (pow(s0 / n0, 2) / (n0 - 1) + pow(s1 / n1, 2) / (n1 - 1)) + 1e-7, 4) AS dof_welch FROM s",
+    f"WITH {STAT}, {_DEV}, {_groups('stat')}, {_groups('dev').replace('g AS', 'd AS', 1)}, l AS (SELECT \"column\", {_F} AS levene FROM d), "
+    "s AS (SELECT *, v0 * n0 / (n0 - 1) AS s0, v1 * n1 / (n1 - 1) AS s1 FROM g JOIN l USING (\"column\")), "
+    "t AS (SELECT \"column\", levene, (m1 - m0) / sqrt(((n0 - 1) * s0 + (n1 - 1) * s1) / (n0 + n1 - 2) * (1 / n0 + 1 / n1)) AS t_equal, n0 + n1 - 2 AS dof_equal, "
+    "(m1 - m0) / sqrt(s0 / n0 + s1 / n1) AS t_welch, pow(s0 / n0 + s1 / n1, 2) / (pow(s0 / n0, 2) / (n0 - 1) + pow(s1 / n1, 2) / (n1 - 1)) AS dof_welch FROM s), "
+    f"c AS (SELECT *, sqrt(levene) <= {_T_CRITICAL} AS equal_var FROM t) "
+    "SELECT \"column\", round(t_equal + 1e-9, 6) AS t_equal, dof_equal, round(t_welch + 1e-9, 6) AS t_welch, round(dof_welch + 1e-7, 4) AS dof_welch, "
+    "equal_var, round(CASE WHEN equal_var THEN t_equal ELSE t_welch END + 1e-9, 6) AS statistic FROM c",
 )
 def test_ttest(t):
-    out = stats.t_statistics(t.stat, AMOUNTS, "f")
-    return rounded(rounded(out, 6, "t_equal", "t_welch"), 4, "dof_welch")
+    both = stats.t_statistics(t.stat, AMOUNTS, "f").join(stats.test_ttest(t.stat, AMOUNTS, "f").drop("p_value"), "column")
+    return rounded(rounded(both, 6, "t_equal", "t_welch", "statistic"), 4, "dof_welch")
 
 
 @query("test_anova", f"WITH {STAT}, {_groups('stat')} SELECT \"column\", round({_F} + 1e-9, 6) AS statistic FROM g")
