@@ -477,20 +477,13 @@ def test_split_sizes_and_disjointness(spark):
     assert (count(0), count(1), count(2)) == (40, 7, 0)
 
 
-def test_folds_follow_the_library_rule(spark):
-    df, rows = labelled(spark, {0: 53, 1: 20, 2: 3})
-    k = 5
-    got = {r["row_id"]: r["fold"] for r in sampling.stratified_kfold(df, "y", "row_id", k).collect()}
-    rows = sorted(rows)
-    y = np.array([c for _, c in rows])
-    _, first, inv = np.unique(y, return_index=True, return_inverse=True)
-    enc = np.unique(first, return_inverse=True)[1][inv]
-    order = np.sort(enc)
-    alloc = np.asarray([np.bincount(order[i::k], minlength=3) for i in range(k)])
-    want = np.empty(len(y), dtype=int)
-    for c in range(3):
-        want[enc == c] = np.arange(k).repeat(alloc[:, c])
-    assert got == {r: int(f) for (r, _), f in zip(rows, want)}
+def test_folds_of_a_worked_example(spark):
+    """Classes by first appearance: b fills places 0-4, a 5-7, c 8-9; a class's places modulo 3 say how many rows a fold gets."""
+    rows = list(enumerate("babbabcbac"))
+    df = spark.createDataFrame(rows, "row_id long, y string").repartition(3)
+    got = {r["row_id"]: r["fold"] for r in sampling.stratified_kfold(df, "y", "row_id", 3).collect()}
+    # b (rows 0 2 3 5 7): two, two, one; a (1 4 8): one each; c (6 9): one, none, one
+    assert got == {0: 0, 2: 0, 3: 1, 5: 1, 7: 2, 1: 0, 4: 1, 8: 2, 6: 0, 9: 2}
 
 
 def test_draws_with_replacement(spark):
