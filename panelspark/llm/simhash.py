@@ -185,8 +185,8 @@ def links(distinct_fps: DataFrame, budget: int = BUDGET, pair_rows: int = PAIR_R
     """(a, b): links that connect exactly the fingerprints that lie in one component at ``budget`` differing bits.
 
     Spark expands pairs of trie nodes ``stride`` bits at a time and drops those above the budget, until both nodes
-    of a pair hold at most ``pair_rows`` fingerprints together; a task then goes on with that pair alone. Inside a
-    task links shrink to a spanning forest, so groups of near copies never come out as all their pairs.
+    of a pair hold at most ``pair_rows`` fingerprints together; a task then goes on with that pair alone. The first
+    round is made at every size, so that even few fingerprints are shared by many tasks. Inside a task links shrink to a spanning forest, so groups of near copies never come out as all their pairs.
     """
     spark = distinct_fps.sparkSession
 
@@ -199,7 +199,7 @@ def links(distinct_fps: DataFrame, budget: int = BUDGET, pair_rows: int = PAIR_R
     out, depth = [], 0
     while True:
         size = F.when(F.col("p") == F.col("q"), F.col("n_p")).otherwise(F.col("n_p") + F.col("n_q"))
-        ready = (size <= pair_rows) | F.lit(depth >= 64)
+        ready = (size <= pair_rows) & F.lit(depth > 0) | F.lit(depth >= 64)
         done = pairs.where(ready)
         one, two = (F.struct(F.col(c).alias("node"), F.lit(c == "q").alias("second")) for c in ("p", "q"))
         sides = F.when(F.col("p") == F.col("q"), F.array(one)).otherwise(F.array(one, two))
