@@ -298,7 +298,7 @@ def _gappy_matrix(t):
 @query("impute_forest")
 def impute_forest(t):
     cols = ["e0", "e1", "e2", "e5"]
-    out = impute.impute(_gappy_matrix(t).select("row_id", *cols), cols, "random_forest", trees=10, rounds=2)
+    out = impute.impute(_gappy_matrix(t).select("row_id", *cols), cols, "random_forest")
     return rounded(out, 6, *cols)
 
 

@@ -59,7 +59,7 @@ def select_forest(t):
 
 @query("select_boosting")
 def select_boosting(t):
-    return rounded(select.select_boosting(_labelled(t), COORDS, "y", trees=5), 6, "score")
+    return rounded(select.select_boosting(_labelled(t), COORDS, "y"), 6, "score")
 
 
 _VOTES = (("Pearson", 5), ("Logistic", 4), ("Random Forest", 3), ("Recursive", 6), ("LightGBM", 2))
@@ -93,23 +93,23 @@ def feature_importance_rank(t):
         "row_id", F.col("amt"), F.month("t").alias("month"), F.weekday("t").alias("weekday"), F.col("priority"),
         F.when(F.col("row_id") % 11 != 0, F.year("t").cast("string")).alias("year"), (F.col("status") == "F").cast("int").alias("f"),
     )
-    out = select.importance_report(df, ["amt", "month", "weekday"], ["priority", "year"], "f", "row_id", trees=5)
+    out = select.importance_report(df, ["amt", "month", "weekday"], ["priority", "year"], "f", "row_id")
     return rounded(out, 6, "importance")
 
 
 @query("boosting_importance_rank")
 def boosting_importance_rank(t):
-    return rounded(select.boosting_importance_rank(_numeric_panel(t), _COLS, "f", trees=5), 6, "importance")
+    return rounded(select.boosting_importance_rank(_numeric_panel(t), _COLS, "f"), 6, "importance")
 
 
 @query("xgb_importance_rank")
 def xgb_importance_rank(t):
-    return rounded(select.xgb_importance_rank(_numeric_panel(t), _COLS, "f", trees=5), 6, "importance")
+    return rounded(select.xgb_importance_rank(_numeric_panel(t), _COLS, "f"), 6, "importance")
 
 
 @query("adaboost_importance_rank")
 def adaboost_importance_rank(t):
-    return rounded(select.adaboost_importance_rank(_labelled(t), COORDS, "y", rounds=5), 6, "importance")
+    return rounded(select.adaboost_importance_rank(_labelled(t), COORDS, "y"), 6, "importance")
 
 
 # ---- text --------------------------------------------------------------------------------------
