@@ -74,12 +74,24 @@ _VOTES = (("Pearson", 5), ("Logistic", 4), ("Random Forest", 3), ("Recursive", 6
     "\"Pearson\" + \"Chi-2\" + \"Logistic\" + \"Random Forest\" + \"Recursive\" + \"LightGBM\" >= 5 AS chosen FROM v",
 )
 def vote_features(t):
+    """The tally alone: its SQL states cuts of two rankings under the selectors' names; ``vote_selectors`` runs all six."""
     df = _labelled(t)
     votes = [select.select_correlation(df, COORDS, "y", k).withColumn("selector", F.lit(n)) for n, k in _VOTES]
     votes.append(select.select_anova_f(t.matrix, COORDS, "label", 4))
     return select.vote_features(votes)
 
 
+@query("vote_selectors")
+def vote_selectors(t):
+    """The votes of all six selectors, each with the settings of its own query."""
+    df = _labelled(t)
+    votes = [
+        select.select_correlation(df, COORDS, "y", 3), select.select_anova_f(t.matrix, COORDS, "label", 3), select.select_logistic(df, COORDS, "y"),
+        select.select_forest(df, COORDS, "y"), select.select_rfe(df, COORDS, "y", keep=24, step=10), select.select_boosting(df, COORDS, "y"),
+    ]
+    return select.vote_features(votes)
+
+
 def _numeric_panel(t) -> DataFrame:
     return t.panel_label.select(F.col("amt"), F.hour("t").alias("hour"), F.weekday("t").alias("weekday"), F.col("key").cast("int").alias("key"), "f")
 

@@ -1,6 +1,7 @@
 """Registered queries and operators do their whole job: defaults, selectors, sizes and parts without cuts."""
 
 import inspect
+from functools import partial
 
 import pytest
 
@@ -45,3 +46,19 @@ def test_round_queries_run_the_default_number_of_rounds(spark, monkeypatch, modu
     with pytest.raises(_Fitted):
         entry.queries()[name](spark, SF)
     assert {k: given[k] for k in want} == want
+
+
+def test_votes_are_those_of_the_six_selectors(spark, monkeypatch):
+    """Fewer trees keep the test short; every selector is its own query's."""
+    for name in ("select_forest", "select_boosting"):
+        monkeypatch.setattr(select, name, partial(getattr(select, name), trees=3))
+    picked = {}
+    for name in ("select_correlation", "select_anova_f", "select_logistic", "select_forest", "select_rfe", "select_boosting"):
+        for r in entry.queries()[name](spark, SF).collect():
+            picked[r["feature"], r["selector"]] = int(r["picked"])
+    assert {s for _, s in picked} == set(select.SELECTORS)
+    votes = {r["feature"]: r for r in entry.queries()["vote_selectors"](spark, SF).collect()}
+    assert {(f, s): r[s] for f, r in votes.items() for s in select.SELECTORS} == picked
+    for f, r in votes.items():
+        n = sum(picked[f, s] for s in select.SELECTORS)
+        assert r["total"] == n and r["chosen"] == (n >= select.VOTES_NEEDED)
