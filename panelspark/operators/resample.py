@@ -7,6 +7,8 @@ towards the smallest one.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.hashing import hash_bucket, hash_long, hash_unit, order_hash
+from panelspark.operators.joins import lookup_join
 from panelspark.operators.neighbors import knn_join
 from panelspark.operators.ranks import prefix_sums
 from panelspark.operators.sampling import class_counts, draw_rows, labelled, mark_sample
@@ -21,7 +24,14 @@ from panelspark.session import materialize
 
 K_NEIGHBORS = 5
 M_NEIGHBORS = 10
+#: centroids that one K-means fit of the session makes; more are fitted in cells
 MAX_CLUSTERS = 10_000
+#: rows of a cell: at least so many; for few centroids as many as CELL_CENTROIDS of them need, but no more than a task holds
+CELL_ROWS = 4096
+CELL_CENTROIDS = 16
+MAX_CELL_ROWS = 1 << 17
+#: halvings of a class; what is still too large then is dealt by hash
+CELL_LEVELS = 48
 _REPEAT_STEP = 65_536
 
 
@@ -223,22 +233,120 @@ def under_tomek(df: DataFrame, **kw) -> DataFrame:
     ).drop("_link")
 
 
+def _cells(df: DataFrame, most: int) -> DataFrame:
+    """(id, vec, cell): cells of at most ``most`` rows, halved at the median of the coordinate that is spread widest.
+
+    A cell whose rows are all alike has no such coordinate and is dealt by hash.
+    """
+    rows = materialize(df.select("id", "vec", F.lit(1).cast("long").alias("cell")), "cells")
+    dims = rows.select(F.max(F.size("vec"))).first()[0] or 0
+    x = F.element_at("vec", F.col("_dim") + 1)
+    for _ in range(CELL_LEVELS):
+        ends = [F.max(F.col("vec")[i]) - F.min(F.col("vec")[i]) for i in range(dims)]
+        spread = F.array(*[F.coalesce(e, F.lit(0.0)) for e in ends])
+        wide = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), spread.alias("_s"))
+        widest = F.array_max("_s")
+        wide = wide.where((F.col("_n") > most) & (widest > 0)).select("cell", (F.array_position("_s", widest) - 1).cast("int").alias("_dim"))
+        wide = materialize(wide, "wide")
+        if wide.isEmpty():
+            break
+        cuts = rows.join(wide, "cell").groupBy("cell", "_dim").agg(F.percentile_approx(x, 0.5).alias("_cut"), F.max(x).alias("_top"))
+        cuts = materialize(cuts, "cuts")
+        # a median that is the largest value goes right, so that neither side is empty
+        right = (x > F.col("_cut")) | ((F.col("_cut") == F.col("_top")) & (x == F.col("_cut")))
+        cell = F.when(F.col("_dim").isNull(), F.col("cell")).otherwise(F.col("cell") * 2 + right.cast("long"))
+        rows = materialize(lookup_join(rows, cuts, "cell").select("id", "vec", cell.alias("cell")), "cells")
+    counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
+    # hashed blocks are half as large as they may be, as they differ in size
+    blocks = F.when(F.col("_n") > most, F.ceil(2 * F.col("_n") / most)).otherwise(F.lit(1)).cast("long")
+    block = F.pmod(F.xxhash64("id", "vec"), F.col("_blocks"))
+    dealt = lookup_join(rows, counts.select("cell", blocks.alias("_blocks")), "cell")
+    return materialize(dealt.select("id", "vec", F.struct("cell", block.alias("block")).alias("cell")), "cells")
+
+
+def _allotted(cells: DataFrame, k: int) -> DataFrame:
+    """(cell, k): ``k`` centroids shared out in proportion to the rows of the cells, by largest remainder."""
+    counts = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "counts")
+    n = counts.agg(F.sum("n")).first()[0]
+    share = F.col("n").cast("decimal(38,0)") * k
+    whole = F.floor(share / n).cast("long")
+    counts = counts.select("cell", whole.alias("whole"), (share - whole * F.lit(n)).alias("rest"))
+    left = k - counts.agg(F.sum("whole")).first()[0]
+    # fewer than one more for each cell
+    more = counts.orderBy(F.desc("rest"), "cell").limit(left).select("cell", F.lit(1).cast("long").alias("more"))
+    out = counts.join(more, "cell", "left").select("cell", (F.col("whole") + F.coalesce("more", F.lit(0))).cast("int").alias("k"))
+    return out.where("k > 0")
+
+
+def kmeans_centers(x: np.ndarray, k: int, seed: int, rounds: int = 20, tol: float = 1e-4) -> np.ndarray:
+    """Exactly ``k`` centres of the rows of ``x``: K-means++ starts, then Lloyd's rounds as Spark counts them.
+
+    Fewer distinct rows than ``k`` give centres that repeat.
+    """
+    rng = np.random.default_rng(seed)
+    square = (x * x).sum(axis=1)
+    at = [int(rng.integers(len(x)))]
+    near = ((x - x[at[0]]) ** 2).sum(axis=1)
+    while len(at) < k:
+        total = near.sum()
+        at.append(int(np.searchsorted(np.cumsum(near), rng.random() * total, side="right")) if total > 0 else int(rng.integers(len(x))))
+        at[-1] = min(at[-1], len(x) - 1)
+        near = np.minimum(near, ((x - x[at[-1]]) ** 2).sum(axis=1))
+    centers = x[at]
+    for _ in range(rounds):
+        own = np.empty(len(x), dtype=np.int64)
+        for lo in range(0, len(x), 1024):
+            d = square[lo : lo + 1024, None] - 2 * x[lo : lo + 1024] @ centers.T + (centers * centers).sum(axis=1)
+            own[lo : lo + 1024] = d.argmin(axis=1)
+        n = np.bincount(own, minlength=k)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, own, x)
+        moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
+        step = ((moved - centers) ** 2).sum(axis=1).max()
+        centers = moved
+        if step <= tol * tol:
+            break
+    return centers
+
+
+def _cell_centroids(df: DataFrame, n: int, k: int, seed: int) -> DataFrame:
+    """(vec): ``k`` centroids of the ``n`` rows of ``df``, fitted cell by cell in the tasks; none of them visits the driver."""
+    most = min(max(CELL_ROWS, CELL_CENTROIDS * -(-n // k)), MAX_CELL_ROWS)
+    cells = _cells(df, most)
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        x = np.stack(rows["vec"].to_numpy()).astype(float)
+        found = kmeans_centers(x, int(rows["k"].iloc[0]), seed)
+        return pd.DataFrame({"vec": list(found)})
+
+    dealt = lookup_join(cells, _allotted(cells, k), "cell", "inner")
+    return materialize(dealt.groupBy("cell").applyInPandas(fit, "vec array<double>"), "centroids")
+
+
 def under_centroids(df: DataFrame, seed: int = 42, clusters: int | None = None) -> DataFrame:
-    """Replace each larger class by as many K-means centroids as the smallest class has rows."""
+    """Replace each larger class by as many K-means centroids as the smallest class has rows.
+
+    Above ``MAX_CLUSTERS`` centroids a class is cut into cells of bounded size, each gets its share of them, and the
+    cells are fitted in parallel. More ``clusters`` than that and than the largest class has rows are an error.
+    """
     counts = class_counts(df, "label")
     low = clusters or min(counts.values())
-    if low > MAX_CLUSTERS:
-        raise ValueError(f"{low} centroids per class; pass clusters= (at most {MAX_CLUSTERS})")
+    if low > max(MAX_CLUSTERS, *counts.values()):
+        raise ValueError(f"{low} centroids per class; the largest class has {max(counts.values())} rows")
     out = None
     for c, n in counts.items():
         mine = df.where(F.col("label") == F.lit(c))
         if n <= low:
             part = _original(mine)
         else:
-            model = KMeans(k=low, seed=seed, featuresCol="_x").fit(mine.select(array_to_vector("vec").alias("_x")))
-            centers = df.sparkSession.createDataFrame(
-                [(v.tolist(),) for v in model.clusterCenters()], "vec array<double>"
-            )
+            if low > MAX_CLUSTERS:
+                centers = _cell_centroids(mine, n, low, seed)
+            else:
+                model = KMeans(k=low, seed=seed, featuresCol="_x").fit(mine.select(array_to_vector("vec").alias("_x")))
+                centers = df.sparkSession.createDataFrame(
+                    [(v.tolist(),) for v in model.clusterCenters()], "vec array<double>"
+                )
             part = centers.select(
                 F.lit(None).cast("long").alias("id"), "vec", F.lit(c).cast(df.schema["label"].dataType).alias("label"),
                 F.lit(True).alias("synthetic"),

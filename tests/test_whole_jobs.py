@@ -3,10 +3,12 @@
 import inspect
 from functools import partial
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from panelspark.operators import impute, select
+from panelspark.operators import impute, resample, select
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +64,34 @@ def test_votes_are_those_of_the_six_selectors(spark, monkeypatch):
     for f, r in votes.items():
         n = sum(picked[f, s] for s in select.SELECTORS)
         assert r["total"] == n and r["chosen"] == (n >= select.VOTES_NEEDED)
+
+
+def test_centroids_beyond_one_fit_are_made_in_cells(spark, monkeypatch):
+    """60 of 400 rows of a class, a third of which are one point, where one fit makes 50 and a cell holds 40 rows."""
+    for name, value in (("MAX_CLUSTERS", 50), ("CELL_ROWS", 40), ("CELL_CENTROIDS", 4)):
+        monkeypatch.setattr(resample, name, value)
+    rnd = np.random.default_rng(3)
+    big = [[1.5, 1.5] if i % 3 == 0 else rnd.normal(size=2).tolist() for i in range(400)]
+    rows = [(i, v, 0) for i, v in enumerate(big)] + [(1000 + i, [9.0, 9.0], 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    out = resample.under_centroids(df).collect()
+    made = np.array([r["vec"] for r in out if r["label"] == 0])
+    assert len(made) == 60 and sum(r["label"] == 1 for r in out) == 60
+    assert all(r["synthetic"] and r["id"] is None for r in out if r["label"] == 0)
+    # the centroids stand for the rows: close to them, and far closer than 60 first rows would be apart
+    d = ((np.array(big)[:, None] - made[None]) ** 2).sum(axis=2).min(axis=1)
+    assert d.mean() < 0.05 and (made.min(axis=0) >= np.min(big, axis=0)).all() and (made.max(axis=0) <= np.max(big, axis=0)).all()
+
+
+def test_cells_hold_every_row_and_are_bounded(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 2.0]) for i in range(300)] + [(i, [5.0, 5.0]) for i in range(300, 500)], "id long, vec array<double>")
+    cells = resample._cells(df, 30)
+    assert sorted(r["id"] for r in cells.collect()) == list(range(500))
+    assert cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 40
+    shares = resample._allotted(cells, 111)
+    assert shares.agg(F.sum("k")).first()[0] == 111
+
+
+def test_centres_are_as_many_as_asked_for():
+    x = np.array([[0.0], [0.0], [1.0], [1.0]])
+    assert len(resample.kmeans_centers(x, 3, 1)) == 3 and sorted(resample.kmeans_centers(x, 2, 1).ravel().tolist()) == [0.0, 1.0]
