@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations
@@ -15,7 +16,10 @@ from panelspark.operators.joins import lookup_join
 from panelspark.operators.ranks import column_ranks, row_ranks
 from panelspark.roles import Roles
 
-MAX_FEATURES = 1000
+#: no cut
+MAX_FEATURES: int | None = None
+
+log = logging.getLogger(__name__)
 
 
 def sample_skewness(x: Column) -> Column:
@@ -156,13 +160,19 @@ class Feature:
 
 
 def plan_features(
-    numerics: list[str], bools: list[str], codes: list[str], max_features: int = MAX_FEATURES
+    numerics: list[str], bools: list[str], codes: list[str], max_features: int | None = MAX_FEATURES
 ) -> list[Feature]:
-    """Every registered aggregate over every fitting column or pair, in a fixed order, cut at the limit."""
+    """Every registered aggregate over every fitting column or pair, in a fixed order.
+
+    A limit cuts the list and logs the features that it leaves out.
+    """
     cols = {"num": list(numerics), "bool": list(bools), "code": list(codes)}
     feats = [
         Feature(a.name, combo) for a in AGGREGATES.values() for combo in combinations(cols[a.kind], a.arity)
     ]
+    if max_features is not None and len(feats) > max_features:
+        left = [f.name for f in feats[max_features:]]
+        log.warning("max_features=%d leaves out %d of %d features: %s", max_features, len(left), len(feats), ", ".join(left))
     return feats[:max_features]
 
 
@@ -193,7 +203,7 @@ def feature_synthesis(
     roles: Roles,
     parent: DataFrame | None = None,
     parent_key: str | None = None,
-    max_features: int = MAX_FEATURES,
+    max_features: int | None = MAX_FEATURES,
 ) -> DataFrame:
     """Depth-2 features per item: aggregates of base columns, of transforms, and of parent attributes.
 

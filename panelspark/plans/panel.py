@@ -70,7 +70,7 @@ def rolling_stage(df: DataFrame, roles: Roles, periods=(7, 15, 30)) -> DataFrame
     return clean.narrow_types(clean.drop_string_columns(impute.impute_remaining(out)))
 
 
-def synthesis_stage(df: DataFrame, item: str, business: str, attrs: list[str], roles: Roles, max_features: int = synth.MAX_FEATURES) -> DataFrame:
+def synthesis_stage(df: DataFrame, item: str, business: str, attrs: list[str], roles: Roles, max_features: int | None = synth.MAX_FEATURES) -> DataFrame:
     """Business dimension, depth-2 features per item, attached to every row."""
     base = synth.entity_base(df, roles.row_id, roles.time)
     parent = synth.normalize_dimension(base, business, attrs, roles.time, roles.row_id)

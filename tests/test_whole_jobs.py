@@ -1,6 +1,7 @@
 """Registered queries and operators do their whole job: defaults, selectors, sizes and parts without cuts."""
 
 import inspect
+import logging
 from functools import partial
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from panelspark.operators import impute, resample, select
+from panelspark.operators import impute, resample, select, synth
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,3 +96,12 @@ def test_cells_hold_every_row_and_are_bounded(spark):
 def test_centres_are_as_many_as_asked_for():
     x = np.array([[0.0], [0.0], [1.0], [1.0]])
     assert len(resample.kmeans_centers(x, 3, 1)) == 3 and sorted(resample.kmeans_centers(x, 2, 1).ravel().tolist()) == [0.0, 1.0]
+
+
+def test_wide_panel_keeps_every_planned_feature(caplog):
+    numerics = [f"n{i}" for i in range(29)]
+    feats = synth.plan_features(numerics, ["b"], ["c"])
+    assert len(feats) == 29 * 7 + 29 * 28 + 3 + 2 and {f.agg for f in feats} == set(synth.AGGREGATES)
+    with caplog.at_level(logging.WARNING):
+        assert len(synth.plan_features(numerics, ["b"], ["c"], max_features=1018)) == 1018
+    assert "leaves out 2 of 1020" in caplog.text and "mode__c" in caplog.text
