@@ -109,7 +109,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     without words are all alike (likeness 1). Rows of one doc_id follow each other by text, a missing doc_id comes
     last; a lone document is its own next. An empty table gives no row.
 
-    The order is cut into parts of contiguous ids, each streamed by one task. The first text of every part, one per
+    The order is cut into parts of contiguous ids, each streamed by one task; many rows of one doc_id are several parts. The first text of every part, one per
     part, goes along with the part before it.
     """
     rows = ordered_parts(docs)
@@ -161,7 +161,7 @@ def _guests(rows: DataFrame) -> DataFrame:
     visits = [(part, low, least[i - 1][0]) for i, (part, low) in enumerate(least)]
     at = F.broadcast(spark.createDataFrame(visits, "_part int, least long, host int"))
     found = rows.join(at, "_part").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    found = found.groupBy("host", "doc_id").agg(F.sort_array(F.collect_set(F.coalesce("text", F.lit(""))))[0].alias("text"))
+    found = found.groupBy("host", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     return found.select(F.col("host").alias("_part"), "doc_id", "text", F.lit(True).alias("guest"))
 
 
