@@ -53,7 +53,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
 
     types = items.sparkSession.createDataFrame([], ITEM_WINDOWS).toArrow().schema
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(rows.where("item_id is not null")).mapInArrow(run, ITEM_WINDOWS)
+    return small_batches(rows).mapInArrow(run, ITEM_WINDOWS)
 
 
 def hash_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -139,8 +139,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     out. Documents join on that token; its place in the window must leave room on both sides (positional and length
     bounds), and the words there must equal the window's. ``n_hit`` counts words inside at least one match.
 
-    Null or empty texts have no words and no hits. Items without words or with a null id hit nothing; an item_id that
-    repeats counts once. Repeated documents are judged row by row. Empty tables give empty or clean results.
+    Null or empty texts have no words and no hits. Items without words hit nothing; an item_id that repeats counts once.
+    An item with a null id hits like any other, only ``n_items`` and ``items_sha256`` leave it out. Repeated documents are judged row by row. Empty tables give empty or clean results.
     """
     windows = materialize(item_windows(items, window, shingle), "windows")
     counts = shingle_counts(docs, windows, bits)
@@ -168,10 +168,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
         lambda acc: acc["n"],
     )
     spans = spans.select("uid", covered.alias("n_hit"))
-    owners = windows.select("wid", "win", "item_id").distinct()
+    owners = windows.where("item_id is not null").select("wid", "win", "item_id").distinct()
     named = hits.select("uid", "wid", "win").distinct().join(owners, ["wid", "win"]).select("uid", "item_id").distinct()
     named = named.groupBy("uid").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
-    out = rows.select("uid", "doc_id", "text_hash", "n_words").join(spans.join(named, "uid"), "uid", "left")
+    out = rows.select("uid", "doc_id", "text_hash", "n_words").join(spans.join(named, "uid", "left"), "uid", "left")
     items_list = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
