@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontaminate, language, licenses, minhash, mixing, quality, simhash, suffix_dedup, token_counts, token_file, warc
+from panelspark.llm import conversations, decontaminate, language, licenses, minhash, mixing, quality, simhash, spelling, suffix_dedup, token_counts, token_file, warc
 from panelspark.llm.common import documents
 from panelspark.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op6_poisson_mixing": mixing.SQL, "op13_warc": warc.SQL}
+ORACLES: dict[str, str] = {"op6_poisson_mixing": mixing.SQL, "op12_spelling_variants": spelling.SQL, "op13_warc": warc.SQL}
 
 
 def query(fn):
@@ -78,3 +78,13 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch_dir(spark, "warc"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversation_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
