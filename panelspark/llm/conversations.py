@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import shuffle_parts, small_batches
+from panelspark.llm.words import CRC_TABLE_SQL, crc32_sql
 from panelspark.session import materialize
 
 # Costs of the edits, white space and sentence ends of the contract.
@@ -455,3 +456,64 @@ def conversation_digests(conversations: DataFrame) -> DataFrame:
     """The digest of every conversation after damage and repair; an empty table has no rows."""
     hurt = damaged(conversations)
     return repair_digests(repair_conversations(hurt.where("not dropped")), conversations)
+
+
+def _put(role: str, rest: str) -> str:
+    """An insert in front of the rest of a repair (cost, audit, text)."""
+    return f"{{'c': {rest}.c + {INSERT}, 'a': concat('I', {rest}.a), 't': concat(chr(10), '{role}:', {rest}.t)}}"
+
+
+def _edit(letter: str, cost: str, rest: str, text: str = "''", when: str = "true") -> str:
+    return f"CASE WHEN {when} THEN {{'c': {rest}.c + {cost}, 'a': concat('{letter}', {rest}.a), 't': concat({text}, {rest}.t)}} END"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+_KEPT, _NEVER = "concat(chr(10), role, ':', text)", "{'c': 1000000000000::BIGINT, 'a': '', 't': ''}"
+_USER, _ASSISTANT = "concat(chr(10), 'user:', text)", "concat(chr(10), 'assistant:', text)"
+_D = [_edit("D", "2", x) for x in ("e0", "es", "eu", "ea")]
+_R = [_edit("R", "1 + late", "ea" if i == 2 else "eu", _ASSISTANT if i == 2 else _USER, "NOT bad") for i in range(4)]
+_K = {x: _edit("K", "late", f"e{x}", _KEPT, f"NOT bad AND initial = '{x}'") for x in "sua"}
+
+#: a recursion from the last row to the first: for each state in front of a row the least (cost, audit, text) of the rest
+SQL = f"""
+WITH RECURSIVE {CRC_TABLE_SQL}, keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))")} % 20 AS h FROM conversations, crc_table
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM keyed WHERE h <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+    trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS core FROM hurt
+), marked AS (
+  SELECT *, core = '' AS blank, core <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    core <> '' AND right(core, 1) NOT IN ('.', '!', '?') AS open, substr(role, 1, 1) AS initial,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), rows AS (
+  SELECT *, blank OR again AS bad, CASE WHEN open THEN 5 ELSE 0 END AS late FROM marked
+), told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again) AS duplicate, count(*) FILTER (open AND NOT again) AS truncated,
+    count(*) FILTER (concat(before, initial) NOT IN ('su', 'ua', 'au') AND i > 1) AS illegal, max(i) AS n FROM rows GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, n AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS e0, {_NEVER} AS es,
+    {_put("assistant", "{'c': 0::BIGINT, 'a': '', 't': ''}")} AS eu, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS ea FROM told
+  UNION ALL
+  SELECT conv_id, i, {_least("b0", _put("user", "eu"))} AS e0, {_least("bs", _put("user", "eu"))} AS es, eu, {_least("ba", _put("user", "bu"))} AS ea
+  FROM (SELECT conv_id, i, b0, bs, bu, ba, {_least("bu", _put("assistant", "ba"))} AS eu
+    FROM (SELECT w.conv_id, w.i - 1 AS i, {_least(_D[0], _R[0], _K["s"], _K["u"])} AS b0, {_least(_D[1], _R[1], _K["u"])} AS bs,
+        {_least(_D[2], _R[2], _K["a"])} AS bu, {_least(_D[3], _R[3], _K["u"])} AS ba
+      FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i))
+), found AS (
+  SELECT conv_id, e0 FROM walk WHERE i = 0
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e0.c, 0) AS cost, coalesce(e0.a, '') AS audit,
+  sha256(coalesce(substr(e0.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -32,15 +32,19 @@ class Encoder:
     The pre-tokenizer of such a file never joins what stands on both sides of a lone space or line break, so a
     text is cut there and every word is encoded once, many at a time, and remembered. The memory holds
     ``cache_words`` words or ``cache_bytes`` bytes and starts anew when full; results never depend on it. Texts with other white space
-    next to a space are cut only where it is safe. Special tokens inside a text are ordinary text.
+    next to a space are cut only where it is safe. A text that holds an added token, such as an end mark, goes to the
+    library whole, so that the token becomes its own id.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        #: the library's own reading, for texts with an added token; the other never meets one
+        self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.cache_words, self.cache_bytes = cache_words, cache_bytes
         #: "word" stands for a space and the word, "\nword" for a line break and the word
         self.known: dict[str, bytes] = {}
@@ -103,6 +107,9 @@ class Encoder:
             self.held = 0
         known, split, missing, out = self.known, [], set(), []
         for t in texts:
+            if self.added.search(t):
+                split.append(None)
+                continue
             words = ("\n" + t).replace("\n", " \n").split(" ")
             del words[0]
             got = list(map(known.get, words))
@@ -110,7 +117,11 @@ class Encoder:
             missing.update([words[i] for i in new])
             split.append((words, got, new))
         self.learn(missing)
-        for t, (words, got, new) in zip(texts, split):
+        for t, parts in zip(texts, split):
+            if parts is None:
+                out.append(as_bytes(self.whole.encode(t, add_special_tokens=False).ids))
+                continue
+            words, got, new = parts
             for i in new:
                 got[i] = known.get(words[i])
             if new and None in got:

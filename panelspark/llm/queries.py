@@ -11,7 +11,7 @@ from panelspark.llm.common import documents
 from panelspark.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op6_poisson_mixing": mixing.SQL, "op12_spelling_variants": spelling.SQL, "op13_warc": warc.SQL}
+ORACLES: dict[str, str] = {"op6_poisson_mixing": mixing.SQL, "op11_conversation_repair": conversations.SQL, "op12_spelling_variants": spelling.SQL, "op13_warc": warc.SQL}
 
 
 def query(fn):

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import small_batches
+from panelspark.llm.words import CRC_TABLE_SQL, crc32_sql
 from panelspark.session import materialize
 
 MIN_LETTERS = 6
@@ -181,21 +182,13 @@ def spelling_variants(docs: DataFrame, min_letters: int = MIN_LETTERS, min_count
     return variant_forms(word_counts(docs, min_letters, min_count, every), ratio)
 
 
-SQL = """
-WITH RECURSIVE tab AS (
-  SELECT list(c ORDER BY i) AS t FROM (
-    SELECT i, list_reduce(list_concat([i::UBIGINT], list_transform(range(8), lambda k : 0::UBIGINT)),
-      lambda c, k : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))
-), runs AS (
+SQL = f"""
+WITH RECURSIVE {CRC_TABLE_SQL}, runs AS (
   SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
-  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run FROM documents)
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
   WHERE length(run) >= 6 GROUP BY ALL
-), bytes AS (
-  SELECT doc_id, run, k, hex(encode(concat(doc_id, ':', run))) AS x FROM runs
 ), hashed AS (
-  SELECT doc_id, run, k, xor(list_reduce(list_concat([4294967295::UBIGINT],
-      list_transform(range(0, length(x) // 2), lambda i : concat('0x', substr(x, 2 * i + 1, 2))::UBIGINT)),
-    lambda c, b : xor(c >> 8, t[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT) AS h FROM bytes, tab
+  SELECT doc_id, run, k, {crc32_sql("concat(doc_id, ':', run)")} AS h FROM runs, crc_table
 ), words AS (
   SELECT word, sum(k)::BIGINT AS n FROM (
     SELECT k, CASE WHEN h % 199 = 0 THEN concat(substr(run, 1, (h % length(run))::INT), substr(run, (h % length(run))::INT + 2)) ELSE run END AS word
@@ -208,7 +201,7 @@ WITH RECURSIVE tab AS (
   UNION SELECT x.word, y.word FROM cut x JOIN words y ON x.part = y.word WHERE x.word <> y.word
   UNION SELECT y.word, x.word FROM cut x JOIN words y ON x.part = y.word WHERE x.word <> y.word
 ), best AS (
-  SELECT a, count(*) AS n_near, min({'less': -n, 'word': b}) AS best FROM near JOIN words ON b = word GROUP BY a
+  SELECT a, count(*) AS n_near, min({{'less': -n, 'word': b}}) AS best FROM near JOIN words ON b = word GROUP BY a
 ), forms AS (
   SELECT w.word, CASE WHEN -best.less >= 5 * n THEN best.word END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near,
     CASE WHEN -best.less >= 5 * n THEN -best.less END AS form_n FROM words w LEFT JOIN best ON a = w.word

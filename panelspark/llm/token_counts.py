@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import small_batches
 from panelspark.llm.encoder import ID, encoder
 from panelspark.llm.token_file import SLICE, default_tokenizer
+from panelspark.session import materialize
 
-LENGTHS_PER_BUCKET = 4096
+LENGTHS_PER_BUCKET = 256
 
 
 def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -32,7 +33,8 @@ def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
         yield pa.record_batch({"n_tokens": pa.array(list(seen), pa.int64()), "n_docs": pa.array(list(seen.values()), pa.int64())})
 
     counted = small_batches(docs.select(F.col("text").cast("string"))).mapInArrow(run, "n_tokens long, n_docs long")
-    return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    # written, as its readers go over it more than once and encoding is the dear part
+    return materialize(counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")
 
 
 def context_table(histogram: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def context_table(histogram: DataFrame) -> DataFrame:
         {"_b": F.expr(f"n_tokens div {LENGTHS_PER_BUCKET}"), "_t": F.col("n_tokens") * F.col("n_docs")}
     )
     blocks = h.groupBy("_b").agg(F.sum("n_docs").alias("_bd"), F.sum("_t").alias("_bt"))
-    # one row per 4096 lengths: bounded by the longest document
+    # one row per LENGTHS_PER_BUCKET lengths: bounded by the longest document
     above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = blocks.select(

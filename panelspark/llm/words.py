@@ -110,3 +110,21 @@ def chunks(texts: list, size: int, limit: int = 1 << 20):
         total += size(t)
     if lo < len(texts):
         yield lo, len(texts)
+
+
+#: one row ``t``: the CRC-32 of every byte, for ``crc32_sql``
+CRC_TABLE_SQL = """crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i::UBIGINT], list_transform(range(8), lambda k : 0::UBIGINT)),
+      lambda c, k : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of an SQL string, next to the table ``crc_table``."""
+    hexed = f"hex(encode({text}))"
+    return (
+        f"xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(0, length({hexed}) // 2), "
+        f"lambda i : concat('0x', substr({hexed}, 2 * i + 1, 2))::UBIGINT)), "
+        "lambda c, b : xor(c >> 8, t[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT)"
+    )

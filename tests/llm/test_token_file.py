@@ -13,7 +13,7 @@ from panelspark.session import scratch_dir
 
 TEXTS = [
     "a  b", " a", "a ", "a\n b", "x\t y z", "it's don't  'll 've", "a b\n", "\n a b", "<|endoftext|> a", "a\x1c b", "", " ", "\n",
-    "a\n\nb", "a\r\nb c", "a. b.c, d!! e?\nf'll.", "a　b c", "é ü, ñ.",
+    "a\n\nb", "a\r\nb c", "a<|endoftext|>b", "x <|endoftext|>", "<|endoftext|><|endoftext|>\n", "<|endof text|>", "a. b.c, d!! e?\nf'll.", "a　b c", "é ü, ñ.",
 ]
 
 
@@ -22,7 +22,6 @@ def whole():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_file.default_tokenizer())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
