@@ -30,8 +30,9 @@ class Encoder:
     """Encodes texts to little-endian 32-bit ids with a byte-level tokenizer file.
 
     The pre-tokenizer of such a file never joins what stands on both sides of a lone space or line break, so a
-    text is cut there and every word is encoded once, many at a time, and remembered. The memory holds
-    ``cache_words`` words or ``cache_bytes`` bytes and starts anew when full; results never depend on it. Texts with other white space
+    text is cut there and every word is encoded once, many at a time, and remembered. The memory holds ``cache_words``
+    words or ``cache_bytes`` bytes in two halves: when the newer one is full it becomes the older one, whose words are
+    forgotten unless they were met again; results never depend on it. Texts with other white space
     next to a space are cut only where it is safe. A text that holds an added token, such as an end mark, goes to the
     library whole, so that the token becomes its own id.
     """
@@ -48,6 +49,7 @@ class Encoder:
         self.cache_words, self.cache_bytes = cache_words, cache_bytes
         #: "word" stands for a space and the word, "\nword" for a line break and the word
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         self.held = 0
         vocabulary = self.tokenizer.get_vocab()
@@ -101,20 +103,30 @@ class Encoder:
         return b"".join(as_bytes(e.ids) for e in found)
 
     def some(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.cache_words or self.held > self.cache_bytes:
-            self.known.clear()
+        if len(self.known) > self.cache_words // 2 or self.held > self.cache_bytes // 2:
+            self.known, self.older, self.held = {}, self.known, 0
             self.marks.clear()
-            self.held = 0
-        known, split, missing, out = self.known, [], set(), []
+        known, older, split, missing, out = self.known, self.older, [], set(), []
         for t in texts:
             if self.added.search(t):
                 split.append(None)
                 continue
             words = ("\n" + t).replace("\n", " \n").split(" ")
             del words[0]
-            got = list(map(known.get, words))
-            new = [i for i, ids in enumerate(got) if ids is None]
-            missing.update([words[i] for i in new])
+            got, new = list(map(known.get, words)), []
+            at = got.index(None) if None in got else -1
+            while at >= 0:
+                w = words[at]
+                if (ids := older.get(w)) is not None:
+                    known[w] = got[at] = ids
+                    self.held += len(w) + len(ids)
+                else:
+                    new.append(at)
+                    missing.add(w)
+                try:
+                    at = got.index(None, at + 1)
+                except ValueError:
+                    at = -1
             split.append((words, got, new))
         self.learn(missing)
         for t, parts in zip(texts, split):

@@ -75,9 +75,8 @@ def serialize(ids: bytes, end_id: int) -> bytes:
 
     The width is told by the first byte.
     """
-    wide = np.frombuffer(ids, dtype="<u4")
-    wide = np.append(wide, np.uint32(end_id))
-    return b"\2" + wide.astype("<u2").tobytes() if wide.max() < 1 << 16 else b"\4" + wide.astype("<u4").tobytes()
+    wide = np.frombuffer(ids + end_id.to_bytes(ID, "little"), dtype="<u4")
+    return b"\2" + wide.astype("<u2").tobytes() if wide.max() < 1 << 16 else b"\4" + wide.tobytes()
 
 
 def deserialize(data: bytes) -> np.ndarray:
