@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICROS_PER_DAY = 86_400_000_000
@@ -66,6 +68,12 @@ def null_if_nan(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def nan_to_null(df: DataFrame, cols: Iterable[str]) -> DataFrame:
+    """``df`` with NaN read as missing in those of ``cols`` that can hold it."""
+    floats = {c for c, kind in df.dtypes if kind in ("float", "double")}
+    return df.withColumns({c: null_if_nan(F.col(c)) for c in dict.fromkeys(cols) if c in floats})
+
+
 def correlation(a: Column, b: Column) -> Column:
     """Pearson correlation aggregate over rows where both are present; null when either is constant."""
     both = a.isNotNull() & b.isNotNull()

@@ -1,23 +1,36 @@
 """Exact k nearest neighbours as a shuffled block join.
 
-Data rows are grouped around a bounded set of pivots. The triangle inequality tells each query which
-pivot cells can hold one of its k nearest rows, and the query is sent to those cells only. Cells are cut
-into blocks of at most ``block_rows`` rows on both sides, so a cell of near-copies that holds a third of
-the table becomes many tasks. A block pair returns at most k rows per query.
+Data rows are grouped around pivots whose number grows with the root of the table, in two levels: a row goes to the
+nearest coarse pivot and to the nearest fine pivot below it. A query first meets the cell of its nearest pivot; its k-th
+distance there is a bound, and by the triangle inequality only cells that may hold a row within the bound are met
+after that. Rows with missing coordinates are indexed by a pattern of present ones: distances over a part of the
+coordinates are lower bounds, and so is the numeric part of a distance with codes. Cells are cut into blocks of at most
+``block_rows`` rows on both sides, equal vectors are compared once, and a block pair returns at most k rows per query.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.hashing import order_hash
+from panelspark.functions.scalar import null_if_nan
 from panelspark.operators.joins import attach_one_row
+from panelspark.session import materialize
 
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
+#: rows per cell aimed at in a small table; a large one has as many cells as rows in a cell
+CELL_ROWS = 256
+#: bound of the table of pivots
+PIVOT_BYTES = 16 << 20
+#: patterns of present coordinates with pivots of their own; other rows join a pattern that they contain
+PATTERNS = 64
+SLICE = 1024
 
 
 def _squared(q: np.ndarray, d: np.ndarray, nominal_from: int | None, penalty: float, gaps: bool) -> np.ndarray:
@@ -40,7 +53,7 @@ def _squared(q: np.ndarray, d: np.ndarray, nominal_from: int | None, penalty: fl
     return total
 
 
-def _block_top_k(k: int, exclude_self: bool, nominal_from, penalty: float, gaps: bool):
+def _block_top_k(k: int, nominal_from, penalty: float, gaps: bool):
     def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
             return pd.DataFrame({"id": [], "nn_id": [], "dist": []})
@@ -49,8 +62,6 @@ def _block_top_k(k: int, exclude_self: bool, nominal_from, penalty: float, gaps:
         by_id = np.argsort(di, kind="stable")
         dv, di = dv[by_id], di[by_id]
         dist = np.sqrt(_squared(qv, dv, nominal_from, penalty, gaps))
-        if exclude_self:
-            dist[qi[:, None] == di[None, :]] = np.nan
         dist = np.where(np.isnan(dist), np.inf, dist)
         m = min(k, len(di))
         # rows are in id order, so a stable sort breaks ties by the smaller id
@@ -62,73 +73,146 @@ def _block_top_k(k: int, exclude_self: bool, nominal_from, penalty: float, gaps:
     return run
 
 
-def _pivot_distances(vectors, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(_squared(np.stack(vectors.to_numpy()).astype(float), pivots, None, 0.0, False))
+def _shared(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Distances over the coordinates that both sides have."""
+    total = np.zeros((len(v), len(centers)))
+    for j in range(v.shape[1]):
+        diff = v[:, j][:, None] - centers[:, j][None, :]
+        total += np.where(np.isnan(diff), 0.0, diff * diff)
+    return np.sqrt(total)
 
 
-def knn_join(
-    queries: DataFrame,
-    data: DataFrame,
-    k: int,
-    exclude_self: bool = False,
-    nominal_from: int | None = None,
-    penalty: float = 0.0,
-    gaps: bool = False,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """(id, nn_id, dist, rank) for frames of (id long, vec array<double>): the k nearest data rows.
+@dataclass
+class Index:
+    """Coarse and fine pivots; a coordinate outside a pivot's pattern is NaN. A cell is a number of a fine pivot.
 
-    Ties go to the smaller id. Coordinates from ``nominal_from`` on count ``penalty`` when they differ.
-    With ``gaps`` missing coordinates (NaN) are skipped and the rest scaled up.
+    A row lies in a cell whose pattern it contains. ``reach`` are the largest distances of a cell's rows to its pivot, over
+    the pattern, ``least`` the smallest; ``spread`` the largest distance of a group's rows to its coarse pivot.
     """
-    queries = queries.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    data = data.select(F.col("id").alias("id"), F.col("vec").alias("vec"))
-    n_data = data.count()
-    metric = nominal_from is None and not gaps
-    n_pivots = min(MAX_PIVOTS, max(1, n_data // block_rows)) if metric else 1
-    if n_pivots > 1:
-        chosen = data.orderBy(order_hash(F.col("id")), "id").limit(n_pivots).collect()
-        pivots = np.array([r["vec"] for r in chosen], dtype=float)
-
-        @F.pandas_udf("cell int, r double")
-        def nearest(v: pd.Series) -> pd.DataFrame:
-            d = _pivot_distances(v, pivots)
-            c = d.argmin(axis=1)
-            return pd.DataFrame({"cell": c.astype("int32"), "r": d[np.arange(len(c)), c]})
-
-        data = data.withColumn("_p", nearest("vec")).select("id", "vec", "_p.cell", "_p.r")
-    else:
-        data = data.withColumns({"cell": F.lit(0), "r": F.lit(0.0)})
-    stats = {r["cell"]: (r["n"], r["r"]) for r in data.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("r")).collect()}
-    cells = sorted(stats)
-    if n_pivots > 1:
-        centers = pivots[cells]
-        sizes = np.array([stats[c][0] for c in cells])
-        radii = np.array([stats[c][1] for c in cells])
-        need = k + (1 if exclude_self else 0)
-        names = np.array(cells, dtype="int32")
-
-        @F.pandas_udf("array<int>")
-        def reachable(v: pd.Series) -> pd.Series:
-            d = _pivot_distances(v, centers)
-            reach = d + radii
-            order = np.argsort(reach, axis=1)
-            held = np.cumsum(sizes[order], axis=1)
-            at = np.minimum((held < need).sum(axis=1), len(names) - 1)
-            bound = np.take_along_axis(reach, order, axis=1)[np.arange(len(at)), at]
-            # a little slack keeps rounding from cutting off a true neighbour
-            hit = (d - radii) <= (bound * (1 + 1e-9) + 1e-12)[:, None]
-            return pd.Series([names[h].tolist() for h in hit])
-
-        queries = queries.withColumn("cell", F.explode(reachable("qvec")))
-    else:
-        queries = queries.withColumn("cell", F.lit(0))
-    load = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+
+    coarse: np.ndarray
+    fine: np.ndarray
+    group: np.ndarray
+    sizes: np.ndarray | None = None
+    reach: np.ndarray | None = None
+    least: np.ndarray | None = None
+    spread: np.ndarray | None = None
+
+    def place(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, distance to its pivot, distance to the coarse pivot) of data rows."""
+        has = ~np.isnan(v)
+        cell, r, far = np.zeros(len(v), dtype=np.int64), np.zeros(len(v)), np.zeros(len(v))
+        fits = ~((~has).astype(float) @ (~np.isnan(self.coarse)).T.astype(float)).astype(bool)
+        width = (~np.isnan(self.coarse)).sum(axis=1)
+        # the widest pattern that the row contains, then the nearest pivot of that pattern
+        widest = np.where(fits, width, -1).max(axis=1)
+        d = np.where(fits & (width == widest[:, None]), _shared(v, self.coarse), np.inf)
+        top = d.argmin(axis=1)
+        for g in np.unique(top):
+            rows, below = np.flatnonzero(top == g), np.flatnonzero(self.group == g)
+            near = _shared(v[rows], self.fine[below])
+            at = near.argmin(axis=1)
+            cell[rows], r[rows], far[rows] = below[at], near[np.arange(len(rows)), at], d[rows, g]
+        return cell, r, far
+
+    def first(self, v: np.ndarray, need: int) -> list[list[int]]:
+        """Cells that a query meets first: the nearest ones that hold ``need`` rows together."""
+        out = []
+        for lo in range(0, len(v), SLICE):
+            d = np.where(self.sizes > 0, _shared(v[lo : lo + SLICE], self.fine), np.inf)
+            order = np.argsort(d, axis=1, kind="stable")
+            enough = (np.cumsum(self.sizes[order], axis=1) < need).sum(axis=1)
+            out += [[int(c) for c in o[: n + 1] if self.sizes[c]] for o, n in zip(order, enough)]
+        return out
+
+    def later(self, v: np.ndarray, bound: np.ndarray, met: list[list[int]], whole: bool) -> list[list[int]]:
+        """Further cells that may hold a row within ``bound``; ``whole`` says that no coordinate is missing."""
+        scale = np.ones(len(v)) if whole else np.sqrt(v.shape[1] / np.maximum((~np.isnan(v)).sum(axis=1), 1))
+        # a little slack keeps rounding from cutting off a true neighbour
+        bound = bound * (1 + 1e-9) + 1e-12
+        if not whole:
+            # a query without coordinates is near to nothing
+            bound = np.where(np.isnan(v).all(axis=1), -1.0, bound)
+        out: list[list[int]] = [[] for _ in range(len(v))]
+        near = _shared(v, self.coarse)
+        for g in range(len(self.coarse)):
+            below = np.flatnonzero((self.group == g) & (self.sizes > 0))
+            rows = np.flatnonzero((near[:, g] - self.spread[g]) * scale <= bound)
+            if not len(rows) or not len(below):
+                continue
+            d = _shared(v[rows], self.fine[below])
+            hit = (d - self.reach[below]) * scale[rows][:, None] <= bound[rows][:, None]
+            if whole:
+                hit &= self.least[below] - d <= bound[rows][:, None]
+            for i, h in zip(rows, hit):
+                out[i] += below[h].tolist()
+        return [sorted(set(o) - set(m)) for o, m in zip(out, met)]
+
+
+def _pivots(data: DataFrame, dims: int, n: int) -> Index:
+    """Pivots drawn in hash order, as many as the root of the table asks for and ``PIVOT_BYTES`` allow."""
+    some = int(min(max(n // CELL_ROWS, 1), math.ceil(math.sqrt(n)) if n > CELL_ROWS**2 else n, PIVOT_BYTES // (8 * max(dims, 1))))
+    mask = F.transform("vec", lambda x: F.when(F.isnan(x), "0").otherwise("1"))
+    marked = data.select("id", "vec", F.array_join(mask, "").alias("mask"))
+    counts = marked.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "mask").limit(PATTERNS).collect()
+    # a pattern without coordinates takes the rows that contain no other
+    shares = {r["mask"]: max(1, round(some * r["n"] / n)) for r in counts if "1" in r["mask"]}
+    coarse, fine, group = [np.full(dims, np.nan)], [np.full(dims, np.nan)], [0]
+    if shares:
+        wanted = data.sparkSession.createDataFrame(list(shares.items()), "mask string, share long")
+        by = Window.partitionBy("mask").orderBy("_h", "id")
+        drawn = marked.join(F.broadcast(wanted), "mask").withColumn("_h", order_hash(F.col("id"))).withColumn("_r", F.row_number().over(by))
+        # the literal bound lets each task keep only its first rows before the shuffle
+        drawn = drawn.where((F.col("_r") <= max(shares.values())) & (F.col("_r") <= F.col("share")))
+        for _, rows in sorted(_by_mask(drawn.select("mask", "_r", "vec").collect()).items()):
+            top = rows[: max(1, round(math.sqrt(len(rows))))]
+            nearest = _shared(rows, top).argmin(axis=1)
+            nearest[: len(top)] = np.arange(len(top))
+            group += (nearest + len(coarse)).tolist()
+            coarse += list(top)
+            fine += list(rows)
+    return Index(np.array(coarse), np.array(fine), np.array(group))
+
+
+def _by_mask(rows: list) -> dict[str, np.ndarray]:
+    out: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r["mask"], r["_r"])):
+        out.setdefault(r["mask"], []).append(r["vec"])
+    return {m: np.array(v, dtype=float) for m, v in out.items()}
+
+
+def _numeric(series: pd.Series, dims: int) -> np.ndarray:
+    """The coordinates that bound a distance; a missing one is NaN."""
+    return np.stack(series.to_numpy()).astype(float)[:, :dims]
+
+
+def _index(data: DataFrame, dims: int, n: int) -> tuple[Index, DataFrame]:
+    """Pivots with the extents of their cells, and ``data`` (id, vec) with its cell."""
+    index = _pivots(data.withColumn("vec", F.slice("vec", 1, dims)), dims, n)
+
+    @F.pandas_udf("cell long, r double, far double")
+    def place(v: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("cell", "r", "far"), index.place(_numeric(v, dims)))))
+
+    data = data.withColumn("_p", place("vec")).select("id", "vec", "_p.cell", "_p.r", "_p.far")
+    stats = data.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r"), F.min("r").alias("least"), F.max("far").alias("far")).collect()
+    cells = len(index.fine)
+    index.sizes, index.reach, index.least, index.spread = np.zeros(cells, dtype=np.int64), np.zeros(cells), np.zeros(cells), np.zeros(len(index.coarse))
+    for s in stats:
+        c, g = s["cell"], index.group[s["cell"]]
+        index.sizes[c], index.reach[c], index.least[c] = s["n"], s["r"], s["least"]
+        index.spread[g] = max(index.spread[g], s["far"])
+    return index, data
+
+
+def _met(queries: DataFrame, data: DataFrame, index: Index, block_rows: int, compare) -> DataFrame:
+    """(id, nn_id, dist) of queries (qid, qvec, cell) and the rows of their cells, block by block."""
     spark = data.sparkSession
-    shape = [(c, -(-stats[c][0] // block_rows), -(-load[c] // block_rows)) for c in cells if c in load]
+    load = queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+    shape = [(r["cell"], -(-int(index.sizes[r["cell"]]) // block_rows), -(-r["n"] // block_rows)) for r in load]
     if not shape:
-        return spark.createDataFrame([], "id long, nn_id long, dist double, rank int")
-    blocks = F.broadcast(spark.createDataFrame(shape, "cell int, _ns long, _nt long"))
+        return spark.createDataFrame([], "id long, nn_id long, dist double")
+    blocks = F.broadcast(spark.createDataFrame(shape, "cell long, _ns long, _nt long"))
     d = (
         data.select("id", "vec", "cell")
         .join(blocks, "cell")
@@ -142,13 +226,72 @@ def knn_join(
         .withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ns") - 1)))
         .select("qid", "qvec", "cell", "s", "t")
     )
-    found = (
-        q.groupBy("cell", "s", "t")
-        .cogroup(d.groupBy("cell", "s", "t"))
-        .applyInPandas(_block_top_k(k, exclude_self, nominal_from, penalty, gaps), "id long, nn_id long, dist double")
-    )
-    best = Window.partitionBy("id").orderBy("dist", "nn_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return q.groupBy("cell", "s", "t").cogroup(d.groupBy("cell", "s", "t")).applyInPandas(compare, "id long, nn_id long, dist double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest per id; each task cuts its own rows to k per id before the shuffle."""
+    order = Window.partitionBy("id").orderBy("dist", "nn_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def routed(queries: DataFrame, data: DataFrame, k: int, nominal_from: int | None = None, penalty: float = 0.0, gaps: bool = False,
+           block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(id, nn_id, dist, rank) for distinct queries, and (qid, cells) with the number of cells that each of them met."""
+    spark = data.sparkSession
+    n = data.count()
+    first = data.select(F.size("vec")).first()
+    if first is None:
+        return spark.createDataFrame([], "id long, nn_id long, dist double, rank int"), spark.createDataFrame([], "qid long, cells int")
+    dims = first[0] if nominal_from is None else nominal_from
+    index, data = _index(data, dims, n)
+    data = materialize(data.select("id", "vec", "cell"), "cells")
+    compare = _block_top_k(k, nominal_from, penalty, gaps)
+
+    @F.pandas_udf("array<long>")
+    def nearest(v: pd.Series) -> pd.Series:
+        return pd.Series(index.first(_numeric(v, dims), k))
+
+    queries = materialize(queries.withColumn("met", nearest("qvec")), "queries")
+    near = materialize(_best(_met(queries.select("qid", "qvec", F.explode("met").alias("cell")), data, index, block_rows, compare), k), "near")
+    bound = near.where(F.col("rank") == k).select(F.col("id").alias("qid"), F.col("dist").alias("bound"))
+
+    @F.pandas_udf("array<long>")
+    def reachable(v: pd.Series, met: pd.Series, bound: pd.Series) -> pd.Series:
+        return pd.Series(index.later(_numeric(v, dims), bound.to_numpy(float), [list(m) for m in met], not gaps))
+
+    far = queries.join(bound, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    far = materialize(far.withColumn("more", reachable("qvec", "met", "bound")), "routes")
+    rest = _met(far.select("qid", "qvec", F.explode("more").alias("cell")), data, index, block_rows, compare)
+    met = far.select("qid", (F.size("met") + F.size("more")).alias("cells"))
+    return _best(near.drop("rank").unionByName(rest), k), met
+
+
+def knn_join(
+    queries: DataFrame,
+    data: DataFrame,
+    k: int,
+    exclude_self: bool = False,
+    nominal_from: int | None = None,
+    penalty: float = 0.0,
+    gaps: bool = False,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(id, nn_id, dist, rank) for frames of (id long, vec array<double>): the k nearest data rows.
+
+    Ties go to the smaller id. Coordinates from ``nominal_from`` on count ``penalty`` when they differ.
+    With ``gaps`` missing coordinates (NaN) are skipped and the rest scaled up. Of rows with equal vectors the k (or k + 1)
+    smallest ids are compared, as no other can be among the nearest, and equal queries are asked once.
+    """
+    need = k + 1 if exclude_self else k
+    same = Window.partitionBy("vec").orderBy("id")
+    rows = data.select("id", "vec").withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= need).drop("_r")
+    asked = queries.select("id", F.col("vec").alias("qvec"))
+    ones = materialize(asked.groupBy("qvec").agg(F.min("id").alias("qid")), "asked")
+    found, _ = routed(ones, rows, need, nominal_from, penalty, gaps, block_rows)
+    back = asked.join(ones, "qvec").select(F.col("qid").alias("_asked"), F.col("id").alias("_id"))
+    out = found.drop("rank").join(back, F.col("id") == F.col("_asked")).select(F.col("_id").alias("id"), "nn_id", "dist")
+    return _best(out.where("id <> nn_id") if exclude_self else out, k)
 
 
 def as_vector(*cols: str):
@@ -160,8 +303,9 @@ def impute_knn(df: DataFrame, cols: list[str], row_id: str = "row_id", k: int =
     """Fill a gap with the mean of the column over the k nearest rows that have it.
 
     Distance uses the coordinates both rows have, scaled up for the missing ones; a row with no usable
-    donor gets the column mean.
+    donor gets the column mean. NaN is missing too.
     """
+    df = df.withColumns({c: null_if_nan(F.col(c)) for c, kind in df.dtypes if c in cols and kind in ("float", "double")})
     gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     work = df.select(F.col(row_id).alias("id"), as_vector(*cols).alias("vec"), *cols)
     out = df

@@ -12,12 +12,19 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.functions.hashing import hash_bucket
 from panelspark.operators.joins import hot_keys
+from panelspark.session import materialize
 
 MAX_BUCKETS = 4096
-QUANTILE_BUCKETS = 1024
+#: size of a quantile sketch, the factor of its rank error, and the distinct values that one task orders
+SKETCH = 1024
+SKETCH_ERROR = 3.5
+#: quantiles read off a sketch, evenly spaced
+SKETCH_MARKS = 512
+SLICE_ROWS = 1_000_000
 HOT_GROUP_ROWS = 1_000_000
 
 
@@ -163,45 +170,64 @@ def _bucket_ranks(work: DataFrame, cols: list[str], group: list[str], n: int | N
 
 
 def exact_quantiles(
-    df: DataFrame, cols: list[str], probs: dict[str, float], group: list[str] = (), n: int = QUANTILE_BUCKETS
+    df: DataFrame, cols: list[str], probs: dict[str, float], group: list[str] = (), n: int = SKETCH, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """(group..., column, one column per name in ``probs``): linear-interpolated exact quantiles.
 
-    A histogram over the buckets tells which few buckets hold the wanted positions; only their values are
-    shuffled and ordered. ``group`` must have few values, such as a class label.
+    One scan makes a mergeable sketch of size ``n`` per group and column; it gives bounds around each wanted position. A
+    second scan counts the values below and between the bounds, where only the few between are shuffled and ordered. Bounds
+    that miss their position are widened, and a slice of more than ``slice_rows`` distinct values is sketched and narrowed
+    again, so a task's share does not grow with the table. ``group`` must have few values, such as a class label.
     """
-    group = list(group)
-    cells = long_values(df, cols, group, n)
+    group, size = list(group), max(8, n)
     by = [*group, "column"]
-    hist = cells.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("_c"))
-    # at most n rows per (group, column)
-    whole = Window.partitionBy(*by)
-    upto = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumns({"_o": F.coalesce(F.sum("_c").over(upto), F.lit(0)), "_n": F.sum("_c").over(whole)})
-    ends = {}
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        ends |= {f"_{name}_lo": F.floor(pos), f"_{name}_hi": F.ceil(pos)}
-    hit = F.lit(False)
-    for at in ends.values():
-        hit = hit | ((F.col("_o") <= at) & (at < F.col("_o") + F.col("_c")))
-    # at most two buckets per wanted quantile
-    wanted = hist.where(hit).select(*by, "bucket", "_o", "_n")
-    inside = cells.join(F.broadcast(wanted), [*by, "bucket"])
-    counts = inside.groupBy(*by, "bucket", "value", "_o", "_n").agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(*by, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_o", F.col("_o") + F.coalesce(F.sum("_c").over(order), F.lit(0)))
-    aggs = [
-        F.max(F.when((F.col("_o") <= at) & (at < F.col("_o") + F.col("_c")), F.col("value"))).alias(name)
-        for name, at in ends.items()
-    ]
-    q = counts.groupBy(*by).agg(*aggs, F.max("_n").alias("_n"))
-    outs = []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        outs.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return q.select(*by, *outs)
+    parts = [F.struct(F.lit(c).alias("column"), (F.col(c).cast("double") + F.lit(0.0)).alias("value")) for c in cols]
+    cells = df.select(*group, F.explode(F.array(*parts)).alias("_c")).select(*group, "_c.*").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    names = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p")) for k, p in probs.items()])
+    marks = F.array(*[F.lit(i / SKETCH_MARKS) for i in range(SKETCH_MARKS + 1)])
+    sketch = [F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("value", F.lit(size)), marks).alias("_s"), F.count(F.lit(1)).alias("_m")]
+    whole = cells.groupBy(*by).agg(*sketch).withColumn("_q", F.explode(names))
+    pos = F.col("_q.p") * (F.col("_m") - 1)
+    ends = [F.floor(pos).cast("long").alias("_lo"), F.ceil(pos).cast("long").alias("_hi")]
+    nothing = [F.lit(None).cast("double").alias("_a"), F.lit(None).cast("double").alias("_z"), F.lit(0).cast("long").alias("_below")]
+    # groups x columns x quantiles rows
+    whole = materialize(whole.select(*by, "_q.name", pos.alias("_pos"), *ends, *nothing, "_s", "_m"), "sketches")
+    slack, found, held = SKETCH_ERROR / size**0.9, whole, None
+    while True:
+        at = [(F.col("_lo") - F.col("_below")) / F.col("_m") - slack, (F.col("_hi") + 1 - F.col("_below")) / F.col("_m") + slack]
+        at = [F.floor(at[0] * SKETCH_MARKS).cast("int"), F.ceil(at[1] * SKETCH_MARKS).cast("int")]
+        low = F.when(at[0] > 0, F.get("_s", at[0])).otherwise(F.col("_a"))
+        high = F.when(at[1] < SKETCH_MARKS, F.get("_s", at[1])).otherwise(F.col("_z"))
+        wanted = materialize(found.select(*by, "name", "_pos", "_lo", "_hi", low.alias("_a"), high.alias("_z")), "bounds")
+        met = cells.join(F.broadcast(wanted), by).where(F.col("_z").isNull() | (F.col("value") <= F.col("_z")))
+        inside = F.col("_a").isNull() | (F.col("value") >= F.col("_a"))
+        # one row for all that is below the slice, one per value in it
+        counts = met.groupBy(*by, "name", F.when(inside, F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("_c"))
+        counts = materialize(counts, "slices")
+        shape = counts.groupBy(*by, "name").agg(
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("_c"))), F.lit(0)).alias("_below"), F.sum("_c").alias("_upto"), F.count("value").alias("_rows")
+        )
+        shape = materialize(wanted.join(shape, [*by, "name"]), "shape")
+        missed = (F.col("_lo") < F.col("_below")) | (F.col("_hi") >= F.col("_upto"))
+        worst = shape.agg(F.max(missed.cast("int")), F.max("_rows")).first()
+        if worst[0]:
+            slack, found = 4 * slack, whole
+        elif (worst[1] or 0) > slice_rows and (held is None or worst[1] < held):
+            held = worst[1]
+            keep = (F.col("_a").isNull() | (F.col("value") >= F.col("_a"))) & (F.col("_z").isNull() | (F.col("value") <= F.col("_z")))
+            again = cells.join(F.broadcast(shape), by).where(keep).groupBy(*by, "name").agg(*sketch)
+            found = materialize(shape.join(again, [*by, "name"]), "sketches")
+        else:
+            break
+    order = Window.partitionBy(*by, "name").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("_u", F.sum("_c").over(order)).where("value is not null").join(F.broadcast(wanted.drop("_a", "_z")), [*by, "name"])
+    first = F.min(F.when(F.col("_u") > F.col("_lo"), F.col("value"))).alias("_first")
+    last = F.min(F.when(F.col("_u") > F.col("_hi"), F.col("value"))).alias("_last")
+    q = placed.groupBy(*by, "name", "_pos").agg(first, last)
+    value = F.col("_first") + (F.col("_last") - F.col("_first")) * (F.col("_pos") - F.floor("_pos"))
+    # equal ends stay as they are, infinite ones too
+    value = F.when(F.col("_first") == F.col("_last"), F.col("_first")).otherwise(value)
+    return q.groupBy(*by).agg(*[F.max(F.when(F.col("name") == k, value)).alias(k) for k in probs])
 
 
 def dense_row_rank(df: DataFrame, order_hash: Column, row_id: str, group: list[str]) -> DataFrame:
@@ -216,8 +242,15 @@ def dense_row_rank(df: DataFrame, order_hash: Column, row_id: str, group: list[s
 
 
 def row_positions(df: DataFrame, row_id: str, group: list[str], n: int | None = None) -> DataFrame:
-    """Add ``pos`` (0-based, in ``row_id`` order) and ``group_n`` for rows of each group."""
-    b = add_buckets(df, [row_id], n)
+    """Add ``pos`` (0-based, in ``row_id`` order) and ``group_n`` for rows of each group; ids are of any type that has an order.
+
+    Ids that are no numbers are bucketed by the ranges that a sample of them gives, and written, as another run may find others.
+    """
+    if isinstance(df.schema[row_id].dataType, T.NumericType):
+        b = add_buckets(df, [row_id], n)
+    else:
+        ranged = df.repartitionByRange(n or bucket_count(df), row_id)
+        b = materialize(ranged.withColumn(row_id + "__b", F.spark_partition_id()), "ranges")
     out = prefix_sums(b, F.col(row_id), {"one": F.lit(1).cast("long")}, list(group), row_id + "__b")
     return (
         out.withColumnRenamed("before_one", "pos").withColumnRenamed("total_one", "group_n").drop(row_id + "__b")

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.scalar import MICROS_PER_DAY, micros
+from panelspark.functions.scalar import MICROS_PER_DAY, micros, nan_to_null
 from panelspark.operators.joins import hot_keys
 from panelspark.operators.ranks import prefix_sums
 
@@ -223,9 +223,11 @@ def rolling_features(
 ) -> DataFrame:
     """Add every rolling column; missing results become 0.
 
-    Rows with equal times belong to each other's windows. A null key or time gives 0.
+    Rows with equal times belong to each other's windows. A null key or time gives 0. NaN is a missing value.
     """
-    out = df.withColumn("_us", micros(F.col(time)))
+    floats = [c for c, kind in df.dtypes if kind in ("float", "double") and c in {s.col for s in specs}]
+    out = nan_to_null(df.withColumns({f"_nan_{c}": F.coalesce(F.isnan(c), F.lit(False)) for c in floats}), floats)
+    out = out.withColumn("_us", micros(F.col(time)))
     for key in dict.fromkeys(s.key for s in specs):
         mine = [s for s in specs if s.key == key]
         hot = hot_keys(df, [key], hot_rows)
@@ -244,7 +246,9 @@ def rolling_features(
     idle = {s.name: F.col(s.key).isNull() | F.col("_us").isNull() for s in specs}
     return out.withColumns(
         {s.name: F.when(idle[s.name], 0).otherwise(F.coalesce(F.col(s.name), F.lit(0))) for s in specs}
-    ).drop("_us").select(*df.columns, *[s.name for s in specs])
+    ).withColumns(
+        {c: F.when(F.col(f"_nan_{c}"), F.lit(float("nan"))).otherwise(F.col(c)) for c in floats}
+    ).select(*df.columns, *[s.name for s in specs])
 
 
 @dataclass(frozen=True)

@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import correlation
+from panelspark.operators import boost
 from panelspark.operators.encode import ordinal_first_seen
 from panelspark.operators.evaluate import balanced_class_weights
 from panelspark.operators.joins import lookup_join
@@ -137,9 +133,18 @@ def select_forest(df: DataFrame, cols: list[str], label: str, trees: int = TREES
     return _above_median(df, cols, _fit_importances(model, assemble(df, cols, label)), "Random Forest")
 
 
+def boosted(df: DataFrame, cols: list[str], label: str, settings: boost.Boosting, weight: str | None = None) -> list[boost.Tree]:
+    """Trees over the bins of ``cols``; see ``boost`` for what a pass costs."""
+    cuts = boost.bin_cuts(df, cols)
+    return boost.fit_trees(boost.binned_blocks(df, cols, label, cuts, weight), len(cols), max(map(len, cuts)) + 1, settings)
+
+
 def select_boosting(df: DataFrame, cols: list[str], label: str, trees: int = TREES, depth: int = 5) -> DataFrame:
-    model = GBTClassifier(weightCol="weight", maxIter=trees, stepSize=1e-4, maxDepth=depth, seed=42)
-    return _above_median(df, cols, _fit_importances(model, assemble(df, cols, label)), "LightGBM")
+    """Split counts of boosting with balanced classes and a rate of 0.0001."""
+    weighted = lookup_join(df.select(label, *cols), balanced_class_weights(df, label).withColumnRenamed("weight", "_weight"), label, "inner")
+    settings = boost.Boosting(trees, depth, 1e-4, min_rows=20, min_curvature=1e-3)
+    found = boosted(weighted, cols, label, settings, "_weight")
+    return _above_median(df, cols, boost.tree_importance(found, len(cols), "splits"), "LightGBM")
 
 
 def vote_features(votes: list[DataFrame] | DataFrame, needed: int = VOTES_NEEDED) -> DataFrame:
@@ -175,11 +180,11 @@ def forest_importance_rank(df: DataFrame, cols: list[str], label: str, trees: in
 
 
 def boosting_importance_rank(
-    df: DataFrame, cols: list[str], label: str, trees: int = TREES, rate: float = 0.5
+    df: DataFrame, cols: list[str], label: str, trees: int = TREES, rate: float = 0.5, depth: int = 3
 ) -> DataFrame:
-    """Unweighted gradient boosting."""
-    model = GBTClassifier(maxIter=trees, stepSize=min(rate, 1.0), seed=42)
-    return _ranked(df, cols, _fit_importances(model, weighted_matrix(df, cols, label, 1.0)))
+    """Unweighted gradient boosting; gains as a share of their tree, averaged over the trees."""
+    found = boosted(df, cols, label, boost.Boosting(trees, depth, rate, newton=False))
+    return _ranked(df, cols, boost.tree_importance(found, len(cols), "share"))
 
 
 def importance_report(
@@ -200,42 +205,27 @@ def importance_report(
     return reduce(DataFrame.unionByName, outs)
 
 
-def xgb_importance_rank(df: DataFrame, cols: list[str], label: str, trees: int = 100) -> DataFrame:
-    """Rate 1.2 is beyond what the library allows, so 1.0 is used."""
-    return boosting_importance_rank(df, cols, label, trees, rate=1.0)
+def xgb_importance_rank(df: DataFrame, cols: list[str], label: str, trees: int = 100, rate: float = 1.2, depth: int = 6) -> DataFrame:
+    """Boosting by Newton steps with an L2 penalty of 1; mean gain of a column's splits, scaled to a sum of 1."""
+    found = boosted(df, cols, label, boost.Boosting(trees, depth, rate, l2=1.0, min_curvature=1.0))
+    return _ranked(df, cols, boost.tree_importance(found, len(cols), "mean"))
+
+
+def adaboost_rounds(df: DataFrame, cols: list[str], label: str, rounds: int = 500, rate: float = 1.0, bins: int = boost.BINS) -> DataFrame:
+    """(round, feature, bound, below, above, error, stage): the stumps in order; ``below`` is the class up to the bound."""
+    cuts, found = _stumps(df, cols, label, rounds, rate, bins)
+    rows = [(i, cols[s.feature], cuts[s.feature][s.cut], s.left, s.right, s.error, s.stage) for i, s in enumerate(found, start=1)]
+    return df.sparkSession.createDataFrame(rows, "round int, feature string, bound double, below int, above int, error double, stage double")
 
 
 def adaboost_importance_rank(
-    df: DataFrame, cols: list[str], label: str, rounds: int = 500, rate: float = 1.0, cut_every: int = 10
+    df: DataFrame, cols: list[str], label: str, rounds: int = 500, rate: float = 1.0, bins: int = boost.BINS
 ) -> DataFrame:
-    """Boosted stumps: misclassified rows gain weight each round; importances are weighted by stage.
+    """Boosted stumps: misclassified rows gain weight each round; a column's importance is its share of the stage weights."""
+    _, found = _stumps(df, cols, label, rounds, rate, bins)
+    return _ranked(df, cols, boost.stump_importance(found, len(cols)))
 
-    Row weights live in a column; every ``cut_every`` rounds the table is written out to keep plans short.
-    """
-    import math
 
-    data = materialize(
-        VectorAssembler(inputCols=cols, outputCol="features").transform(df).select(
-            "features", F.col(label).cast("double").alias("label"), F.lit(1.0).alias("w")
-        ),
-        "adaboost",
-    )
-    total, stages = [0.0] * len(cols), 0.0
-    for i in range(rounds):
-        model = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=42).fit(data)
-        scored = model.transform(data).withColumn("_miss", F.col("prediction") != F.col("label"))
-        s = scored.agg(F.sum("w").alias("all"), F.sum(F.when(F.col("_miss"), F.col("w"))).alias("bad")).first()
-        err = (s["bad"] or 0.0) / s["all"]
-        if err >= 0.5:
-            break
-        stage = 1.0 if err <= 0 else rate * math.log((1 - err) / err)
-        total = [t + stage * float(x) for t, x in zip(total, model.featureImportances.toArray())]
-        stages += stage
-        if err <= 0:
-            break
-        data = scored.select(
-            "features", "label", (F.when(F.col("_miss"), F.col("w") * math.exp(stage)).otherwise(F.col("w")) / s["all"]).alias("w")
-        )
-        if (i + 1) % cut_every == 0:
-            data = materialize(data, "adaboost")
-    return _ranked(df, cols, [t / stages if stages else 0.0 for t in total])
+def _stumps(df: DataFrame, cols: list[str], label: str, rounds: int, rate: float, bins: int) -> tuple[list[list[float]], list[boost.Stump]]:
+    cuts = boost.bin_cuts(df, cols, bins)
+    return cuts, boost.fit_stumps(boost.binned_blocks(df, cols, label, cuts), len(cols), max(map(len, cuts)) + 1, rounds, rate)

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import special
-from panelspark.functions.scalar import correlation, null_if_nan
+from panelspark.functions.scalar import correlation, nan_to_null, null_if_nan
 from panelspark.operators.joins import attach_small
 from panelspark.operators.ranks import add_buckets, column_ranks, exact_quantiles, prefix_sums
 from panelspark.operators.synth import spearman_wide
+from panelspark.session import materialize
 
 ALPHA = 0.05
 SHAPIRO_BELOW = 2000
@@ -216,22 +217,23 @@ def _tie_sums(df: DataFrame, by: list[str], group: list[str], tag: str) -> DataF
     )
 
 
-def dominance_counts(joint: DataFrame, group: str) -> DataFrame:
+def dominance_counts(joint: DataFrame, group: str | list[str]) -> DataFrame:
     """(group, con, dis): concordant and discordant pairs of counted cells (x, y, cnt) with buckets xb, yb.
 
     Two y ranks first differ at one bit. Per bit level, rows share a block when their higher bits agree;
     inside a block every bit-0 row is below every bit-1 row in y, so pairs are counted by a running sum
     along x. Rows grow by the number of bits, never by pairs; running sums use the bucketed prefix.
     """
-    y = joint.select(group, "yb", "y").distinct()
-    ranked = prefix_sums(y, F.col("y"), {"one": F.lit(1).cast("long")}, [group], "yb")
+    group = [group] if isinstance(group, str) else list(group)
+    y = joint.select(*group, "yb", "y").distinct()
+    ranked = prefix_sums(y, F.col("y"), {"one": F.lit(1).cast("long")}, group, "yb")
     bits = F.greatest(F.length(F.bin(F.col("total_one") - 1)), F.lit(1))
-    ranked = ranked.select(group, "yb", "y", F.col("before_one").alias("yr"), bits.alias("bits"))
+    ranked = ranked.select(*group, "yb", "y", F.col("before_one").alias("yr"), bits.alias("bits"))
     exploded = (
-        joint.join(ranked, [group, "yb", "y"])
+        joint.join(ranked, [*group, "yb", "y"])
         .withColumn("lvl", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)))
         .select(
-            group,
+            *group,
             "lvl",
             F.expr("shiftright(yr, lvl + 1)").alias("blk"),
             "x",
@@ -240,12 +242,12 @@ def dominance_counts(joint: DataFrame, group: str) -> DataFrame:
             "cnt",
         )
     )
-    at_x = exploded.groupBy(group, "lvl", "blk", "xb", "x").agg(
+    at_x = exploded.groupBy(*group, "lvl", "blk", "xb", "x").agg(
         F.sum("up").alias("c1"), (F.sum("cnt") - F.sum("up")).alias("c0")
     )
-    p = prefix_sums(at_x, F.col("x"), {"c0": F.col("c0")}, [group, "lvl", "blk"], "xb")
+    p = prefix_sums(at_x, F.col("x"), {"c0": F.col("c0")}, [*group, "lvl", "blk"], "xb")
     c1, c0, before, total = (F.col(k).cast(D) for k in ("c1", "c0", "before_c0", "total_c0"))
-    return p.groupBy(group).agg(F.sum(c1 * before).alias("con"), F.sum(c1 * (total - before - c0)).alias("dis"))
+    return p.groupBy(*group).agg(F.sum(c1 * before).alias("con"), F.sum(c1 * (total - before - c0)).alias("dis"))
 
 
 def _tau(s: Column, n: Column) -> dict[str, Column]:
@@ -259,24 +261,33 @@ def _tau(s: Column, n: Column) -> dict[str, Column]:
     return {"statistic": tau, "z": F.try_divide(s, F.sqrt(var))}
 
 
-def test_kendall(df: DataFrame, cols: list[str], group: str) -> DataFrame:
-    """tau-b per pair and group."""
-    outs = []
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    work = add_buckets(df.select(group, *[F.col(c).cast(D).alias(c) for c in cols]), cols)
-    for a, b in _pairs(cols):
-        # the counts are symmetric; fewer distinct values on the ranked side means fewer bit levels
+def pair_cells(df: DataFrame, cols: list[str], group: str) -> DataFrame:
+    """(group, pair, x, xb, y, yb, cnt): counted values of every pair of columns with their buckets, written once.
+
+    All pairs come from one scan. The column with fewer distinct values is y, which means fewer bit levels.
+    """
+    work = nan_to_null(df.select(group, *[F.col(c).cast(D).alias(c) for c in cols]), cols)
+    sizes = work.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    work = add_buckets(work, cols)
+    parts = []
+    for i, (a, b) in enumerate(_pairs(cols)):
         x, y = (a, b) if sizes[b] <= sizes[a] else (b, a)
-        parts = {"x": x, "xb": x + "__b", "y": y, "yb": y + "__b"}
-        j = work.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(
-            group, *[F.col(c).alias(n) for n, c in parts.items()]
-        ).agg(F.count(F.lit(1)).alias("cnt"))
-        s = dominance_counts(j, group)
-        n = j.groupBy(group).agg(F.sum("cnt").cast(D).alias("n"))
-        t = s.join(n, group).join(_tie_sums(j, ["x"], [group], "x"), group).join(_tie_sums(j, ["y"], [group], "y"), group)
-        out = t.withColumns(_tau(F.col("con") - F.col("dis"), F.col("n")))
-        outs.append(out.select(F.lit(a).alias("column"), F.lit(b).alias("column2"), group, "con", "dis", "statistic", "z"))
-    return reduce(DataFrame.unionByName, outs).withColumn("p_value", special.normal_two_sided_col(F.col("z")))
+        names = {"x": x, "xb": f"{x}__b", "y": y, "yb": f"{y}__b"}
+        parts.append(F.struct(F.lit(i).alias("pair"), *[F.col(c).alias(n) for n, c in names.items()]))
+    cells = work.select(group, F.explode(F.array(*parts)).alias("_c")).select(group, "_c.*").where("x is not null and y is not null")
+    return materialize(cells.groupBy(group, "pair", "x", "xb", "y", "yb").agg(F.count(F.lit(1)).alias("cnt")), "pairs")
+
+
+def test_kendall(df: DataFrame, cols: list[str], group: str) -> DataFrame:
+    """tau-b per pair and group, all pairs counted together: the table is read for sizes, bounds and cells, and not again."""
+    j, by = pair_cells(df, cols, group), [group, "pair"]
+    t = j.groupBy(*by).agg(F.sum("cnt").cast(D).alias("n"))
+    for part in (dominance_counts(j, by), _tie_sums(j, ["x"], by, "x"), _tie_sums(j, ["y"], by, "y")):
+        t = t.join(part, by)
+    out = t.withColumns(_tau(F.col("con") - F.col("dis"), F.col("n")))
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _pairs(cols)])[F.col("pair")]
+    out = out.select(names["a"].alias("column"), names["b"].alias("column2"), group, "con", "dis", "statistic", "z")
+    return out.withColumn("p_value", special.normal_two_sided_col(F.col("z")))
 
 
 # ---- correlation with the label ----------------------------------------------------------------

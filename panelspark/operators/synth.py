@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.functions.scalar import correlation, date_parts
+from panelspark.functions.scalar import correlation, date_parts, haversine_distance, nan_to_null
 from panelspark.operators.joins import lookup_join
 from panelspark.operators.ranks import column_ranks, row_ranks
 from panelspark.roles import Roles
+from panelspark.session import materialize
 
 #: no cut
 MAX_FEATURES: int | None = None
@@ -28,21 +32,41 @@ def sample_skewness(x: Column) -> Column:
     return F.when(n >= 3, F.when(F.var_pop(x) == 0, F.lit(0.0)).otherwise(F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)))
 
 
+@dataclass(frozen=True)
+class Folded:
+    """A caller's aggregate in plain Python that never sees a whole key.
+
+    ``partial`` turns some rows of a key (one list per column, nulls left in) into a state, ``merge`` joins two states,
+    ``finish`` gives a number or None. Any split of the rows must lead to the same result; states are pickled.
+    """
+
+    partial: Callable[..., Any]
+    merge: Callable[[Any, Any], Any]
+    finish: Callable[[Any], float | None]
+
+
 @dataclass(frozen=True)
 class Aggregate:
-    """A per-key aggregate: how many columns it takes, of which kind, and its expression."""
+    """A per-key aggregate: how many columns it takes, of which kind, and how it is computed."""
 
     name: str
     arity: int
     kind: str  # num, bool or code
-    fn: Callable[..., Column] | None  # None: computed by a dedicated plan below
+    fn: Callable[..., Column] | Folded | None  # None: one of the library's own with a plan below
 
 
 AGGREGATES: dict[str, Aggregate] = {}
+#: aggregates of the library that are no expression over columns
+PLANNED = ("spearman", "num_unique", "mode")
+
 
+def register_aggregate(name: str, arity: int, fn: Callable[..., Column] | Folded | None, kind: str = "num") -> None:
+    """Add a user aggregate over one or two columns; it then takes part in feature synthesis.
 
-def register_aggregate(name: str, arity: int, fn: Callable[..., Column] | None, kind: str = "num") -> None:
-    """Add a user aggregate over one or two columns; it then takes part in feature synthesis."""
+    ``fn`` builds an aggregate expression from columns, or is a ``Folded`` where no expression exists.
+    """
+    if fn is None and name not in PLANNED:
+        raise ValueError(f"aggregate {name!r} needs an expression or a Folded")
     AGGREGATES[name] = Aggregate(name, arity, kind, fn)
 
 
@@ -76,7 +100,69 @@ def normalize_dimension(df: DataFrame, key: str, attrs: list[str], time: str, ro
 def aggregate_by_key(df: DataFrame, key: str, funcs: list[str], cols: list[str]) -> DataFrame:
     """``{func}__{col}`` for every single-column aggregate, in one groupBy with map-side partials."""
     exprs = [AGGREGATES[f].fn(F.col(c)).alias(f"{f}__{c}") for c in cols for f in funcs]
-    return df.groupBy(key).agg(*exprs)
+    return nan_to_null(df, cols).groupBy(key).agg(*exprs)
+
+
+#: salts of the first merge of a folded aggregate
+FOLD_SALTS = 64
+_STATES = "_slot int, _state binary"
+
+
+def folded_aggregates(df: DataFrame, key: str, feats: list[Feature]) -> DataFrame:
+    """One row per key with the ``Folded`` aggregates of ``feats``.
+
+    Every batch of rows folds into one state per key, states of a key meet by salt and then once more, one after the
+    other, so a task holds a batch or two states, whatever the key's share of the rows.
+    """
+    cols = list(dict.fromkeys(c for f in feats for c in f.cols))
+    folds = [AGGREGATES[f.agg].fn for f in feats]
+    spots = [[cols.index(c) for c in f.cols] for f in feats]
+    kind = df.schema[key].dataType.simpleString()
+    typed = df.sparkSession.createDataFrame([], f"_key {kind}, _salt int, {_STATES}").toArrow().schema
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), typed)] if rows else [pa.array([], f.type) for f in typed], schema=typed)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, b in enumerate(batches):
+            groups: dict = {}
+            for k, *row in zip(*[c.to_pylist() for c in b.columns]):
+                groups.setdefault(k, []).append(row)
+            out = []
+            for k, rows in groups.items():
+                wide = list(map(list, zip(*rows)))
+                out += [(k, hash((n, i)) % FOLD_SALTS, i, pickle.dumps(f.partial(*[wide[j] for j in at]))) for i, (f, at) in enumerate(zip(folds, spots))]
+            yield batch_of(out)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, out = None, None, []
+        for b in batches:
+            for k, salt, slot, data in zip(*[c.to_pylist() for c in b.columns]):
+                if now == (k, salt, slot):
+                    state = folds[slot].merge(state, pickle.loads(data))
+                    continue
+                if now is not None:
+                    out.append((*now, pickle.dumps(state)))
+                now, state = (k, salt, slot), pickle.loads(data)
+            if len(out) > 1000:
+                yield batch_of(out)
+                out = []
+        if now is not None:
+            out.append((*now, pickle.dumps(state)))
+        yield batch_of(out)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [folds[s].finish(pickle.loads(d)) for s, d in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.record_batch([b.column(0), b.column(2), pa.array([None if x is None else float(x) for x in done], pa.float64())], ["_key", "_slot", "_value"])
+
+    schema = f"_key {kind}, _salt int, {_STATES}"
+    states = df.select(F.col(key).alias("_key"), *[F.col(c) for c in cols]).mapInArrow(partial, schema)
+    by = ["_key", "_salt", "_slot"]
+    salted = states.repartition(*[F.col(c) for c in by]).sortWithinPartitions(*by).mapInArrow(merge, schema)
+    whole = salted.withColumn("_salt", F.lit(0)).repartition("_key", "_slot").sortWithinPartitions(*by).mapInArrow(merge, schema)
+    values = whole.mapInArrow(finish, f"_key {kind}, _slot int, _value double")
+    return values.groupBy(F.col("_key").alias(key)).agg(*[F.max(F.when(F.col("_slot") == i, F.col("_value"))).alias(f.name) for i, f in enumerate(feats)])
 
 
 def code_aggregates(df: DataFrame, key: str, cols: list[str], funcs: list[str] = ("num_unique", "mode")) -> DataFrame:
@@ -85,6 +171,7 @@ def code_aggregates(df: DataFrame, key: str, cols: list[str], funcs: list[str] =
     Works on counted (key, column, value) cells, so a hot key is pre-aggregated by value.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
+    df = nan_to_null(df, cols)
     cells = []
     for c in cols:
         num = F.col(c).cast("double") if isinstance(types[c], T.NumericType) else F.lit(None).cast("double")
@@ -111,6 +198,7 @@ def spearman_wide(df: DataFrame, key: str, pairs: list[tuple[str, str]], **kw) -
     Columns without nulls share one ranking; a pair with nulls is ranked over its complete rows.
     """
     cols = list(dict.fromkeys(c for p in pairs for c in p))
+    df = nan_to_null(df, cols)
     holes = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     shared = [i for i, (a, b) in enumerate(pairs) if not holes[a] and not holes[b]]
     jobs = [(shared, df)] if shared else []
@@ -145,6 +233,27 @@ def percentile_rank(df: DataFrame, col: str, out: str, **kw) -> DataFrame:
     return lookup_join(work, r, "_v", **({"max_bytes": 0} | kw)).drop("_v")
 
 
+def percentile_ranks(df: DataFrame, cols: list[str], prefix: str = "percentile__", **kw) -> DataFrame:
+    """``df`` with ``percentile__{c}`` for every column: one ranking of all of them, attached by one join of narrow rows."""
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    ranks = column_ranks(rows, cols).select("column", "value", (F.col("avg_rank") / F.col("total")).alias("_p"))
+    parts = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]
+    cells = rows.select("_row", F.explode(F.array(*parts)).alias("_c")).select("_row", "_c.column", "_c.value")
+    # adding zero gives -0.0 the rank of 0.0
+    cells = cells.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("value", F.col("value") + F.lit(0.0))
+    ranks = materialize(ranks.withColumn("value", F.col("value") + F.lit(0.0)), "ranks")
+    found = lookup_join(cells, ranks, ["column", "value"], "inner", **kw)
+    wide = found.groupBy("_row").agg(*[F.max(F.when(F.col("column") == c, F.col("_p"))).alias(f"{prefix}{c}") for c in cols])
+    return rows.join(wide, "_row", "left").drop("_row")
+
+
+def point_distances(points: list[tuple[str, str]]) -> dict[str, Column]:
+    """``haversine__{lat}__{lat}`` in miles for every two points of a row, named after their latitude columns."""
+    return {
+        f"haversine__{a[0]}__{b[0]}": haversine_distance(*[F.col(c) for c in (*a, *b)]) for a, b in combinations(points, 2)
+    }
+
+
 def transform_columns(time: str) -> dict[str, Column]:
     return {f"{k}__{time}": v for k, v in date_parts(F.col(time)).items()}
 
@@ -178,8 +287,9 @@ def plan_features(
 
 def compute_features(df: DataFrame, key: str, feats: list[Feature]) -> DataFrame:
     """One row per key with every planned feature."""
-    df = df.where(F.col(key).isNotNull())
-    direct = [f for f in feats if AGGREGATES[f.agg].fn is not None]
+    df = nan_to_null(df.where(F.col(key).isNotNull()), [c for f in feats for c in f.cols])
+    folded = [f for f in feats if isinstance(AGGREGATES[f.agg].fn, Folded)]
+    direct = [f for f in feats if AGGREGATES[f.agg].fn is not None and f not in folded]
     coded = [f for f in feats if f.agg in ("num_unique", "mode")]
     ranked = [f.cols for f in feats if f.agg == "spearman"]
     frames = []
@@ -191,6 +301,8 @@ def compute_features(df: DataFrame, key: str, feats: list[Feature]) -> DataFrame
         frames.append(code_aggregates(df, key, list(dict.fromkeys(f.cols[0] for f in coded))))
     if ranked:
         frames.append(spearman_by_key(df, key, ranked))
+    if folded:
+        frames.append(folded_aggregates(df, key, folded))
     out = frames[0]
     for f in frames[1:]:
         out = out.join(f, key, "left")
@@ -207,7 +319,8 @@ def feature_synthesis(
 ) -> DataFrame:
     """Depth-2 features per item: aggregates of base columns, of transforms, and of parent attributes.
 
-    The label never takes part.
+    Transforms are the date parts of the time, the percentile of every numeric column over all rows, and the distance of
+    every two points. The label never takes part.
     """
     # columns any aggregate will read; the label and unused columns are dropped before the shuffle
     rows = df
@@ -218,6 +331,14 @@ def feature_synthesis(
         parts = transform_columns(roles.time)
         rows = rows.withColumns(parts)
         codes += list(parts)
+    distances = point_distances(list(roles.points))
+    if numerics:
+        keep = dict.fromkeys([item, *numerics, *bools, *codes, *([parent_key] if parent is not None else []), *[c for p in roles.points for c in p]])
+        rows = percentile_ranks(rows.select(*keep), numerics)
+        numerics += [f"percentile__{c}" for c in numerics]
+    if distances:
+        rows = rows.withColumns(distances)
+        numerics += list(distances)
     if parent is not None:
         attrs = [f for f in parent.schema.fields if f.name not in (parent_key, roles.label)]
         renamed = parent.select(parent_key, *[F.col(f.name).alias(f"parent__{f.name}") for f in attrs])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators import evaluate, models, scale, select, text
+from panelspark.operators.boost import BINS
 from panelspark.queries.base import DIM, MATRIX, PANEL_LABEL, SCORED, TEXTS, query, rounded
 
 COORDS = [f"e{i}" for i in range(DIM)]
@@ -119,7 +120,58 @@ def xgb_importance_rank(t):
     return rounded(select.xgb_importance_rank(_numeric_panel(t), _COLS, "f"), 6, "importance")
 
 
-@query("adaboost_importance_rank")
+BOUNDS = ", ".join(f"{i} / {BINS}.0::DOUBLE" for i in range(1, BINS))
+#: boosted stumps as a recursion over the rounds: row weights, a histogram per column and bin, the purest split, its stage
+_STUMPS = f"""RECURSIVE cells AS (
+  SELECT vec_id AS row_id, (label = 0)::INT AS y, unnest(range(0, {DIM}))::INT AS f, unnest(embedding::DOUBLE[]) AS x FROM embeddings
+), bounds AS (
+  SELECT f, list_sort(list_distinct(quantile_disc(x, [{BOUNDS}]))) AS c FROM cells GROUP BY f
+), binned AS (
+  SELECT row_id, y, f, list_sum(list_transform(c, lambda v : (v < x)::INT))::INT AS b FROM cells JOIN bounds USING (f)
+), r AS (
+  SELECT 0 AS k, row_id, 0.0::DOUBLE AS lw, NULL::INT AS f, NULL::INT AS cut, NULL::INT AS below, NULL::INT AS above,
+    NULL::DOUBLE AS error, NULL::DOUBLE AS stage
+  FROM (SELECT DISTINCT row_id FROM cells)
+  UNION ALL
+  SELECT r.k + 1, r.row_id, r.lw + CASE WHEN (CASE WHEN b.b <= s.cut THEN s.below ELSE s.above END) <> b.y THEN s.stage ELSE 0 END,
+    s.f, s.cut, s.below, s.above, s.error, s.stage
+  FROM r JOIN (
+    SELECT f, b AS cut, (l1 > l0)::INT AS below, (g1 > g0)::INT AS above, least(l0, l1) + least(g0, g1) AS error,
+      ln((1 - error) / error) AS stage
+    FROM (
+      SELECT f, b, l0, l1, t0 - l0 AS g0, t1 - l1 AS g1, (l0 * l0 + l1 * l1) / (l0 + l1) + (g0 * g0 + g1 * g1) / (g0 + g1) AS pure
+      FROM (
+        SELECT f, b, sum(w0) OVER (PARTITION BY f ORDER BY b) AS l0, sum(w1) OVER (PARTITION BY f ORDER BY b) AS l1,
+          sum(w0) OVER (PARTITION BY f) AS t0, sum(w1) OVER (PARTITION BY f) AS t1, max(b) OVER (PARTITION BY f) AS last
+        FROM (
+          SELECT f, b, sum(w * (1 - y)) AS w0, sum(w * y) AS w1
+          FROM (SELECT row_id, exp(lw - m) / sum(exp(lw - m)) OVER () AS w FROM (SELECT row_id, lw, max(lw) OVER () AS m FROM r))
+          JOIN binned USING (row_id) GROUP BY f, b
+        )
+      ) WHERE b < last
+    ) ORDER BY round(pure, 10) DESC, f, b LIMIT 1
+  ) s ON true JOIN binned b ON b.row_id = r.row_id AND b.f = s.f
+  WHERE r.k < 500 AND s.error < 0.5
+), stumps AS (
+  SELECT k, f, cut, below, above, error, stage FROM r WHERE k > 0 GROUP BY ALL
+)"""
+
+
+@query(
+    "adaboost_rounds",
+    f"WITH {_STUMPS} SELECT k AS round, concat('e', f) AS feature, round(c[cut + 1] + 1e-9, 6) AS bound, below, above, "
+    "round(error + 1e-9, 6) AS error, round(stage + 1e-9, 6) AS stage FROM stumps JOIN bounds USING (f)",
+)
+def adaboost_rounds(t):
+    return rounded(select.adaboost_rounds(_labelled(t), COORDS, "y"), 6, "bound", "error", "stage")
+
+
+@query(
+    "adaboost_importance_rank",
+    f"WITH {_STUMPS}, share AS (SELECT concat('e', i) AS feature, coalesce(sum(stage) / (SELECT sum(stage) FROM stumps), 0) AS importance "
+    f"FROM range({DIM}) d(i) LEFT JOIN stumps ON f = i GROUP BY i) "
+    "SELECT row_number() OVER (ORDER BY importance DESC, feature)::INT AS position, feature, round(importance + 1e-9, 6) AS importance FROM share",
+)
 def adaboost_importance_rank(t):
     return rounded(select.adaboost_importance_rank(_labelled(t), COORDS, "y"), 6, "importance")
 

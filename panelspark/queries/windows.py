@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 
@@ -45,6 +48,18 @@ rolling_query("rolling_distinct", "cnt", "code")
 for _f in ("sum", "mean", "min", "max"):
     rolling_query(f"rolling_{_f}", _f, "amt")
 
+_GAPS = [Spec("key", "amt", f, 7) for f in ("sum", "mean", "min", "max", "cnt")]
+
+
+@query("rolling_missing", f"WITH {PANEL_NULLS} SELECT row_id, {', '.join(col_sql(s) for s in _GAPS)} FROM panel")
+def rolling_missing(t):
+    """NaN where the SQL has null: both are missing in every window."""
+    panel = t.panel.withColumn("amt", F.when(F.col("row_id") % 7 != 0, F.col("amt")).otherwise(F.lit(float("nan"))))
+    out = rolling.rolling_features(panel, _GAPS, "t", "row_id").select("row_id", *[s.name for s in _GAPS])
+    out = out.withColumn("key_n_amt_cnt_7", F.col("key_n_amt_cnt_7").cast("long"))
+    return rounded(out, 4, *[s.name for s in _GAPS if s.func != "cnt"])
+
+
 GRID = feature_grid(["key", "code"], ["amt", "code"], list(PERIODS), ["sum", "mean", "min", "max"])
 GRID = [s for s in GRID if s.col == "amt"] + feature_grid(["key", "code"], ["code", "key"], list(PERIODS), ["cnt"])
 
@@ -217,28 +232,41 @@ def agg_spearman(t):
 @query(
     "transform_features",
     f"WITH {ORDERS} SELECT row_id, day(t)::INT AS day__t, (isodow(t) - 1)::INT AS weekday__t, month(t)::INT AS month__t, year(t)::INT AS year__t, "
-    "round((rank() OVER (ORDER BY amt) + (count(*) OVER (PARTITION BY amt) - 1) / 2.0) / count(*) OVER () + 1e-12, 9) AS percentile__amt FROM panel",
+    "round((rank() OVER (ORDER BY amt) + (count(*) OVER (PARTITION BY amt) - 1) / 2.0) / count(*) OVER () + 1e-12, 9) AS percentile__amt, "
+    "round((rank() OVER (ORDER BY key) + (count(*) OVER (PARTITION BY key) - 1) / 2.0) / count(*) OVER () + 1e-12, 9) AS percentile__key, "
+    "round(2 * 3958.7613 * asin(least(sqrt(pow(sin(radians((row_id % 180 - 90) - (key % 180 - 90)) / 2), 2) + cos(radians(key % 180 - 90)) * "
+    "cos(radians(row_id % 180 - 90)) * pow(sin(radians((row_id % 360 - 180) - (key % 360 - 180)) / 2), 2)), 1.0)) + 1e-9, 6) AS haversine__lat__to_lat FROM panel",
 )
 def transform_features(t):
-    out = t.orders_panel.withColumns(synth.transform_columns("t"))
-    out = synth.percentile_rank(out, "amt", "percentile__amt")
-    return rounded(out.select("row_id", *synth.transform_columns("t"), "percentile__amt"), 9, "percentile__amt")
+    points = {"lat": F.col("key") % 180 - 90, "lon": F.col("key") % 360 - 180, "to_lat": F.col("row_id") % 180 - 90, "to_lon": F.col("row_id") % 360 - 180}
+    out = t.orders_panel.withColumns(points | synth.transform_columns("t"))
+    distances = synth.point_distances([("lat", "lon"), ("to_lat", "to_lon")])
+    out = synth.percentile_ranks(out.withColumns(distances), ["amt", "key"])
+    out = out.select("row_id", *synth.transform_columns("t"), *distances, "percentile__amt", "percentile__key")
+    return rounded(rounded(out, 9, "percentile__amt", "percentile__key"), 6, *distances)
 
 
-ROLES = Roles(keys=("item",), time="t", amounts=("qty", "price"), flags=("is_r", "deep"), codes=("flag",))
+ROLES = Roles(
+    keys=("item",), time="t", amounts=("qty", "price"), flags=("is_r", "deep"), codes=("flag",), points=(("lat", "lon"), ("to_lat", "to_lon"))
+)
+_PERCENTILE_SQL = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0) / count({0}) OVER ()"
 
 
 def _synth_rows(t):
     parent = t.supplier.select(F.col("s_suppkey").alias("business"), F.col("s_acctbal").alias("acct"), F.col("s_nationkey").cast("string").alias("nation"))
-    return t.items.drop("disc"), parent
+    places = {"lat": F.col("business") % 180 - 90, "lon": F.col("business") % 360 - 180, "to_lat": F.col("item") % 180 - 90, "to_lon": F.col("item") % 360 - 180}
+    return t.items.drop("disc").withColumns(places), parent
 
 
 def _synth_sql() -> str:
-    numerics = ["qty", "price", "parent__acct"]
+    numerics = ["qty", "price", "percentile__qty", "percentile__price", "haversine__lat__to_lat", "parent__acct"]
     bools = ["is_r", "deep"]
     codes = ["flag", "day__t", "weekday__t", "month__t", "year__t", "parent__nation"]
     base = (
         f"WITH {ITEMS.replace('items AS', 'raw AS')}, items AS (SELECT raw.*, s_acctbal AS parent__acct, s_nationkey::VARCHAR AS parent__nation, "
+        f"{_PERCENTILE_SQL.format('qty')} AS percentile__qty, {_PERCENTILE_SQL.format('price')} AS percentile__price, "
+        "2 * 3958.7613 * asin(least(sqrt(pow(sin(radians((item % 180 - 90) - (business % 180 - 90)) / 2), 2) + cos(radians(business % 180 - 90)) * "
+        "cos(radians(item % 180 - 90)) * pow(sin(radians((item % 360 - 180) - (business % 360 - 180)) / 2), 2)), 1.0)) AS haversine__lat__to_lat, "
         "day(t)::INT AS day__t, (isodow(t) - 1)::INT AS weekday__t, month(t)::INT AS month__t, year(t)::INT AS year__t "
         "FROM raw LEFT JOIN supplier ON business = s_suppkey)"
     )
@@ -254,7 +282,7 @@ def _synth_sql() -> str:
             cols.append(f"{'bool_and' if f.agg == 'all' else 'bool_or'}({f.cols[0]}) AS {f.name}")
         elif f.agg == "num_unique":
             cols.append(f"count(DISTINCT {f.cols[0]}) AS {f.name}")
-    pairs = [("qty", "price"), ("qty", "parent__acct"), ("price", "parent__acct")]
+    pairs = list(combinations(numerics, 2))
     ranks = ", ".join(
         f"{_rank_sql('item', c)} AS r_{c}" for c in numerics
     )
@@ -286,6 +314,53 @@ def feature_synthesis(t):
     return out
 
 
+def _folded_gmean() -> synth.Folded:
+    """Geometric mean of the positive values: a state of (sum of logarithms, number)."""
+
+    def partial(values):
+        logs = [math.log(v) for v in values if v is not None and v > 0]
+        return sum(logs), len(logs)
+
+    return synth.Folded(partial, lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: math.exp(s[0] / s[1]) if s[1] else None)
+
+
+@query(
+    "agg_folded",
+    "WITH p AS (SELECT user_id AS key, value - 50 AS amt FROM events) "
+    "SELECT key, round(exp(avg(ln(CASE WHEN amt > 0 THEN amt END))) + 1e-9, 6) AS gmean__amt FROM p GROUP BY key",
+)
+def agg_folded(t):
+    """An aggregate in the caller's own Python, folded from partial states."""
+    synth.register_aggregate("gmean", 1, _folded_gmean())
+    try:
+        out = synth.compute_features(t.panel.withColumn("amt", F.col("amt") - 50), "key", [synth.Feature("gmean", ("amt",))])
+    finally:
+        del synth.AGGREGATES["gmean"]
+    return rounded(out, 6, "gmean__amt")
+
+
+_NAN_ITEMS = ITEMS.replace("l_extendedprice AS price", "CASE WHEN l_orderkey % 7 <> 0 AND l_partkey % 50 <> 0 THEN l_extendedprice END AS price")
+
+
+@query(
+    "agg_missing",
+    f"WITH {_NAN_ITEMS}, m AS (SELECT item, price AS v, row_number() OVER (PARTITION BY item ORDER BY count(*) DESC, price) AS rn FROM items WHERE price IS NOT NULL GROUP BY item, price) "
+    + "SELECT i.item, " + ", ".join(f"round({sql.format('price')} + 1e-7, 4) AS {f}__price" for f, sql in _AGG_SQL.items())
+    + ", round(corr(qty, price) + 1e-8, 5) AS pearson__qty__price, count(DISTINCT price) AS num_unique__price, max(m.v) AS mode__price "
+    "FROM items i LEFT JOIN m ON m.item = i.item AND rn = 1 GROUP BY i.item",
+)
+def agg_missing(t):
+    """NaN is missing in every aggregate; a key without a value has null."""
+    keep = (F.col("l_orderkey") % 7 != 0) & (F.col("l_partkey") % 50 != 0)
+    rows = t.lineitem.select(
+        F.col("l_partkey").alias("item"), F.col("l_quantity").alias("qty"),
+        F.when(keep, F.col("l_extendedprice")).otherwise(F.lit(float("nan"))).alias("price"),
+    )
+    feats = [synth.Feature(f, ("price",)) for f in (*_AGG_SQL, "num_unique", "mode")] + [synth.Feature("pearson", ("qty", "price"))]
+    out = synth.compute_features(rows, "item", feats)
+    return rounded(rounded(out, 4, *[f"{f}__price" for f in _AGG_SQL]), 5, "pearson__qty__price")
+
+
 @query(
     "attach_features",
     f"WITH {ORDERS}, f AS (SELECT key, round(avg(amt) + 1e-7, 4) AS mean__amt, count(*) AS n FROM panel GROUP BY key) SELECT row_id, key, t, amt, mean__amt, n FROM panel LEFT JOIN f USING (key)",

@@ -18,6 +18,8 @@ class Roles:
     ints: tuple[str, ...] = ()
     texts: tuple[str, ...] = ()
     flags: tuple[str, ...] = ()
+    #: (latitude, longitude) column pairs in degrees
+    points: tuple[tuple[str, str], ...] = ()
     label: str | None = None
     extra: dict = field(default_factory=dict)
 
