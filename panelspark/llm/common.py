@@ -85,6 +85,16 @@ def in_order(docs: DataFrame) -> DataFrame:
     return dealt_in_order(ordered_parts(docs))
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores in front until ``df`` has no column of that name, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def bounded_broadcast(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``table`` marked for broadcast if the bytes of its rows, counted by a job, stay within the bound; else unchanged.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import bounded_broadcast, small_batches
+from panelspark.llm.common import bounded_broadcast, fresh_names, small_batches
 from panelspark.llm.words import ALNUM, Words, chunks, utf8
 from panelspark.session import materialize
 
@@ -182,7 +182,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 
 def keep_clean(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs`` that hold no window of an item, with all their columns as they are."""
-    bad = contamination(docs, items, **kw).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash"))
+    bad_id, bad_hash = fresh_names(docs, "_bad_id", "_bad_hash")
+    bad = contamination(docs, items, **kw).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash))
     bad = materialize(bad.distinct(), "contaminated")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_bad_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(bad_hash))
     return docs.join(bounded_broadcast(bad), same, "left_anti")

@@ -140,7 +140,7 @@ def symbol_table(text: str) -> np.ndarray:
     """
     lower = np.arange(0x110000, dtype=np.uint32)
     letter = np.zeros(0x110000, dtype=bool)
-    for p in range(0x30000):  # no letters are assigned to the private and special planes behind
+    for p in range(0x40000):  # no letters are assigned to the planes behind
         c = chr(p)
         if c.isalpha():
             letter[p] = True

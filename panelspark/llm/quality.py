@@ -192,7 +192,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DO
                 yield pa.record_batch({"label": pa.array([label], pa.int32()), "x": [x.astype(np.float32).tobytes()]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(named), "doc_id").dropDuplicates(["doc_id"]).select("text", "label")
+    # of rows that share a doc_id the one with the least text hash, whatever their order
+    least = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    sample = texts.join(F.broadcast(named), "doc_id").groupBy("doc_id", "label").agg(least).select("text", "label")
     rows = sorted((r["label"], bytes(r["x"])) for r in small_batches(sample).mapInArrow(run, "label int, x binary").collect())
     xs = [np.frombuffer(r[1], dtype=np.float32).reshape(-1, FEATURES).astype(float) for r in rows]
     if not xs:

@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import small_batches
+from panelspark.llm.common import fresh_names, small_batches
 from panelspark.llm.components import components
 from panelspark.llm.words import LOWER, utf8
 from panelspark.session import materialize
@@ -19,10 +19,10 @@ from panelspark.session import materialize
 SHINGLE = 4
 BUDGET = 4
 SEED = 42
-#: bits added to a node pair in one round of the Spark join
+#: bits of the first round of the Spark join, which is made at every size; later rounds add one bit
 STRIDE = 4
-#: fingerprints that a node pair may hold together before a task takes it as it is
-PAIR_ROWS = 1 << 16
+#: fingerprints (eight bytes each) that a node pair may hold together before a task takes it as it is
+PAIR_ROWS = 1 << 20
 #: nodes of at most so many fingerprints are compared directly
 LEAF = 6
 #: node pairs expanded at once inside a task
@@ -184,9 +184,12 @@ def _task_links(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
 def links(distinct_fps: DataFrame, budget: int = BUDGET, pair_rows: int = PAIR_ROWS, stride: int = STRIDE) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints that lie in one component at ``budget`` differing bits.
 
-    Spark expands pairs of trie nodes ``stride`` bits at a time and drops those above the budget, until both nodes
-    of a pair hold at most ``pair_rows`` fingerprints together; a task then goes on with that pair alone. The first
-    round is made at every size, so that even few fingerprints are shared by many tasks. Inside a task links shrink to a spanning forest, so groups of near copies never come out as all their pairs.
+    Spark expands pairs of trie nodes, ``stride`` bits first and one bit at a time then, and drops those above the
+    budget, until both nodes of a pair hold at most ``pair_rows`` fingerprints together; a task then goes on with that
+    pair alone. A fingerprint meets as many pairs as there are nodes within the budget: for four bits 16 at depth 4, 31
+    at 5, 57 at 6, 99 at 7, 163 at 8, so a round more is made only for pairs that are too large. The first round is made
+    at every size, so that even few fingerprints are shared by many tasks. Inside a task links shrink to a spanning
+    forest, so groups of near copies never come out as all their pairs.
     """
     spark = distinct_fps.sparkSession
 
@@ -210,15 +213,16 @@ def links(distinct_fps: DataFrame, budget: int = BUDGET, pair_rows: int = PAIR_R
         rest = pairs.where(~ready)
         if depth >= 64 or rest.isEmpty():
             break
-        nodes = distinct_fps.groupBy(at(depth + stride).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-        nodes = nodes.withColumn("up", F.shiftrightunsigned("c", stride))
+        step = stride if depth == 0 else 1
+        nodes = distinct_fps.groupBy(at(depth + step).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+        nodes = nodes.withColumn("up", F.shiftrightunsigned("c", step))
         left = nodes.select(F.col("up").alias("p"), F.col("c").alias("c_p"), F.col("n").alias("m_p"))
         right = nodes.select(F.col("up").alias("q"), F.col("c").alias("c_q"), F.col("n").alias("m_q"))
         grown = rest.join(left, "p").join(right, "q").where("p <> q or c_p <= c_q")
-        new_bits = F.col("c_p").bitwiseXOR(F.col("c_q")).bitwiseAND(F.lit((1 << stride) - 1))
+        new_bits = F.col("c_p").bitwiseXOR(F.col("c_q")).bitwiseAND(F.lit((1 << step) - 1))
         grown = grown.withColumn("diff", (F.col("diff") + F.bit_count(new_bits)).cast("int")).where(F.col("diff") <= budget)
         pairs = materialize(grown.select(F.col("c_p").alias("p"), F.col("c_q").alias("q"), "diff", F.col("m_p").alias("n_p"), F.col("m_q").alias("n_q")), "trie")
-        depth += stride
+        depth += step
     found = [r.groupBy("p", "q").applyInPandas(lambda pdf: _task_links(pdf, budget), "a long, b long") for r in out]
     every = found[0]
     for f in found[1:]:
@@ -251,20 +255,28 @@ def component_table(docs: DataFrame, **kw) -> DataFrame:
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` with one row of each component: smallest doc_id (missing ones last), then smallest text hash.
 
-    All columns of ``docs`` stay as they are. Rows with the same doc_id and text count once.
+    All columns of ``docs`` stay as they are. Of rows with the same doc_id and text the one whose columns come first as
+    JSON stays, so the order of the rows does not matter. An empty table stays empty.
     """
     rows, classes = near_duplicates(docs, **kw)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("th"))
     best = rows.join(classes.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("k"))
-    best = materialize(best.select(F.col("k.id").alias("_keep_id"), F.col("k.th").alias("_keep_hash")), "keep")
+    best = materialize(best.select("k.id", "k.th"), "keep")
     mine = F.xxhash64(F.col("text").cast("string"))
-    kept = docs.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (mine == F.col("_keep_hash")), "left_semi")
-    repeated = rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
-    repeated = repeated.join(best, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("text_hash") == F.col("_keep_hash")), "left_semi")
+
+    def marked(table: DataFrame) -> tuple[DataFrame, Column]:
+        names = fresh_names(docs, "_keep_id", "_keep_hash")
+        return table.toDF(*names), F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & (mine == F.col(names[1]))
+
+    found, same = marked(best)
+    kept = docs.join(found, same, "left_semi")
+    repeated = rows.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th"))
+    repeated = repeated.join(best.toDF("_id", "_th"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
     if repeated.isEmpty():
         return kept
-    # only rows that occur several times and stay are ordered; each such group holds copies of one row
-    again = materialize(repeated.select(F.col("doc_id").alias("_twice_id"), F.col("text_hash").alias("_twice_hash")), "again")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_twice_id")) & (mine == F.col("_twice_hash"))
-    one = kept.join(again, on, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", mine).orderBy(F.lit(0))))
-    return kept.join(again, on, "left_anti").unionByName(one.where("_n = 1").drop("_n"))
+    again, same = marked(materialize(repeated, "again"))
+    # a grouped minimum, which pre-aggregates: copies of one row never meet in one task
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(again, same, "left_semi").select(F.col("doc_id").alias("i"), mine.alias("h"), whole.alias("row"))
+    one = one.groupBy("i", "h").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return kept.join(again, same, "left_anti").unionByName(one)
