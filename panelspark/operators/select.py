@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
@@ -197,11 +198,14 @@ def importance_report(
     coded = df
     for c in codes:
         coded = ordinal_first_seen(coded, c, row_id).drop(c).withColumnRenamed(f"{c}_code", c)
-    outs = []
+    jobs = []
     for kind, cols, rows in (("continuous", continuous, df), ("code", codes, materialize(coded, "codes"))):
         for name, rank in (("forest", forest_importance_rank), ("boosting", boosting_importance_rank)):
-            out = rank(rows, cols, label, trees)
-            outs.append(out.select(F.lit(kind).alias("kind"), F.lit(name).alias("model"), "*"))
+            jobs.append((kind, name, partial(rank, rows, cols, label, trees)))
+    # the models know nothing of each other, and each of them is a row of small jobs
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        ranks = list(pool.map(lambda job: job[2](), jobs))
+    outs = [out.select(F.lit(kind).alias("kind"), F.lit(name).alias("model"), "*") for (kind, name, _), out in zip(jobs, ranks)]
     return reduce(DataFrame.unionByName, outs)
 
 
