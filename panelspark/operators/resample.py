@@ -10,33 +10,30 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.hashing import hash_bucket, hash_long, hash_unit, order_hash
-from panelspark.operators.joins import lookup_join
-from panelspark.operators.neighbors import knn_join
-from panelspark.operators.ranks import prefix_sums
+from panelspark.operators.joins import BROADCAST_BYTES
+from panelspark.operators.neighbors import knn_join, routed
+from panelspark.operators.ranks import dense_row_rank, prefix_sums
 from panelspark.operators.sampling import class_counts, draw_rows, labelled, mark_sample
 from panelspark.session import materialize
 
 K_NEIGHBORS = 5
 M_NEIGHBORS = 10
-#: centroids that one K-means fit of the session makes; more are fitted in cells
-MAX_CLUSTERS = 10_000
-#: rows of a cell: at least so many; for few centroids as many as CELL_CENTROIDS of them need, but no more than a task holds
-CELL_ROWS = 4096
-CELL_CENTROIDS = 16
-MAX_CELL_ROWS = 1 << 17
-#: halvings of a class; what is still too large then is dealt by hash
-CELL_LEVELS = 48
+#: rounds of K-means, and the move below which they end
+ROUNDS = 30
+TOLERANCE = 1e-4
+#: bytes of centroids that go to every task, and rows compared with them at once
+CENTER_BYTES = BROADCAST_BYTES
+CENTER_SLICE = 1024
 _REPEAT_STEP = 65_536
 
 
 def _shortfall(counts: dict) -> dict:
-    top = max(counts.values())
+    top = max(counts.values(), default=0)
     return {c: top - n for c, n in counts.items()}
 
 
@@ -208,7 +205,7 @@ def over_adasyn(df: DataFrame, seed: int = 42, k: int = K_NEIGHBORS, **kw) -> Da
 def under_random(df: DataFrame, seed: int = 42) -> DataFrame:
     """Every class cut to the size of the smallest, first rows in hash order."""
     df = labelled(df, "label")
-    low = min(class_counts(df, "label").values())
+    low = min(class_counts(df, "label").values(), default=0)
     return mark_sample(df, "id", ["label"], F.least(F.col("_n"), F.lit(low)), "_t", seed).where("_t").drop("_t")
 
 
@@ -226,6 +223,8 @@ def under_tomek(df: DataFrame, **kw) -> DataFrame:
     """Drop the members of Tomek links that do not belong to the smallest class."""
     df = labelled(df, "label")
     counts = class_counts(df, "label")
+    if not counts:
+        return df
     minority = min(counts, key=lambda c: (counts[c], str(c)))
     doomed = tomek_links(df, **kw).select("id")
     return df.join(doomed.withColumn("_link", F.lit(True)), "id", "left").where(
@@ -233,125 +232,86 @@ def under_tomek(df: DataFrame, **kw) -> DataFrame:
     ).drop("_link")
 
 
-def _cells(df: DataFrame, most: int) -> DataFrame:
-    """(id, vec, cell): cells of at most ``most`` rows, halved at the median of the coordinate that is spread widest.
+def nearest_center(rows: DataFrame, centers: DataFrame) -> DataFrame:
+    """``rows`` (id, vec) with ``center``, the cid of the nearest of ``centers`` (cid, vec); ties go to the smallest.
 
-    A cell whose rows are all alike has no such coordinate and is dealt by hash.
+    Centres whose bytes, counted first, are within the broadcast bound go to the tasks; more of them meet the rows
+    through the neighbour join, where a row meets only the cells that can hold its nearest one.
     """
-    rows = materialize(df.select("id", "vec", F.lit(1).cast("long").alias("cell")), "cells")
-    dims = rows.select(F.max(F.size("vec"))).first()[0] or 0
-    x = F.element_at("vec", F.col("_dim") + 1)
-    for _ in range(CELL_LEVELS):
-        ends = [F.max(F.col("vec")[i]) - F.min(F.col("vec")[i]) for i in range(dims)]
-        spread = F.array(*[F.coalesce(e, F.lit(0.0)) for e in ends])
-        wide = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), spread.alias("_s"))
-        widest = F.array_max("_s")
-        wide = wide.where((F.col("_n") > most) & (widest > 0)).select("cell", (F.array_position("_s", widest) - 1).cast("int").alias("_dim"))
-        wide = materialize(wide, "wide")
-        if wide.isEmpty():
-            break
-        cuts = rows.join(wide, "cell").groupBy("cell", "_dim").agg(F.percentile_approx(x, 0.5).alias("_cut"), F.max(x).alias("_top"))
-        cuts = materialize(cuts, "cuts")
-        # a median that is the largest value goes right, so that neither side is empty
-        right = (x > F.col("_cut")) | ((F.col("_cut") == F.col("_top")) & (x == F.col("_cut")))
-        cell = F.when(F.col("_dim").isNull(), F.col("cell")).otherwise(F.col("cell") * 2 + right.cast("long"))
-        rows = materialize(lookup_join(rows, cuts, "cell").select("id", "vec", cell.alias("cell")), "cells")
-    counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
-    # hashed blocks are half as large as they may be, as they differ in size
-    blocks = F.when(F.col("_n") > most, F.ceil(2 * F.col("_n") / most)).otherwise(F.lit(1)).cast("long")
-    block = F.pmod(F.xxhash64("id", "vec"), F.col("_blocks"))
-    dealt = lookup_join(rows, counts.select("cell", blocks.alias("_blocks")), "cell")
-    return materialize(dealt.select("id", "vec", F.struct("cell", block.alias("block")).alias("cell")), "cells")
-
-
-def _allotted(cells: DataFrame, k: int) -> DataFrame:
-    """(cell, k): ``k`` centroids shared out in proportion to the rows of the cells, by largest remainder."""
-    counts = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "counts")
-    n = counts.agg(F.sum("n")).first()[0]
-    share = F.col("n").cast("decimal(38,0)") * k
-    whole = F.floor(share / n).cast("long")
-    counts = counts.select("cell", whole.alias("whole"), (share - whole * F.lit(n)).alias("rest"))
-    left = k - counts.agg(F.sum("whole")).first()[0]
-    # fewer than one more for each cell
-    more = counts.orderBy(F.desc("rest"), "cell").limit(left).select("cell", F.lit(1).cast("long").alias("more"))
-    out = counts.join(more, "cell", "left").select("cell", (F.col("whole") + F.coalesce("more", F.lit(0))).cast("int").alias("k"))
-    return out.where("k > 0")
-
-
-def kmeans_centers(x: np.ndarray, k: int, seed: int, rounds: int = 20, tol: float = 1e-4) -> np.ndarray:
-    """Exactly ``k`` centres of the rows of ``x``: K-means++ starts, then Lloyd's rounds as Spark counts them.
-
-    Fewer distinct rows than ``k`` give centres that repeat.
+    k, dims = centers.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    if 8 * (k or 0) * (dims or 0) > CENTER_BYTES:
+        near, _ = routed(rows.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), centers.select(F.col("cid").alias("id"), "vec"), 1)
+        return rows.join(near.select("id", F.col("nn_id").alias("center")), "id")
+    known = sorted((r["cid"], r["vec"]) for r in centers.collect())
+    names, at = np.array([c for c, _ in known]), np.array([v for _, v in known], dtype=float).reshape(len(known), -1)
+
+    @F.pandas_udf("long")
+    def own(v: pd.Series) -> pd.Series:
+        x, out = np.stack(v.to_numpy()).astype(float), np.empty(len(v), dtype=np.int64)
+        for lo in range(0, len(x), CENTER_SLICE):
+            part = x[lo : lo + CENTER_SLICE]
+            d = np.zeros((len(part), len(at)))
+            for j in range(x.shape[1]):
+                d += (part[:, j][:, None] - at[:, j][None, :]) ** 2
+            out[lo : lo + CENTER_SLICE] = names[d.argmin(axis=1)]
+        return pd.Series(out)
+
+    return rows.withColumn("center", own("vec"))
+
+
+def center_means(rows: DataFrame, centers: DataFrame) -> DataFrame:
+    """(cid, n, mean) of the rows nearest to each of ``centers``; a centre without rows is left out."""
+    dims = centers.agg(F.max(F.size("vec"))).first()[0] or 0
+    owned = nearest_center(rows, centers)
+    mean = F.array(*[F.avg(F.col("vec")[i]) for i in range(dims)])
+    return owned.groupBy(F.col("center").alias("cid")).agg(F.count(F.lit(1)).alias("n"), mean.alias("mean"))
+
+
+def centroids(df: DataFrame, k: int, seed: int = 42, rounds: int = ROUNDS, tol: float = TOLERANCE) -> DataFrame:
+    """(cid, vec): ``k`` K-means centroids of the rows (id, vec) of ``df``, at any k.
+
+    Lloyd's rounds over a table of centroids: every row finds its nearest one, and means are grouped sums that
+    pre-aggregate. They start from ``k`` distinct vectors in hash order and end after ``rounds``, or when none moves by
+    more than ``tol``. With fewer distinct vectors than ``k`` each is a centroid of its own, and they repeat.
     """
-    rng = np.random.default_rng(seed)
-    square = (x * x).sum(axis=1)
-    at = [int(rng.integers(len(x)))]
-    near = ((x - x[at[0]]) ** 2).sum(axis=1)
-    while len(at) < k:
-        total = near.sum()
-        at.append(int(np.searchsorted(np.cumsum(near), rng.random() * total, side="right")) if total > 0 else int(rng.integers(len(x))))
-        at[-1] = min(at[-1], len(x) - 1)
-        near = np.minimum(near, ((x - x[at[-1]]) ** 2).sum(axis=1))
-    centers = x[at]
+    rows = df.select("id", "vec")
+    ones = rows.groupBy("vec").agg(F.min("id").alias("id"))
+    ranked = materialize(dense_row_rank(ones, order_hash(F.col("id"), seed=seed), "id", []).select(F.col("rank").alias("cid"), "vec"), "starts")
+    distinct = ranked.count()
+    if distinct <= k:
+        times = F.lit(k // max(distinct, 1)) + (F.col("cid") <= k % max(distinct, 1)).cast("int")
+        again = repeat_rows(ranked.withColumn("n", times.cast("long")), "n")
+        return again.select((F.col("cid") + F.col("draw") * distinct).alias("cid"), "vec")
+    centers = materialize(ranked.where(F.col("cid") <= k), "centers")
     for _ in range(rounds):
-        own = np.empty(len(x), dtype=np.int64)
-        for lo in range(0, len(x), 1024):
-            d = square[lo : lo + 1024, None] - 2 * x[lo : lo + 1024] @ centers.T + (centers * centers).sum(axis=1)
-            own[lo : lo + 1024] = d.argmin(axis=1)
-        n = np.bincount(own, minlength=k)
-        sums = np.zeros_like(centers)
-        np.add.at(sums, own, x)
-        moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
-        step = ((moved - centers) ** 2).sum(axis=1).max()
-        centers = moved
-        if step <= tol * tol:
+        moved = centers.join(center_means(rows, centers).drop("n"), "cid", "left").withColumn("mean", F.coalesce("mean", "vec"))
+        step = F.aggregate(F.zip_with("vec", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+        moved = materialize(moved.select("cid", F.col("mean").alias("vec"), step.alias("step")), "centers")
+        centers = moved.select("cid", "vec")
+        if (moved.agg(F.max("step")).first()[0] or 0.0) <= tol * tol:
             break
     return centers
 
 
-def _cell_centroids(df: DataFrame, n: int, k: int, seed: int) -> DataFrame:
-    """(vec): ``k`` centroids of the ``n`` rows of ``df``, fitted cell by cell in the tasks; none of them visits the driver."""
-    most = min(max(CELL_ROWS, CELL_CENTROIDS * -(-n // k)), MAX_CELL_ROWS)
-    cells = _cells(df, most)
-
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        x = np.stack(rows["vec"].to_numpy()).astype(float)
-        found = kmeans_centers(x, int(rows["k"].iloc[0]), seed)
-        return pd.DataFrame({"vec": list(found)})
-
-    dealt = lookup_join(cells, _allotted(cells, k), "cell", "inner")
-    return materialize(dealt.groupBy("cell").applyInPandas(fit, "vec array<double>"), "centroids")
+def under_centroids(df: DataFrame, seed: int = 42, clusters: int | None = None, **kw) -> DataFrame:
+    """Replace each larger class by as many K-means centroids as the smallest class has rows, by one scheme at every size.
 
-
-def under_centroids(df: DataFrame, seed: int = 42, clusters: int | None = None) -> DataFrame:
-    """Replace each larger class by as many K-means centroids as the smallest class has rows.
-
-    Above ``MAX_CLUSTERS`` centroids a class is cut into cells of bounded size, each gets its share of them, and the
-    cells are fitted in parallel. More ``clusters`` than that and than the largest class has rows are an error.
+    More ``clusters`` than the largest class has rows are an error; an empty table stays empty.
     """
     counts = class_counts(df, "label")
-    low = clusters or min(counts.values())
-    if low > max(MAX_CLUSTERS, *counts.values()):
+    low = clusters or min(counts.values(), default=0)
+    if counts and low > max(counts.values()):
         raise ValueError(f"{low} centroids per class; the largest class has {max(counts.values())} rows")
-    out = None
+    out = _original(df.where(F.lit(False)))
     for c, n in counts.items():
         mine = df.where(F.col("label") == F.lit(c))
         if n <= low:
-            part = _original(mine)
-        else:
-            if low > MAX_CLUSTERS:
-                centers = _cell_centroids(mine, n, low, seed)
-            else:
-                model = KMeans(k=low, seed=seed, featuresCol="_x").fit(mine.select(array_to_vector("vec").alias("_x")))
-                centers = df.sparkSession.createDataFrame(
-                    [(v.tolist(),) for v in model.clusterCenters()], "vec array<double>"
-                )
-            part = centers.select(
-                F.lit(None).cast("long").alias("id"), "vec", F.lit(c).cast(df.schema["label"].dataType).alias("label"),
-                F.lit(True).alias("synthetic"),
-            )
-        out = part if out is None else out.unionByName(part)
+            out = out.unionByName(_original(mine))
+            continue
+        kind = df.schema["label"].dataType
+        out = out.unionByName(centroids(mine, low, seed, **kw).select(
+            F.lit(None).cast("long").alias("id"), "vec", F.lit(c).cast(kind).alias("label"), F.lit(True).alias("synthetic")
+        ))
     return out
 
 
@@ -359,6 +319,8 @@ def under_one_sided(df: DataFrame, seed: int = 42, **kw) -> DataFrame:
     """Keep the smallest class, one seed row per other class and the rows 1-NN gets wrong; then Tomek removal."""
     df = labelled(df, "label")
     counts = class_counts(df, "label")
+    if not counts:
+        return df
     minority = min(counts, key=lambda c: (counts[c], str(c)))
     small = df.where(F.col("label") == F.lit(minority))
     kept = small
@@ -392,7 +354,7 @@ def rebalance(df: DataFrame, types: str, over: str | None = None, under: str | N
     if types in ("over", "both"):
         grown = OVER[over](out, **kw)
         # original ids are kept; synthetic rows follow them without gaps, in hash order of their content
-        top = df.agg(F.max("id")).first()[0]
+        top = df.agg(F.max("id")).first()[0] or 0
         dup = grown.where("synthetic").groupBy("vec", "label").agg(F.count(F.lit(1)).alias("n"))
         dup = dup.withColumn("_h", order_hash(F.to_json("vec"), F.col("label")))
         dup = prefix_sums(dup.withColumn("_hb", hash_bucket(F.col("_h"))), F.col("_h"), {"n": F.col("n")}, [], "_hb")

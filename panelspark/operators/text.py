@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA, LocalLDAModel
-from pyspark.ml.feature import Word2Vec
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.clean import NO_TEXT
+from panelspark.operators.joins import lookup_join
+from panelspark.session import materialize
 
 TOKEN = r"[\p{L}\p{N}]+"
 ID_RANGE = 32_000
@@ -45,31 +49,52 @@ def token_id(token: Column, id_range: int = ID_RANGE) -> Column:
     return F.pandas_udf(run, "int")(token)
 
 
-def bag(tokens: Column, id_range: int = ID_RANGE) -> Column:
-    """The bag of one row: array of (token_id, cnt) in id order. Nothing leaves the row, so nothing is shuffled."""
+def _ids(words: pa.Array, id_range: int) -> np.ndarray:
+    """Hashed ids of many words; each distinct one is hashed once."""
+    coded = words.dictionary_encode()
+    ids = np.array([zlib.adler32(w.encode()) % id_range for w in coded.dictionary.to_pylist()] or [0], dtype=np.int64)
+    return ids[coded.indices.to_numpy(zero_copy_only=False)]
 
-    def run(rows: pd.Series) -> pd.Series:
-        size = rows.map(lambda r: 0 if r is None else len(r)).to_numpy(dtype=int)
-        words = np.concatenate([r for r in rows if r is not None and len(r)] or [np.array([], dtype=object)])
-        codes, distinct = pd.factorize(words)
-        ids = np.array([zlib.adler32(w.encode()) % id_range for w in distinct] or [0], dtype="int64")[codes]
-        found, counts = np.unique(np.repeat(np.arange(len(rows)), size) * id_range + ids, return_counts=True)
-        cuts = np.searchsorted(found // id_range, np.arange(1, len(rows)))
-        pairs = zip(np.split(found % id_range, cuts), np.split(counts, cuts))
-        return pd.Series([[{"token_id": int(i), "cnt": int(c)} for i, c in zip(a, b)] for a, b in pairs])
 
-    return F.pandas_udf(run, "array<struct<token_id:int,cnt:bigint>>")(tokens)
+def hashed_bow(df: DataFrame, doc: str, tokens: str, id_range: int = ID_RANGE) -> DataFrame:
+    """(doc, token_id, cnt) in long form, one row per id of a document. Rows are counted where they are: nothing is shuffled.
+
+    A row without tokens gives nothing; a null token is none.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            words, owner = lists.flatten(), np.repeat(np.arange(b.num_rows), size)
+            if words.null_count:
+                known = words.is_valid()
+                words, owner = words.filter(known), owner[known.to_numpy(zero_copy_only=False)]
+            found, counts = np.unique(owner * id_range + _ids(words, id_range), return_counts=True)
+            yield pa.record_batch([b.column(0).take(pa.array(found // id_range)), pa.array(found % id_range, pa.int32()), pa.array(counts, pa.int64())], names)
+
+    names = [doc, "token_id", "cnt"]
+    kind = df.schema[doc].dataType.simpleString()
+    return df.select(doc, tokens).mapInArrow(run, f"`{doc}` {kind}, token_id int, cnt bigint")
 
-def hashed_bow(df: DataFrame, doc: str, tokens: str, id_range: int = ID_RANGE) -> DataFrame:
-    """(doc, token_id, cnt) in long form, one row per id of a document."""
-    return df.select(doc, F.explode(bag(F.col(tokens), id_range)).alias("_b")).select(doc, "_b.token_id", "_b.cnt")
+
+def id_words(tokens: Column, id_range: int = ID_RANGE) -> Column:
+    """The hashed id of every token as a word, in the order of the tokens."""
+
+    def run(lists: pa.Array) -> pa.Array:
+        ids = _ids(lists.flatten(), id_range)
+        size = pc.fill_null(pc.list_value_length(lists), 0)
+        ends = np.concatenate([[0], np.cumsum(size.to_numpy(zero_copy_only=False))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids).cast(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(tokens)
 
 
 def bag_vectors(df: DataFrame, tokens: str, out: str = "_bow", id_range: int = ID_RANGE) -> DataFrame:
-    """Add the hashed bag as a sparse vector over the whole id range; every token counts."""
-    sparse = F.udf(lambda b: Vectors.sparse(id_range, [(x.token_id, float(x.cnt)) for x in b]), VectorUDT())
-    return df.withColumn(out, sparse(bag(F.col(tokens), id_range)))
+    """Add the hashed bag as a sparse vector over the whole id range; every token counts, and the counting stays in the JVM."""
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(id_range)], inputCol="_ids", outputCol=out, minTF=1.0)
+    present = F.filter(F.coalesce(F.col(tokens), F.array().cast("array<string>")), lambda w: w.isNotNull())
+    return counter.transform(df.withColumn("_ids", id_words(present, id_range))).drop("_ids")
 
 
 def lda_fit(df: DataFrame, tokens: str, vec_size: int = 4, path: str | None = None, seed: int = 42, max_iter: int = 10):
@@ -114,12 +139,31 @@ def lda_vectors(df: DataFrame, tokens: str, model: LocalLDAModel, out: str) -> D
 
 
 def doc_embedding(df: DataFrame, tokens: str, out: str, vec_size: int = 4, window: int = 3, seed: int = 42, min_count: int = 1) -> DataFrame:
-    """Mean of word vectors per document, trained in as many tasks as a shuffle has; words below ``min_count`` are left out."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = Word2Vec(
-        vectorSize=vec_size, windowSize=window, seed=seed, minCount=min_count, numPartitions=tasks, inputCol=tokens, outputCol="_emb"
-    ).fit(df)
-    return model.transform(df).withColumn(out, vector_to_array("_emb")).drop("_emb")
+    """Mean of word vectors per document, without a vocabulary in the driver or in any task.
+
+    Every word has a hashed direction of ``vec_size`` signs. The vector of a word is the mean direction of the words
+    within ``window`` places of it, over all its places; the sums pre-aggregate in Spark. Words of fewer than
+    ``min_count`` places are left out before that; a document without words has a vector of zeros.
+    """
+    rows = materialize(df.withColumn("_doc", F.monotonically_increasing_id()), "docs")
+    words = rows.select("_doc", F.posexplode(tokens).alias("_at", "_w")).where("_w is not null")
+    if min_count > 1:
+        often = words.groupBy("_w").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count).select("_w")
+        words = lookup_join(words, materialize(often, "often"), "_w", "inner")
+    digest = [F.md5(F.concat_ws("~", "_w", F.lit(str(seed)), F.lit(str(i)))) for i in range(-(-vec_size // 32))]
+    signs = [F.when(F.substring(digest[j // 32], j % 32 + 1, 1) >= "8", 1.0).otherwise(-1.0).alias(f"_s{j}") for j in range(vec_size)]
+    around = Window.partitionBy("_doc").orderBy("_at").rowsBetween(-window, window)
+    near = [(F.sum(f"_s{j}").over(around) - F.col(f"_s{j}")).alias(f"_c{j}") for j in range(vec_size)]
+    context = words.select("*", *signs).select("_w", *near, (F.count(F.lit(1)).over(around) - 1).alias("_m"))
+    mean = [F.coalesce(F.try_divide(F.sum(f"_c{j}"), F.sum("_m")), F.lit(0.0)).alias(f"_e{j}") for j in range(vec_size)]
+    vectors = materialize(context.groupBy("_w").agg(*mean), "words")
+    counted = materialize(words.groupBy("_doc", "_w").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    # a word of very many documents is a hot key, which the join salts
+    met = lookup_join(counted, vectors, "_w", "inner")
+    total = F.sum("_n")
+    found = met.groupBy("_doc").agg(F.array(*[F.sum(F.col("_n") * F.col(f"_e{j}")) / total for j in range(vec_size)]).alias(out))
+    zeros = F.array(*[F.lit(0.0)] * vec_size)
+    return rows.join(found, "_doc", "left").withColumn(out, F.coalesce(out, zeros)).select(*df.columns, out)
 
 
 def spread_vectors(df: DataFrame, vec: str, prefix: str, size: int) -> DataFrame:

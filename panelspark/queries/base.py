@@ -177,6 +177,23 @@ def upper_tail_sql(x: str) -> str:
     return f"(CASE WHEN {x} < 3 THEN 0.5 - {pdf} * {series} ELSE {pdf} / (({x}) + {fraction}) END)"
 
 
+def t_two_sided_sql(t: str, dof: str, steps: int = 2000) -> str:
+    """P(|T| > |t|) in SQL: Simpson's rule over the angle atan(t / sqrt(dof)), cut where nothing is left."""
+    to = f"least(atan(abs({t}) / sqrt({dof})), 12 / sqrt({dof}))"
+    weight = f"(CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)"
+    total = f"list_sum(list_transform(range({steps + 1}), lambda k : {weight} * pow(cos(k * {to} / {steps}), {dof} - 1)))"
+    scale = f"exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0)) / sqrt(pi())"
+    return f"greatest(0, 1 - 2 * {scale} * {to} / {3 * steps} * {total})"
+
+
+def chi2_sf_sql(x: str, dof: str) -> str:
+    """P(X > x) for a whole number of degrees: a finite sum, and a normal tail in front of it for odd ones."""
+    half = f"(greatest({x}, 1e-300) / 2)"
+    even = f"coalesce(list_sum(list_transform(range(({dof} // 2)::BIGINT), lambda i : exp(i * ln{half} - {half} - lgamma(i + 1.0)))), 0)"
+    odd = f"coalesce(list_sum(list_transform(range(({dof} // 2)::BIGINT), lambda i : exp((i + 0.5) * ln{half} - {half} - lgamma(i + 1.5)))), 0)"
+    return f"least(1, CASE WHEN ({dof}) % 2 = 0 THEN {even} ELSE 2 * {upper_tail_sql(f'sqrt({x})')} + {odd} END)"
+
+
 def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     """Round result columns for a stable comparison; the shift moves exact decimal ties off the edge."""
     return df.withColumns({c: F.round(F.col(c) + 10.0 ** -(digits + 3), digits) for c in cols})

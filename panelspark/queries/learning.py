@@ -224,10 +224,22 @@ def lda_vectors(t):
     )
 
 
-@query("doc_embedding")
+_SIGN = "CASE WHEN substr(md5(concat_ws('~', w, '42', '0')), {0} + 1, 1) >= '8' THEN 1 ELSE -1 END"
+_AROUND = "(PARTITION BY row_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
+
+
+@query(
+    "doc_embedding",
+    f"WITH {_TOK}, w AS (SELECT row_id, k[i] AS w, i FROM (SELECT row_id, k, unnest(range(1, len(k) + 1)) AS i FROM tok)), "
+    f"s AS (SELECT *, {', '.join(f'{_SIGN.format(j)} AS s{j}' for j in range(4))} FROM w), "
+    f"c AS (SELECT w, {', '.join(f'sum(s{j}) OVER {_AROUND} - s{j} AS c{j}' for j in range(4))}, count(*) OVER {_AROUND} - 1 AS m FROM s), "
+    f"e AS (SELECT w, {', '.join(f'CASE WHEN sum(m) > 0 THEN sum(c{j}) / sum(m) ELSE 0 END AS e{j}' for j in range(4))} FROM c GROUP BY w) "
+    f"SELECT row_id, {', '.join(f'round(avg(e{j}) + 1e-9, 6) AS v{j}' for j in range(4))} FROM w JOIN e USING (w) GROUP BY row_id",
+)
 def doc_embedding(t):
     df = text.tokenize_columns(t.texts, ["text"])
-    return text.doc_embedding(df, "text_tokens", "vec", 4).select("row_id", *[F.round(F.col("vec")[i], 5).alias(f"v{i}") for i in range(4)])
+    out = text.doc_embedding(df, "text_tokens", "vec", 4).select("row_id", *[F.col("vec")[i].alias(f"v{i}") for i in range(4)])
+    return rounded(out, 6, *[f"v{i}" for i in range(4)])
 
 
 @query("spread_vectors", "SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS emb_{i}" for i in range(64)) + " FROM embeddings")

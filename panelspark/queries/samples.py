@@ -10,6 +10,7 @@ from panelspark.queries.base import (
     DIM, MATRIX, ORACLES, ORDERS, PANEL_LABEL, VECTORS, hash_long_sql, hash_sql, hash_unit_sql, query, rounded,
 )
 from panelspark.queries.tables import KFOLD_SQL
+from panelspark.session import materialize
 
 SCALED = ("price", "qty", "flat")
 _WIDE = "w AS (SELECT l_orderkey, l_partkey, l_extendedprice AS price, l_quantity AS qty, 3.0::DOUBLE AS flat FROM lineitem)"
@@ -283,10 +284,23 @@ def under_tomek(t):
 
 @query(
     "under_centroids",
-    f"WITH {VECTORS}, {_COUNTS} SELECT label, n = (SELECT max(n) FROM counts) AS synthetic, (SELECT min(n) FROM counts) AS n_rows, 64 AS dims FROM counts",
+    f"WITH {VECTORS}, {_COUNTS}, low AS (SELECT min(n) AS k FROM counts) "
+    "SELECT label, false AS synthetic, n AS n_rows, 64 AS dims, NULL::BIGINT AS n_means, NULL::BIGINT AS n_members FROM counts, low WHERE n = k "
+    "UNION ALL SELECT label, true, k, 64, k, n FROM counts, low WHERE n > k",
 )
 def under_centroids(t):
-    return _over_summary(resample.under_centroids(t.vectors))
+    """Of the larger class: as many centroids as the smaller has rows, each the mean of its nearest rows, all rows spoken for."""
+    rows = t.vectors
+    out = materialize(resample.under_centroids(rows, rounds=200, tol=0), "resampled")
+    centers = out.where("synthetic").select("label", "vec").withColumn("cid", F.monotonically_increasing_id())
+    centers, told = materialize(centers, "centers"), None
+    for c in [r["label"] for r in centers.select("label").distinct().collect()]:
+        mine = centers.where(F.col("label") == c).select("cid", "vec")
+        means = resample.center_means(rows.where(F.col("label") == c).select("id", "vec"), mine).join(mine, "cid")
+        off = F.array_max(F.zip_with("vec", "mean", lambda a, b: F.abs(a - b)))
+        one = means.agg(F.count_if(off < 1e-9).alias("n_means"), F.sum("n").alias("n_members")).select(F.lit(c).alias("label"), "*")
+        told = one if told is None else told.unionByName(one)
+    return _over_summary(out).join(told, "label", "left")
 
 
 @query(
