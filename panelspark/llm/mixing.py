@@ -72,9 +72,9 @@ def mix_sources(
     rates = materialize(repetition_rates(docs, weights, default_weight, size), "rates")
     often = not rates.where(F.col("parts") * TERMS > copies_at_once).isEmpty()
     rates = rates.select(F.col("source").alias(name), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
-    rows = docs.join(bounded_broadcast(rates), F.col("source").cast("string").eqNullSafe(F.col(name)))
     text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))) if "text" in docs.columns else F.lit("")
-    rows = rows.withColumn(table, text)
+    # hashed in front of the join, so that no draw repeats it
+    rows = docs.withColumn(table, text).join(bounded_broadcast(rates), F.col("source").cast("string").eqNullSafe(F.col(name)))
     key = [F.lit(seed), F.col("doc_id"), F.col("source"), F.col(table)]
 
     def draws(j: Column) -> Column:
