@@ -149,14 +149,21 @@ class Index:
         return [sorted(set(o) - set(m)) for o, m in zip(out, met)]
 
 
-def _pivots(data: DataFrame, dims: int, n: int) -> Index:
-    """Pivots drawn in hash order, as many as the root of the table asks for and ``PIVOT_BYTES`` allow."""
+def _pivots(data: DataFrame, dims: int, n: int, whole: bool) -> Index:
+    """Pivots drawn in hash order, as many as the root of the table asks for and ``PIVOT_BYTES`` allow.
+
+    ``whole`` says that no coordinate is missing, so there is one pattern.
+    """
     some = int(min(max(n // CELL_ROWS, 1), math.ceil(math.sqrt(n)) if n > CELL_ROWS**2 else n, PIVOT_BYTES // (8 * max(dims, 1))))
-    mask = F.transform("vec", lambda x: F.when(F.isnan(x), "0").otherwise("1"))
-    marked = data.select("id", "vec", F.array_join(mask, "").alias("mask"))
-    counts = marked.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "mask").limit(PATTERNS).collect()
-    # a pattern without coordinates takes the rows that contain no other
-    shares = {r["mask"]: max(1, round(some * r["n"] / n)) for r in counts if "1" in r["mask"]}
+    if whole:
+        shares = {"1" * dims: some} if dims else {}
+        marked = data.select("id", "vec", F.lit("1" * dims).alias("mask"))
+    else:
+        mask = F.transform("vec", lambda x: F.when(F.isnan(x), "0").otherwise("1"))
+        marked = data.select("id", "vec", F.array_join(mask, "").alias("mask"))
+        counts = marked.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "mask").limit(PATTERNS).collect()
+        # a pattern without coordinates takes the rows that contain no other
+        shares = {r["mask"]: max(1, round(some * r["n"] / n)) for r in counts if "1" in r["mask"]}
     coarse, fine, group = [np.full(dims, np.nan)], [np.full(dims, np.nan)], [0]
     if shares:
         wanted = data.sparkSession.createDataFrame(list(shares.items()), "mask string, share long")
@@ -186,15 +193,15 @@ def _numeric(series: pd.Series, dims: int) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(float)[:, :dims]
 
 
-def _index(data: DataFrame, dims: int, n: int) -> tuple[Index, DataFrame]:
-    """Pivots with the extents of their cells, and ``data`` (id, vec) with its cell."""
-    index = _pivots(data.withColumn("vec", F.slice("vec", 1, dims)), dims, n)
+def _index(data: DataFrame, dims: int, n: int, whole: bool) -> tuple[Index, DataFrame]:
+    """Pivots with the extents of their cells, and ``data`` (id, vec) with its cell, written."""
+    index = _pivots(data.withColumn("vec", F.slice("vec", 1, dims)), dims, n, whole)
 
     @F.pandas_udf("cell long, r double, far double")
     def place(v: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(dict(zip(("cell", "r", "far"), index.place(_numeric(v, dims)))))
 
-    data = data.withColumn("_p", place("vec")).select("id", "vec", "_p.cell", "_p.r", "_p.far")
+    data = materialize(data.withColumn("_p", place("vec")).select("id", "vec", "_p.cell", "_p.r", "_p.far"), "cells")
     stats = data.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r"), F.min("r").alias("least"), F.max("far").alias("far")).collect()
     cells = len(index.fine)
     index.sizes, index.reach, index.least, index.spread = np.zeros(cells, dtype=np.int64), np.zeros(cells), np.zeros(cells), np.zeros(len(index.coarse))
@@ -239,20 +246,19 @@ def routed(queries: DataFrame, data: DataFrame, k: int, nominal_from: int | None
            block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """(id, nn_id, dist, rank) for distinct queries, and (qid, cells) with the number of cells that each of them met."""
     spark = data.sparkSession
-    n = data.count()
-    first = data.select(F.size("vec")).first()
-    if first is None:
+    missing = F.count_if(F.exists("vec", F.isnan))
+    n, size, holes = data.agg(F.count(F.lit(1)), F.max(F.size("vec")), missing).first()
+    if not n:
         return spark.createDataFrame([], "id long, nn_id long, dist double, rank int"), spark.createDataFrame([], "qid long, cells int")
-    dims = first[0] if nominal_from is None else nominal_from
-    index, data = _index(data, dims, n)
-    data = materialize(data.select("id", "vec", "cell"), "cells")
+    dims = size if nominal_from is None else nominal_from
+    index, data = _index(data, dims, n, not holes)
     compare = _block_top_k(k, nominal_from, penalty, gaps)
 
     @F.pandas_udf("array<long>")
     def nearest(v: pd.Series) -> pd.Series:
         return pd.Series(index.first(_numeric(v, dims), k))
 
-    queries = materialize(queries.withColumn("met", nearest("qvec")), "queries")
+    queries = queries.withColumn("met", nearest("qvec"))
     near = materialize(_best(_met(queries.select("qid", "qvec", F.explode("met").alias("cell")), data, index, block_rows, compare), k), "near")
     bound = near.where(F.col("rank") == k).select(F.col("id").alias("qid"), F.col("dist").alias("bound"))
 
