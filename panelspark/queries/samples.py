@@ -239,27 +239,52 @@ def _nominal(t):
     return v.withColumn("vec", F.concat(F.slice("vec", 1, 4), codes))
 
 
+def _values(n: int) -> str:
+    return ", ".join(f"round(av[{i}] + lam * (bv[{i}] - av[{i}]) + 1e-9, 6) AS v{i}" for i in range(1, n + 1))
+
+
+_CODED = "nv AS (SELECT id, label, list_concat(vec[1:4], [(id % 3)::DOUBLE, (vec[8] > 0)::INT::DOUBLE]) AS vec FROM vectors)"
+_CODED_DIST = (
+    "sqrt(" + " + ".join(f"(q.vec[{i}] - d.vec[{i}]) * (q.vec[{i}] - d.vec[{i}])" for i in range(1, 5))
+    + " + penalty * (q.vec[5] <> d.vec[5])::INT + penalty * (q.vec[6] <> d.vec[6])::INT)"
+)
+
+
 @query(
     "over_smote_nc",
-    f"WITH {VECTORS}, {_COUNTS} SELECT label, false AS synthetic, n AS n_rows, 6 AS dims, n AS n_valid FROM counts "
-    "UNION ALL SELECT label, true, m - n, 6, m - n FROM counts, top WHERE n < m",
+    f"WITH {VECTORS}, {_COUNTS}, {_CODED}, "
+    + _interpolated_sql("SELECT id FROM m").replace("FROM vectors WHERE label = 1", "FROM nv WHERE label = 1").replace(
+        _NN.format(q="m", d="m"),
+        f"spread AS (SELECT list_sort([{', '.join(f'stddev_pop(vec[{i}])' for i in range(1, 5))}]) AS s FROM m), "
+        "pen AS (SELECT pow((s[2] + s[3]) / 2, 2) / 2 AS penalty FROM spread), "
+        f"nn AS (SELECT q.id, d.id AS nn_id, row_number() OVER (PARTITION BY q.id ORDER BY {_CODED_DIST}, d.id) AS rk FROM m q, m d, pen WHERE q.id <> d.id)",
+    )
+    + ", vote AS (SELECT n.id, i, vec[i] AS v, count(*) AS c FROM nn n JOIN m ON m.id = n.nn_id, (SELECT unnest([5, 6]) AS i) WHERE rk <= 5 GROUP BY ALL), "
+    "won AS (SELECT id, i, v, row_number() OVER (PARTITION BY id, i ORDER BY c DESC, v) AS rn FROM vote) "
+    f"SELECT {_values(4)}, a.v AS c5, b.v AS c6 "
+    "FROM pair JOIN won a ON a.id = pair.id AND a.i = 5 AND a.rn = 1 JOIN won b ON b.id = pair.id AND b.i = 6 AND b.rn = 1",
 )
 def over_smote_nc(t):
-    out = resample.over_smote_nc(_nominal(t), 4)
-    valid = F.col("vec")[4].isin(0.0, 1.0, 2.0) & F.col("vec")[5].isin(0.0, 1.0)
-    return out.groupBy("label", "synthetic").agg(
-        F.count("*").alias("n_rows"), F.max(F.size("vec")).alias("dims"), F.count_if(valid).alias("n_valid")
-    )
+    """The synthetic rows themselves: interpolated numbers, and the neighbours' most frequent codes."""
+    out = resample.over_smote_nc(_nominal(t), 4).where("synthetic")
+    out = out.select(*[F.col("vec")[i - 1].alias(f"v{i}") for i in range(1, 5)], F.col("vec")[4].alias("c5"), F.col("vec")[5].alias("c6"))
+    return rounded(out, 6, *[f"v{i}" for i in range(1, 5)])
 
 
 @query(
     "over_adasyn",
     f"WITH {VECTORS}, {_COUNTS}, {_NEAR}, r AS (SELECT id, count(*) FILTER (label <> 1) / 5.0 AS r FROM near WHERE rk <= 5 GROUP BY id), "
-    "g AS (SELECT id, round_even(r / (SELECT sum(r) FROM r) * (SELECT max(n) - min(n) FROM counts), 0)::BIGINT AS made FROM r) "
-    "SELECT label, false AS synthetic, n AS n_rows, 64 AS dims FROM counts UNION ALL SELECT 1, true, (SELECT sum(made)::BIGINT FROM g), 64",
+    "g AS (SELECT id, round_even(r / (SELECT sum(r) FROM r) * (SELECT max(n) - min(n) FROM counts), 0)::BIGINT AS made FROM r), "
+    "m AS (SELECT * FROM vectors WHERE label = 1), " + _NN.format(q="m", d="m")
+    + f", s AS (SELECT id, draw, least(5, (SELECT count(*) - 1 FROM m)) AS k, {hash_long_sql(hash_sql('id', 'draw', chr(39) + 'nn' + chr(39)))} AS hn, "
+    f"{hash_unit_sql(hash_sql('id', 'draw', chr(39) + 'lambda' + chr(39)))} AS lam FROM (SELECT id, unnest(range(made)) AS draw FROM g)), "
+    "pair AS (SELECT s.*, a.vec AS av, b.vec AS bv FROM s JOIN nn ON s.id = nn.id AND nn.rk = s.hn % s.k + 1 JOIN m a ON a.id = s.id JOIN m b ON b.id = nn.nn_id) "
+    f"SELECT {_values(8)} FROM pair",
 )
 def over_adasyn(t):
-    return _over_summary(resample.over_adasyn(t.vectors))
+    """The synthetic rows themselves, as many per seed as its share of foreign neighbours asks for."""
+    out = resample.over_adasyn(t.vectors).where("synthetic")
+    return rounded(out.select(*[F.col("vec")[i - 1].alias(f"v{i}") for i in range(1, 9)]), 6, *[f"v{i}" for i in range(1, 9)])
 
 
 @query(
