@@ -136,8 +136,8 @@ _STUMPS = f"""RECURSIVE cells AS (
   SELECT r.k + 1, r.row_id, r.lw + CASE WHEN (CASE WHEN b.b <= s.cut THEN s.below ELSE s.above END) <> b.y THEN s.stage ELSE 0 END,
     s.f, s.cut, s.below, s.above, s.error, s.stage
   FROM r JOIN (
-    SELECT f, b AS cut, (l1 > l0)::INT AS below, (g1 > g0)::INT AS above, least(l0, l1) + least(g0, g1) AS error,
-      ln((1 - error) / error) AS stage
+    SELECT f, b AS cut, (l1 > l0)::INT AS below, (g1 > g0)::INT AS above, greatest(least(l0, l1) + least(g0, g1), 0) AS error,
+      CASE WHEN error <= 1e-12 THEN 1 ELSE ln((1 - error) / error) END AS stage
     FROM (
       SELECT f, b, l0, l1, t0 - l0 AS g0, t1 - l1 AS g1, (l0 * l0 + l1 * l1) / (l0 + l1) + (g0 * g0 + g1 * g1) / (g0 + g1) AS pure
       FROM (
@@ -151,7 +151,7 @@ _STUMPS = f"""RECURSIVE cells AS (
       ) WHERE b < last
     ) ORDER BY round(pure, 10) DESC, f, b LIMIT 1
   ) s ON true JOIN binned b ON b.row_id = r.row_id AND b.f = s.f
-  WHERE r.k < 500 AND s.error < 0.5
+  WHERE r.k < 500 AND s.error < 0.5 AND coalesce(r.error, 1) > 1e-12
 ), stumps AS (
   SELECT k, f, cut, below, above, error, stage FROM r WHERE k > 0 GROUP BY ALL
 )"""
