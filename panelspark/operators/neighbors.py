@@ -4,13 +4,15 @@ Data rows are grouped around pivots whose number grows with the root of the tabl
 nearest coarse pivot and to the nearest fine pivot below it. A query first meets the cell of its nearest pivot; its k-th
 distance there is a bound, and by the triangle inequality only cells that may hold a row within the bound are met
 after that. Rows with missing coordinates are indexed by a pattern of present ones: distances over a part of the
-coordinates are lower bounds, and so is the numeric part of a distance with codes. Cells are cut into blocks of at most
-``block_rows`` rows on both sides, equal vectors are compared once, and a block pair returns at most k rows per query.
+coordinates are lower bounds, and so is the numeric part of a distance with codes. The cells met later are sent in groups,
+so a query goes once to a group and not to each of its cells; a task compares at most ``block_rows`` rows of both sides at
+once. Equal vectors are compared once, and a task returns at most k rows per query, none beyond its bound.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,14 +33,19 @@ PIVOT_BYTES = 16 << 20
 #: patterns of present coordinates with pivots of their own; other rows join a pattern that they contain
 PATTERNS = 64
 SLICE = 1024
+#: pairs whose exact distance is taken at once
+PAIRS = 1 << 16
+#: bytes of the vectors on one side of a task of the second phase, and the groups that a smaller table is dealt into
+GROUP_BYTES = 32 << 20
+GROUPS = 8
 
 
 def _squared(q: np.ndarray, d: np.ndarray, nominal_from: int | None, penalty: float, gaps: bool) -> np.ndarray:
-    """Squared distances, one dimension at a time; a missing coordinate is NaN."""
-    total = np.zeros((len(q), len(d)))
+    """Squared distances of paired rows, one dimension at a time; a missing coordinate is NaN."""
+    total = np.zeros(len(q))
     seen = np.zeros_like(total) if gaps else None
     for j in range(q.shape[1]):
-        diff = q[:, j][:, None] - d[:, j][None, :]
+        diff = q[:, j] - d[:, j]
         if nominal_from is not None and j >= nominal_from:
             total += penalty * (diff != 0)
         elif gaps:
@@ -53,22 +60,128 @@ def _squared(q: np.ndarray, d: np.ndarray, nominal_from: int | None, penalty: fl
     return total
 
 
+def _rough(q: np.ndarray, d: np.ndarray, full: int, gaps: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances over numeric coordinates by matrix products, and per query a bound of their rounding."""
+    with np.errstate(all="ignore"):
+        if not gaps:
+            qq, dd = (q * q).sum(axis=1), (d * d).sum(axis=1)
+            left = np.column_stack([-2 * q, qq, np.ones(len(q))])
+            out, scale = left @ np.column_stack([d, np.ones(len(d)), dd]).T, 1
+        else:
+            has_q, has_d = (~np.isnan(q)).astype(float), (~np.isnan(d)).astype(float)
+            q, d = np.nan_to_num(q), np.nan_to_num(d)
+            qq, dd = (q * q).sum(axis=1), (d * d).sum(axis=1)
+            out = np.hstack([q * q, has_q, -2 * q]) @ np.hstack([has_d, d * d, d]).T
+            out, scale = out * full / (has_q @ has_d.T), full
+        most = dd[np.isfinite(dd)].max(initial=0.0)
+        return out, scale * (3 * q.shape[1] + 16) * 2.0**-52 * (np.where(np.isfinite(qq), qq, 0.0) + most)
+
+
+class Nearest:
+    """The k nearest rows so far of every query; ``limit`` bounds the squared distance of what may still come in.
+
+    Matrix products choose the pairs that may be near, with room for their rounding, and only these are measured exactly.
+    """
+
+    def __init__(self, limit: np.ndarray, k: int, nominal_from: int | None = None, penalty: float = 0.0, gaps: bool = False, root: bool = True):
+        self.limit, self.k, self.nominal_from, self.penalty, self.gaps, self.root = limit, k, nominal_from, penalty, gaps, root
+        self.at, self.ids, self.dist = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+
+    def meet(self, rows: np.ndarray, q: np.ndarray, d: np.ndarray, ids: np.ndarray, wanted: Callable | None = None) -> None:
+        """Queries ``q``, which are ``rows`` of the limits, meet data rows; ``wanted`` tells which pairs (row, data row) count."""
+        dims = q.shape[1] if self.nominal_from is None else self.nominal_from
+        rough, slack = _rough(q[:, :dims], d[:, :dims], q.shape[1], self.gaps)
+        limit = self.limit[rows] + slack
+        if not np.isfinite(limit).all() and len(d) > self.k:
+            # the codes that rough distances leave out
+            codes = self.penalty * (q.shape[1] - dims) * (q.shape[1] if self.gaps else 1)
+            kth = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1]
+            limit = np.fmin(limit, kth * (1 + 1e-9) + codes + 2 * slack)
+        # what is no number may overflow here alone, so it is measured
+        i, j = np.nonzero(~(rough > limit[:, None]))
+        if wanted is not None:
+            some = wanted(rows[i], j)
+            i, j = i[some], j[some]
+        at, found, dist = [self.at], [self.ids], [self.dist]
+        for lo in range(0, len(i), PAIRS):
+            a, b = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
+            with np.errstate(all="ignore"):
+                far = _squared(q[a], d[b], self.nominal_from, self.penalty, self.gaps)
+                far = np.sqrt(far) if self.root else far
+            ok = np.isfinite(far)
+            at.append(rows[a[ok]]), found.append(ids[b[ok]]), dist.append(far[ok])
+        self.at, self.ids, self.dist = np.concatenate(at), np.concatenate(found), np.concatenate(dist)
+        order = np.lexsort((self.ids, self.dist, self.at))
+        place = self.at[order]
+        place = np.arange(len(place)) - np.searchsorted(place, place)
+        kept, last = order[place < self.k], order[place == self.k - 1]
+        bound = self.dist[last] ** 2 if self.root else self.dist[last]
+        self.limit[self.at[last]] = np.minimum(self.limit[self.at[last]], bound * (1 + 1e-9) + 1e-300)
+        self.at, self.ids, self.dist = self.at[kept], self.ids[kept], self.dist[kept]
+
+
+def nearest_of(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Place in ``d`` of the row nearest to each row of ``q``; ties go to the first."""
+    out = np.zeros(len(q), dtype=np.int64)
+    for lo in range(0, len(q), SLICE):
+        part = q[lo : lo + SLICE]
+        found = Nearest(np.full(len(part), np.inf), 1, root=False)
+        for at in range(0, len(d), BLOCK_ROWS):
+            rows = d[at : at + BLOCK_ROWS]
+            found.meet(np.arange(len(part)), part, rows, np.arange(at, at + len(rows)))
+        out[lo + found.at] = found.ids
+    return out
+
+
+def _pairs(qi: np.ndarray, found: Nearest) -> pd.DataFrame:
+    return pd.DataFrame({"id": qi[found.at], "nn_id": found.ids, "dist": found.dist})
+
+
+def _stacked(vecs: pd.Series) -> np.ndarray:
+    return np.stack(vecs.to_numpy()).astype(float)
+
+
 def _block_top_k(k: int, nominal_from, penalty: float, gaps: bool):
     def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
             return pd.DataFrame({"id": [], "nn_id": [], "dist": []})
-        qv, dv = np.stack(q["qvec"].to_numpy()).astype(float), np.stack(d["vec"].to_numpy()).astype(float)
-        qi, di = q["qid"].to_numpy(), d["id"].to_numpy()
-        by_id = np.argsort(di, kind="stable")
-        dv, di = dv[by_id], di[by_id]
-        dist = np.sqrt(_squared(qv, dv, nominal_from, penalty, gaps))
-        dist = np.where(np.isnan(dist), np.inf, dist)
-        m = min(k, len(di))
-        # rows are in id order, so a stable sort breaks ties by the smaller id
-        top = np.argsort(dist, axis=1, kind="stable")[:, :m]
-        vals = np.take_along_axis(dist, top, axis=1)
-        out = pd.DataFrame({"id": np.repeat(qi, m), "nn_id": di[top].ravel(), "dist": vals.ravel()})
-        return out[np.isfinite(out["dist"])]
+        found = Nearest(np.full(len(q), np.inf), k, nominal_from, penalty, gaps)
+        found.meet(np.arange(len(q)), _stacked(q["qvec"]), _stacked(d["vec"]), d["id"].to_numpy())
+        return _pairs(q["qid"].to_numpy(), found)
+
+    return run
+
+
+def _group_top_k(index: Index, dims: int, k: int, nominal_from, penalty: float, gaps: bool, block_rows: int):
+    """Compares queries (qid, qvec, met, bound) with the cells of a group that they may need and have not met."""
+
+    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        outs = [pd.DataFrame({"id": [], "nn_id": [], "dist": []})]
+        if q.empty or d.empty:
+            return outs[0]
+        d = d.iloc[np.argsort(d["cell"].to_numpy(), kind="stable")]
+        dv, di = _stacked(d["vec"]), d["id"].to_numpy()
+        cells, starts = np.unique(d["cell"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(d))
+        # queries of one cell need the same cells
+        q = q.iloc[np.argsort([m[0] if len(m) else -1 for m in q["met"]], kind="stable")]
+        for lo in range(0, len(q), block_rows):
+            part = q.iloc[lo : lo + block_rows]
+            qv, bound, met = _stacked(part["qvec"]), part["bound"].to_numpy(float), part["met"].tolist()
+            wants = index.hits(qv[:, :dims], bound, met, not gaps)[:, cells]
+            found = Nearest((bound * (1 + 1e-9) + 1e-12) ** 2, k, nominal_from, penalty, gaps)
+            left = np.flatnonzero(wants.any(axis=0))
+            while len(left):
+                n = max(1, int(np.searchsorted(np.cumsum(ends[left] - starts[left]), block_rows, side="right")))
+                some, left = left[:n], left[n:]
+                rows = np.flatnonzero(wants[:, some].any(axis=1))
+                at = np.concatenate([np.arange(starts[c], ends[c]) for c in some])
+                of = np.repeat(some, ends[some] - starts[some])
+                for cut in range(0, len(at), block_rows):
+                    here, own = at[cut : cut + block_rows], of[cut : cut + block_rows]
+                    found.meet(rows, qv[rows], dv[here], di[here], lambda i, j, own=own, wants=wants: wants[i, own[j]])
+            outs.append(_pairs(part["qid"].to_numpy(), found))
+        return pd.concat(outs)
 
     return run
 
@@ -125,15 +238,18 @@ class Index:
             out += [[int(c) for c in o[: n + 1] if self.sizes[c]] for o, n in zip(order, enough)]
         return out
 
-    def later(self, v: np.ndarray, bound: np.ndarray, met: list[list[int]], whole: bool) -> list[list[int]]:
-        """Further cells that may hold a row within ``bound``; ``whole`` says that no coordinate is missing."""
+    def hits(self, v: np.ndarray, bound: np.ndarray, met: list, whole: bool) -> np.ndarray:
+        """Whether a query has to meet a cell after those it has ``met``: one that may hold a row within ``bound``.
+
+        ``whole`` says that no coordinate is missing.
+        """
         scale = np.ones(len(v)) if whole else np.sqrt(v.shape[1] / np.maximum((~np.isnan(v)).sum(axis=1), 1))
         # a little slack keeps rounding from cutting off a true neighbour
         bound = bound * (1 + 1e-9) + 1e-12
         if not whole:
             # a query without coordinates is near to nothing
             bound = np.where(np.isnan(v).all(axis=1), -1.0, bound)
-        out: list[list[int]] = [[] for _ in range(len(v))]
+        out = np.zeros((len(v), len(self.fine)), dtype=bool)
         near = _shared(v, self.coarse)
         for g in range(len(self.coarse)):
             below = np.flatnonzero((self.group == g) & (self.sizes > 0))
@@ -144,9 +260,28 @@ class Index:
             hit = (d - self.reach[below]) * scale[rows][:, None] <= bound[rows][:, None]
             if whole:
                 hit &= self.least[below] - d <= bound[rows][:, None]
-            for i, h in zip(rows, hit):
-                out[i] += below[h].tolist()
-        return [sorted(set(o) - set(m)) for o, m in zip(out, met)]
+            out[np.ix_(rows, below)] = hit
+        for i, m in enumerate(met):
+            out[i, m] = False
+        return out
+
+    def groups(self, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, group) of every share of a cell: cells below one coarse pivot side by side, at most ``rows`` rows a group.
+
+        A cell of more rows is cut into shares that are groups of their own.
+        """
+        cells, groups, now, held = [], [], -1, rows
+        for c in np.argsort(self.group, kind="stable"):
+            n = int(self.sizes[c])
+            if not n:
+                continue
+            parts = -(-n // rows)
+            if parts > 1 or held + n > rows:
+                now, held = now + 1, 0
+            cells += [int(c)] * parts
+            groups += range(now, now + parts)
+            now, held = now + parts - 1, rows if parts > 1 else held + n
+        return np.array(cells, dtype=np.int64), np.array(groups, dtype=np.int64)
 
 
 def _pivots(data: DataFrame, dims: int, n: int, whole: bool) -> Index:
@@ -261,18 +396,55 @@ def routed(queries: DataFrame, data: DataFrame, k: int, nominal_from: int | None
     queries = queries.withColumn("met", nearest("qvec"))
     near = materialize(_best(_met(queries.select("qid", "qvec", F.explode("met").alias("cell")), data, index, block_rows, compare), k), "near")
     bound = near.where(F.col("rank") == k).select(F.col("id").alias("qid"), F.col("dist").alias("bound"))
+    share, group = index.groups(_group_rows(n, size, block_rows))
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
 
-    @F.pandas_udf("array<long>")
-    def reachable(v: pd.Series, met: pd.Series, bound: pd.Series) -> pd.Series:
-        return pd.Series(index.later(_numeric(v, dims), bound.to_numpy(float), [list(m) for m in met], not gaps))
+    @F.pandas_udf("groups array<int>, cells int")
+    def reachable(v: pd.Series, met: pd.Series, bound: pd.Series) -> pd.DataFrame:
+        v, bound, out = _numeric(v, dims), bound.to_numpy(float), []
+        for lo in range(0, len(v), SLICE):
+            cut = slice(lo, lo + SLICE)
+            hit = index.hits(v[cut], bound[cut], met.iloc[cut].tolist(), not gaps)
+            some = np.logical_or.reduceat(hit[:, share], starts, axis=1)
+            out += [(np.flatnonzero(x).astype(np.int32), c) for x, c in zip(some, hit.sum(axis=1))]
+        return pd.DataFrame(out, columns=["groups", "cells"])
 
     far = queries.join(bound, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    far = materialize(far.withColumn("more", reachable("qvec", "met", "bound")), "routes")
-    rest = _met(far.select("qid", "qvec", F.explode("more").alias("cell")), data, index, block_rows, compare)
-    met = far.select("qid", (F.size("met") + F.size("more")).alias("cells"))
+    far = far.withColumn("_m", reachable("qvec", "met", "bound")).select("qid", "qvec", "met", "bound", "_m.groups", "_m.cells")
+    far = materialize(far, "routes")
+    rest = _grouped(far, data, dict(zip(share.tolist(), group.tolist())), share, size, block_rows, _group_top_k(index, dims, k, nominal_from, penalty, gaps, block_rows))
+    met = far.select("qid", (F.size("met") + F.col("cells")).alias("cells"))
     return _best(near.drop("rank").unionByName(rest), k), met
 
 
+def _group_rows(n: int, size: int, block_rows: int) -> int:
+    """Rows of one side of a task of the second phase: few large tasks, as each row is sent to every task of its line."""
+    return max(1, min(max(block_rows, -(-n // GROUPS)), max(block_rows, GROUP_BYTES // (8 * max(size, 1)))))
+
+
+def _grouped(far: DataFrame, data: DataFrame, last: dict[int, int], share: np.ndarray, size: int, block_rows: int, compare) -> DataFrame:
+    """(id, nn_id, dist) of the queries in ``far`` and the cells that they still need, one task per pair of blocks."""
+    spark = data.sparkSession
+    asked = far.select("qid", "qvec", "met", "bound", F.explode("groups").alias("g"))
+    load = far.select(F.explode("groups").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not load:
+        return spark.createDataFrame([], "id long, nn_id long, dist double")
+    rows = _group_rows(max(r["n"] for r in load), size, block_rows)
+    blocks = F.broadcast(spark.createDataFrame([(r["g"], -(-r["n"] // rows)) for r in load], "g int, _nt long"))
+    parts = np.bincount(share)
+    places = F.broadcast(spark.createDataFrame([(c, g - int(parts[c]) + 1, int(parts[c])) for c, g in last.items()], "cell long, _g int, _ns int"))
+    d = (
+        data.select("id", "vec", "cell")
+        .join(places, "cell")
+        .withColumn("g", (F.col("_g") + F.pmod(F.xxhash64("id"), "_ns")).cast("int"))
+        .join(blocks, "g")
+        .withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nt") - 1)))
+        .select("id", "vec", "cell", "g", "t")
+    )
+    q = asked.join(blocks, "g").withColumn("t", F.pmod(F.xxhash64("qid"), "_nt")).drop("_nt")
+    return q.groupBy("g", "t").cogroup(d.groupBy("g", "t")).applyInPandas(compare, "id long, nn_id long, dist double")
+
+
 def knn_join(
     queries: DataFrame,
     data: DataFrame,

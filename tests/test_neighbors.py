@@ -117,3 +117,36 @@ def test_imputation_fills_nan(spark):
     rows = [(i, float(i), math.nan if i == 3 else None if i == 5 else 2.0 * i, i) for i in range(10)]
     got = nb.impute_knn(spark.createDataFrame(rows, "row_id long, a double, b double, c int"), ["a", "b", "c"], k=2).orderBy("row_id").collect()
     assert [got[3]["b"], got[5]["b"]] == [pytest.approx(6), pytest.approx(10)] and isinstance(got[0]["c"], int)
+
+
+def test_far_queries_are_sent_once_a_group(spark, monkeypatch):
+    """Vectors without structure need nearly every cell; a query goes to a few groups of cells, not to each cell."""
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (1200, 16)))]
+    df, seen, whole = frame(spark, rows), [], nb._grouped
+    monkeypatch.setattr(nb, "_grouped", lambda far, *a: seen.append(far) or whole(far, *a))
+    assert rows_of(nb.knn_join(df, df, 3, exclude_self=True, block_rows=64)) == brute(rows, rows, 3, True)
+    cells, groups = seen[0].agg(F.avg("cells"), F.max(F.size("groups"))).first()
+    assert cells > 4 * nb.GROUPS and groups <= 2 * nb.GROUPS, (cells, groups)
+
+
+def test_groups_hold_a_bounded_number_of_rows():
+    index = nb.Index(np.zeros((2, 1)), np.zeros((6, 1)), np.array([0, 1, 0, 1, 0, 1]), np.array([3, 0, 4, 25, 2, 5]))
+    share, group = index.groups(10)
+    assert sorted(set(share.tolist())) == [0, 2, 3, 4, 5] and group.tolist() == sorted(group.tolist())
+    assert share.tolist().count(3) == 3 and len(set(group[share == 3].tolist())) == 3
+    held = {g: sum(-(-int(index.sizes[c]) // share.tolist().count(c)) for c in share[group == g]) for g in set(group.tolist())}
+    assert max(held.values()) <= 10
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e9])
+def test_rounding_of_matrix_products_loses_no_neighbour(offset):
+    """Far from zero the products keep few digits of a distance; the exact one decides."""
+    rng = np.random.default_rng(7)
+    q, d = (offset + rng.integers(0, 4, (n, 3)).astype(float) for n in (40, 90))
+    found = nb.Nearest(np.full(40, np.inf), 5)
+    for lo in range(0, 90, 32):
+        found.meet(np.arange(40), q, d[lo : lo + 32], np.arange(lo, min(lo + 32, 90)))
+    dist = np.sqrt(((q[:, None] - d[None]) ** 2).sum(axis=2))
+    assert found.ids.reshape(40, 5).tolist() == np.argsort(dist, axis=1, kind="stable")[:, :5].tolist()
+    assert nb.nearest_of(q, d).tolist() == dist.argmin(axis=1).tolist()
