@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.hashing import hash_bucket, hash_long, hash_unit, order_hash
 from panelspark.operators.joins import BROADCAST_BYTES
-from panelspark.operators.neighbors import knn_join, routed
+from panelspark.operators.neighbors import knn_join, nearest_of, routed
 from panelspark.operators.ranks import dense_row_rank, prefix_sums
 from panelspark.operators.sampling import class_counts, draw_rows, labelled, mark_sample
 from panelspark.session import materialize
@@ -26,9 +26,8 @@ M_NEIGHBORS = 10
 #: rounds of K-means, and the move below which they end
 ROUNDS = 30
 TOLERANCE = 1e-4
-#: bytes of centroids that go to every task, and rows compared with them at once
+#: bytes of centroids that go to every task
 CENTER_BYTES = BROADCAST_BYTES
-CENTER_SLICE = 1024
 _REPEAT_STEP = 65_536
 
 
@@ -247,14 +246,7 @@ def nearest_center(rows: DataFrame, centers: DataFrame) -> DataFrame:
 
     @F.pandas_udf("long")
     def own(v: pd.Series) -> pd.Series:
-        x, out = np.stack(v.to_numpy()).astype(float), np.empty(len(v), dtype=np.int64)
-        for lo in range(0, len(x), CENTER_SLICE):
-            part = x[lo : lo + CENTER_SLICE]
-            d = np.zeros((len(part), len(at)))
-            for j in range(x.shape[1]):
-                d += (part[:, j][:, None] - at[:, j][None, :]) ** 2
-            out[lo : lo + CENTER_SLICE] = names[d.argmin(axis=1)]
-        return pd.Series(out)
+        return pd.Series(names[nearest_of(np.stack(v.to_numpy()).astype(float), at)])
 
     return rows.withColumn("center", own("vec"))
 
@@ -333,7 +325,8 @@ def under_one_sided(df: DataFrame, seed: int = 42, **kw) -> DataFrame:
         nn = knn_join(rest, core, 1, **kw).select("id", "nn_id")
         wrong = nn.join(small.select(F.col("id").alias("nn_id")), "nn_id", "left_semi").select("id")
         kept = kept.unionByName(mine.where("_seed").drop("_seed")).unionByName(rest.join(wrong, "id", "left_semi"))
-    return under_tomek(kept.select(*df.columns), **kw)
+    # written once: the index of the removal reads these rows many times
+    return under_tomek(materialize(kept.select(*df.columns), "kept"), **kw)
 
 
 OVER = {
