@@ -1,17 +1,21 @@
 """Boosted trees and stumps over binned columns.
 
 Columns are cut into bins once and the bins written as blocks, a byte per cell. A round of stumps, or one level of a
-tree, is then a single pass: every block adds its rows to a (node, column, bin) histogram, histograms are summed in a
-tree of tasks, and the driver chooses the split among numbers whose count has nothing to do with the rows. Rows are
-never collected. The running weight or margin of a row is replayed from the latest trees and written out every
-``KEEP`` trees, so a lost executor re-reads blocks and replays a few trees at most.
+tree, is then a single pass: every block adds its rows to a (node, column, bin) histogram, histograms are summed by shares
+of the columns, and each share sends its best splits, so what the driver gets has nothing to do with rows, bins or tasks.
+Rows are never collected. Blocks are dealt evenly over the cores. The running weight or margin of a row is replayed from
+the latest trees and written out every ``KEEP`` trees, so a lost executor re-reads blocks and replays a few trees at
+most; a worker that saw the block before starts from the margins it holds.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +26,15 @@ from pyspark.sql import functions as F
 from panelspark.session import materialize
 
 BINS = 64
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 14
 #: trees replayed at most before margins are written
 KEEP = 25
 QUANTILE_ERROR = 0.001
-STATE = "x binary, y binary, w binary, m binary"
+#: bytes of margins that a worker holds
+HELD_BYTES = 128 << 20
+#: bytes of a histogram that one task sums; larger ones are cut by columns
+SHARE_BYTES = 1 << 18
+STATE = "id string, x binary, y binary, w binary, m binary"
 
 
 def bin_cuts(df: DataFrame, cols: list[str], bins: int = BINS) -> list[list[float]]:
@@ -37,7 +45,7 @@ def bin_cuts(df: DataFrame, cols: list[str], bins: int = BINS) -> list[list[floa
 
 
 def binned_blocks(df: DataFrame, cols: list[str], label: str, cuts: list[list[float]], weight: str | None = None) -> DataFrame:
-    """Blocks of (bins, labels, weights, zeros), written once. Bin j holds values up to bound j; missing ones go to the last.
+    """Blocks of (name, bins, labels, weights, zeros), written once. Bin j holds values up to bound j; missing ones go to the last.
 
     Rows without a label are left out.
     """
@@ -60,7 +68,7 @@ def binned_blocks(df: DataFrame, cols: list[str], label: str, cuts: list[list[fl
         x = np.stack([np.searchsorted(c, col, side="left") for c, col in zip(bounds, v)]).astype(np.uint8)
         y, w = v[-2], v[-1]
         cells = [x.tobytes(), (y == 1).astype(np.uint8).tobytes(), w.tobytes(), np.zeros(len(w)).tobytes()]
-        return pa.record_batch([pa.array([c], pa.binary()) for c in cells], ["x", "y", "w", "m"])
+        return pa.record_batch([pa.array([uuid.uuid4().hex]), *[pa.array([c], pa.binary()) for c in cells]], ["id", "x", "y", "w", "m"])
 
     numbers = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"_{i}") for i, c in enumerate(cols)]
     weights = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -70,6 +78,7 @@ def binned_blocks(df: DataFrame, cols: list[str], label: str, cuts: list[list[fl
 
 @dataclass
 class Block:
+    id: str
     x: np.ndarray
     y: np.ndarray
     w: np.ndarray
@@ -77,47 +86,88 @@ class Block:
 
 
 def _blocks(state: DataFrame, columns: int) -> RDD:
-    """The blocks as arrays, held in memory or on disk; what is lost is read again from the written table."""
+    """The blocks as arrays, as many in each task, held in memory or on disk; what is lost is read again from the written table."""
 
-    def unpack(row) -> Block:
+    def unpack(row) -> tuple[str, Block]:
         y = np.frombuffer(row["y"], np.uint8)
-        return Block(np.frombuffer(row["x"], np.uint8).reshape(columns, len(y)), y, np.frombuffer(row["w"]), np.frombuffer(row["m"]))
+        return row["id"], Block(row["id"], np.frombuffer(row["x"], np.uint8).reshape(columns, len(y)), y, np.frombuffer(row["w"]), np.frombuffer(row["m"]))
 
-    return state.rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
+    place = {r["id"]: i for i, r in enumerate(state.select("id").orderBy("id").collect())}
+    tasks = max(1, min(len(place), state.sparkSession.sparkContext.defaultParallelism))
+    return state.rdd.map(unpack).partitionBy(tasks, lambda name: place[name]).values().persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _summed(blocks: RDD, histogram: Callable[[Block], np.ndarray], shape: tuple) -> np.ndarray:
-    """Sum of the histograms of all blocks: one array a task, added up in a tree of tasks."""
+#: margins of the blocks a worker saw lately: (run, block) -> (number of trees, margins)
+_held: OrderedDict[tuple[str, str], tuple[int, np.ndarray]] = OrderedDict()
 
-    def part(rows: Iterator[Block]) -> Iterator[np.ndarray]:
-        total = np.zeros(shape)
-        for b in rows:
-            total += histogram(b)
-        yield total
 
-    return blocks.mapPartitions(part).treeReduce(np.add)
+def _replayed(run: str, b: Block, trees: list, replay: Callable[[Block, np.ndarray, list], np.ndarray]) -> np.ndarray:
+    """Margins of a block after ``trees``, from those that the worker holds if it has met the block, else from the written ones."""
+    done, margins = _held.pop((run, b.id), (0, b.m))
+    if done > len(trees):
+        done, margins = 0, b.m
+    margins = replay(b, margins, trees[done:])
+    _held[run, b.id] = len(trees), margins
+    size = sum(m.nbytes for _, m in _held.values())
+    while size > HELD_BYTES and len(_held) > 1:
+        size -= _held.popitem(last=False)[1][1].nbytes
+    return margins
 
 
 class Rounds:
     """Blocks whose margins follow the trees added so far."""
 
-    def __init__(self, blocks: DataFrame, columns: int, replay: Callable[[Block, list], np.ndarray]):
+    def __init__(self, blocks: DataFrame, columns: int, replay: Callable[[Block, np.ndarray, list], np.ndarray]):
         self.state, self.columns, self.replay, self.recent = blocks, columns, replay, []
-        self.rows = _blocks(blocks, columns)
+        self.rows, self.run = _blocks(blocks, columns), uuid.uuid4().hex
+
+    def _total(self, histogram: Callable[[Block, np.ndarray], np.ndarray], shape: tuple) -> Callable[[Iterator[Block]], np.ndarray]:
+        run, replay, recent = self.run, self.replay, self.recent
+
+        def of(rows: Iterator[Block]) -> np.ndarray:
+            total = np.zeros(shape)
+            for b in rows:
+                total += histogram(b, _replayed(run, b, recent, replay))
+            return total
+
+        return of
 
     def sum(self, histogram: Callable[[Block, np.ndarray], np.ndarray], shape: tuple) -> np.ndarray:
-        replay, recent = self.replay, self.recent
-        return _summed(self.rows, lambda b: histogram(b, replay(b, recent)), shape)
+        """Sum of the histograms of all blocks: one array a task, added up in a tree of tasks."""
+        total = self._total(histogram, shape)
+        return self.rows.mapPartitions(lambda rows: [total(rows)]).treeReduce(np.add)
+
+    def best(self, histogram: Callable[[Block, np.ndarray], np.ndarray], shape: tuple, choose: Callable[[int, np.ndarray], object]) -> list:
+        """``choose(first column, sums)`` of every share of the columns, which are the first axis of the histograms."""
+        total, columns = self._total(histogram, shape), shape[0]
+        shares = min(columns, -(-8 * math.prod(shape) // SHARE_BYTES), 4 * self.rows.getNumPartitions())
+        cuts = [columns * i // shares for i in range(shares + 1)]
+
+        def part(rows: Iterator[Block]) -> list[tuple[int, np.ndarray]]:
+            hist = total(rows)
+            return [(i, hist[lo:hi]) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))]
+
+        # one array per share leaves a task, so there is nothing to combine before the shuffle
+        tasks = min(shares, self.rows.getNumPartitions())
+        dealt = self.rows.mapPartitions(part).partitionBy(tasks, lambda share: share)
+
+        def chosen(pairs: Iterator[tuple[int, np.ndarray]]) -> list:
+            sums: dict[int, np.ndarray] = {}
+            for i, h in pairs:
+                sums[i] = sums[i] + h if i in sums else h
+            return [choose(cuts[i], h) for i, h in sorted(sums.items())]
+
+        return dealt.mapPartitions(chosen).collect()
 
     def add(self, tree) -> None:
         self.recent = [*self.recent, tree]
         if len(self.recent) < KEEP:
             return
-        replay, recent = self.replay, self.recent
-        written = self.rows.map(lambda b: (b.x.tobytes(), b.y.tobytes(), b.w.tobytes(), replay(b, recent).tobytes()))
+        run, replay, recent = self.run, self.replay, self.recent
+        written = self.rows.map(lambda b: (b.id, b.x.tobytes(), b.y.tobytes(), b.w.tobytes(), _replayed(run, b, recent, replay).tobytes()))
         self.state = materialize(self.state.sparkSession.createDataFrame(written, STATE), "rounds")
         self.close()
-        self.rows, self.recent = _blocks(self.state, self.columns), []
+        self.rows, self.run, self.recent = _blocks(self.state, self.columns), uuid.uuid4().hex, []
 
     def close(self) -> None:
         self.rows.unpersist()
@@ -138,20 +188,22 @@ class Stump:
     stage: float
 
 
-def _log_weights(b: Block, stumps: list[Stump]) -> np.ndarray:
-    out = b.m
+def _log_weights(b: Block, out: np.ndarray, stumps: list[Stump]) -> np.ndarray:
     for s in stumps:
         said = np.where(b.x[s.feature] <= s.cut, s.left, s.right)
         out = out + s.stage * (said != b.y)
     return out
 
 
-def best_stump(hist: np.ndarray, rate: float) -> Stump | None:
-    """The split of largest Gini decrease over (column, bin, class) weights; ties go to the first column and bound.
+def stump_split(first: int, hist: np.ndarray) -> tuple:
+    """(purity, -column, -bound, left, right, total) of the largest Gini decrease over (column, bin, class) weights.
 
-    None when no bound parts the rows, or no side beats chance.
+    The columns start at ``first``; ties go to the first column and bound. Purity is -1 when no bound parts the rows.
     """
-    hist = hist / hist[0].sum()
+    total = hist[0].sum()
+    if not total > 0:
+        return -1.0, -first, 0, None, None, 0.0
+    hist = hist / total
     left = np.cumsum(hist, axis=1)[:, :-1]
     right = hist.sum(axis=1, keepdims=True) - left
     nl, nr = left.sum(axis=2), right.sum(axis=2)
@@ -160,15 +212,23 @@ def best_stump(hist: np.ndarray, rate: float) -> Stump | None:
         pure = (left**2).sum(axis=2) / nl + (right**2).sum(axis=2) / nr
     pure = np.where((nl > 1e-12) & (nr > 1e-12), pure, -1.0)
     if pure.size == 0 or pure.max() < 0:
-        return None
+        return -1.0, -first, 0, None, None, float(total)
     # differences beyond the tenth digit come from the order of summation
-    feature, cut = np.unravel_index(np.argmax(np.round(pure, 10)), pure.shape)
-    l, r = left[feature, cut], right[feature, cut]
-    error = float(l.min() + r.min())
+    pure = np.round(pure, 10)
+    feature, cut = np.unravel_index(np.argmax(pure), pure.shape)
+    return float(pure[feature, cut]), -(first + int(feature)), -int(cut), left[feature, cut].tolist(), right[feature, cut].tolist(), float(total)
+
+
+def best_stump(splits: list[tuple], rate: float) -> Stump | None:
+    """The best of the splits of all shares of the columns; None when no bound parts the rows, or no side beats chance."""
+    pure, feature, cut, l, r, _ = max(splits, key=lambda s: s[:3])
+    if pure < 0:
+        return None
+    error = float(min(l) + min(r))
     if error >= 0.5:
         return None
     stage = rate * math.log((1 - error) / error) if error > 1e-12 else 1.0
-    return Stump(int(feature), int(cut), int(l[1] > l[0]), int(r[1] > r[0]), max(error, 0.0), stage)
+    return Stump(-feature, -cut, int(l[1] > l[0]), int(r[1] > r[0]), max(error, 0.0), stage)
 
 
 def fit_stumps(blocks: DataFrame, columns: int, bins: int, rounds: int, rate: float = 1.0) -> list[Stump]:
@@ -184,9 +244,9 @@ def fit_stumps(blocks: DataFrame, columns: int, bins: int, rounds: int, rate: fl
 
     try:
         for _ in range(rounds):
-            hist = run.sum(histogram(shift), (columns, bins, 2))
-            total = hist[0].sum()
-            found = best_stump(hist, rate) if total > 0 else None
+            splits = run.best(histogram(shift), (columns, bins, 2), stump_split)
+            total = min(splits, key=lambda s: -s[1])[5]
+            found = best_stump(splits, rate) if total > 0 else None
             # weights of the next round add up to about one
             shift += math.log(total) if total > 0 else 0.0
             if found is None:
@@ -212,7 +272,7 @@ class Tree:
 
 
 def leaf_of(tree: Tree, x: np.ndarray) -> np.ndarray:
-    node = np.ones(x.shape[1], dtype=np.int64)
+    node = np.ones(x.shape[1], dtype=np.int32 if max(tree.value) < 1 << 30 else np.int64)
     for i in sorted(tree.split):
         feature, cut, _ = tree.split[i]
         at = np.flatnonzero(node == i)
@@ -220,8 +280,7 @@ def leaf_of(tree: Tree, x: np.ndarray) -> np.ndarray:
     return node
 
 
-def _margins(b: Block, trees: list[Tree]) -> np.ndarray:
-    out = b.m
+def _margins(b: Block, out: np.ndarray, trees: list[Tree]) -> np.ndarray:
     for t in trees:
         node = leaf_of(t, b.x)
         value = np.zeros(max(t.value) + 1)
@@ -247,8 +306,11 @@ class Boosting:
     min_curvature: float = 0.0
 
 
-def best_splits(hist: np.ndarray, s: Boosting) -> list[tuple[int, int, float] | None]:
-    """Per node the (column, bound, gain) of largest gain over (node, column, bin, [rows, weight, gradient, curvature])."""
+def near_best_splits(first: int, hist: np.ndarray, s: Boosting) -> list[list[tuple]]:
+    """Per node all (column, bound, gain, left, right) that may be of largest gain, from columns that start at ``first``.
+
+    ``hist`` is (column, node, bin, [rows, weight, gradient, curvature]); sides are sums of the four.
+    """
     left = np.cumsum(hist, axis=2)[:, :, :-1]
     right = hist.sum(axis=2, keepdims=True) - left
 
@@ -262,13 +324,27 @@ def best_splits(hist: np.ndarray, s: Boosting) -> list[tuple[int, int, float] |
         ok &= (side[..., 0] >= s.min_rows) & (side[..., 3] >= s.min_curvature)
     gain = np.where(ok, gain, -1.0)
     out = []
-    for g in gain:
+    for n in range(gain.shape[1]):
+        g = gain[:, n]
         if g.size == 0 or g.max() <= 1e-9:
-            out.append(None)
+            out.append([])
             continue
+        # wider than the span that counts as equal, as another share may hold the largest gain
+        at = np.argwhere(g >= g.max() * (1 - 3e-10))
+        out.append([
+            (first + int(c), int(b), float(g[c, b]), hist[c, n, : b + 1].sum(axis=0).tolist(), hist[c, n, b + 1 :].sum(axis=0).tolist()) for c, b in at
+        ])
+    return out
+
+
+def best_splits(shares: list[list[list[tuple]]]) -> list[tuple | None]:
+    """Per node the split of largest gain over all shares of the columns, or None."""
+    out = []
+    for found in zip(*shares):
+        every = sorted((s for part in found for s in part), key=lambda s: s[:2])
+        most = max((s[2] for s in every), default=0.0)
         # equal up to the order of summation: the first column and bound
-        at = np.unravel_index(np.argmax(g >= g.max() * (1 - 1e-10)), g.shape)
-        out.append((int(at[0]), int(at[1]), float(g[at])))
+        out.append(next((s for s in every if s[2] >= most * (1 - 1e-10)), None))
     return out
 
 
@@ -288,15 +364,14 @@ def fit_trees(blocks: DataFrame, columns: int, bins: int, s: Boosting) -> list[T
         for _ in range(s.trees):
             tree, level = Tree(), [1]
             for _ in range(s.depth):
-                hist = run.sum(_level_histogram(tree, level, bins, start), (len(level), columns, bins, 4))
+                shares = run.best(_level_histogram(tree, level, bins, start), (columns, len(level), bins, 4), partial(near_best_splits, s=s))
                 ahead = []
-                for i, h, best in zip(level, hist, best_splits(hist, s)):
+                for i, best in zip(level, best_splits(shares)):
                     if best is None:
                         continue
-                    tree.split[i] = best
-                    parts = h[best[0], : best[1] + 1].sum(axis=0), h[best[0], best[1] + 1 :].sum(axis=0)
+                    tree.split[i] = best[:3]
                     del tree.value[i]
-                    for child, p in zip((2 * i, 2 * i + 1), parts):
+                    for child, p in zip((2 * i, 2 * i + 1), best[3:]):
                         tree.value[child] = float(-s.rate * p[2] / max(p[3] + s.l2, 1e-16))
                         ahead.append(child)
                 level = ahead
@@ -322,11 +397,11 @@ def _level_histogram(tree: Tree, level: list[int], bins: int, start: float) -> C
         p = 1 / (1 + np.exp(-(margin[rows] + start)))
         w = b.w[rows]
         kinds = (np.ones(len(rows)), w, w * (p - b.y[rows]), w * p * (1 - p))
-        base, out = at[rows] * bins, np.empty((len(level), len(b.x), bins, 4))
+        base, out = at[rows] * bins, np.empty((len(b.x), len(level), bins, 4))
         for j, x in enumerate(b.x):
             cell = base + x[rows]
             for k, v in enumerate(kinds):
-                out[:, j, :, k] = np.bincount(cell, v, len(level) * bins).reshape(len(level), bins)
+                out[j, :, :, k] = np.bincount(cell, v, len(level) * bins).reshape(len(level), bins)
         return out
 
     return histogram

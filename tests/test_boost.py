@@ -125,3 +125,39 @@ def test_tables_without_a_split(spark, rows):
         got = rank(df, COLS, "y", 3).collect()
         assert [r["feature"] for r in got] == COLS and all(r["importance"] == 0 for r in got)
     assert select.select_boosting(df, COLS, "y", 3).count() == 3
+
+
+def test_blocks_are_dealt_evenly_over_the_cores(spark, monkeypatch):
+    """A table of one task must not make every pass one task."""
+    monkeypatch.setattr(boost, "BLOCK_ROWS", 10)
+    rows = [(i, float(i % 7), i % 2) for i in range(320)]
+    df = spark.createDataFrame(rows, "row_id long, a double, y int").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        blocks = boost.binned_blocks(df, ["a"], "y", boost.bin_cuts(df, ["a"], 8))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = boost._blocks(blocks, 1).glom().map(len).collect()
+    assert sum(held) == 32 and max(held) - min(held) <= 1 and len(held) == spark.sparkContext.defaultParallelism
+
+
+def test_shares_of_columns_send_only_their_splits(monkeypatch):
+    """Splits of shares lead to the split of the whole histogram, and their size has nothing to do with the bins."""
+    rng = np.random.default_rng(5)
+    hist = np.abs(rng.normal(1, 0.3, (6, 2, 64, 4))) + [9, 9, 0, 1]
+    hist[4] = hist[1]
+    s = boost.Boosting(1, 1, 0.1)
+    whole = boost.best_splits([boost.near_best_splits(0, hist, s)])
+    shares = [boost.near_best_splits(lo, hist[lo : lo + 2], s) for lo in (0, 2, 4)]
+    assert boost.best_splits(shares) == whole and sum(len(n) for p in shares for n in p) < 20
+    flat = hist[:, 0, :, :2]
+    assert boost.best_stump([boost.stump_split(lo, flat[lo : lo + 3]) for lo in (0, 3)], 1.0) == boost.best_stump([boost.stump_split(0, flat)], 1.0)
+
+
+def test_a_worker_replays_only_new_trees():
+    done = []
+    block = boost.Block("b", np.zeros((1, 3), np.uint8), np.zeros(3), np.ones(3), np.zeros(3))
+    replay = lambda b, m, trees: done.append(len(trees)) or m + sum(trees)
+    for n in (1, 4, 4, 2):
+        assert boost._replayed("run", block, list(range(n)), replay).tolist() == [sum(range(n))] * 3
+    assert done == [1, 3, 0, 2]
