@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 from panelspark.functions.scalar import MICROS_PER_DAY, micros, nan_to_null
 from panelspark.operators.joins import hot_keys
 from panelspark.operators.ranks import prefix_sums
+from panelspark.session import materialize
 
+#: rows of a key from which on its history is spread, where it has one rolling column; more columns lower it
 HOT_HISTORY_ROWS = 1_000_000
+#: rows times rolling columns of one task
+TASK_CELLS = 500_000
 BLOCKS_PER_WINDOW = 256
 
 
@@ -72,11 +76,18 @@ def _result(s: Spec, merged: dict[str, Column]) -> Column:
     return merged[f"{s.func}_{s.col}"]
 
 
-def _by_key(df: DataFrame, key: str, specs: list[Spec], row_id: str) -> DataFrame:
+def tasks_for(df: DataFrame, n_rows: int, columns: int) -> int:
+    """Tasks of the shuffle by key: a window sorts all rows of its task once for every column, so tasks grow with both."""
+    spark = df.sparkSession
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(1, least, -(-n_rows * columns // TASK_CELLS))
+
+
+def _by_key(df: DataFrame, key: str, specs: list[Spec], row_id: str, n_rows: int) -> DataFrame:
     """Ordinary keys: one shuffle by key; every later window only re-sorts inside its partition."""
     inputs = {s.col for s in specs}
     payload = [c for c in df.columns if c not in (key, "_us", row_id) and c not in inputs]
-    rows = df.repartition(key)
+    rows = df.repartition(tasks_for(df, n_rows, len(specs)), key)
     own, expiring = ~F.col("_exp"), F.col("_exp")
     for d in sorted({s.days for s in specs}):
         mine = [s for s in specs if s.days == d]
@@ -218,31 +229,36 @@ def rolling_features(
     specs: list[Spec],
     time: str,
     row_id: str,
-    hot_rows: int = HOT_HISTORY_ROWS,
+    hot_rows: int | None = None,
     blocks: int = BLOCKS_PER_WINDOW,
 ) -> DataFrame:
     """Add every rolling column; missing results become 0.
 
-    Rows with equal times belong to each other's windows. A null key or time gives 0. NaN is a missing value.
+    Rows with equal times belong to each other's windows. A null key or time gives 0. NaN is a missing value. A key with
+    more than ``hot_rows`` rows is spread, by default as many as keep rows times columns at ``HOT_HISTORY_ROWS``.
     """
+    n_rows, written = df.count(), True
     floats = [c for c, kind in df.dtypes if kind in ("float", "double") and c in {s.col for s in specs}]
     out = nan_to_null(df.withColumns({f"_nan_{c}": F.coalesce(F.isnan(c), F.lit(False)) for c in floats}), floats)
     out = out.withColumn("_us", micros(F.col(time)))
     for key in dict.fromkeys(s.key for s in specs):
         mine = [s for s in specs if s.key == key]
-        hot = hot_keys(df, [key], hot_rows)
+        hot = hot_keys(df, [key], hot_rows or max(1, HOT_HISTORY_ROWS // len(mine)))
         if hot is None:
-            out = _by_key(out, key, mine, row_id)
+            out, written = _by_key(out, key, mine, row_id, n_rows), False
             continue
+        if not written:
+            # the parts below would repeat the windows of the keys before
+            out = materialize(out, "rolled")
         marks = F.broadcast(hot.where(F.col(key).isNotNull()).select(F.col(key).alias("_hk"), F.lit(True).alias("_hot")))
         marked = out.join(marks, F.col(key) == F.col("_hk"), "left").drop("_hk")
         idle = F.col(key).isNull() | F.col("_us").isNull()
-        cold = _by_key(marked.where(~idle & F.col("_hot").isNull()).drop("_hot"), key, mine, row_id)
+        cold = _by_key(marked.where(~idle & F.col("_hot").isNull()).drop("_hot"), key, mine, row_id, n_rows)
         void = marked.where(idle).drop("_hot").withColumns(
             {s.name: F.lit(None).cast(cold.schema[s.name].dataType) for s in mine}
         )
         warm = _hot_part(marked.where(~idle & F.col("_hot").isNotNull()).drop("_hot"), row_id, key, mine, blocks)
-        out = cold.unionByName(warm).unionByName(void)
+        out, written = cold.unionByName(warm).unionByName(void), False
     idle = {s.name: F.col(s.key).isNull() | F.col("_us").isNull() for s in specs}
     return out.withColumns(
         {s.name: F.when(idle[s.name], 0).otherwise(F.coalesce(F.col(s.name), F.lit(0))) for s in specs}
