@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA, LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators.clean import NO_TEXT
@@ -104,7 +105,8 @@ def lda_fit(df: DataFrame, tokens: str, vec_size: int = 4, path: str | None = No
     """
     if path and (model := lda_load(df.sparkSession, path)) is not None:
         return model
-    rows = bag_vectors(df.select(tokens), tokens)
+    # written once: every pass would take the texts apart again
+    rows = materialize(bag_vectors(df.select(tokens), tokens).select("_bow"), "bags")
     model = LDA(k=vec_size, seed=seed, maxIter=max_iter, featuresCol="_bow", subsamplingRate=1.0).fit(rows)
     if path:
         model.write().overwrite().save(f"{path}/topics")
@@ -138,26 +140,68 @@ def lda_vectors(df: DataFrame, tokens: str, model: LocalLDAModel, out: str) -> D
     return scored.withColumn(out, spread_missing(vector_to_array("topicDistribution"))).select(*df.columns, out)
 
 
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, code of every token, its row) of lists of tokens; null tokens are left out."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    words, owner = lists.flatten(), np.repeat(np.arange(len(lists)), size)
+    if words.null_count:
+        known = words.is_valid()
+        words, owner = words.filter(known), owner[known.to_numpy(zero_copy_only=False)]
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), owner
+
+
+def _context_sums(vec_size: int, window: int, seed: int):
+    """Per batch of token lists one row per distinct word: the sum of the directions around its places, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, codes, owner = _flat(b.column(0))
+            if not len(words):
+                continue
+            hexes = ["".join(hashlib.md5(f"{w}~{seed}~{i}".encode()).hexdigest() for i in range(-(-vec_size // 32))) for w in words.to_pylist()]
+            signs = np.array([[1.0 if h >= "8" else -1.0 for h in x[:vec_size]] for x in hexes])
+            at, first, last = np.arange(len(codes)), np.searchsorted(owner, owner), np.searchsorted(owner, owner, side="right")
+            lo, hi = np.maximum(at - window, first), np.minimum(at + window + 1, last)
+            sums = [np.concatenate([[0.0], np.cumsum(col[codes])]) for col in signs.T]
+            near = [np.bincount(codes, c[hi] - c[lo] - col[codes], len(words)) for c, col in zip(sums, signs.T)]
+            places = np.bincount(codes, hi - lo - 1, len(words)).astype(np.int64)
+            yield pa.record_batch([words, *[pa.array(n) for n in near], pa.array(places)], ["_w", *[f"_c{j}" for j in range(vec_size)], "_m"])
+
+    return run
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_doc, _w, _n) of batches (_doc, tokens)."""
+    for b in batches:
+        words, codes, owner = _flat(b.column(1))
+        if not len(words):
+            continue
+        found, counts = np.unique(owner * len(words) + codes, return_counts=True)
+        cols = [b.column(0).take(pa.array(found // len(words))), words.take(pa.array(found % len(words))), pa.array(counts, pa.int64())]
+        yield pa.record_batch(cols, ["_doc", "_w", "_n"])
+
+
 def doc_embedding(df: DataFrame, tokens: str, out: str, vec_size: int = 4, window: int = 3, seed: int = 42, min_count: int = 1) -> DataFrame:
     """Mean of word vectors per document, without a vocabulary in the driver or in any task.
 
     Every word has a hashed direction of ``vec_size`` signs. The vector of a word is the mean direction of the words
-    within ``window`` places of it, over all its places; the sums pre-aggregate in Spark. Words of fewer than
-    ``min_count`` places are left out before that; a document without words has a vector of zeros.
+    within ``window`` places of it, over all its places, summed where the rows are; no single token is shuffled. Words of
+    fewer than ``min_count`` places are left out before that; a document without words has a vector of zeros.
     """
     rows = materialize(df.withColumn("_doc", F.monotonically_increasing_id()), "docs")
-    words = rows.select("_doc", F.posexplode(tokens).alias("_at", "_w")).where("_w is not null")
+    lists = rows.select("_doc", F.col(tokens).alias("_t"))
     if min_count > 1:
+        words = rows.select("_doc", F.posexplode(tokens).alias("_at", "_w")).where("_w is not null")
         often = words.groupBy("_w").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count).select("_w")
         words = lookup_join(words, materialize(often, "often"), "_w", "inner")
-    digest = [F.md5(F.concat_ws("~", "_w", F.lit(str(seed)), F.lit(str(i)))) for i in range(-(-vec_size // 32))]
-    signs = [F.when(F.substring(digest[j // 32], j % 32 + 1, 1) >= "8", 1.0).otherwise(-1.0).alias(f"_s{j}") for j in range(vec_size)]
-    around = Window.partitionBy("_doc").orderBy("_at").rowsBetween(-window, window)
-    near = [(F.sum(f"_s{j}").over(around) - F.col(f"_s{j}")).alias(f"_c{j}") for j in range(vec_size)]
-    context = words.select("*", *signs).select("_w", *near, (F.count(F.lit(1)).over(around) - 1).alias("_m"))
+        kept = F.array_sort(F.collect_list(F.struct("_at", "_w")))
+        lists = materialize(words.groupBy("_doc").agg(F.transform(kept, lambda x: x["_w"]).alias("_t")), "lists")
+    sums = ", ".join(f"_c{j} double" for j in range(vec_size))
+    context = lists.select("_t").mapInArrow(_context_sums(vec_size, window, seed), f"_w string, {sums}, _m bigint")
     mean = [F.coalesce(F.try_divide(F.sum(f"_c{j}"), F.sum("_m")), F.lit(0.0)).alias(f"_e{j}") for j in range(vec_size)]
     vectors = materialize(context.groupBy("_w").agg(*mean), "words")
-    counted = materialize(words.groupBy("_doc", "_w").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    counted = materialize(lists.mapInArrow(_word_counts, "_doc bigint, _w string, _n bigint"), "counts")
     # a word of very many documents is a hot key, which the join salts
     met = lookup_join(counted, vectors, "_w", "inner")
     total = F.sum("_n")

@@ -686,3 +686,54 @@ def test_bag_counts_every_token(spark):
             k = (i, zlib.adler32(t.encode()) % text.ID_RANGE)
             want[k] = want.get(k, 0) + 1
     assert got == want
+
+
+def test_rolling_tasks_grow_with_rows_and_columns(spark, monkeypatch):
+    df = spark.range(600).selectExpr("id AS row_id", "id % 60 AS k", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, id) AS t", "id * 1.0 AS x", "id % 3 AS c")
+    specs = [rolling.Spec("k", "x", f, 7) for f in ("sum", "max")] + [rolling.Spec("c", "x", "sum", 7), rolling.Spec("c", "x", "min", 7)]
+    whole = rolling.rolling_features(df, specs, "t", "row_id").orderBy("row_id").collect()
+    monkeypatch.setattr(rolling, "TASK_CELLS", 40)
+    assert rolling.rolling_features(df, specs[:2], "t", "row_id").rdd.getNumPartitions() == 30
+    # 200 rows a key are too many for two columns, not for one
+    monkeypatch.setattr(rolling, "HOT_HISTORY_ROWS", 300)
+    seen, hot = [], rolling.hot_keys
+    monkeypatch.setattr(rolling, "hot_keys", lambda *a: seen.append(hot(*a)) or seen[-1])
+    assert rolling.rolling_features(df, specs, "t", "row_id").orderBy("row_id").collect() == whole
+    assert [h if h is None else h.count() for h in seen] == [None, 3]
+    rolling.rolling_features(df, specs[2:3], "t", "row_id")
+    assert seen[2] is None
+
+
+def test_bags_are_written_once_for_all_passes(spark, monkeypatch):
+    names, write = [], text.materialize
+    monkeypatch.setattr(text, "materialize", lambda df, name: names.append(name) or write(df, name))
+    df = spark.createDataFrame([(i, ["a", "b", f"w{i % 5}"]) for i in range(20)], "row_id long, toks array<string>")
+    text.lda_fit(df, "toks", 2, max_iter=2)
+    assert names == ["bags"]
+
+
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_doc_embedding_takes_contexts_inside_the_row(spark, monkeypatch, min_count):
+    import hashlib
+    from collections import Counter
+
+    docs = [["a", "b", None, "c", "a"], [], ["c"], None, ["b", "a", "x", "b", "c", "a", "a", "c", "b"], ["y", "y"]]
+    df = spark.createDataFrame(list(enumerate(docs)), "row_id long, toks array<string>")
+    if min_count == 1:
+        # no row per token
+        monkeypatch.delattr(text.F, "posexplode")
+    out = text.doc_embedding(df, "toks", "vec", 3, window=2, min_count=min_count)
+    n = Counter(w for d in docs for w in d or [] if w)
+    kept = [[w for w in d or [] if w and n[w] >= min_count] for d in docs]
+    sign = lambda w: np.array([1.0 if h >= "8" else -1.0 for h in hashlib.md5(f"{w}~42~0".encode()).hexdigest()[:3]])
+    total, places = {w: np.zeros(3) for w in n}, Counter()
+    for d in kept:
+        for i, w in enumerate(d):
+            for j in range(max(0, i - 2), min(len(d), i + 3)):
+                if j != i:
+                    total[w] += sign(d[j])
+                    places[w] += 1
+    got = {r["row_id"]: r["vec"] for r in out.collect()}
+    for i, d in enumerate(kept):
+        want = np.mean([total[w] / places[w] if places[w] else np.zeros(3) for w in d], axis=0) if d else np.zeros(3)
+        assert got[i] == pytest.approx(want.tolist())
