@@ -144,13 +144,17 @@ def row_ranks(
     return cold.unionByName(_bucket_ranks(work.join(marks, group, "left_semi"), cols, group, n))
 
 
+def window_rank(c: Column, group: list[str]) -> Column:
+    """Average rank = (rank + rows up to and including the peers) / 2; both frames only grow. Missing values stand last."""
+    w = Window.partitionBy(*group).orderBy(c.asc_nulls_last())
+    upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.when(c.isNotNull(), (F.rank().over(w) + F.count(c).over(upto)) / 2)
+
+
 def _window_ranks(work: DataFrame, cols: list[str], group: list[str]) -> DataFrame:
-    """Average rank = (rank + rows up to and including the peers) / 2; both frames only grow."""
     out = work.repartition(*group)
     for c in cols:
-        w = Window.partitionBy(*group).orderBy(F.asc_nulls_last(c))
-        upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        out = out.withColumn(f"{c}__rank", F.when(F.col(c).isNotNull(), (F.rank().over(w) + F.count(c).over(upto)) / 2))
+        out = out.withColumn(f"{c}__rank", window_rank(F.col(c), group))
     return out.select(*group, *[f"{c}__rank" for c in cols])
 
 

@@ -76,11 +76,11 @@ def _result(s: Spec, merged: dict[str, Column]) -> Column:
     return merged[f"{s.func}_{s.col}"]
 
 
-def tasks_for(df: DataFrame, n_rows: int, columns: int) -> int:
+def tasks_for(df: DataFrame, n_rows: int, columns: int, cells: int = TASK_CELLS) -> int:
     """Tasks of the shuffle by key: a window sorts all rows of its task once for every column, so tasks grow with both."""
     spark = df.sparkSession
     least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return max(1, least, -(-n_rows * columns // TASK_CELLS))
+    return max(1, least, -(-n_rows * columns // cells))
 
 
 def _by_key(df: DataFrame, key: str, specs: list[Spec], row_id: str, n_rows: int) -> DataFrame:

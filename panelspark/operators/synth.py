@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.functions.scalar import correlation, date_parts, haversine_distance, nan_to_null
-from panelspark.operators.joins import lookup_join
-from panelspark.operators.ranks import column_ranks, row_ranks
+from panelspark.operators.joins import BROADCAST_BYTES, HOT_ROWS, fetch_bounded, hot_keys, lookup_join, salted_join
+from panelspark.operators.ranks import HOT_GROUP_ROWS, column_ranks, row_ranks, window_rank
+from panelspark.operators.rolling import tasks_for
 from panelspark.roles import Roles
 from panelspark.session import materialize
 
@@ -233,17 +234,71 @@ def percentile_rank(df: DataFrame, col: str, out: str, **kw) -> DataFrame:
     return lookup_join(work, r, "_v", **({"max_bytes": 0} | kw)).drop("_v")
 
 
+#: bytes of a value and its percentile in a broadcast
+RANK_BYTES = 32
+
+
 def percentile_ranks(df: DataFrame, cols: list[str], prefix: str = "percentile__", **kw) -> DataFrame:
-    """``df`` with ``percentile__{c}`` for every column: one ranking of all of them, attached by one join of narrow rows."""
-    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    ranks = column_ranks(rows, cols).select("column", "value", (F.col("avg_rank") / F.col("total")).alias("_p"))
+    """``df`` with ``percentile__{c}`` for every column, from one ranking of all of them."""
+    rows = materialize(df, "rows")
+    return attach_percentiles(rows, percentile_table(rows, cols), cols, prefix, **kw)
+
+
+def percentile_table(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value, cnt, total, _p), one row per distinct value of each column, written once."""
+    ranks = column_ranks(rows, cols).select("column", "value", "cnt", "total", (F.col("avg_rank") / F.col("total")).alias("_p"))
+    # adding zero gives -0.0 the rank of 0.0
+    return materialize(ranks.withColumn("value", F.col("value") + F.lit(0.0)), "ranks")
+
+
+def attach_percentiles(
+    rows: DataFrame, ranks: DataFrame, cols: list[str], prefix: str = "percentile__", max_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``rows`` with the percentiles that ``ranks`` gives to the values of ``cols``; rows may be read more than once.
+
+    Columns of few values are broadcast, ``max_bytes`` in all. A single other column meets its ranks in one shuffle of the
+    rows; several are joined as narrow cells, so the shuffled bytes grow with the columns and not with their square.
+    """
+    held = {r["column"]: r for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.max("total").alias("total")).collect()}
+    small, room = [], max_bytes
+    for c in sorted(cols, key=lambda c: held[c]["n"] if c in held else 0):
+        room -= RANK_BYTES * (held[c]["n"] if c in held else 0)
+        if room >= 0:
+            small.append(c)
+    large, out = [c for c in cols if c not in small], rows
+    if len(large) == 1:
+        c = large[0]
+        hot = ranks.where((F.col("column") == c) & (F.col("cnt") > hot_rows)).select(F.col("value").alias("_v"), F.col("cnt").alias("n_rows"))
+        # at most one per ``hot_rows`` rows
+        local, work, mine = hot.toArrow(), _with_value(out, c), _ranks_of(ranks, c, prefix)
+        if local.num_rows or out.count() - held[c]["total"] > hot_rows:
+            out = salted_join(work, mine, ["_v"], rows.sparkSession.createDataFrame(local, schema=hot.schema)).drop("_v")
+        else:
+            out = work.join(mine, "_v", "left").drop("_v")
+    elif large:
+        out = _percentiles_by_cells(out, ranks, large, prefix, hot_rows)
+    for c in small:
+        out = _with_value(out, c).join(F.broadcast(_ranks_of(ranks, c, prefix)), "_v", "left").drop("_v")
+    return out.select(*rows.columns, *[prefix + c for c in cols])
+
+
+def _with_value(rows: DataFrame, c: str) -> DataFrame:
+    value = F.col(c).cast("double")
+    return rows.withColumn("_v", F.when(~F.isnan(value), value + F.lit(0.0)))
+
+
+def _ranks_of(ranks: DataFrame, c: str, prefix: str) -> DataFrame:
+    return ranks.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("_p").alias(prefix + c))
+
+
+def _percentiles_by_cells(rows: DataFrame, ranks: DataFrame, cols: list[str], prefix: str, hot_rows: int) -> DataFrame:
+    # written, as another run may number the rows in another way
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
     parts = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]
     cells = rows.select("_row", F.explode(F.array(*parts)).alias("_c")).select("_row", "_c.column", "_c.value")
-    # adding zero gives -0.0 the rank of 0.0
     cells = cells.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("value", F.col("value") + F.lit(0.0))
-    ranks = materialize(ranks.withColumn("value", F.col("value") + F.lit(0.0)), "ranks")
-    found = lookup_join(cells, ranks, ["column", "value"], "inner", **kw)
-    wide = found.groupBy("_row").agg(*[F.max(F.when(F.col("column") == c, F.col("_p"))).alias(f"{prefix}{c}") for c in cols])
+    found = lookup_join(cells, ranks.select("column", "value", "_p"), ["column", "value"], "inner", max_bytes=0, hot_rows=hot_rows)
+    wide = found.groupBy("_row").agg(*[F.max(F.when(F.col("column") == c, F.col("_p"))).alias(prefix + c) for c in cols])
     return rows.join(wide, "_row", "left").drop("_row")
 
 
@@ -285,30 +340,101 @@ def plan_features(
     return feats[:max_features]
 
 
-def compute_features(df: DataFrame, key: str, feats: list[Feature]) -> DataFrame:
+#: rows times columns and features of one task
+DEALT_CELLS = 16_000_000
+
+
+def compute_features(df: DataFrame, key: str, feats: list[Feature], hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """One row per key with every planned feature."""
-    df = nan_to_null(df.where(F.col(key).isNotNull()), [c for f in feats for c in f.cols])
+    return _features(df, df, key, feats, {}, hot_rows)
+
+
+def _features(base: DataFrame, wide: DataFrame, key: str, feats: list[Feature], gaps: dict[str, str], hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """``compute_features`` of ``wide``.
+
+    ``base`` has the same rows without the columns that cost a join; ``gaps`` names the column of ``base`` that is missing
+    where such a column is. Rows of a key are shuffled whole, as the states of many aggregates are wider than the few rows
+    of most keys; keys of more than ``hot_rows`` rows are aggregated before the shuffle.
+    """
+    cols = list(dict.fromkeys(c for f in feats for c in f.cols))
+    wide = nan_to_null(wide.where(F.col(key).isNotNull()), cols)
+    base = wide if not gaps else nan_to_null(base.where(F.col(key).isNotNull()), [c for c in cols if c not in gaps])
+    paired = list(dict.fromkeys(gaps.get(c, c) for f in feats if f.agg == "spearman" for c in f.cols))
+    counts = base.agg(F.count(F.lit(1)), *[F.count_if(F.col(c).isNull()) for c in paired]).first()
+    n_rows, holes = counts[0], {c for c, n in zip(paired, counts[1:]) if n}
+    hot = hot_keys(base.select(key), [key], hot_rows) if n_rows > hot_rows else None
+    if hot is None:
+        return _whole_keys(base, wide, key, feats, gaps, holes, n_rows)
+    marks = F.broadcast(hot.select(key))
+    cold = _whole_keys(base.join(marks, key, "left_anti"), wide.join(marks, key, "left_anti"), key, feats, gaps, holes, n_rows)
+    return cold.unionByName(_spread_keys(base.join(marks, key, "left_semi"), wide.join(marks, key, "left_semi"), key, feats, hot_rows))
+
+
+def _kinds(feats: list[Feature]) -> tuple[list[Feature], list[Feature], list[str], list[tuple[str, ...]]]:
+    """Folded features, those that are expressions, columns of codes, pairs to rank."""
     folded = [f for f in feats if isinstance(AGGREGATES[f.agg].fn, Folded)]
     direct = [f for f in feats if AGGREGATES[f.agg].fn is not None and f not in folded]
-    coded = [f for f in feats if f.agg in ("num_unique", "mode")]
-    ranked = [f.cols for f in feats if f.agg == "spearman"]
-    frames = []
-    if direct:
-        frames.append(
-            df.groupBy(key).agg(*[AGGREGATES[f.agg].fn(*[F.col(c) for c in f.cols]).alias(f.name) for f in direct])
-        )
-    if coded:
-        frames.append(code_aggregates(df, key, list(dict.fromkeys(f.cols[0] for f in coded))))
-    if ranked:
-        frames.append(spearman_by_key(df, key, ranked))
-    if folded:
-        frames.append(folded_aggregates(df, key, folded))
+    coded = list(dict.fromkeys(f.cols[0] for f in feats if f.agg in ("num_unique", "mode")))
+    return folded, direct, coded, [f.cols for f in feats if f.agg == "spearman"]
+
+
+def _expressions(direct: list[Feature]) -> list[Column]:
+    return [AGGREGATES[f.agg].fn(*[F.col(c) for c in f.cols]).alias(f.name) for f in direct]
+
+
+def _joined(frames: list[DataFrame], key: str, feats: list[Feature]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
         out = out.join(f, key, "left")
     return out.select(key, *[f.name for f in feats])
 
 
+def _whole_keys(
+    base: DataFrame, wide: DataFrame, key: str, feats: list[Feature], gaps: dict[str, str], holes: set[str], n_rows: int
+) -> DataFrame:
+    """Two shuffles of narrow rows by key, one for numbers and flags, one for codes; all the rest stays inside the tasks."""
+    folded, direct, coded, pairs = _kinds(feats)
+    used = list(dict.fromkeys(c for f in feats if f in direct or f.agg == "spearman" for c in f.cols))
+    tasks = tasks_for(wide, n_rows, len(used) + len(feats), DEALT_CELLS)
+    frames = []
+    if used:
+        ranks: dict[tuple[str, str | None], Column] = {}
+
+        def rank(c: str, other: str) -> Column:
+            """Rank of ``c`` over the rows that have ``other`` too; columns without missing values share one."""
+            beside = gaps.get(other, other)
+            if beside not in holes or beside == gaps.get(c, c):
+                beside = None
+            x = F.col(c).cast("double")
+            if (c, beside) not in ranks:
+                ranks[c, beside] = window_rank(x if beside is None else F.when(F.col(other).isNotNull(), x), [key]).alias(f"_rank_{len(ranks)}")
+            return F.col(f"_rank_{list(ranks).index((c, beside))}")
+
+        rho = [correlation(rank(a, b), rank(b, a)).alias(f"spearman__{a}__{b}") for a, b in pairs]
+        dealt = wide.select(key, *used).repartition(tasks, key).select("*", *ranks.values())
+        frames.append(dealt.groupBy(key).agg(*_expressions(direct), *rho))
+    if coded:
+        frames.append(code_aggregates(base.select(key, *coded).repartition(tasks, key), key, coded))
+    if folded:
+        frames.append(folded_aggregates(wide, key, folded))
+    return _joined(frames, key, feats)
+
+
+def _spread_keys(base: DataFrame, wide: DataFrame, key: str, feats: list[Feature], hot_rows: int) -> DataFrame:
+    """Aggregates that are folded before the shuffle, for keys of many rows."""
+    folded, direct, coded, pairs = _kinds(feats)
+    frames = []
+    if direct:
+        frames.append(wide.groupBy(key).agg(*_expressions(direct)))
+    if coded:
+        frames.append(code_aggregates(base, key, coded))
+    if pairs:
+        frames.append(spearman_by_key(wide, key, pairs, hot_rows=hot_rows))
+    if folded:
+        frames.append(folded_aggregates(wide, key, folded))
+    return _joined(frames, key, feats)
+
+
 def feature_synthesis(
     df: DataFrame,
     item: str,
@@ -332,22 +458,29 @@ def feature_synthesis(
         rows = rows.withColumns(parts)
         codes += list(parts)
     distances = point_distances(list(roles.points))
+    gaps = {f"percentile__{c}": c for c in numerics}
     if numerics:
         keep = dict.fromkeys([item, *numerics, *bools, *codes, *([parent_key] if parent is not None else []), *[c for p in roles.points for c in p]])
-        rows = percentile_ranks(rows.select(*keep), numerics)
-        numerics += [f"percentile__{c}" for c in numerics]
+        rows = materialize(rows.select(*keep), "rows")
+        ranks = percentile_table(rows, numerics)
+    ranked, numerics = numerics, numerics + list(gaps)
     if distances:
         rows = rows.withColumns(distances)
         numerics += list(distances)
     if parent is not None:
         attrs = [f for f in parent.schema.fields if f.name not in (parent_key, roles.label)]
         renamed = parent.select(parent_key, *[F.col(f.name).alias(f"parent__{f.name}") for f in attrs])
-        rows = lookup_join(rows, renamed, parent_key)
+        local = fetch_bounded(renamed)
+        # a shuffled join is written, as the rows are read several times
+        rows = rows.join(F.broadcast(local), parent_key, "left") if local is not None else materialize(lookup_join(rows, renamed, parent_key, max_bytes=0), "rows")
         for f in attrs:
             kind = numerics if isinstance(f.dataType, T.NumericType) else bools if isinstance(f.dataType, T.BooleanType) else codes
             kind.append(f"parent__{f.name}")
     used = list(dict.fromkeys([item, *numerics, *bools, *codes]))
-    return compute_features(rows.select(*used), item, plan_features(numerics, bools, codes, max_features))
+    base = rows.select(*[c for c in used if c not in gaps])
+    # codes are read from ``base``; only numbers and flags take part in the join of the percentiles
+    wide = attach_percentiles(base.select(*dict.fromkeys([item, *[c for c in numerics if c not in gaps], *bools])), ranks, ranked) if ranked else base
+    return _features(base, wide, item, plan_features(numerics, bools, codes, max_features), gaps)
 
 
 def attach_features(rows: DataFrame, features: DataFrame, key: str, drop: list[str] = (), **kw) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,51 @@ def test_percentiles_of_many_columns(spark):
             assert r[f"percentile__{c}"] == (None if want is None else pytest.approx(want))
 
 
+@pytest.mark.parametrize("cols", [["a", "b"], ["b"]])
+@pytest.mark.parametrize("hot_rows", [5, 10**6])
+def test_percentiles_that_are_no_broadcast(spark, cols, hot_rows):
+    rng = random.Random(2)
+    rows = [(i % 150, rng.randint(0, 5) if i % 6 else None, rng.choice([0.0, -0.0, 1.5, math.inf, NAN, None])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, a int, b double").repartition(3)
+    want = synth.percentile_ranks(df, cols).collect()
+    got = synth.percentile_ranks(df, cols, max_bytes=0, hot_rows=hot_rows)
+    assert got.columns == ["id", "a", "b", *[f"percentile__{c}" for c in cols]]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) == 200
+
+
+def shuffled_widths(df):
+    """Numbers of columns that the shuffles of a plan carry."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [int(n) for n in re.findall(r"\) Exchange\s+Input \[(\d+)\]", text)]
+
+
+def test_synthesis_shuffles_rows_and_no_states(spark):
+    rng = random.Random(3)
+    rows = [(i % 40, rng.random(), rng.randint(0, 9), rng.random(), bool(i % 3), "xyz"[i % 3]) for i in range(400)]
+    df = spark.createDataFrame(rows, "item int, a double, b int, c double, f boolean, code string")
+    out = synth.feature_synthesis(df, "item", Roles(amounts=("a", "b", "c"), flags=("f",), codes=("code",)))
+    # the item, three numbers, their percentiles and the flag
+    assert 0 < max(shuffled_widths(out)) <= 8
+
+
+@pytest.mark.parametrize("hot_rows", [3, 10])
+def test_keys_of_many_rows_have_the_same_features(spark, hot_rows):
+    rng = random.Random(4)
+    rows = [
+        (rng.choice("aaaabbcde") if i % 20 else None, rng.randint(0, 9), rng.choice([0.5, 1.5, NAN, None, 7.0]), rng.random() if i % 4 else None, rng.choice(["u", "v", None]))
+        for i in range(120)
+    ]
+    df = spark.createDataFrame(rows, "k string, x int, y double, z double, c string").repartition(3)
+    feats = synth.plan_features(["x", "y", "z"], [], ["c"])
+    whole, spread = ({r["k"]: r for r in synth.compute_features(df, "k", feats, hot_rows=n).collect()} for n in (10**6, hot_rows))
+    assert set(whole) == set(spread) == set("abcde")
+    pairs = {r["k"]: r for r in synth.spearman_by_key(df, "k", [f.cols for f in feats if f.agg == "spearman"]).collect()}
+    for k, r in whole.items():
+        for f in feats:
+            for other in (spread[k][f.name], pairs[k][f.name]) if f.agg == "spearman" else (spread[k][f.name],):
+                assert r[f.name] == (pytest.approx(other, abs=1e-9) if isinstance(other, float) else other), (k, f.name)
+
+
 def test_synthesis_plans_transforms(spark):
     rows = [("i", 1.0, 52.0, 13.0, 48.0, 11.0), ("i", 3.0, 52.0, 13.0, 52.0, 13.0), ("j", 2.0, 0.0, 0.0, 0.0, 1.0)]
     df = spark.createDataFrame(rows, "item string, a double, lat double, lon double, to_lat double, to_lon double")
