@@ -95,3 +95,23 @@ def test_length_blocks(spark, monkeypatch):
     every = [i for i in range(0, 40, 2) for _ in range(i % 4 + 1)]
     for r in token_counts.context_table(h).collect():
         assert r.truncated_tokens == sum(min(x, r.n_tokens) for x in every)
+
+
+def test_words_that_never_come_back_push_none_out(whole):
+    e = Encoder(token_file.default_tokenizer(), cache_words=400)
+    often = [f"often{i}" for i in range(60)]
+    e.encode([" ".join(often), " ".join(often)])
+    for k in range(30):
+        e.encode([" ".join(f"x{k}y{i}." for i in range(100))])
+    made, learn = [], e.many_words
+    e.many_words = lambda words, *a: made.extend(words) or learn(words, *a)
+    text = " ".join([*often, "often1.", "a\tb", "new"])
+    assert e.encode([text, text]) == [array("I", whole(text)).tobytes()] * 2
+    assert not set(made) & set(often[1:])
+    assert len(e.known) <= 400 and len(e.known.fresh) <= 400
+
+
+def test_marks_behind_a_word_are_pieces_of_their_own(whole):
+    e = Encoder(token_file.default_tokenizer())
+    texts = [f"{w}{m} {w}{m}\n{w}{m}" for w in ("ab", "it's", "x9", "é", "a_b", "٣", "ab$c") for m in ("'", "''", "$$$", "%", "_", "__.", "'.", "(", "~`", "\\", "]^", "s'", "'s!")]
+    assert e.encode(texts) == [array("I", whole(t)).tobytes() for t in texts]
