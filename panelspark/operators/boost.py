@@ -1,4 +1,4 @@
-"""Boosted trees and stumps over binned columns.
+"""Boosted trees and stumps, and forests, over binned columns.
 
 Columns are cut into bins once and the bins written as blocks, a byte per cell. A round of stumps, or one level of a
 tree, is then a single pass: every block adds its rows to a (node, column, bin) histogram, histograms are summed by shares
@@ -6,10 +6,14 @@ of the columns, and each share sends its best splits, so what the driver gets ha
 Rows are never collected. Blocks are dealt evenly over the cores. The running weight or margin of a row is replayed from
 the latest trees and written out every ``KEEP`` trees, so a lost executor re-reads blocks and replays a few trees at
 most; a worker that saw the block before starts from the margins it holds.
+
+Trees see rows of equal bins, label and weight alike, so such rows can be merged into one counted row. Few columns have few
+such rows whatever the size of the table; rows that fit into one block are fitted in the task that reads it, tree after tree.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections import OrderedDict
@@ -34,7 +38,11 @@ QUANTILE_ERROR = 0.001
 HELD_BYTES = 128 << 20
 #: bytes of a histogram that one task sums; larger ones are cut by columns
 SHARE_BYTES = 1 << 18
-STATE = "id string, x binary, y binary, w binary, m binary"
+#: bytes of the histograms of trees of a forest that grow together
+FOREST_BYTES = 32 << 20
+#: points of each class that stand for its share of the weight when columns are cut by weight
+GRID = 256
+STATE = "id string, x binary, y binary, w binary, m binary, n binary"
 
 
 def bin_cuts(df: DataFrame, cols: list[str], bins: int = BINS) -> list[list[float]]:
@@ -44,35 +52,102 @@ def bin_cuts(df: DataFrame, cols: list[str], bins: int = BINS) -> list[list[floa
     return [sorted({v for v in f if math.isfinite(v)}) for f in found]
 
 
-def binned_blocks(df: DataFrame, cols: list[str], label: str, cuts: list[list[float]], weight: str | None = None) -> DataFrame:
-    """Blocks of (name, bins, labels, weights, zeros), written once. Bin j holds values up to bound j; missing ones go to the last.
+def weighted_cuts(df: DataFrame, cols: list[str], label: str, weight: str, bins: int) -> list[list[float]]:
+    """At most ``bins`` - 1 rising bounds per column: all values but the last of a column that has few, else quantiles by weight.
 
-    Rows without a label are left out.
+    The weight is that of the class; quantiles come from ``GRID`` points of every class, each with its share of the weight.
+    """
+    rows = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)], F.col(label).alias("_y"), F.col(weight).alias("_w"))
+    names = [f"_{i}" for i in range(len(cols))]
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a value more than there are bins is enough to tell that there are many
+        seen = [np.zeros(0) for _ in names]
+        for b in batches:
+            for i in range(len(names)):
+                if len(seen[i]) <= bins:
+                    seen[i] = np.unique(np.append(seen[i], b.column(i).to_numpy(zero_copy_only=False)))[: bins + 1]
+        at = np.repeat(np.arange(len(names)), [len(v) for v in seen])
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(np.concatenate([*seen, np.zeros(0)]))], ["i", "v"])
+
+    few = {}
+    for r in rows.select(*names).mapInArrow(some, "i int, v double").groupBy("i").agg(F.sort_array(F.collect_set("v")).alias("v")).collect():
+        few[r["i"]] = r["v"] if len(r["v"]) <= bins else None
+    wide = [i for i in range(len(cols)) if few.get(i) is None]
+    points: dict[int, list[tuple[float, float]]] = {i: [] for i in wide}
+    if wide:
+        for c in rows.groupBy("_y").agg(F.sum("_w").alias("w")).orderBy("_y").collect():
+            grid = rows.where(F.col("_y") == F.lit(c["_y"])).approxQuantile([names[i] for i in wide], [(i + 0.5) / GRID for i in range(GRID)], QUANTILE_ERROR)
+            for i, g in zip(wide, grid):
+                points[i] += [(v, c["w"] / GRID) for v in g]
+    out = []
+    for i in range(len(cols)):
+        if i not in points:
+            out.append(few[i][:-1])
+            continue
+        v, w = np.array(sorted(points[i])).reshape(-1, 2).T
+        up = np.cumsum(w)
+        at = np.searchsorted(up, up[-1] * np.arange(1, bins) / bins) if len(v) else []
+        out.append(np.unique(v[at]).tolist() if len(v) else [])
+    return out
+
+
+def binned_blocks(
+    df: DataFrame, cols: list[str], label: str, cuts: list[list[float]], weight: str | None = None, merge: bool = False, classes: bool = False
+) -> DataFrame:
+    """Blocks of (name, bins, labels, weights, zeros, rows), written once. Bin j holds values up to bound j; missing ones go to the last.
+
+    Rows without a label are left out. ``merge`` makes one of rows with equal bins, label and weight, with the sum of their weights;
+    blocks are then full but for one of each task, and named by what they hold. ``classes`` keeps labels, which else are 1 or not.
     """
     bounds = [np.array(c) for c in cuts]
 
+    def binned(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v = [b.column(i).to_numpy(zero_copy_only=False) for i in range(len(cols) + 2)]
+        # a missing value sorts behind all bounds
+        x = np.stack([np.searchsorted(c, col, side="left") for c, col in zip(bounds, v)]).astype(np.uint8)
+        return x, v[-2].astype(np.uint8) if classes else (v[-2] == 1).astype(np.uint8), v[-1].astype(float)
+
+    def merged(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.uint8).reshape(b.num_rows, len(cols)).T
+        n = b.column("n").to_numpy().astype(float)
+        return x, b.column("y").to_numpy().astype(np.uint8), b.column("w").to_numpy(zero_copy_only=False).astype(float) * n, n
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, w = binned(b)
+            ends = pa.py_buffer((np.arange(len(y) + 1) * len(cols)).astype(np.int32))
+            key = pa.Array.from_buffers(pa.binary(), len(y), [None, ends, pa.py_buffer(np.ascontiguousarray(x.T))])
+            yield pa.record_batch([key, pa.array(y, pa.int16()), pa.array(w)], ["x", "y", "w"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for b in batches:
-            values = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(cols) + 2)])
-            held.append(values)
-            rows += values.shape[1]
+            if not b.num_rows:
+                continue
+            held.append(merged(b) if merge else (*binned(b), np.ones(b.num_rows)))
+            rows += b.num_rows
             if rows >= BLOCK_ROWS:
-                yield block(np.concatenate(held, axis=1))
+                yield block(held)
                 held, rows = [], 0
         if rows:
-            yield block(np.concatenate(held, axis=1))
+            yield block(held)
 
-    def block(v: np.ndarray) -> pa.RecordBatch:
-        # a missing value sorts behind all bounds
-        x = np.stack([np.searchsorted(c, col, side="left") for c, col in zip(bounds, v)]).astype(np.uint8)
-        y, w = v[-2], v[-1]
-        cells = [x.tobytes(), (y == 1).astype(np.uint8).tobytes(), w.tobytes(), np.zeros(len(w)).tobytes()]
-        return pa.record_batch([pa.array([uuid.uuid4().hex]), *[pa.array([c], pa.binary()) for c in cells]], ["id", "x", "y", "w", "m"])
+    def block(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        x, y, w, n = (np.concatenate(part, axis=-1) for part in zip(*held))
+        parts = [x.tobytes(), y.tobytes(), w.tobytes(), np.zeros(len(w)).tobytes(), n.tobytes()]
+        # merged rows are in one block each, so what a block holds is in no other
+        name = hashlib.md5(b"".join(parts)).hexdigest() if merge else uuid.uuid4().hex
+        return pa.record_batch([pa.array([name]), *[pa.array([c], pa.binary()) for c in parts]], ["id", "x", "y", "w", "m", "n"])
 
     numbers = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"_{i}") for i, c in enumerate(cols)]
     weights = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.where(F.col(label).isNotNull()).select(*numbers, F.col(label).cast("double").alias("_y"), weights.alias("_w"))
+    if merge:
+        rows = rows.mapInArrow(cells, "x binary, y short, w double").groupBy("x", "y", "w").agg(F.count(F.lit(1)).alias("n"))
+        rows = materialize(rows.sortWithinPartitions("x", "y", "w"), "merged")
+        if rows.count() <= BLOCK_ROWS:
+            rows = rows.coalesce(1).sortWithinPartitions("x", "y", "w")
     return materialize(rows.mapInArrow(pack, STATE), "blocks")
 
 
@@ -83,14 +158,20 @@ class Block:
     y: np.ndarray
     w: np.ndarray
     m: np.ndarray
+    n: np.ndarray | None = None
+
+
+def _unpacked(row, columns: int) -> Block:
+    y = np.frombuffer(row["y"], np.uint8)
+    x = np.frombuffer(row["x"], np.uint8).reshape(columns, len(y))
+    return Block(row["id"], x, y, *(np.frombuffer(row[k]) for k in ("w", "m", "n")))
 
 
 def _blocks(state: DataFrame, columns: int) -> RDD:
     """The blocks as arrays, as many in each task, held in memory or on disk; what is lost is read again from the written table."""
 
     def unpack(row) -> tuple[str, Block]:
-        y = np.frombuffer(row["y"], np.uint8)
-        return row["id"], Block(row["id"], np.frombuffer(row["x"], np.uint8).reshape(columns, len(y)), y, np.frombuffer(row["w"]), np.frombuffer(row["m"]))
+        return row["id"], _unpacked(row, columns)
 
     place = {r["id"]: i for i, r in enumerate(state.select("id").orderBy("id").collect())}
     tasks = max(1, min(len(place), state.sparkSession.sparkContext.defaultParallelism))
@@ -164,7 +245,7 @@ class Rounds:
         if len(self.recent) < KEEP:
             return
         run, replay, recent = self.run, self.replay, self.recent
-        written = self.rows.map(lambda b: (b.id, b.x.tobytes(), b.y.tobytes(), b.w.tobytes(), _replayed(run, b, recent, replay).tobytes()))
+        written = self.rows.map(lambda b: (b.id, b.x.tobytes(), b.y.tobytes(), b.w.tobytes(), _replayed(run, b, recent, replay).tobytes(), b.n.tobytes()))
         self.state = materialize(self.state.sparkSession.createDataFrame(written, STATE), "rounds")
         self.close()
         self.rows, self.run, self.recent = _blocks(self.state, self.columns), uuid.uuid4().hex, []
@@ -173,6 +254,33 @@ class Rounds:
         self.rows.unpersist()
 
 
+class InTask:
+    """``Rounds`` over the only block of a table, inside the task that read it."""
+
+    def __init__(self, block: Block, replay: Callable[[Block, np.ndarray, list], np.ndarray]):
+        self.block, self.replay, self.margins = block, replay, block.m
+
+    def sum(self, histogram: Callable[[Block, np.ndarray], np.ndarray], shape: tuple) -> np.ndarray:
+        return histogram(self.block, self.margins)
+
+    def best(self, histogram: Callable[[Block, np.ndarray], np.ndarray], shape: tuple, choose: Callable[[int, np.ndarray], object]) -> list:
+        return [choose(0, histogram(self.block, self.margins))]
+
+    def add(self, tree) -> None:
+        self.margins = self.replay(self.block, self.margins, [tree])
+
+
+def _fitted(blocks: DataFrame, columns: int, replay: Callable, grow: Callable[[Rounds | InTask], list]) -> list:
+    """``grow`` over the blocks: from the driver, pass by pass, or all of it in one task when there is one block."""
+    if blocks.count() == 1:
+        return blocks.rdd.map(lambda row: grow(InTask(_unpacked(row, columns), replay))).collect()[0]
+    run = Rounds(blocks, columns, replay)
+    try:
+        return grow(run)
+    finally:
+        run.close()
+
+
 # ---- stumps ------------------------------------------------------------------------------------
 
 
@@ -350,39 +458,38 @@ def best_splits(shares: list[list[list[tuple]]]) -> list[tuple | None]:
 
 def fit_trees(blocks: DataFrame, columns: int, bins: int, s: Boosting) -> list[Tree]:
     """Gradient boosting; one pass over the blocks per level of each tree."""
+    return _fitted(blocks, columns, _margins, partial(_boosted, columns=columns, bins=bins, s=s))
 
+
+def _boosted(run: Rounds | InTask, columns: int, bins: int, s: Boosting) -> list[Tree]:
     def prior(b: Block, _: np.ndarray) -> np.ndarray:
         return np.array([(b.w * b.y).sum(), b.w.sum()])
 
-    run = Rounds(blocks, columns, _margins)
     out: list[Tree] = []
-    try:
-        positive, total = run.sum(prior, (2,))
-        if not 0 < positive < total:
-            return out
-        start = math.log(positive / (total - positive))
-        for _ in range(s.trees):
-            tree, level = Tree(), [1]
-            for _ in range(s.depth):
-                shares = run.best(_level_histogram(tree, level, bins, start), (columns, len(level), bins, 4), partial(near_best_splits, s=s))
-                ahead = []
-                for i, best in zip(level, best_splits(shares)):
-                    if best is None:
-                        continue
-                    tree.split[i] = best[:3]
-                    del tree.value[i]
-                    for child, p in zip((2 * i, 2 * i + 1), best[3:]):
-                        tree.value[child] = float(-s.rate * p[2] / max(p[3] + s.l2, 1e-16))
-                        ahead.append(child)
-                level = ahead
-                if not level:
-                    break
-            if not tree.split:
+    positive, total = run.sum(prior, (2,))
+    if not 0 < positive < total:
+        return out
+    start = math.log(positive / (total - positive))
+    for _ in range(s.trees):
+        tree, level = Tree(), [1]
+        for _ in range(s.depth):
+            shares = run.best(_level_histogram(tree, level, bins, start), (columns, len(level), bins, 4), partial(near_best_splits, s=s))
+            ahead = []
+            for i, best in zip(level, best_splits(shares)):
+                if best is None:
+                    continue
+                tree.split[i] = best[:3]
+                del tree.value[i]
+                for child, p in zip((2 * i, 2 * i + 1), best[3:]):
+                    tree.value[child] = float(-s.rate * p[2] / max(p[3] + s.l2, 1e-16))
+                    ahead.append(child)
+            level = ahead
+            if not level:
                 break
-            out.append(tree)
-            run.add(tree)
-    finally:
-        run.close()
+        if not tree.split:
+            break
+        out.append(tree)
+        run.add(tree)
     return out
 
 
@@ -396,7 +503,7 @@ def _level_histogram(tree: Tree, level: list[int], bins: int, start: float) -> C
         rows = np.flatnonzero(at >= 0)
         p = 1 / (1 + np.exp(-(margin[rows] + start)))
         w = b.w[rows]
-        kinds = (np.ones(len(rows)), w, w * (p - b.y[rows]), w * p * (1 - p))
+        kinds = (b.n[rows], w, w * (p - b.y[rows]), w * p * (1 - p))
         base, out = at[rows] * bins, np.empty((len(b.x), len(level), bins, 4))
         for j, x in enumerate(b.x):
             cell = base + x[rows]
@@ -407,6 +514,114 @@ def _level_histogram(tree: Tree, level: list[int], bins: int, start: float) -> C
     return histogram
 
 
+# ---- forests -----------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Settings of a forest of classification trees: a bootstrap of the rows per tree, the root of the columns per node, Gini gains."""
+
+    trees: int
+    classes: int
+    depth: int = 5
+    seed: int = 42
+
+
+def fit_forest(blocks: DataFrame, columns: int, bins: int, s: Forest) -> list[Tree]:
+    """Trees that know nothing of each other, grown together: one pass over the blocks per level of as many as ``FOREST_BYTES`` hold.
+
+    A split holds its gain times the weight of its node, the value of a node is its class. Sides that end in one class are no split.
+    """
+    return _fitted(blocks, columns, _no_margins, partial(_forest, columns=columns, bins=bins, s=s))
+
+
+def _no_margins(b: Block, out: np.ndarray, trees: list) -> np.ndarray:
+    return out
+
+
+def _forest(run: Rounds | InTask, columns: int, bins: int, s: Forest) -> list[Tree]:
+    out: list[Tree] = []
+    together = max(1, FOREST_BYTES // (8 * 2 ** max(s.depth - 1, 0) * columns * bins * s.classes))
+    for lo in range(0, s.trees, together):
+        trees = [Tree() for _ in range(lo, min(lo + together, s.trees))]
+        levels = [[1] for _ in trees]
+        for _ in range(s.depth):
+            width = max(map(len, levels))
+            if not width:
+                break
+            histogram, choose = _forest_histogram(trees, levels, width, lo, bins, s), partial(forest_splits, levels=levels, lo=lo, s=s)
+            found = run.best(histogram, (len(trees), width, columns, bins, s.classes), choose)
+            for t, i, split, sides in (x for share in found for x in share):
+                trees[t].split[i] = split
+                trees[t].value |= {2 * i + k: side for k, side in enumerate(sides)}
+            levels = [[2 * i + k for i in level if i in tree.split for k in (0, 1)] for tree, level in zip(trees, levels)]
+        out += map(_pruned, trees)
+    return out
+
+
+def _forest_histogram(trees: list[Tree], levels: list[list[int]], width: int, lo: int, bins: int, s: Forest) -> Callable[[Block, np.ndarray], np.ndarray]:
+    def histogram(b: Block, _: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(trees), width, len(b.x), bins, s.classes))
+        cells = [x.astype(np.intp) * s.classes + b.y for x in b.x]
+        each, name = b.w / b.n, int(b.id, 16)
+        for t, (tree, level) in enumerate(zip(trees, levels)):
+            if not level:
+                continue
+            # rows drawn with replacement: each comes as often as a Poisson draw says, and n rows as often as one of mean n
+            w = np.random.default_rng([s.seed, lo + t, name]).poisson(b.n) * each
+            slot = np.full(max(level) + 1, -1)
+            slot[level] = np.arange(len(level))
+            node = leaf_of(tree, b.x)
+            at = slot[np.minimum(node, len(slot) - 1)]
+            at[node >= len(slot)] = -1
+            rows = np.flatnonzero((at >= 0) & (w > 0))
+            base, w = at[rows] * (bins * s.classes), w[rows]
+            for j, cell in enumerate(cells):
+                out[t, :, j] = np.bincount(base + cell[rows], w, width * bins * s.classes).reshape(width, bins, s.classes)
+        return out
+
+    return histogram
+
+
+def _gini(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    total = part.sum(axis=-1)
+    share = part / np.where(total > 0, total, 1)[..., None]
+    return 1 - (share * share).sum(axis=-1), total
+
+
+def forest_splits(first: int, hist: np.ndarray, levels: list[list[int]], lo: int, s: Forest) -> list[tuple]:
+    """(tree, node, (column, bound, gain times weight), (class below, class above)) of the best splits of trees from ``first`` on."""
+    out, columns = [], hist.shape[2]
+    some = columns if s.trees == 1 else math.ceil(math.sqrt(columns))
+    for t, h in enumerate(hist, start=first):
+        level = levels[t]
+        left = np.cumsum(h[: len(level)], axis=2)
+        whole = left[:, :, -1:]
+        left = left[:, :, :-1]
+        (il, nl), (ir, nr), (i, n) = _gini(left), _gini(whole - left), _gini(whole)
+        gain = i - nl / np.where(n > 0, n, 1) * il - nr / np.where(n > 0, n, 1) * ir
+        gain = np.where((nl > 0) & (nr > 0), gain, -1.0)
+        for k, node in enumerate(level):
+            asked = np.sort(np.random.default_rng([s.seed, lo + t, node]).choice(columns, some, replace=False))
+            g = gain[k, asked]
+            if g.size == 0 or g.max() <= 0:
+                continue
+            c, b = np.unravel_index(np.argmax(g), g.shape)
+            c, b = int(asked[c]), int(b)
+            sides = [float(x.argmax()) for x in (left[k, c, b], whole[k, c, 0] - left[k, c, b])]
+            out.append((t, node, (c, b, float(gain[k, c, b] * n[k, c, 0])), sides))
+    return out
+
+
+def _pruned(tree: Tree) -> Tree:
+    for i in sorted(tree.split, reverse=True):
+        below = (2 * i, 2 * i + 1)
+        if not any(c in tree.split for c in below) and tree.value[below[0]] == tree.value[below[1]]:
+            tree.value[i] = tree.value[below[0]]
+            del tree.split[i]
+    return tree
+
+
 # ---- importances -------------------------------------------------------------------------------
 
 
@@ -427,7 +642,7 @@ def tree_importance(trees: list[Tree], columns: int, kind: str) -> list[float]:
             own[feature] += g
             splits[feature] += 1
         gain += own
-        shares += own / own.sum()
+        shares += own / own.sum() if own.sum() > 0 else own
     if kind == "splits":
         return splits.tolist()
     return _shares(shares if kind == "share" else np.divide(gain, splits, out=np.zeros(columns), where=splits > 0))

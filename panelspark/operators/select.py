@@ -7,6 +7,7 @@ from functools import partial, reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from panelspark.session import materialize
 
 TOP_K = 500
 TREES = 500
+FOREST_BINS = 32
 RFE_STEP = 10
 RATIO = 1.25
 VOTES_NEEDED = 5
@@ -137,7 +139,7 @@ def select_forest(df: DataFrame, cols: list[str], label: str, trees: int = TREES
 def boosted(df: DataFrame, cols: list[str], label: str, settings: boost.Boosting, weight: str | None = None) -> list[boost.Tree]:
     """Trees over the bins of ``cols``; see ``boost`` for what a pass costs."""
     cuts = boost.bin_cuts(df, cols)
-    return boost.fit_trees(boost.binned_blocks(df, cols, label, cuts, weight), len(cols), max(map(len, cuts)) + 1, settings)
+    return boost.fit_trees(boost.binned_blocks(df, cols, label, cuts, weight, merge=True), len(cols), max(map(len, cuts)) + 1, settings)
 
 
 def select_boosting(df: DataFrame, cols: list[str], label: str, trees: int = TREES, depth: int = 5) -> DataFrame:
@@ -176,8 +178,22 @@ def weighted_matrix(df: DataFrame, cols: list[str], label: str, positive: float
 
 
 def forest_importance_rank(df: DataFrame, cols: list[str], label: str, trees: int = TREES) -> DataFrame:
-    model = RandomForestClassifier(weightCol="weight", numTrees=trees, seed=42)
-    return _ranked(df, cols, _fit_importances(model, weighted_matrix(df, cols, label)))
+    """Gini gains times the weight of their node, as a share of their tree, averaged over the trees; see ``boost.Forest``.
+
+    Like the library's forest it takes whole labels from 0 on and no missing value.
+    """
+    y = F.col("label")
+    whole = F.when(y.isNotNull() & (y >= 0) & (y == F.floor(y)) & (y < 256), y).otherwise(F.raise_error(F.lit("labels must be whole numbers from 0 on")))
+    rows = weighted_matrix(df, cols, label).select(vector_to_array("features").alias("x"), whole.alias("label"), "weight")
+    rows = rows.select(*[F.col("x")[i].alias(f"_{i}") for i in range(len(cols))], "label", "weight")
+    names = rows.columns[: len(cols)]
+    top = rows.agg(F.max("label")).first()[0]
+    if top is None:
+        raise ValueError("a forest needs rows")
+    cuts = boost.weighted_cuts(rows, names, "label", "weight", FOREST_BINS)
+    blocks = boost.binned_blocks(rows, names, "label", cuts, "weight", merge=True, classes=True)
+    found = boost.fit_forest(blocks, len(cols), max(map(len, cuts)) + 1, boost.Forest(trees, int(top) + 1))
+    return _ranked(df, cols, boost.tree_importance(found, len(cols), "share"))
 
 
 def boosting_importance_rank(
