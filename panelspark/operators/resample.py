@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.hashing import hash_bucket, hash_long, hash_unit, order_hash
+from panelspark.operators import lloyd
 from panelspark.operators.joins import BROADCAST_BYTES
-from panelspark.operators.neighbors import knn_join, nearest_of, routed
+from panelspark.operators.neighbors import knn_join, routed
 from panelspark.operators.ranks import dense_row_rank, prefix_sums
 from panelspark.operators.sampling import class_counts, draw_rows, labelled, mark_sample
 from panelspark.session import materialize
@@ -28,6 +29,8 @@ ROUNDS = 30
 TOLERANCE = 1e-4
 #: bytes of centroids that go to every task
 CENTER_BYTES = BROADCAST_BYTES
+#: broadcasts of that size which the rounds of K-means take at most, one at a time
+LLOYD_CHUNKS = 16
 _REPEAT_STEP = 65_536
 
 
@@ -246,7 +249,7 @@ def nearest_center(rows: DataFrame, centers: DataFrame) -> DataFrame:
 
     @F.pandas_udf("long")
     def own(v: pd.Series) -> pd.Series:
-        return pd.Series(names[nearest_of(np.stack(v.to_numpy()).astype(float), at)])
+        return pd.Series(names[lloyd.nearest(np.stack(v.to_numpy()).astype(float), at)])
 
     return rows.withColumn("center", own("vec"))
 
@@ -262,9 +265,10 @@ def center_means(rows: DataFrame, centers: DataFrame) -> DataFrame:
 def centroids(df: DataFrame, k: int, seed: int = 42, rounds: int = ROUNDS, tol: float = TOLERANCE) -> DataFrame:
     """(cid, vec): ``k`` K-means centroids of the rows (id, vec) of ``df``, at any k.
 
-    Lloyd's rounds over a table of centroids: every row finds its nearest one, and means are grouped sums that
-    pre-aggregate. They start from ``k`` distinct vectors in hash order and end after ``rounds``, or when none moves by
-    more than ``tol``. With fewer distinct vectors than ``k`` each is a centroid of its own, and they repeat.
+    Lloyd's rounds: every row finds its nearest centroid, which then moves to the mean of its rows. Centroids of up to
+    ``LLOYD_CHUNKS`` broadcasts meet blocks of rows, see ``lloyd``; more of them are a table, and means grouped sums. They start
+    from ``k`` distinct vectors in hash order and end after ``rounds``, or when none moves by more than ``tol``. With fewer
+    distinct vectors than ``k`` each is a centroid of its own, and they repeat.
     """
     rows = df.select("id", "vec")
     ones = rows.groupBy("vec").agg(F.min("id").alias("id"))
@@ -275,6 +279,11 @@ def centroids(df: DataFrame, k: int, seed: int = 42, rounds: int = ROUNDS, tol:
         again = repeat_rows(ranked.withColumn("n", times.cast("long")), "n")
         return again.select((F.col("cid") + F.col("draw") * distinct).alias("cid"), "vec")
     centers = materialize(ranked.where(F.col("cid") <= k), "centers")
+    dims, gaps = ranked.agg(F.max(F.size("vec")), F.max(F.exists("vec", F.isnull))).first()
+    # means leave null coordinates out, which blocks of numbers do not tell from NaN
+    if rounds and not gaps and 0 < 8 * k * (dims or 0) <= LLOYD_CHUNKS * CENTER_BYTES:
+        start = np.array([r["vec"] for r in centers.orderBy("cid").collect()], dtype=float).reshape(k, dims)
+        return lloyd.table(df.sparkSession, lloyd.lloyd(rows, start, rounds, tol))
     for _ in range(rounds):
         moved = centers.join(center_means(rows, centers).drop("n"), "cid", "left").withColumn("mean", F.coalesce("mean", "vec"))
         step = F.aggregate(F.zip_with("vec", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
